@@ -46,17 +46,12 @@ def log1p(c: Column | str) -> Column:
     return F.when(c > -1, F.log(c + 1))
 
 
-def yeo_johnson(c: Column | str, lam: float) -> Column:
-    """Yeo-Johnson power transform (2000) for a given lambda."""
-    c = _col(c)
-    if lam == 0:
-        upper = F.log(c + 1)
-    else:
-        upper = (F.pow(c + 1, F.lit(float(lam))) - 1) / F.lit(float(lam))
-    if lam == 2:
-        lower = -F.log(1 - c)
-    else:
-        lower = -(F.pow(1 - c, F.lit(2.0 - lam)) - 1) / F.lit(2.0 - lam)
+def yeo_johnson(c: Column | str, lam: float | Column) -> Column:
+    """Yeo-Johnson power transform (2000) for a given lambda, a number or a column."""
+    c, lam = _col(c), lam if isinstance(lam, Column) else F.lit(float(lam))
+    mirror = F.lit(2.0) - lam
+    upper = F.when(lam == 0, F.log(c + 1)).otherwise((F.pow(c + 1, lam) - 1) / lam)
+    lower = F.when(mirror == 0, -F.log(1 - c)).otherwise(-(F.pow(1 - c, mirror) - 1) / mirror)
     return F.when(c >= 0, upper).when(c < 0, lower)
 
 

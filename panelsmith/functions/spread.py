@@ -27,6 +27,6 @@ def spread_join(rows: DataFrame, lookup: DataFrame, key: str, count: str) -> Dat
     )
     copies = F.when(F.col(count) > F.lit(share), salts).otherwise(F.lit(1))
     salted_lookup = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), copies - 1)).cast("long")
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))
     )
     return salted_rows.join(salted_lookup, [key, "_salt"]).drop("_salt")

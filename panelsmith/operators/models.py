@@ -108,9 +108,16 @@ def total_weight(df: DataFrame, weight: str | None = None) -> float:
     return float(df.agg(measure.alias("w")).first()["w"])
 
 
-def scaled_pipeline(classifier: Estimator, features: list[str], scale: bool = True) -> Pipeline:
-    """Scaler, then classifier; the whole pipeline is what gets stored and scored."""
-    stages: list = [StandardScaler(features)] if scale else []
+def scaled_pipeline(
+    classifier: Estimator,
+    features: list[str],
+    scale: bool = True,
+    weights: Estimator | None = None,
+) -> Pipeline:
+    """Weights, scaler, classifier; the whole fitted pipeline is what gets stored and scored."""
+    stages: list = [weights] if weights else []
+    if scale:
+        stages.append(StandardScaler(features))
     if not isinstance(classifier, (GaussianNaiveBayes, KnnClassifier)):
         stages.append(VectorAssembler(inputCols=features, outputCol=FEATURES))
     return Pipeline(stages=[*stages, classifier])

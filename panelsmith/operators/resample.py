@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Estimator
+from pyspark.ml.param import Param, Params
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsmith.functions.ordering import hash_rank, repeat_rows
 from panelsmith.functions.scalar import hash_key, hash_uniform
 from panelsmith.operators.neighbors import knn_join
+from panelsmith.operators.stages import FittedColumns
 from panelsmith.session import cut_lineage
 from panelsmith.sources.tables import TableError
 
@@ -128,18 +132,48 @@ def smote_enn(
     return edited_nearest_neighbours(cut_lineage(enlarged), "row_key", vec_col, label, k_enn)
 
 
+class ClassWeights(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Row weights by class: n / (2 n_class) if "balanced", an explicit weight per class, or 1."""
+
+    label = Param(Params._dummy(), "label", "label column")
+    weights = Param(Params._dummy(), "weights", "balanced, a weight per class, or empty for 1")
+    column = Param(Params._dummy(), "column", "name of the weight column")
+
+    def __init__(
+        self,
+        label: str = "label",
+        weights: str | dict[int, float] | None = "balanced",
+        column: str = "weight",
+    ) -> None:
+        super().__init__()
+        self._set(label=label, weights=weights or {}, column=column)
+
+    def _fit(self, df: DataFrame) -> ClassWeightsModel:
+        label, weights = self.getOrDefault(self.label), self.getOrDefault(self.weights)
+        if weights == "balanced":
+            sizes = _class_sizes(df, label)
+            n = sum(sizes.values())
+            weights = {c: n / (2 * size) for c, size in sizes.items()}
+        by_class = {str(c): float(w) for c, w in weights.items()}
+        return ClassWeightsModel([label, self.getOrDefault(self.column)], by_class)
+
+
+class ClassWeightsModel(FittedColumns):
+    """Rows to be scored may come without the label; their weight is 1."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        label, column = self.getColumns()
+        expression = F.lit(1.0)
+        if label in df.columns:
+            for c, w in self.getValues().items():
+                expression = F.when(F.col(label) == F.lit(int(c)), F.lit(w)).otherwise(expression)
+        return df.withColumn(column, expression)
+
+
 def class_weights(
     df: DataFrame,
     label: str,
     weights: str | dict[int, float] | None = "balanced",
     column: str = "weight",
 ) -> DataFrame:
-    """``df`` with a row weight: n / (2 n_class), an explicit weight per class, or 1."""
-    if weights == "balanced":
-        sizes = _class_sizes(df, label)
-        n = sum(sizes.values())
-        weights = {c: n / (2 * size) for c, size in sizes.items()}
-    expression = F.lit(1.0)
-    for c, w in (weights or {}).items():
-        expression = F.when(F.col(label) == F.lit(int(c)), F.lit(float(w))).otherwise(expression)
-    return df.withColumn(column, expression)
+    return ClassWeights(label, weights, column).fit(df).transform(df)

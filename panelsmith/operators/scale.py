@@ -70,26 +70,34 @@ def fit_yeo_johnson(
 ) -> float | None:
     """Maximum-likelihood lambda: a grid of candidates per job, refined around the best one.
 
-    The log-likelihood is -n/2 ln var(y) + (lambda - 1) sum sign(x) ln(1 + |x|), so one aggregate with
-    a variance per candidate is all a pass needs. None where there are no values or they are constant.
+    The log-likelihood is -n/2 ln var(y) + (lambda - 1) sum sign(x) ln(1 + |x|), so a pass needs one
+    variance per candidate. Each task repeats its rows per candidate and shuffles sums only. None where
+    there are no values or they are constant.
     """
     x = F.col(f"`{column}`").cast("double")
+    jacobian = F.sign(x) * F.log1p(F.abs(x))
+    values = df.where(x.isNotNull()).select(x.alias("x"), jacobian.alias("jacobian"))
     while True:
         step = (high - low) / (_GRID - 1)
         grid = [low + i * step for i in range(_GRID)]
-        row = df.agg(
-            F.count(x).alias("n"),
-            F.sum(F.sign(x) * F.log1p(F.abs(x))).alias("jacobian"),
-            *[F.var_pop(scalar.yeo_johnson(x, lam)).alias(f"v{i}") for i, lam in enumerate(grid)],
-        ).first()
+        spread = (
+            values.select("x", "jacobian", F.explode(F.lit(grid)).alias("lam"))
+            .groupBy("lam")
+            .agg(
+                F.count("x").alias("n"),
+                F.sum("jacobian").alias("jacobian"),
+                F.var_pop(scalar.yeo_johnson("x", F.col("lam"))).alias("v"),
+            )
+            .collect()
+        )
         likelihood = {
-            lam: -row["n"] / 2 * math.log(row[f"v{i}"]) + (lam - 1) * row["jacobian"]
-            for i, lam in enumerate(grid)
-            if row[f"v{i}"] is not None and 0 < row[f"v{i}"] < math.inf
+            row["lam"]: -row["n"] / 2 * math.log(row["v"]) + (row["lam"] - 1) * row["jacobian"]
+            for row in spread
+            if row["v"] is not None and 0 < row["v"] < math.inf
         }
         if not likelihood:
             return None
-        best = max(likelihood, key=likelihood.get)
+        best = max(sorted(likelihood), key=likelihood.get)
         if step <= tolerance:
             return best
         if best in (grid[0], grid[-1]) and step > 0.01:

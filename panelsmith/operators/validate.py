@@ -36,17 +36,18 @@ def panel_violations(df: DataFrame, entity: str, time: str, label: str) -> DataF
     result = spark.createDataFrame(schema_rows, "seq int, check_name string, n_bad long")
     if any(n for _, _, n in schema_rows):
         return result
+    entries = [
+        F.struct(
+            F.lit(seq).alias("seq"),
+            F.lit(_CHECKS[seq]).alias("check_name"),
+            F.col(f"n{seq}").alias("n_bad"),
+        )
+        for seq in (3, 4)
+    ]
     content = df.agg(
-        F.count_if(F.col(time) < 0).alias("a"),
-        F.count_if(F.coalesce(~F.col(label).isin(0, 1), F.lit(True))).alias("b"),
-    ).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit(3).alias("seq"), F.lit(_CHECKS[3]).alias("check_name"), F.col("a")),
-                F.struct(F.lit(4).alias("seq"), F.lit(_CHECKS[4]).alias("check_name"), F.col("b")),
-            )
-        ).alias("seq", "check_name", "n_bad")
-    )
+        F.count_if(F.col(time) < 0).alias("n3"),
+        F.count_if(F.coalesce(~F.col(label).isin(0, 1), F.lit(True))).alias("n4"),
+    ).select(F.inline(F.array(*entries)))
     duplicates = (
         df.where(F.col(entity).isNotNull() & F.col(time).isNotNull())
         .groupBy(entity, time)
