@@ -17,29 +17,38 @@ Copies of one vector beyond the k + 1 with the smallest ids can never be among a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 MAX_PIVOTS = 16_384
-CELL_ROWS = 8_192
-_TILE = 512
+CELL_ROWS = 512
+BLOCK_ROWS = 8_192
+_TILE = 128
 
 
 def distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     """All Minkowski distances (p = 1 or 2) between the rows of two small matrices."""
+    near = _ranking(a, b, p)
+    return near if p == 1 else np.sqrt(np.maximum(near + (a * a).sum(1)[:, None], 0.0))
+
+
+def _ranking(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
+    """Numbers that order the rows of ``b`` per row of ``a`` by distance: for p = 2 the squared
+    distance less the row's own squared length."""
     if p == 2:
-        squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-        return np.sqrt(np.maximum(squared, 0.0))
-    total = np.zeros((len(a), len(b)))
+        return np.column_stack([a, np.ones(len(a))]) @ np.vstack([-2.0 * b.T, (b * b).sum(1)])
+    near = np.zeros((len(a), len(b)))
     for dim in range(a.shape[1]):
-        total += np.abs(a[:, dim, None] - b[None, :, dim])
-    return total
+        near += np.abs(a[:, dim, None] - b[None, :, dim])
+    return near
 
 
 def _exact(difference: np.ndarray, p: int) -> np.ndarray:
@@ -48,17 +57,27 @@ def _exact(difference: np.ndarray, p: int) -> np.ndarray:
     return np.abs(difference).sum(1)
 
 
-def _tolerance(a: np.ndarray, b: np.ndarray, p: int) -> float:
-    """Upper bound of the rounding error of :func:`distances` for these operands."""
-    if p == 1:
-        return 1e-12 * (np.abs(a).sum(1).max() + np.abs(b).sum(1).max())
-    return 1e-6 * math.sqrt((a * a).sum(1).max() + (b * b).sum(1).max()) + 1e-300
+def _size(a: np.ndarray, p: int) -> float:
+    """Greatest length of a row, squared for p = 2; rounding errors are proportional to it."""
+    return float((a * a if p == 2 else np.abs(a)).sum(1).max())
+
+
+def _limits(near: np.ndarray, k: int) -> np.ndarray:
+    """Per row a bound that at least k entries do not exceed: the k-th smallest minimum of groups of
+    columns, which is close to the k-th smallest entry and much cheaper."""
+    n = near.shape[1]
+    if n <= k:
+        return np.full(len(near), np.inf)
+    group = max(1, min(16, n // (4 * k)))
+    whole = n // group * group
+    minima = near[:, :whole].reshape(len(near), group, -1).min(1)
+    return np.partition(minima, k - 1, axis=1)[:, k - 1]
 
 
 def block_neighbors(
-    ids_a: np.ndarray,
+    ids_a: pa.Array,
     a: np.ndarray,
-    ids_b: np.ndarray,
+    ids_b: pa.Array,
     b: np.ndarray,
     k: int,
     p: int,
@@ -68,22 +87,23 @@ def block_neighbors(
 
     Fast distances preselect with a margin above their rounding error, exact ones decide.
     """
-    order_b = np.argsort(ids_b, kind="stable")
     rank_b = np.empty(len(ids_b), dtype=np.int64)
-    rank_b[order_b] = np.arange(len(ids_b))
+    rank_b[pc.array_sort_indices(ids_b).to_numpy()] = np.arange(len(ids_b))
+    own = np.full(len(a), -1)
+    if exclude_self:
+        own = pc.fill_null(pc.index_in(ids_a, value_set=ids_b), -1).to_numpy()
+    margin = 1e-11 * (_size(a, p) + _size(b, p))
     found = []
     for start in range(0, len(a), _TILE):
         tile = a[start : start + _TILE]
-        near = distances(tile, b, p)
-        if exclude_self:
-            same = ids_a[start : start + _TILE][:, None] == ids_b[None, :]
-            near[same] = np.inf
-        margin = 2 * _tolerance(tile, b, p)
-        if near.shape[1] > k:
-            limit = np.partition(near, k - 1, axis=1)[:, k - 1] + margin
-        else:
-            limit = np.full(len(tile), np.inf)
-        rows, columns = np.nonzero((near <= limit[:, None]) & np.isfinite(near))
+        near = _ranking(tile, b, p)
+        own_column = own[start : start + _TILE]
+        present = np.flatnonzero(own_column >= 0)
+        near[present, own_column[present]] = np.inf
+        limit = _limits(near, k) + margin
+        rows, columns = np.divmod(np.flatnonzero(near <= limit[:, None]), len(b))
+        keep = columns != own_column[rows]
+        rows, columns = rows[keep], columns[keep]
         exact = _exact(tile[rows] - b[columns], p)
         order = np.lexsort((rank_b[columns], exact, rows))
         rows, columns, exact = rows[order], columns[order], exact[order]
@@ -107,80 +127,102 @@ class _Cells:
         return np.maximum(1, np.ceil(self.n / rows_per_block)).astype(np.int64)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64, copy=False)
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    if len(vectors) == 0 or len(flat) % len(vectors) or np.isnan(flat).any():
+        raise ValueError("vectors must have one length and no missing entries")
+    return flat.reshape(len(vectors), -1)
 
 
 def _nearest_cell(pivots: np.ndarray, p: int) -> Callable:
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                to_pivot = distances(_matrix(batch["vec"]), pivots, p)
-                cell = to_pivot.argmin(1)
-                yield batch.assign(cell=cell, radius=to_pivot[np.arange(len(batch)), cell])
+    """Vector to (cell, distance to its pivot)."""
+
+    @F.arrow_udf("cell long, radius double")
+    def assign(vectors: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.struct([("cell", pa.int64()), ("radius", pa.float64())]))
+        cells, radii = [], []
+        matrix = _matrix(vectors)
+        for start in range(0, len(matrix), _TILE):
+            to_pivot = distances(matrix[start : start + _TILE], pivots, p)
+            cell = to_pivot.argmin(1)
+            cells.append(cell)
+            radii.append(to_pivot[np.arange(len(cell)), cell])
+        return pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(cells)), pa.array(np.concatenate(radii))], ["cell", "radius"]
+        )
 
     return assign
 
 
-def _visited_cells(cells: _Cells, k: int, p: int, keep_rows: bool) -> Callable:
-    """Each query row once per cell that may hold one of its k nearest rows."""
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            vectors = _matrix(batch["vec"])
-            to_pivot = distances(vectors, cells.pivots, p)
-            margin = 4 * _tolerance(vectors, cells.pivots, p)
-            reach = (to_pivot + cells.kth[None, :]).min(1)
-            if len(cells.pivots) > k:
-                # k + 1 pivots are k + 1 rows, at most one of them the query row itself
-                reach = np.minimum(reach, np.partition(to_pivot, k, axis=1)[:, k])
-            reach = reach[:, None] + margin
-            own = to_pivot.min(1, keepdims=True)
-            possible = (
-                (to_pivot - cells.farthest[None, :] <= reach)
-                & (cells.nearest[None, :] - to_pivot <= reach)
-                & ((to_pivot - own) / 2 <= reach)
-                & (cells.n > 0)[None, :]
-            )
-            rows, cell = np.nonzero(possible)
-            if keep_rows:
-                yield batch.iloc[rows].assign(cell=cell)
-            else:
-                counts = np.bincount(cell, minlength=len(cells.n))
-                seen = np.flatnonzero(counts)
-                yield pd.DataFrame({"cell": seen, "n": counts[seen]})
+def _visited_cells(cells: _Cells, k: int, p: int) -> Callable:
+    """Vector to the cells that may hold one of its k nearest rows."""
+
+    def visited(tile: np.ndarray, margin: float) -> np.ndarray:
+        to_pivot = distances(tile, cells.pivots, p)
+        reach = (to_pivot + cells.kth[None, :]).min(1)
+        if len(cells.pivots) > k:
+            # k + 1 pivots are k + 1 rows, at most one of them the query row itself
+            reach = np.minimum(reach, np.partition(to_pivot, k, axis=1)[:, k])
+        reach = reach[:, None] + margin
+        own = to_pivot.min(1, keepdims=True)
+        return (
+            (to_pivot - cells.farthest[None, :] <= reach)
+            & (cells.nearest[None, :] - to_pivot <= reach)
+            & ((to_pivot - own) / 2 <= reach)
+            & (cells.n > 0)[None, :]
+        )
+
+    @F.arrow_udf("array<long>")
+    def visit(vectors: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.list_(pa.int64()))
+        matrix = _matrix(vectors)
+        length = _size(matrix, p) + _size(cells.pivots, p)
+        margin = 1e-11 * length if p == 1 else 1e-5 * math.sqrt(length)
+        counts, columns = [], []
+        for start in range(0, len(matrix), _TILE):
+            possible = visited(matrix[start : start + _TILE], margin)
+            counts.append(possible.sum(1))
+            columns.append(np.nonzero(possible)[1])
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return pa.ListArray.from_arrays(
+            pa.array(offsets, pa.int32()), pa.array(np.concatenate(columns))
+        )
 
     return visit
 
 
 def _block_udf(
-    k: int, p: int, exclude_self: bool, output: dict[str, tuple[str, str]]
+    k: int, p: int, exclude_self: bool, output: dict[str, tuple[str, str]], schema: pa.Schema
 ) -> Callable:
     """``output`` names each result column's side (query, searched or distance) and column there."""
 
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({name: [] for name in output})
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return schema.empty_table()
         a, b, distance = block_neighbors(
-            left["id"].to_numpy(),
-            _matrix(left["vec"]),
-            right["id"].to_numpy(),
-            _matrix(right["vec"]),
+            left.column("id").combine_chunks(),
+            _matrix(left.column("vec")),
+            right.column("id").combine_chunks(),
+            _matrix(right.column("vec")),
             k,
             p,
             exclude_self,
         )
         sides = {"query": (left, a), "searched": (right, b)}
-        result = {}
+        columns = []
         for name, (side, column) in output.items():
             if side == "distance":
-                result[name] = distance
+                columns.append(pa.array(distance))
             else:
                 frame, rows = sides[side]
-                result[name] = frame[column].to_numpy()[rows]
-        return pd.DataFrame(result)
+                columns.append(frame.column(column).combine_chunks().take(pa.array(rows)))
+        return pa.Table.from_arrays(
+            [c.cast(schema.field(i).type) for i, c in enumerate(columns)], schema=schema
+        )
 
     return block
 
@@ -230,6 +272,7 @@ def knn_join(
     carry_query: list[str] | None = None,
     carry_neighbor: list[str] | None = None,
     cell_rows: int = CELL_ROWS,
+    block_rows: int = BLOCK_ROWS,
     max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """The k nearest rows of ``searched`` for every row of ``queries``, exactly.
@@ -255,27 +298,21 @@ def knn_join(
     query_rows = min(32_768, max(256, math.ceil(n_a / (2 * parallelism))))
 
     if n_pivots <= 1:
-        searched_blocks = np.array([max(1, math.ceil(n_b / cell_rows))], dtype=np.int64)
+        searched_blocks = np.array([max(1, math.ceil(n_b / block_rows))], dtype=np.int64)
         query_blocks = np.array([max(1, math.ceil(n_a / query_rows))], dtype=np.int64)
         visits = a.withColumn("cell", F.lit(0).cast("long"))
         members = b.withColumn("cell", F.lit(0).cast("long"))
     else:
         sample = b.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("vec").collect()
         pivots = np.array([row["vec"] for row in sample], dtype=np.float64)
-        assigned = b.mapInPandas(
-            _nearest_cell(pivots, p), _with(b, "cell long", "radius double")
-        )
+        placed = b.withColumn("_place", _nearest_cell(pivots, p)("vec"))
+        assigned = placed.select(*b.columns, "_place.cell", "_place.radius")
         cells = _describe_cells(assigned, pivots, k)
-        searched_blocks = cells.blocks(cell_rows)
-        counted = a.select("vec").mapInPandas(
-            _visited_cells(cells, k, p, keep_rows=False), "cell long, n long"
-        )
+        searched_blocks = cells.blocks(block_rows)
+        visits = a.withColumn("cell", F.explode(_visited_cells(cells, k, p)("vec")))
         query_blocks = np.ones(len(pivots), dtype=np.int64)
-        for row in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        for row in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
             query_blocks[row["cell"]] = math.ceil(row["n"] / query_rows)
-        visits = a.mapInPandas(
-            _visited_cells(cells, k, p, keep_rows=True), _with(a, "cell long")
-        )
         members = assigned.drop("radius")
 
     layout = spark.createDataFrame(
@@ -327,7 +364,7 @@ def knn_join(
     candidates = (
         left.groupBy(*key)
         .cogroup(right.groupBy(*key))
-        .applyInPandas(_block_udf(k, p, exclude_self, output), schema)
+        .applyInArrow(_block_udf(k, p, exclude_self, output, to_arrow_schema(schema)), schema)
     )
     best = Window.partitionBy(id_col).orderBy("distance", "neighbor_id")
     return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -336,6 +373,3 @@ def knn_join(
 def _numbered(columns: list[str]) -> list[Column]:
     return [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
 
-
-def _with(df: DataFrame, *more: str) -> str:
-    return ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema] + list(more))

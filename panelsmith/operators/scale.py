@@ -75,18 +75,22 @@ def fit_yeo_johnson(
     there are no values or they are constant.
     """
     x = F.col(f"`{column}`").cast("double")
-    jacobian = F.sign(x) * F.log1p(F.abs(x))
-    values = df.where(x.isNotNull()).select(x.alias("x"), jacobian.alias("jacobian"))
+    values = df.where(x.isNotNull()).select(
+        F.sign(x).alias("sign"), F.log1p(F.abs(x)).alias("log")
+    )
+    # (1 + |x|)^k = exp(k log(1 + |x|)): one logarithm per row, one exponential per candidate
+    k = F.when(F.col("sign") >= 0, F.col("lam")).otherwise(2.0 - F.col("lam"))
+    power = F.when(k == 0, F.col("log")).otherwise(F.expm1(k * F.col("log")) / k)
     while True:
         step = (high - low) / (_GRID - 1)
         grid = [low + i * step for i in range(_GRID)]
         spread = (
-            values.select("x", "jacobian", F.explode(F.lit(grid)).alias("lam"))
+            values.select("sign", "log", F.explode(F.lit(grid)).alias("lam"))
             .groupBy("lam")
             .agg(
-                F.count("x").alias("n"),
-                F.sum("jacobian").alias("jacobian"),
-                F.var_pop(scalar.yeo_johnson("x", F.col("lam"))).alias("v"),
+                F.count("log").alias("n"),
+                F.sum(F.col("sign") * F.col("log")).alias("jacobian"),
+                F.var_pop(F.col("sign") * power).alias("v"),
             )
             .collect()
         )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from panelsmith.operators.classify import GaussianNaiveBayes
 from panelsmith.operators.resample import ClassWeights
 from panelsmith.operators.validate import union_all
 from panelsmith.plans.catalog.registry import query, round_columns, rounded, rounded_sql
-from panelsmith.plans.fixtures import LI_KEYS, MEASURES, emb, panel, table, with_views
+from panelsmith.plans.fixtures import LI_KEYS, MEASURES, emb, panel, qual, table, with_views
 from panelsmith.plans.preprocess import fit_preprocessing
 from panelsmith.plans.training import train_and_select
 from panelsmith.session import cut_lineage, scratch_path
@@ -160,17 +162,78 @@ def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("pred", above("p1")).select(*LI_KEYS, "p1", "pred")
 
 
-@query("random_search_cv")
+_QUALITY_FEATURES = ["n_chars", "n_words", "chars_per_word"]
+_DRAWS = tune.sample_params(tune.NAIVE_BAYES_SPACE, 5)
+
+
+def search_sql(draws: list[dict]) -> str:
+    """Mean F1 over five folds of scaled naive Bayes, per draw of smoothing and priors."""
+    candidates = " UNION ALL ".join(
+        f"SELECT {i} AS candidate, '{json.dumps(d, sort_keys=True)}' AS params, "
+        f"CAST({d['var_smoothing']!r} AS DOUBLE) AS smoothing, "
+        + ", ".join(
+            f"CAST({'NULL' if d['priors'] is None else d['priors'][k]} AS DOUBLE) AS prior{k}"
+            for k in (0, 1)
+        )
+        for i, d in enumerate(draws)
+    )
+    overall = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in _QUALITY_FEATURES)
+    by_class = ", ".join(
+        f"avg({c}) FILTER (quality = {k}) AS m{k}_{c}, var_pop({c}) FILTER (quality = {k}) AS v{k}_{c}"
+        for k in (0, 1)
+        for c in _QUALITY_FEATURES
+    )
+
+    def likelihood(k: int) -> str:
+        # in standard units: the class variance over the overall one, plus the smoothing
+        terms = [
+            f"- 0.5 * ln(v{k}_{c} / v_{c} + smoothing) - ({c} - m{k}_{c}) * ({c} - m{k}_{c}) / v_{c} "
+            f"/ (2 * (v{k}_{c} / v_{c} + smoothing))"
+            for c in _QUALITY_FEATURES
+        ]
+        return f"(ln(coalesce(prior{k}, n{k} / n)) {' '.join(terms)})"
+
+    return with_views(
+        f"""SELECT candidate, params, {rounded_sql("avg(f1)")} AS mean_f1, TRUE AS succeeded
+        FROM (SELECT candidate, params, fold,
+                coalesce(2 * tp / nullif(2 * tp + wrong, 0), 0) AS f1
+              FROM (SELECT candidate, params, fold,
+                      CAST(count(*) FILTER (z = 1 AND quality = 1) AS DOUBLE) AS tp,
+                      count(*) FILTER (z <> quality) AS wrong
+                    FROM predicted GROUP BY candidate, params, fold))
+        GROUP BY candidate, params""",
+        "qual",
+        dealt="""SELECT *, (row_number() OVER (
+            PARTITION BY quality ORDER BY md5(concat(doc_id, ':42')), doc_id) - 1) % 5 AS fold
+            FROM qual""",
+        fitted=f"""SELECT f, {overall}, {by_class}, CAST(count(*) AS DOUBLE) AS n,
+            count(*) FILTER (quality = 0) AS n0, count(*) FILTER (quality = 1) AS n1
+            FROM dealt, (SELECT unnest(range(5)) AS f) WHERE fold <> f GROUP BY f""",
+        candidates=candidates,
+        predicted=f"""SELECT candidate, params, fold, quality,
+            CASE WHEN {likelihood(0)} < {likelihood(1)} THEN 1 ELSE 0 END AS z
+            FROM dealt JOIN fitted ON f = fold, candidates""",
+    )
+
+
+@query("random_search_cv", search_sql(_DRAWS))
 def random_search_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws of naive Bayes hyperparameters, compared over five folds."""
-    df, names = _emb_columns(spark, sf_dir)
+    """Draws of naive Bayes hyperparameters for document quality, compared over five folds."""
+    rows = cut_lineage(tune.row_folds(qual(spark, sf_dir), "doc_id", "quality"))
     found = tune.random_search(
-        cut_lineage(tune.row_folds(df, "vec_id", "y")),
-        "y",
-        tune.sample_params(tune.NAIVE_BAYES_SPACE, 4),
-        lambda params, _: models.scaled_pipeline(GaussianNaiveBayes(names, "y", **params), names),
+        rows,
+        "quality",
+        _DRAWS,
+        lambda params, _: models.scaled_pipeline(
+            GaussianNaiveBayes(_QUALITY_FEATURES, "quality", **params), _QUALITY_FEATURES
+        ),
+    )
+    return found.table.select(
+        "candidate",
+        "params",
+        rounded("mean_f1").alias("mean_f1"),
+        F.col("error").isNull().alias("succeeded"),
     )
-    return round_columns(found.table, ["mean_f1"])
 
 
 @query("train_and_select")

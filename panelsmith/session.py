@@ -46,12 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder; later jobs read the files, not the plan."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/panelsmith-tables/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it from there.
+
+    Later jobs depend on the files only, so the loss of an executor repeats no earlier work; and they
+    read just the columns they need, which a checkpointed RDD of whole rows would not allow.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
