@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelsmith.functions.ordering import repeat_rows, running_totals
@@ -12,17 +12,22 @@ from panelsmith.functions.scalar import normal_quantile
 from panelsmith.session import cut_lineage, scratch_path
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows where both are present; NULL, not an error, for a constant one."""
+    spread = F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b))
+    return F.try_divide(F.regr_sxy(a, b), spread)
+
+
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlations of all pairs in one aggregate: (i, j, feature_i, feature_j, r), i < j.
 
     Rows with a NULL in a pair are left out of that pair only. r is NULL for a constant column.
     """
     pairs = [(i, j) for j in range(len(columns)) for i in range(j)]
+    x = [F.col(f"`{c}`").cast("double") for c in columns]
     row = df.agg(
         *[
-            F.corr(
-                F.col(f"`{columns[i]}`").cast("double"), F.col(f"`{columns[j]}`").cast("double")
-            ).alias(f"r_{i}_{j}")
+            pearson(x[i], x[j]).alias(f"r_{i}_{j}")
             for i, j in pairs
         ]
     )
@@ -36,9 +41,7 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         )
         for i, j in pairs
     ]
-    return row.select(F.inline(F.array(*entries))).withColumn(
-        "r", F.when(~F.isnan("r"), F.col("r"))
-    )
+    return row.select(F.inline(F.array(*entries)))
 
 
 def correlated_columns(correlations: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -134,7 +137,7 @@ def qq_line(points: DataFrame) -> DataFrame:
     return points.agg(
         F.regr_slope("sample", "theoretical").alias("slope"),
         F.regr_intercept("sample", "theoretical").alias("intercept"),
-        F.corr("theoretical", "sample").alias("r"),
+        pearson(F.col("theoretical"), F.col("sample")).alias("r"),
     )
 
 

@@ -471,6 +471,50 @@ def mice_two_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_columns(imputer.fit(df).transform(df), _PAIR, 4)
 
 
+_RIDGE_VIEWS = {
+    "src": li_sql("l_quantity"),
+    "sums": """SELECT CAST(count(*) AS DOUBLE) AS n, regr_sxx(f_price, l_quantity) AS g,
+        regr_sxy(f_price, l_quantity) AS c, regr_syy(f_price, l_quantity) AS yy,
+        regr_avgx(f_price, l_quantity) AS mx, regr_avgy(f_price, l_quantity) AS my
+        FROM src WHERE f_price IS NOT NULL""",
+}
+_RIDGE_STEP = "c / (g + lam / alpha)"
+
+
+def _ridge_sql(rounds: int = 300) -> str:
+    """Evidence maximisation for one predictor; (i, w, lam, alpha) per step until w settles."""
+    effective = "(alpha * g / (lam + alpha * g))"
+    error = "(yy - 2 * w * c + w * w * g)"
+    return f"""
+SELECT 0 AS i, CAST(NULL AS DOUBLE) AS before, CAST(NULL AS DOUBLE) AS w, CAST(1 AS DOUBLE) AS lam,
+  1 / (yy / n + CAST(2.220446049250313e-16 AS DOUBLE)) AS alpha FROM sums
+UNION ALL
+SELECT i + 1, before, w, ({effective} + CAST(2e-6 AS DOUBLE)) / (w * w + CAST(2e-6 AS DOUBLE)),
+  (n - {effective} + CAST(2e-6 AS DOUBLE)) / ({error} + CAST(2e-6 AS DOUBLE))
+FROM (SELECT i, w AS before, {_RIDGE_STEP} AS w, lam, alpha, n, g, c, yy FROM ridge, sums
+      WHERE i < {rounds} AND (i < 2 OR abs(w - before) >= CAST(1e-3 AS DOUBLE)))"""
+
+
+@query(
+    "mice_bayesian_ridge",
+    "WITH RECURSIVE "
+    + with_views(
+        f"""SELECT {KEYS_SQL}, l_quantity,
+        {rounded_sql("coalesce(f_price, (SELECT my + w * (l_quantity - mx) FROM fit))", 4)} AS f_price
+        FROM src""",
+        **_RIDGE_VIEWS,
+        ridge=_ridge_sql(),
+        fit=f"""SELECT mx, my, {_RIDGE_STEP} AS w FROM sums,
+                (SELECT lam, alpha FROM ridge ORDER BY i DESC LIMIT 1)""",
+    ).removeprefix("WITH "),
+)
+def mice_bayesian_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column with gaps, one complete predictor, the default regressor."""
+    df = li(spark, sf_dir, "l_quantity").select(*LI_KEYS, "l_quantity", "f_price")
+    imputer = IterativeImputer(["l_quantity", "f_price"])
+    return round_columns(imputer.fit(df).transform(df), ["f_price"], 4)
+
+
 @query("mice_impute")
 def mice_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bayesian ridge on four columns until the filled cells settle."""

@@ -150,6 +150,42 @@ def logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(models.scaled_pipeline(regression, names, weights=weights).fit(df), df)
 
 
+def logistic_sql(steps: int = 12) -> str:
+    """Newton steps of balanced logistic regression of document quality on its scaled length."""
+    views = {
+        "scaled": """SELECT doc_id, quality AS y, (n_chars - avg(n_chars) OVER ())
+            / stddev_pop(n_chars) OVER () AS x,
+            count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY quality)) AS w FROM qual""",
+        "b0": "SELECT CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b",
+    }
+    for i in range(steps):
+        # penalty: half the squared slope; the intercept is free
+        views[f"s{i}"] = f"""SELECT max(a) AS a, max(b) AS b, sum(w * (y - p)) AS ga,
+            sum(w * (y - p) * x) - max(b) AS gb, sum(w * p * (1 - p)) AS haa,
+            sum(w * p * (1 - p) * x) AS hab, sum(w * p * (1 - p) * x * x) + 1 AS hbb
+            FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS p FROM scaled, b{i})"""
+        views[f"b{i + 1}"] = f"""SELECT a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a,
+            b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM s{i}"""
+    return with_views(
+        f"""SELECT doc_id, {rounded_sql("p", 4)} AS p1, CAST(p > 0.5 AS INTEGER) AS pred
+        FROM (SELECT doc_id, 1 / (1 + exp(-(a + b * x))) AS p FROM scaled, b{steps})""",
+        "qual",
+        **views,
+    )
+
+
+@query("logistic_regression_documents", logistic_sql())
+def logistic_regression_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document quality by length, balanced, converged far enough to compare with Newton's method."""
+    rows = qual(spark, sf_dir).select("doc_id", "n_chars", "quality")
+    weights = ClassWeights("quality", "balanced")
+    total = models.total_weight(weights.fit(rows).transform(rows), "weight")
+    regression = models.logistic_regression("quality", total, weight="weight", tol=1e-12)
+    pipeline = models.scaled_pipeline(regression, ["n_chars"], weights=weights)
+    scored = models.score(pipeline.fit(rows), rows)
+    return scored.select("doc_id", rounded("p1", 4).alias("p1"), "pred")
+
+
 @query(
     "score",
     f"""SELECT {", ".join(LI_KEYS)}, p1, CAST(p1 > 0.5 AS INTEGER) AS pred
