@@ -11,7 +11,7 @@ No pair of rows is materialised and no side is sent everywhere:
    NumPy and returns the k best per query row; a window merges the blocks of a query row.
 
 Copies of one vector beyond the k + 1 with the smallest ids can never be among anybody's k neighbours
-(ties go to the smaller id), so they are left out of the searched side first.
+(ties go to the smaller id), so they are left out of the searched side before it is cut into cells.
 """
 
 from __future__ import annotations
@@ -28,9 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from panelsmith.session import cut_lineage
+
 MAX_PIVOTS = 16_384
 CELL_ROWS = 512
 BLOCK_ROWS = 8_192
+PAIRS_PER_TASK = 200_000_000
+MAX_TASKS = 100_000
 _TILE = 128
 
 
@@ -233,8 +237,23 @@ def _first_copies(b: DataFrame, n: int) -> DataFrame:
     return b.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= n).drop("_copy")
 
 
+def _choose_pivots(b: DataFrame, n: int, n_rows: int) -> np.ndarray:
+    """Up to ``n`` vectors in hash order. A hash threshold comes first, so that no task and not the
+    driver handle more than a few times as many. Fewer pivots than wanted only mean larger cells."""
+    share = min(1.0, (2 * n + 100) / n_rows)
+    order = F.xxhash64("id", F.lit(42))
+    drawn = b.where(F.pmod(order, F.lit(2**31)) < F.lit(int(share * 2**31)))
+    rows = drawn.orderBy(order, "id").limit(n).select("vec").collect()
+    if not rows:
+        rows = b.select("vec").limit(1).collect()
+    return np.array([row["vec"] for row in rows], dtype=np.float64)
+
+
 def _describe_cells(assigned: DataFrame, pivots: np.ndarray, k: int) -> _Cells:
-    """Row count and pivot-distance range per cell, and the distance of its (k+1)-th nearest row."""
+    """Row count and pivot-distance range per cell, and the distance of its (k+1)-th nearest row.
+
+    One row per pivot reaches the driver.
+    """
     n_cells = len(pivots)
     by_distance = Window.partitionBy("cell").orderBy("radius", "id")
     kth = (
@@ -291,7 +310,6 @@ def knn_join(
     vec = F.col(vec_col).cast("array<double>").alias("vec")
     a = queries.select(F.col(id_col).alias("id"), vec, *_numbered(carry_query))
     b = searched.select(F.col(id_col).alias("id"), vec, *_numbered(carry_neighbor))
-    b = _first_copies(b, k + 1)
     n_a, n_b = a.count(), b.count()
     parallelism = spark.sparkContext.defaultParallelism
     n_pivots = min(max_pivots, math.ceil(n_b / cell_rows))
@@ -300,19 +318,22 @@ def knn_join(
     if n_pivots <= 1:
         searched_blocks = np.array([max(1, math.ceil(n_b / block_rows))], dtype=np.int64)
         query_blocks = np.array([max(1, math.ceil(n_a / query_rows))], dtype=np.int64)
+        pairs = n_a * n_b
         visits = a.withColumn("cell", F.lit(0).cast("long"))
         members = b.withColumn("cell", F.lit(0).cast("long"))
     else:
-        sample = b.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("vec").collect()
-        pivots = np.array([row["vec"] for row in sample], dtype=np.float64)
+        b = cut_lineage(_first_copies(b, k + 1))
+        pivots = _choose_pivots(b, n_pivots, n_b)
         placed = b.withColumn("_place", _nearest_cell(pivots, p)("vec"))
         assigned = placed.select(*b.columns, "_place.cell", "_place.radius")
         cells = _describe_cells(assigned, pivots, k)
         searched_blocks = cells.blocks(block_rows)
         visits = a.withColumn("cell", F.explode(_visited_cells(cells, k, p)("vec")))
         query_blocks = np.ones(len(pivots), dtype=np.int64)
+        pairs = 0
         for row in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
             query_blocks[row["cell"]] = math.ceil(row["n"] / query_rows)
+            pairs += row["n"] * int(cells.n[row["cell"]])
         members = assigned.drop("radius")
 
     layout = spark.createDataFrame(
@@ -332,7 +353,7 @@ def knn_join(
 
     key = ["cell", "query_block", "searched_block"]
     n_blocks = int((searched_blocks * query_blocks).sum())
-    tasks = max(parallelism, min(n_blocks, 64 * parallelism))
+    tasks = max(2 * parallelism, min(n_blocks, math.ceil(pairs / PAIRS_PER_TASK), MAX_TASKS))
     left = (
         visits.join(layout, "cell")
         .withColumn("query_block", chunk("n_query_blocks"))

@@ -174,7 +174,7 @@ def random_search(
                 errors[i] = f"{type(e).__name__}: {e}"[:500]
 
         with ThreadPoolExecutor(parallelism) as pool:
-            list(pool.map(inheritable_thread_target(evaluate), range(len(candidates))))
+            list(pool.map(inheritable_thread_target(spark)(evaluate), range(len(candidates))))
         train.unpersist()
         held_out.unpersist()
 
