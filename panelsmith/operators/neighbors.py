@@ -168,7 +168,7 @@ def _visited_cells(cells: _Cells, k: int, p: int) -> Callable:
         to_pivot = distances(tile, cells.pivots, p)
         reach = (to_pivot + cells.kth[None, :]).min(1)
         if len(cells.pivots) > k:
-            # k + 1 pivots are k + 1 rows, at most one of them the query row itself
+            # k + 1 pivots are rows, at most one of them the query row itself
             reach = np.minimum(reach, np.partition(to_pivot, k, axis=1)[:, k])
         reach = reach[:, None] + margin
         own = to_pivot.min(1, keepdims=True)
@@ -238,7 +238,7 @@ def _first_copies(b: DataFrame, n: int) -> DataFrame:
 
 
 def _choose_pivots(b: DataFrame, n: int, n_rows: int) -> np.ndarray:
-    """Up to ``n`` vectors in hash order. A hash threshold comes first, so that no task and not the
+    """Up to ``n`` distinct vectors in hash order. A hash threshold comes first, so that no task and not the
     driver handle more than a few times as many. Fewer pivots than wanted only mean larger cells."""
     share = min(1.0, (2 * n + 100) / n_rows)
     order = F.xxhash64("id", F.lit(42))
@@ -246,7 +246,7 @@ def _choose_pivots(b: DataFrame, n: int, n_rows: int) -> np.ndarray:
     rows = drawn.orderBy(order, "id").limit(n).select("vec").collect()
     if not rows:
         rows = b.select("vec").limit(1).collect()
-    return np.array([row["vec"] for row in rows], dtype=np.float64)
+    return np.unique(np.array([row["vec"] for row in rows], dtype=np.float64), axis=0)
 
 
 def _describe_cells(assigned: DataFrame, pivots: np.ndarray, k: int) -> _Cells:
@@ -322,10 +322,9 @@ def knn_join(
         visits = a.withColumn("cell", F.lit(0).cast("long"))
         members = b.withColumn("cell", F.lit(0).cast("long"))
     else:
-        b = cut_lineage(_first_copies(b, k + 1))
         pivots = _choose_pivots(b, n_pivots, n_b)
-        placed = b.withColumn("_place", _nearest_cell(pivots, p)("vec"))
-        assigned = placed.select(*b.columns, "_place.cell", "_place.radius")
+        placed = _first_copies(b, k + 1).withColumn("_place", _nearest_cell(pivots, p)("vec"))
+        assigned = cut_lineage(placed.select(*b.columns, "_place.cell", "_place.radius"))
         cells = _describe_cells(assigned, pivots, k)
         searched_blocks = cells.blocks(block_rows)
         visits = a.withColumn("cell", F.explode(_visited_cells(cells, k, p)("vec")))

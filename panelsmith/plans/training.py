@@ -15,6 +15,7 @@ from panelsmith.operators.classify import GaussianNaiveBayes, KnnClassifier
 from panelsmith.operators.evaluate import classification_metrics, select_best
 from panelsmith.operators.resample import ClassWeights, smote_enn
 from panelsmith.operators.split import split_frames, split_grouped
+from panelsmith.operators.stats import corr_matrix, kept_correlations
 from panelsmith.operators.tune import entity_folds, random_search, sample_params
 from panelsmith.operators.validate import class_distribution, union_all
 from panelsmith.session import cut_lineage
@@ -22,6 +23,8 @@ from panelsmith.sources.tables import save_model, write_metrics, write_params
 
 ROW_ID = "row_id"
 GROUP = "entity_key"
+HELD_OUT = "held_out"
+BOOSTED = "Boosted Trees"
 F1 = presets.METRIC_NAMES[3]
 
 Build = Callable[[dict, DataFrame], Pipeline]
@@ -62,8 +65,9 @@ def builders(features: list[str], label: str, seed: int = 42) -> dict[str, Build
         regression = models.logistic_regression(label, total, weight="weight", **rest)
         return models.scaled_pipeline(regression, features, weights=weights)
 
-    def boosted(params: dict, _: DataFrame) -> Pipeline:
-        trees = models.boosted_trees(label, seed=seed, **params)
+    def boosted(params: dict, train: DataFrame) -> Pipeline:
+        stop = HELD_OUT if HELD_OUT in train.columns else None
+        trees = models.boosted_trees(label, validation=stop, seed=seed, **params)
         return models.scaled_pipeline(trees, features, scale=False)
 
     return {
@@ -71,7 +75,7 @@ def builders(features: list[str], label: str, seed: int = 42) -> dict[str, Build
         "Naive Bayes": bayes,
         "KNN": knn,
         "Logistic Regression": logistic,
-        "Boosted Trees": boosted,
+        BOOSTED: boosted,
     }
 
 
@@ -86,7 +90,7 @@ DEFAULT_PARAMS: dict[str, dict] = {
     "Naive Bayes": {"var_smoothing": 1e-9},
     "KNN": {"k": 5, "weights": "distance", "p": 2},
     "Logistic Regression": {"c": 1.0, "penalty": "l2", "max_iter": 1000, "tol": 1e-4},
-    "Boosted Trees": {
+    BOOSTED: {
         "max_depth": 6,
         "learning_rate": 0.05,
         "n_rounds": 200,
@@ -116,13 +120,19 @@ def evaluate_model(
 
 @dataclass
 class TrainingRun:
-    """``metrics``: one row per trained model; ``test_metrics``: the best one on the test rows."""
+    """``metrics``: one row per trained model; ``test_metrics``: the best one on the test rows.
+
+    ``distributions``: class counts of the training rows before and after resampling.
+    ``correlations``: the absolute feature correlations left when columns that depend on earlier ones
+    are taken out.
+    """
 
     metrics: DataFrame
     best: str
     model: PipelineModel
     test_metrics: DataFrame
     distributions: DataFrame
+    correlations: DataFrame
     errors: dict[str, str] = field(default_factory=dict)
     path: str | None = None
 
@@ -187,10 +197,11 @@ def train_and_select(
                     path = f"{folder}/{_file(name)}_tuned_params"
                     write_params(panel.sparkSession, found.params, path)
             else:
-                pipeline = build[name](values, resampled)
-                metrics, model = train_and_evaluate(
-                    name, pipeline, resampled, ready["val"], label
-                )
+                train = resampled
+                if name == BOOSTED:
+                    train = _with_stopping_rows(resampled, ready["val"])
+                pipeline = build[name](values, train)
+                metrics, model = train_and_evaluate(name, pipeline, train, ready["val"], label)
             rows.append(metrics.withColumn("seq", F.lit(len(rows))))
             trained[name] = model
         except Exception as e:  # noqa: BLE001 - one failing family must not stop the others
@@ -200,7 +211,10 @@ def train_and_select(
     metrics = union_all(rows)
     best = select_best(metrics, F1, "seq").first()["model"]
     test_metrics = evaluate_model(f"final {best}", trained[best], ready["test"], label)
-    run = TrainingRun(metrics, best, trained[best], test_metrics, distributions, errors)
+    correlations = kept_correlations(corr_matrix(ready["train"], features))
+    run = TrainingRun(
+        metrics, best, trained[best], test_metrics, distributions, correlations, errors
+    )
     if folder:
         write_metrics(metrics.drop("seq").unionByName(test_metrics), f"{folder}/metrics")
         whole = PipelineModel(preprocessing.stages + trained[best].stages)
@@ -208,5 +222,11 @@ def train_and_select(
     return run
 
 
+def _with_stopping_rows(train: DataFrame, held_out: DataFrame) -> DataFrame:
+    """Training rows, and validation rows marked as such: boosting stops by the error on them."""
+    marked = held_out.select(train.columns).withColumn(HELD_OUT, F.lit(True))
+    return train.withColumn(HELD_OUT, F.lit(False)).unionByName(marked)
+
+
 def _file(name: str) -> str:
     return name.lower().replace(" ", "_")

@@ -205,6 +205,7 @@ def test_training_flow(spark, panel, tmp_path):
     }
     assert after["after", 1] > after["before", 1] and after["after", 0] <= after["before", 0]
     assert os.path.exists(tmp_path / "boosted_trees_tuned_params")
+    assert first.correlations.count() > 0
     loaded = load_model(first.path)
     new = panel.withColumn("row_id", F.concat_ws(":", "e", "t")).withColumnRenamed("e", "entity_key")
     assert models.score(loaded, new).count() == 720
