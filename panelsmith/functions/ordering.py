@@ -80,31 +80,34 @@ def running_totals(
     """Inclusive running sum ``cum_<v>`` of each value in the order of ``key``, and ``total_<v>``.
 
     ``key`` is a double, unique per row: group by it first. ``df`` is read several times, so pass a
-    materialised table. Up to ``small`` rows are summed in a single task; larger tables are bucketed.
-    The column ``key_bucket`` says which bucket a row belongs to (see :func:`next_in_order`).
+    materialised table. Up to ``small`` rows are summed in a single task; a larger table is bucketed,
+    and the result then has the column ``key_bucket`` (see :func:`next_in_order`).
     """
-    if df.limit(small + 1).count() <= small:
-        bucketed = df.withColumn("key_bucket", F.lit(0))
-    else:
-        bucketed = bucket_by_value(df, key, n_buckets, "key_bucket")
-    sums = bucketed.groupBy("key_bucket").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     direction = F.desc if descending else F.asc
     every = Window.partitionBy(F.lit(0))
+    if df.limit(small + 1).count() <= small:
+        upto = every.orderBy(direction(key)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns(
+            {
+                **{f"cum_{v}": F.sum(v).over(upto) for v in values},
+                **{f"total_{v}": F.sum(v).over(every) for v in values},
+            }
+        )
+    bucketed = bucket_by_value(df, key, n_buckets, "key_bucket")
+    sums = bucketed.groupBy("key_bucket").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     before = every.orderBy(direction("key_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         "key_bucket",
         *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
         *[F.sum(f"_s_{v}").over(every).alias(f"total_{v}") for v in values],
     )
-    upto = (
-        Window.partitionBy("key_bucket")
-        .orderBy(direction(key))
-        .rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("key_bucket").orderBy(direction(key))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        bucketed.join(offsets, "key_bucket")
+        .withColumns({f"cum_{v}": F.col(f"_o_{v}") + F.sum(v).over(upto) for v in values})
+        .drop(*[f"_o_{v}" for v in values])
     )
-    out = bucketed.join(offsets, "key_bucket")
-    for v in values:
-        out = out.withColumn(f"cum_{v}", F.col(f"_o_{v}") + F.sum(v).over(upto))
-    return out.drop(*[f"_o_{v}" for v in values])
 
 
 def next_in_order(
@@ -112,14 +115,17 @@ def next_in_order(
 ) -> DataFrame:
     """``value`` of the following row in the order of ``key``, NULL for the last row.
 
-    ``df`` has the ``key_bucket`` of :func:`running_totals`. Inside a bucket this is a window; across
-    buckets it is the first row of the next bucket, from a table with one row per bucket.
+    ``df`` comes from :func:`running_totals`. Inside a bucket this is a window; across buckets it is the
+    first row of the next bucket, from a table with one row per bucket.
     """
     direction = F.desc if descending else F.asc
+    every = Window.partitionBy(F.lit(0))
+    if "key_bucket" not in df.columns:
+        return df.withColumn(name, F.lead(value).over(every.orderBy(direction(key))))
     valued = df.withColumn("_value", value)
     first = F.max_by if descending else F.min_by
     heads = valued.groupBy("key_bucket").agg(first("_value", key).alias("_head"))
-    following = Window.partitionBy(F.lit(0)).orderBy(direction("key_bucket"))
+    following = every.orderBy(direction("key_bucket"))
     next_heads = heads.select("key_bucket", F.lead("_head").over(following).alias("_next_head"))
     inside = Window.partitionBy("key_bucket").orderBy(direction(key))
     return (

@@ -88,7 +88,7 @@ def forward_fill(
     ``time`` is an integer, unique per entity (see ``validate_panel``). A window covers at most
     ``width`` time steps of an entity: rows are filled inside (entity, time bucket), and what earlier
     buckets end with is carried in by the same procedure over one row per bucket. An entity holding
-    a third of all rows is thereby spread over many tasks.
+    a third of all rows is thereby spread over many tasks. Rows without entity or time are kept.
     """
     return _fill_from_earlier(df, entity, time, columns, width, levels, include_current=True)
 
@@ -123,7 +123,7 @@ def _fill_from_earlier(
         ends, entity, bucket, list(carried.values()), width, levels - 1, include_current=False
     )
     return (
-        filled.join(starts, [entity, bucket])
+        filled.join(starts, [entity, bucket], "left")
         .withColumns({c: F.coalesce(F.col(c), F.col(carried[c])) for c in columns})
         .drop(bucket, *carried.values())
     )

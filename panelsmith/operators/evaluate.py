@@ -72,7 +72,7 @@ def metrics_from_counts(counts: DataFrame) -> DataFrame:
 def threshold_table(df: DataFrame, label: str, score: str) -> DataFrame:
     """Counts per distinct score and cumulated from the greatest score down, materialised once.
 
-    Columns: score, pos, neg, cum_pos, cum_neg, total_pos, total_neg, key_bucket. All curves derive from it. The
+    Columns: score, pos, neg, cum_pos, cum_neg, total_pos, total_neg. All curves derive from it. The
     rows are pre-aggregated by score, so the volume behind one score does not matter.
     """
     y, s = F.col(label), F.col(score).cast("double")

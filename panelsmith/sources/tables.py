@@ -36,10 +36,13 @@ def read_table(
     path: str,
     schema: T.StructType | str | None = None,
     file_format: str | None = None,
+    nan_as_null: bool = True,
 ) -> DataFrame:
     """Parquet or CSV (with header), NaN as NULL.
 
     Pass ``schema`` for large CSV files: without it Spark reads the file once more to infer types.
+    Where a table is known to hold no NaN, ``nan_as_null=False`` lets filters on floating-point columns
+    reach the parquet scan.
     """
     file_format = file_format or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     reader = spark.read.format(file_format)
@@ -53,7 +56,7 @@ def read_table(
         if "PATH_NOT_FOUND" in (e.getCondition() or ""):
             raise FileNotFoundError(f"no table at {path}") from e
         raise
-    return normalise_missing(df)
+    return normalise_missing(df) if nan_as_null else df
 
 
 def load_table(
