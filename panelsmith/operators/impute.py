@@ -11,8 +11,9 @@ and column, with the filled table written in between. Here the table is read fou
 * The stopping rule needs the greatest change of a single cell per round; one more pass replays all
   rounds on the rows and takes the maxima. Rounds after the first one below the tolerance are cut.
 
-Tables with too many patterns to keep on the driver are read once per round and column instead; each
-pass replays the steps so far, so that nothing is written in between. The result is the same.
+Tables with too many patterns to keep on the driver (a small matrix each) are read once per round and
+column instead; each pass replays the steps so far, so that nothing is written in between. The result is
+the same.
 """
 
 from __future__ import annotations
@@ -235,7 +236,7 @@ class IterativeImputer(ColumnsEstimator):
         max_iter: int = 30,
         tol: float = 1e-3,
         regressor: str = "bayesian_ridge",
-        max_patterns: int = 1024,
+        max_patterns: int = 20_000,
     ) -> None:
         super().__init__(columns)
         self._set(maxIter=max_iter, tol=tol, regressor=regressor, maxPatterns=max_patterns)

@@ -12,7 +12,7 @@ from panelsmith.operators.validate import union_all
 from panelsmith.plans.catalog.registry import query, round_columns, rounded_sql
 from panelsmith.plans.fixtures import scored, with_views
 from panelsmith.session import scratch_path
-from panelsmith.sources.tables import write_metrics
+from panelsmith.sources.tables import write_metrics, write_params
 
 _THRESHOLD_METRICS = presets.METRIC_NAMES[:6]
 
@@ -40,7 +40,7 @@ def confusion_matrix_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_columns(shares, ["share"])
 
 
-def _counts_sql(prediction: str, source: str = "scored") -> str:
+def counts_sql(prediction: str, source: str = "scored") -> str:
     return f"""
 SELECT CAST(count(*) FILTER (y = 1 AND z = 1) AS DOUBLE) AS tp,
   CAST(count(*) FILTER (y = 0 AND z = 1) AS DOUBLE) AS fp,
@@ -49,7 +49,7 @@ SELECT CAST(count(*) FILTER (y = 1 AND z = 1) AS DOUBLE) AS tp,
 FROM (SELECT y, {prediction} AS z FROM {source})"""
 
 
-def _metrics_sql(counts: str) -> str:
+def metrics_sql(counts: str) -> str:
     values = [
         "(tp + tn) / (tp + fp + fn + tn)",
         "coalesce(tp / nullif(tp + fp, 0), 0)",
@@ -65,21 +65,21 @@ def _metrics_sql(counts: str) -> str:
     return f"SELECT {columns} FROM ({counts})"
 
 
-def auc_sql(score: str) -> str:
+def auc_sql(score: str, source: str = "scored") -> str:
     return f"""
 SELECT sum(pos * (below + neg / CAST(2 AS DOUBLE)))
   / nullif(CAST(sum(pos) AS DOUBLE) * sum(neg), 0) AS auc
 FROM (SELECT pos, neg, coalesce(sum(neg) OVER (
         ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
       FROM (SELECT {score} AS s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg
-            FROM scored GROUP BY 1))"""
+            FROM {source} GROUP BY 1))"""
 
 
 @query(
     "classification_metrics",
     with_views(
         f"""SELECT *, (SELECT {rounded_sql("auc")} FROM ({auc_sql("p")})) AS "AUC-ROC"
-        FROM ({_metrics_sql(_counts_sql("pred"))})""",
+        FROM ({metrics_sql(counts_sql("pred"))})""",
         "scored",
     ),
 )
@@ -187,7 +187,7 @@ def _rule_metrics(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 _RULES_SQL = " UNION ALL ".join(
-    f"""SELECT {seq} AS seq, '{name}' AS model, * FROM ({_metrics_sql(_counts_sql(
+    f"""SELECT {seq} AS seq, '{name}' AS model, * FROM ({metrics_sql(counts_sql(
         f"CASE WHEN p > CAST({t} AS DOUBLE) THEN 1 ELSE 0 END"))})"""
     for seq, (name, t) in enumerate(_RULES.items())
 )
@@ -227,3 +227,23 @@ def metrics_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = union_all(_rule_metrics(spark, sf_dir))
     write_metrics(metrics, path)
     return spark.read.schema(metrics.schema).json(path)
+
+
+@query(
+    "params_round_trip",
+    with_views(
+        f"""SELECT model, CASE model {" ".join(
+            f"WHEN '{name}' THEN CAST({t} AS DOUBLE)" for name, t in _RULES.items()
+        )} END AS threshold, FALSE AS inclusive
+        FROM rules WHERE "F1 Score" > 0 ORDER BY "F1 Score" DESC, seq LIMIT 1""",
+        "scored",
+        rules=_RULES_SQL,
+    ),
+)
+def params_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parameters of the best rule written as JSON and read back."""
+    metrics = union_all(_rule_metrics(spark, sf_dir))
+    best = evaluate.select_best(metrics, "F1 Score", "seq").first()["model"]
+    path = scratch_path(spark, "params")
+    write_params(spark, {"model": best, "threshold": _RULES[best], "inclusive": False}, path)
+    return spark.read.schema("model string, threshold double, inclusive boolean").json(path)

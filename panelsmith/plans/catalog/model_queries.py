@@ -8,15 +8,17 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelsmith import presets
 from panelsmith.functions.scalar import above
 from panelsmith.operators import models, stats, tune
 from panelsmith.operators.classify import GaussianNaiveBayes
 from panelsmith.operators.resample import ClassWeights
 from panelsmith.operators.validate import union_all
+from panelsmith.plans.catalog.evaluation_queries import auc_sql, counts_sql, metrics_sql
 from panelsmith.plans.catalog.registry import query, round_columns, rounded, rounded_sql
 from panelsmith.plans.fixtures import LI_KEYS, MEASURES, emb, panel, qual, table, with_views
 from panelsmith.plans.preprocess import fit_preprocessing
-from panelsmith.plans.training import train_and_select
+from panelsmith.plans.training import train_and_evaluate, train_and_select
 from panelsmith.session import cut_lineage, scratch_path
 from panelsmith.sources.tables import load_model, save_model
 
@@ -202,8 +204,8 @@ _QUALITY_FEATURES = ["n_chars", "n_words", "chars_per_word"]
 _DRAWS = tune.sample_params(tune.NAIVE_BAYES_SPACE, 5)
 
 
-def search_sql(draws: list[dict]) -> str:
-    """Mean F1 over five folds of scaled naive Bayes, per draw of smoothing and priors."""
+def _search_views(draws: list[dict]) -> dict[str, str]:
+    """Predictions of scaled naive Bayes for every fold, fitted on the others, per draw."""
     candidates = " UNION ALL ".join(
         f"SELECT {i} AS candidate, '{json.dumps(d, sort_keys=True)}' AS params, "
         f"CAST({d['var_smoothing']!r} AS DOUBLE) AS smoothing, "
@@ -229,26 +231,34 @@ def search_sql(draws: list[dict]) -> str:
         ]
         return f"(ln(coalesce(prior{k}, n{k} / n)) {' '.join(terms)})"
 
+    return {
+        "dealt": """SELECT *, (row_number() OVER (
+            PARTITION BY quality ORDER BY md5(concat(doc_id, ':42')), doc_id) - 1) % 5 AS fold
+            FROM qual""",
+        "fitted": f"""SELECT f, {overall}, {by_class}, CAST(count(*) AS DOUBLE) AS n,
+            count(*) FILTER (quality = 0) AS n0, count(*) FILTER (quality = 1) AS n1
+            FROM dealt, (SELECT unnest(range(5)) AS f) WHERE fold <> f GROUP BY f""",
+        "candidates": candidates,
+        "predicted": f"""SELECT candidate, params, fold, quality AS y,
+            1 / (1 + exp({likelihood(0)} - {likelihood(1)})) AS p1,
+            CASE WHEN {likelihood(0)} < {likelihood(1)} THEN 1 ELSE 0 END AS z
+            FROM dealt JOIN fitted ON f = fold, candidates""",
+    }
+
+
+def search_sql(draws: list[dict]) -> str:
+    """Mean F1 over five folds per draw of smoothing and priors."""
     return with_views(
         f"""SELECT candidate, params, {rounded_sql("avg(f1)")} AS mean_f1, TRUE AS succeeded
         FROM (SELECT candidate, params, fold,
                 coalesce(2 * tp / nullif(2 * tp + wrong, 0), 0) AS f1
               FROM (SELECT candidate, params, fold,
-                      CAST(count(*) FILTER (z = 1 AND quality = 1) AS DOUBLE) AS tp,
-                      count(*) FILTER (z <> quality) AS wrong
+                      CAST(count(*) FILTER (z = 1 AND y = 1) AS DOUBLE) AS tp,
+                      count(*) FILTER (z <> y) AS wrong
                     FROM predicted GROUP BY candidate, params, fold))
         GROUP BY candidate, params""",
         "qual",
-        dealt="""SELECT *, (row_number() OVER (
-            PARTITION BY quality ORDER BY md5(concat(doc_id, ':42')), doc_id) - 1) % 5 AS fold
-            FROM qual""",
-        fitted=f"""SELECT f, {overall}, {by_class}, CAST(count(*) AS DOUBLE) AS n,
-            count(*) FILTER (quality = 0) AS n0, count(*) FILTER (quality = 1) AS n1
-            FROM dealt, (SELECT unnest(range(5)) AS f) WHERE fold <> f GROUP BY f""",
-        candidates=candidates,
-        predicted=f"""SELECT candidate, params, fold, quality,
-            CASE WHEN {likelihood(0)} < {likelihood(1)} THEN 1 ELSE 0 END AS z
-            FROM dealt JOIN fitted ON f = fold, candidates""",
+        **_search_views(draws),
     )
 
 
@@ -272,6 +282,28 @@ def random_search_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "train_and_evaluate",
+    with_views(
+        f"""SELECT 'Naive Bayes' AS model, *,
+        (SELECT {rounded_sql("auc")} FROM ({auc_sql("p1", "held_out")})) AS "AUC-ROC"
+        FROM ({metrics_sql(counts_sql("z", "held_out"))})""",
+        "qual",
+        **_search_views([{"var_smoothing": 1e-9, "priors": None}]),
+        held_out="SELECT y, z, p1 FROM predicted WHERE fold = 0",
+    ),
+)
+def train_and_evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document quality by naive Bayes: four folds train, one is held out and scored."""
+    rows = cut_lineage(tune.row_folds(qual(spark, sf_dir), "doc_id", "quality"))
+    bayes = GaussianNaiveBayes(_QUALITY_FEATURES, "quality")
+    pipeline = models.scaled_pipeline(bayes, _QUALITY_FEATURES)
+    metrics, _ = train_and_evaluate(
+        "Naive Bayes", pipeline, rows.where("fold <> 0"), rows.where("fold = 0"), "quality"
+    )
+    return round_columns(metrics, presets.METRIC_NAMES)
+
+
 @query("train_and_select")
 def train_and_select_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole flow on the panel: metrics of every model and of the best one on the test rows."""
