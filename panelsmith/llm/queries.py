@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelsmith.llm import decontaminate, packing, simhash, wordpiece
+from panelsmith.llm import (
+    decontaminate,
+    packing,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    wordpiece,
+)
 from panelsmith.llm.common import read
 from panelsmith.llm.registry import QUERIES, SQL, query
 
@@ -16,12 +23,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = packing.tokenizer_path(f"{packing.VOCABULARY}.json")
     return wordpiece.token_counts(read(spark, sf_dir, "documents"), path)
 
 
+@query("op8_quality_rules", quality_rules.sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"))
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
