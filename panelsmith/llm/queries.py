@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelsmith.llm import (
     decontaminate,
+    langid,
     packing,
+    quality,
     quality_rules,
     simhash,
     suffix_dedup,
+    toxicity,
     wordpiece,
 )
 from panelsmith.llm.common import read
@@ -18,16 +21,36 @@ from panelsmith.llm.registry import QUERIES, SQL, query
 __all__ = ["QUERIES", "SQL"]
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(langid.document_evidence(read(spark, sf_dir, "documents"), "doc_id"))
+
+
+@query("language_id_pages")
+def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(langid.page_evidence(read(spark, sf_dir, "pages")))
+
+
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op4_suffix_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(read(spark, sf_dir, "documents"))
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = packing.tokenizer_path(f"{packing.VOCABULARY}.json")
