@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelsmith.llm import (
+    chat_roles,
     decontaminate,
     langid,
     packing,
@@ -51,6 +52,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query("op6_chat_format")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_roles.format_chats(read(spark, sf_dir, "conversations"))
+
+
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = packing.tokenizer_path(f"{packing.VOCABULARY}.json")

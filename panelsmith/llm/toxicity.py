@@ -30,7 +30,7 @@ SAMPLE = 30_000
 THRESHOLD = 0.3
 #: A term stands in at least so many toxic documents of the sample and in such a part of them, and at
 #: least so large a share of its documents is toxic.
-MIN_TOXIC, MIN_PART, MIN_SHARE = 3, 0.005, 0.8
+MIN_TOXIC, MIN_PART, MIN_SHARE = 5, 0.005, 0.8
 #: Stems tried for longer words.
 STEMS = range(4, 8)
 #: Terms of at least so many letters are also found one edit away.
