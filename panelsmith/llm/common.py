@@ -37,3 +37,18 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 
 def table_of(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def row_mark(df: DataFrame) -> Column:
+    """A hash of all columns. What follows from a row's content alone holds for all rows of a mark."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def without_marks(df: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose mark is not in ``marks`` (one column); rows and columns stay as they are."""
+    name = "_mark"
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    marked = df.withColumn(name, row_mark(df))
+    gone = marks.toDF(name).distinct()
+    return marked.join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

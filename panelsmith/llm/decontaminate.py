@@ -21,7 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsmith.llm.common import arrow_schema, id_of, key_of, raw_text, table_of
+from panelsmith.llm.common import (
+    arrow_schema,
+    id_of,
+    key_of,
+    raw_text,
+    row_mark,
+    table_of,
+    without_marks,
+)
 from panelsmith.session import cut_lineage
 
 WINDOW = 10
@@ -283,3 +291,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.size("items") > 0).alias("contaminated"),
     )
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents without any benchmark window; all columns stay as they are."""
+    marked = docs.select(row_mark(docs).alias("doc_id"), "text")
+    found = benchmark_matches(marked, benchmark, **options).where(F.size("items") > 0)
+    return without_marks(docs, cut_lineage(found.select("doc_id")))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelsmith.functions.spread import spread_join
-from panelsmith.llm.common import arrow_schema, raw_text
+from panelsmith.llm.common import arrow_schema, raw_text, row_mark, without_marks
 from panelsmith.session import cut_lineage
 
 #: Hashed trigrams per language. Languages are two-letter codes, so a model has at most 676 rows of these.
@@ -245,9 +245,5 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 def identified_documents(docs: DataFrame) -> DataFrame:
     """The documents whose language is certain enough; all columns stay as they are."""
-    columns = docs.columns
-    # a row's decision follows from its columns, so equal rows may share a mark
-    mark = F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("_mark")
-    rejected = cut_lineage(identify(document_evidence(docs, mark)).where("not kept").select("_mark").distinct())
-    marked = docs.select(*[F.col(f"`{c}`") for c in columns], mark)
-    return marked.join(rejected, "_mark", "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    found = identify(document_evidence(docs, row_mark(docs).alias("_mark")))
+    return without_marks(docs, cut_lineage(found.where("not kept").select("_mark")))

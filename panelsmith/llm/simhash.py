@@ -284,6 +284,7 @@ def one_per_component(docs: DataFrame, **options) -> DataFrame:
         .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_kept"))
         .distinct()
     )
-    columns = docs.columns
-    out = docs.join(kept, key_of() == F.col("_kept")).dropDuplicates(["_kept"])
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    out = docs.select(key_of().alias("_key"), *columns).join(kept, F.col("_key") == F.col("_kept"))
+    out = out.dropDuplicates(["_kept"])
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
