@@ -1,28 +1,53 @@
-"""Corpus pipeline: the stages run in order over ``documents``, each on what the one before kept."""
+"""Corpus pipeline: the stages run in order over ``documents``, each on what the one before kept.
+
+Every stage but the last takes and returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelsmith.llm import decontaminate, packing, simhash
+from panelsmith.llm import decontaminate, langid, packing, simhash, suffix_dedup
 from panelsmith.llm.common import read
 from panelsmith.session import cut_lineage
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # likelihoods, suffix classes and tokens have no SQL form; the stages are tested apart
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is uncertain, or which have no letters, go."""
+    return langid.identified_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the one with the least id."""
     return simhash.one_per_component(docs)
 
 
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; the document stays, ``n_chars`` follows its text."""
+    out = suffix_dedup.without_repeats(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their places in the training sequences."""
     return packing.pack(docs)
 
 
 STAGES = [
-    ("simhash near-dedup", near_dedup),
+    ("language identification", language_id),
+    ("near-duplicate removal", near_dedup),
+    ("repeated passages", passage_dedup),
+    ("benchmark decontamination", decontamination),
     ("packing", pack),
 ]
 
