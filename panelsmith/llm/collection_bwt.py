@@ -19,89 +19,95 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Entries of the files that are in memory at once; a place inside takes at most 24 bits.
-BLOCK = 1 << 18
+#: Entries of the files that are in memory at once, at most.
+BLOCK = 1 << 17
 #: A sequential file up to this size stays in memory; a larger one is private scratch of the task.
 _SPOOL = 64 << 20
 
 
 class _File:
-    """A pair of parallel byte columns, appended in blocks and read in blocks."""
+    """Two parallel columns (symbols, common prefixes), appended in blocks and read in blocks."""
+
+    _TYPES = (np.dtype(np.uint16), np.dtype(np.uint8))
 
     def __init__(self) -> None:
-        self._columns = [tempfile.SpooledTemporaryFile(max_size=_SPOOL) for _ in range(2)]
+        self._columns = [tempfile.SpooledTemporaryFile(max_size=_SPOOL) for _ in self._TYPES]
 
-    def append(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        self._columns[0].write(bwt.tobytes())
-        self._columns[1].write(lcp.tobytes())
+    def append(self, *columns: np.ndarray) -> None:
+        for file, column, kind in zip(self._columns, columns, self._TYPES):
+            file.write(column.astype(kind, copy=False).tobytes())
 
     def rewind(self) -> None:
-        for column in self._columns:
-            column.seek(0)
+        for file in self._columns:
+            file.seek(0)
 
     def take(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.frombuffer(column.read(n), np.uint8) for column in self._columns)
+        return tuple(np.frombuffer(f.read(n * k.itemsize), k) for f, k in zip(self._columns, self._TYPES))
 
     def close(self) -> None:
-        for column in self._columns:
-            column.close()
-
-
-def _by_symbol(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The block's symbols in order, and their places; equal symbols keep their order."""
-    packed = block.astype(np.uint32)
-    packed <<= np.uint32(24)
-    packed |= np.arange(len(block), dtype=np.uint32)
-    packed.sort()
-    order = packed & np.uint32((1 << 24) - 1)
-    packed >>= np.uint32(24)
-    return packed, order.view(np.int32)
-
-
-def _table(values: np.ndarray) -> list[np.ndarray]:
-    """Level k: least of the 2**k values from each place on."""
-    levels, width = [values], 1
-    while 2 * width <= len(values):
-        levels.append(np.minimum(levels[-1][:-width], levels[-1][width:]))
-        width *= 2
-    return levels
-
-
-def _least(levels: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Least value in each closed range; 255 for an empty one."""
-    out = np.full(len(first), 255, np.uint8)
-    length = last - first + 1
-    level = np.frexp(np.maximum(length, 1).astype(np.float64))[1] - 1
-    for k in np.unique(level[length > 0]):
-        at = np.flatnonzero((level == k) & (length > 0))
-        row = levels[k]
-        out[at] = np.minimum(row[first[at]], row[last[at] - (1 << int(k)) + 1])
-    return out
+        for file in self._columns:
+            file.close()
+
+
+class _Least:
+    """Least value in closed ranges of a block: row k holds the least of the 2**k values from each place on."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self._rows = np.full((n.bit_length(), n), 255, np.uint8)
+        self._rows[0] = values
+        for k in range(1, n.bit_length()):
+            half, some = 1 << (k - 1), n - (1 << k) + 1
+            np.minimum(self._rows[k - 1, :some], self._rows[k - 1, half : half + some], out=self._rows[k, :some])
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """255 for an empty range."""
+        length = last - first + 1
+        level = np.frexp(np.maximum(length, 1).astype(np.float32))[1] - 1
+        inside = np.minimum(first, self._rows.shape[1] - 1)
+        least = np.minimum(self._rows[level, inside], self._rows[level, np.maximum(last - (1 << level) + 1, 0)])
+        return np.where(length > 0, least, np.uint8(255))
 
 
 class Collection:
-    """The transform of ``strings`` (uint8 symbols 1..255, back to back; ``ends``: where each stops)."""
+    """The transform of strings over the symbols 1 .. 65535 (back to back; ``ends``: where each stops)."""
 
     def __init__(self, text: np.ndarray, ends: np.ndarray, limit: int, block: int = BLOCK):
-        self.text, self.ends, self.limit, self.block = text, ends.astype(np.int64), limit, block
+        self.text, self.ends, self.limit = text.astype(np.uint16), ends.astype(np.int64), limit
         self.lengths = np.diff(np.r_[0, self.ends])
         self.m = len(ends)
         self.size = self.m
-        self.counts = np.zeros(256, np.int64)
+        self.n_symbols = int(self.text.max(initial=0)) + 1
+        # a symbol, a place in the block and a flag share 32 bits
+        self.place_bits = 31 - self.n_symbols.bit_length()
+        self.block = min(block, 1 << self.place_bits)
         self.file = _File()
         self.at = np.arange(self.m)  # place of each string's newest suffix, ascending
         self.string = np.arange(self.m)
         symbols = self._before(self.string, 0)
-        for a in range(0, self.m, block):
-            part = symbols[a : a + block]
+        for a in range(0, self.m, self.block):
+            part = symbols[a : a + self.block]
             self.file.append(part, np.zeros(len(part), np.uint8))
-        self.counts += np.bincount(symbols, minlength=256)
+        self.counts = self._count(symbols)
+
+    def _count(self, symbols: np.ndarray) -> np.ndarray:
+        return np.bincount(symbols, minlength=self.n_symbols)
+
+    def _by_symbol(self, block: np.ndarray, flags: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """The block's places (times two, plus the flag) ordered by symbol then place; and the symbols' counts."""
+        packed = block.astype(np.uint32)
+        packed <<= np.uint32(self.place_bits + 1)
+        packed |= np.arange(0, 2 * len(block), 2, dtype=np.uint32)
+        packed |= flags
+        packed.sort()
+        packed &= np.uint32((2 << self.place_bits) - 1)
+        return packed, self._count(block)
 
     def _before(self, strings: np.ndarray, length: int) -> np.ndarray:
         """The symbol before each string's suffix of ``length`` symbols; 0 before the whole string."""
         open_ = self.lengths[strings] > length
         at = np.where(open_, self.ends[strings] - length - 1, 0)
-        return np.where(open_, self.text[at], 0).astype(np.uint8)
+        return np.where(open_, self.text[at], np.uint16(0))
 
     def build(self) -> Collection:
         for length in range(1, int(self.lengths.max(initial=0)) + 1):
@@ -122,50 +128,50 @@ class Collection:
 
     def _insert(self, length: int) -> None:
         base = self._starts()
-        seen = np.zeros(256, np.int64)  # occurrences of each symbol so far
-        since = np.full(256, 255, np.uint8)  # least common prefix since the last one
-        last_new = np.zeros(256, bool)
-        places, prefixes, fresh, origin = [], [], [], []
+        seen = np.zeros(self.n_symbols, np.int64)  # occurrences of each symbol so far
+        since = np.full(self.n_symbols, 255, np.uint8)  # least common prefix since the last one
+        last_new = np.zeros(self.n_symbols, bool)
+        found = []
         for a, bwt, lcp in self._blocks():
             low, high = np.searchsorted(self.at, [a, a + len(bwt)])
-            new = np.zeros(len(bwt), bool)
-            new[self.at[low:high] - a] = True
-            symbol, order = _by_symbol(bwt)
-            is_new = new[order]
-            count = np.bincount(bwt, minlength=256)
-            start = np.cumsum(count) - count
+            new = np.zeros(len(bwt), np.uint32)
+            new[self.at[low:high] - a] = 1
+            number = np.empty(len(bwt), np.int64)
+            number[self.at[low:high] - a] = np.arange(low, high)
+            order, count = self._by_symbol(bwt, new)
+            stop = np.cumsum(count)
+            start = stop - count
             present = np.flatnonzero(count)
+            is_new = (order & 1).astype(bool)
             after_new = np.empty(len(bwt), bool)
             after_new[0] = False
             after_new[1:] = is_new[:-1]
             after_new[start[present]] = last_new[present]
             hit = np.flatnonzero(is_new | after_new)
-            hit = hit[hit >= count[0]]  # strings that are wholly in have nothing to insert
-            s = symbol[hit]
-            here = order[hit]
+            hit = hit[np.searchsorted(hit, count[0]) :]  # strings that are wholly in have nothing to insert
+            here = (order[hit] >> 1).astype(np.int64)
+            s = bwt[here]
             opens = hit == start[s]
-            before = np.where(opens, -1, order[hit - 1])
-            levels = _table(lcp)
-            value = _least(levels, before + 1, here)
+            before = np.where(opens, -1, (order[hit - 1] >> 1).astype(np.int64))
+            least = _Least(lcp)
+            value = least(before + 1, here)
             value = np.where(opens, np.minimum(value, since[s]), value)
             known = ~opens | (seen[s] > 0)
-            places.append(base[s] + seen[s] + hit - start[s])
-            prefixes.append(np.where(known, np.minimum(value.astype(np.int64) + 1, self.limit), 0).astype(np.uint8))
-            fresh.append(is_new[hit])
-            origin.append(here + a)
-            tail = order[start[present] + count[present] - 1]
-            whole = levels[-1].min() if len(lcp) else 255
-            since = np.minimum(since, whole)
-            since[present] = _least(levels, tail + 1, np.full(len(tail), len(bwt) - 1))
-            last_new[present] = is_new[start[present] + count[present] - 1]
+            prefix = np.where(known, np.minimum(value.astype(np.int64) + 1, self.limit), 0)
+            found.append((base[s] + seen[s] + hit - start[s], prefix, is_new[hit], number[here]))
+            tail = (order[stop[present] - 1] >> 1).astype(np.int64)
+            since = np.minimum(since, lcp.min(initial=255))
+            since[present] = least(tail + 1, np.full(len(tail), len(bwt) - 1))
+            last_new[present] = is_new[stop[present] - 1]
             seen += count
-        place, prefix = np.concatenate(places), np.concatenate(prefixes)
-        is_fresh, origin = np.concatenate(fresh), np.concatenate(origin)
-        order = np.argsort(place)
-        place, prefix, is_fresh, origin = place[order], prefix[order], is_fresh[order], origin[order]
-        strings = self.string[np.searchsorted(self.at, origin[is_fresh])]
-        at = place[is_fresh]
-        self._merge(at, self._before(strings, length), prefix[is_fresh], place[~is_fresh], prefix[~is_fresh])
+        place, prefix, is_new, origin = (np.concatenate(c) for c in zip(*found))
+        if len(found) > 1:
+            order = np.argsort(place, kind="stable")  # one ascending run per block
+            place, prefix, is_new, origin = place[order], prefix[order], is_new[order], origin[order]
+        prefix = prefix.astype(np.uint8)
+        strings = self.string[origin[is_new]]
+        at = place[is_new]
+        self._merge(at, self._before(strings, length), prefix[is_new], place[~is_new], prefix[~is_new])
         self.at, self.string = at, strings
 
     def _merge(self, at: np.ndarray, symbols: np.ndarray, prefixes: np.ndarray, changed: np.ndarray, to: np.ndarray) -> None:
@@ -173,14 +179,14 @@ class Collection:
         old, self.file = self.file, _File()
         old.rewind()
         self.size += len(at)
-        self.counts += np.bincount(symbols, minlength=256)
+        self.counts += self._count(symbols)
         for a in range(0, self.size, self.block):
             b = min(a + self.block, self.size)
             low, high = np.searchsorted(at, [a, b])
             places = at[low:high] - a
             kept = np.ones(b - a, bool)
             kept[places] = False
-            bwt, lcp = np.empty(b - a, np.uint8), np.empty(b - a, np.uint8)
+            bwt, lcp = np.empty(b - a, np.uint16), np.empty(b - a, np.uint8)
             bwt[kept], lcp[kept] = old.take(b - a - len(places))
             bwt[places], lcp[places] = symbols[low:high], prefixes[low:high]
             low, high = np.searchsorted(changed, [a, b])
@@ -199,12 +205,13 @@ class Collection:
 
     def suffix_places(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length: the strings that have a suffix of it, and the suffixes' places."""
-        base, step, seen = self._starts(), np.empty(self.size, np.int32), np.zeros(256, np.int64)
+        base, step = self._starts(), np.empty(self.size, np.int32)
+        seen = np.zeros(self.n_symbols, np.int64)
         for a, bwt, _ in self._blocks():
-            symbol, order = _by_symbol(bwt)
-            count = np.bincount(bwt, minlength=256)
-            rank = np.arange(len(bwt)) - np.repeat(np.cumsum(count) - count, count)
-            step[a + order] = base[symbol] + seen[symbol] + rank
+            order, count = self._by_symbol(bwt, 0)
+            place = (order >> 1).astype(np.int64)
+            symbol = bwt[place]
+            step[a + place] = (base + seen - np.cumsum(count) + count)[symbol] + np.arange(len(bwt))
             seen += count
         strings, at = np.arange(self.m), np.arange(self.m)
         for length in range(1, int(self.lengths.max(initial=0)) + 1):

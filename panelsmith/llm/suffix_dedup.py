@@ -12,7 +12,10 @@ To spread this over tasks, strings that may be equal must meet in one:
 * a value seen in one document only cannot repeat; its segments stay at home. The others are dealt out by
   value, equal segments of a shard once, with their least document id;
 * a value seen in many shards may stand before or after very many different texts. Its segments are cut
-  into single strings, dealt out by their whole content.
+  at fixed distances from the anchor, and dealt out by the bytes that all strings of such a part share.
+
+A symbol of the sort is a pair of bytes, and every segment is sorted in both ways of pairing, so that a
+string of ``LENGTH`` bytes is half as many symbols.
 
 Texts travel as shards: compressed rows of some megabytes of whole documents.
 """
@@ -38,8 +41,8 @@ LENGTH = 50
 ANCHOR = 24
 #: Strings per segment at most.
 SPAN = 32
-#: A value in more shards than this has its segments cut into single strings.
-COMMON = 64
+#: A value in more shards than this has its segments cut further, into parts of so many strings.
+COMMON, PART = 32, 9
 #: Bytes of text per shard; a longer document is a shard of its own.
 SHARD_BYTES = 8 << 20
 #: Expected anchors per task of the first exchange, symbols per task of the second.
@@ -153,8 +156,8 @@ _ODD = [
 ]
 
 
-def _least_anchor(text: np.ndarray) -> np.ndarray:
-    """For each start of ``LENGTH`` bytes: the least 48-bit hash of the ``ANCHOR`` (24) bytes inside."""
+def _anchor_hash(text: np.ndarray) -> np.ndarray:
+    """48-bit hash of the ``ANCHOR`` (24) bytes from each place on."""
     h = text.astype(np.uint64)
     h += np.uint64(1)
     width, parts = 1, {}
@@ -169,6 +172,12 @@ def _least_anchor(text: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= _ODD[0]
     h >>= np.uint64(16)
+    return h
+
+
+def _least_anchor(text: np.ndarray) -> np.ndarray:
+    """For each start of ``LENGTH`` bytes the least hash of the anchors inside."""
+    h = _anchor_hash(text)
     window, width = LENGTH - ANCHOR + 1, 1
     while 2 * width <= window:
         h = np.minimum(h[:-width], h[width:])
@@ -214,6 +223,29 @@ def _task_of(value: np.ndarray, tasks: int) -> np.ndarray:
     return (((value * _ODD[2]) >> np.uint64(20)) % np.uint64(tasks)).astype(np.int64)
 
 
+def _spans(start: int, count: int, task: int) -> Iterator[tuple[int, int, int]]:
+    """A segment as parts of at most ``SPAN`` strings: first start, number, task."""
+    for a in range(start, start + count, SPAN):
+        yield a, min(SPAN, start + count - a), task
+
+
+def _parts(shard: _Shard, start: int, count: int, value: int, tasks: int) -> Iterator[tuple[int, int, int]]:
+    """A common segment cut by the distance of each string from the anchor in it: first start, number, task.
+
+    Equal strings hold the anchor at the same distance, and lie in parts with the same shared bytes.
+    """
+    hashes = _anchor_hash(shard.buffer[start : start + count + LENGTH - 1])
+    anchors = np.flatnonzero(hashes == np.uint64(value))
+    offsets = np.arange(count)
+    distance = anchors[np.searchsorted(anchors, offsets)] - offsets
+    part = distance // PART
+    edges = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (distance[1:] > distance[:-1])]).tolist()
+    for a, b in zip(edges, [*edges[1:], count]):
+        core = start + a + int(distance[a]) - PART * int(part[a])
+        shared = shard.bytes[core : core + LENGTH - PART + 1]
+        yield start + a, b - a, xxhash.xxh64_intdigest(shared, int(part[a])) % tasks
+
+
 class _Segments:
     """The segments of a shard whose value is shared, each distinct text once, in order of their tasks."""
 
@@ -227,25 +259,26 @@ class _Segments:
         at = np.minimum(np.searchsorted(values, value), max(0, len(values) - 1))
         pick = values[at] == value if len(values) else np.zeros(len(value), bool)
         start, count, value, document = start[pick], count[pick], value[pick], document[pick]
-        step = np.where(common[at[pick]], 1, SPAN) if len(values) else count
-        cuts = -(-count // step) if len(count) else count
-        part = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        self.start = np.repeat(start, cuts) + part * np.repeat(step, cuts)
-        self.count = np.minimum(np.repeat(step, cuts), np.repeat(count, cuts) - part * np.repeat(step, cuts))
-        self.document = np.repeat(document, cuts)
-        single = np.repeat(step == 1, cuts)
-        home = np.repeat(_task_of(value, tasks), cuts)
-        text, seen, which = shard.bytes, {}, np.empty(len(self.start), np.int64)
+        often = common[at[pick]] if len(values) else np.zeros(0, bool)
+        places, seen = [], {}
         targets, lengths = [], []
-        spread = xxhash.xxh64_intdigest
-        for i, (a, n, one, t) in enumerate(zip(self.start.tolist(), self.count.tolist(), single.tolist(), home.tolist())):
-            piece = text[a : a + n + LENGTH - 1]
-            known_as = seen.get(piece)
-            if known_as is None:
-                known_as = seen[piece] = len(seen)
-                targets.append(spread(piece) % tasks if one else t)
-                lengths.append(n)
-            which[i] = known_as
+        text, home = shard.bytes, _task_of(value, tasks)
+        for a, n, v, d, t, hot in zip(*(x.tolist() for x in (start, count, value, document, home, often))):
+            if hot:
+                parts = _parts(shard, a, n, v, tasks)
+            elif n > SPAN:
+                parts = _spans(a, n, t)
+            else:
+                parts = ((a, n, t),)
+            for b, k, to in parts:
+                piece = text[b : b + k + LENGTH - 1]
+                known_as = seen.get(piece)
+                if known_as is None:
+                    known_as = seen[piece] = len(seen)
+                    targets.append(to)
+                    lengths.append(k)
+                places.append((b, k, d, known_as))
+        self.start, self.count, self.document, which = np.array(places, np.int64).reshape(-1, 4).T
         targets = np.array(targets, np.int64)
         order = np.argsort(targets, kind="stable")
         place = np.empty(len(order), np.int64)
@@ -340,6 +373,28 @@ def _segment_rows(tasks: int):
     return run
 
 
+def _paired(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All strings in pairs of bytes from the right end, then all from one byte before it.
+
+    Returns the symbols (numbered from 1), the ends of the strings, and the bytes dropped at each end.
+    """
+    ends = np.cumsum(lengths)
+    pairs = text[:-1].astype(np.uint16) << np.uint16(8) | text[1:]
+    taken, sizes = [], []
+    for drop in (0, 1):
+        size = (lengths - drop) // 2
+        first = ends - drop - 2 * size
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        taken.append(pairs[np.repeat(first, size) + 2 * inner])
+        sizes.append(size)
+    symbols = np.concatenate(taken)
+    number = np.zeros(1 << 16, np.uint16)
+    used = np.flatnonzero(np.bincount(symbols, minlength=1 << 16))
+    number[used] = np.arange(1, len(used) + 1)
+    dropped = np.repeat([0, 1], len(lengths))
+    return number[symbols], np.cumsum(np.concatenate(sizes)), dropped
+
+
 def _classify(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one task's segments: for each string in them the least id of its class, back to each shard."""
     seen: dict[bytes, int] = {}
@@ -361,21 +416,22 @@ def _classify(frame: pd.DataFrame) -> pd.DataFrame:
         asked.append(np.array(which, np.int64))
     pieces = list(seen)
     lengths = np.array([len(p) for p in pieces], np.int64)
-    # UTF-8 has no byte 255, so adding one leaves 0 free to end a string
-    text = np.frombuffer(b"".join(pieces), np.uint8) + np.uint8(1)
+    text = np.frombuffer(b"".join(pieces), np.uint8)
     ids = np.array(least, np.int64)
-    collection = Collection(text, np.cumsum(lengths), LENGTH).build()
+    windows = lengths - LENGTH + 1
+    offsets = np.cumsum(windows) - windows
+    run_of = np.empty(int(windows.sum()), np.int64)
+    symbols, ends, dropped = _paired(text, lengths)
+    collection = Collection(symbols, ends, LENGTH // 2)
     try:
+        collection.build()
         run, n_runs = collection.classes()
         best = np.full(n_runs, NO_ID, np.int64)
-        windows = lengths - LENGTH + 1
-        offsets = np.cumsum(windows) - windows
-        run_of = np.empty(int(windows.sum()), np.int64)
         for length, strings, at in collection.suffix_places():
-            if length >= LENGTH:
-                runs = run[at]
-                np.minimum.at(best, runs, ids[strings])
-                run_of[offsets[strings] + lengths[strings] - length] = runs
+            if length >= LENGTH // 2:
+                runs, piece = run[at], strings % len(pieces)
+                np.minimum.at(best, runs, ids[piece])
+                run_of[offsets[piece] + lengths[piece] - dropped[strings] - 2 * length] = runs
     finally:
         collection.close()
     answer = best[run_of]
