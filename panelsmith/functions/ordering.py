@@ -7,14 +7,14 @@ table of bucket totals into offsets and rank only inside the buckets.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsmith.functions.scalar import hash_key
 
-_HEX_DIGITS = 3  # 4,096 buckets per stratum
-
 
 def hash_rank(
     df: DataFrame,
@@ -26,12 +26,13 @@ def hash_rank(
 ) -> DataFrame:
     """Seeded random permutation: 1-based rank by (md5(id:seed), id) and the size, per stratum.
 
-    md5 spreads ids evenly over the buckets, so a stratum may hold any share of the rows. The join
-    and the window share one shuffle on (strata, bucket).
+    md5 spreads ids evenly over the buckets, so a stratum may hold any share of the rows; there are
+    about as many buckets as rows in one. The join and the window share one shuffle on (strata, bucket).
     """
     strata = strata or []
+    digits = 1 + int(math.log(max(df.count(), 1), 256))
     keyed = df.withColumn("_key", hash_key(id_col, seed)).withColumn(
-        "_bucket", F.substring("_key", 1, _HEX_DIGITS)
+        "_bucket", F.substring("_key", 1, digits)
     )
     totals = keyed.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     stratum = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
@@ -74,25 +75,18 @@ def running_totals(
     key: str,
     values: list[str],
     descending: bool = False,
-    n_buckets: int = 1024,
-    small: int = 200_000,
+    n_buckets: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum ``cum_<v>`` of each value in the order of ``key``, and ``total_<v>``.
 
     ``key`` is a double, unique per row: group by it first. ``df`` is read several times, so pass a
-    materialised table. Up to ``small`` rows are summed in a single task; a larger table is bucketed,
-    and the result then has the column ``key_bucket`` (see :func:`next_in_order`).
+    materialised table. The result also has the column ``key_bucket`` (see :func:`next_in_order`). By
+    default both the number of buckets and the rows in one grow with the square root of the rows.
     """
     direction = F.desc if descending else F.asc
     every = Window.partitionBy(F.lit(0))
-    if df.limit(small + 1).count() <= small:
-        upto = every.orderBy(direction(key)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns(
-            {
-                **{f"cum_{v}": F.sum(v).over(upto) for v in values},
-                **{f"total_{v}": F.sum(v).over(every) for v in values},
-            }
-        )
+    if n_buckets is None:
+        n_buckets = max(1, math.isqrt(df.count()) // 8)
     bucketed = bucket_by_value(df, key, n_buckets, "key_bucket")
     sums = bucketed.groupBy("key_bucket").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     before = every.orderBy(direction("key_bucket")).rowsBetween(Window.unboundedPreceding, -1)
@@ -120,8 +114,6 @@ def next_in_order(
     """
     direction = F.desc if descending else F.asc
     every = Window.partitionBy(F.lit(0))
-    if "key_bucket" not in df.columns:
-        return df.withColumn(name, F.lead(value).over(every.orderBy(direction(key))))
     valued = df.withColumn("_value", value)
     first = F.max_by if descending else F.min_by
     heads = valued.groupBy("key_bucket").agg(first("_value", key).alias("_head"))

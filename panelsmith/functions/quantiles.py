@@ -1,11 +1,10 @@
 """Exact interpolated quantiles by repeated narrowing.
 
-``percentile`` keeps every distinct value of a column in one reducer. Below ``small`` values that is
-the fastest way and is used. Above, each pass is one mergeable aggregate over the table: it counts the
-values below and inside a bracket around every wanted order statistic and sketches the inside
-(``percentile_approx``), which shrinks the bracket about a thousandfold. Once a bracket holds few
-values, ``percentile`` finishes it. The sketch steers the brackets only; ranks are counted, so the
-result is exact.
+``percentile`` keeps every distinct value of a column in one reducer. Here each pass is one mergeable
+aggregate over the table: it counts the values below and inside a bracket around every wanted order
+statistic and sketches the inside (``percentile_approx``), which shrinks the bracket about a thousandfold.
+Once a bracket holds few values, ``percentile`` finishes it. The sketch steers the brackets only; ranks are
+counted, so the result is exact.
 """
 
 from __future__ import annotations
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 
 _POINTS = 500
 _ACCURACY = 20_000
+#: A bracket of so many values is finished by ``percentile``.
+_FEW = 10_000
 
 
 @dataclass
@@ -71,34 +72,22 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> None:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], small: int = 2_000_000
+    df: DataFrame, columns: list[str], probabilities: list[float], few: int = _FEW
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of the non-null values; None for a column without values."""
     sizes = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
     n = {c: sizes[f"n{i}"] for i, c in enumerate(columns)}
     result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-
-    direct = [c for c in columns if 0 < n[c] <= small]
-    if direct:
-        row = df.agg(
-            *[
-                F.percentile(F.col(f"`{c}`").cast("double"), F.array(*map(F.lit, probabilities)))
-                .alias(f"q{i}")
-                for i, c in enumerate(direct)
-            ]
-        ).first()
-        result.update({c: list(row[f"q{i}"]) for i, c in enumerate(direct)})
-
-    large = [c for c in columns if n[c] > small]
+    filled = [c for c in columns if n[c]]
     targets: dict[tuple[str, int], _Target] = {}
-    for c in large:
+    for c in filled:
         for p in probabilities:
             position = p * (n[c] - 1)
             for rank in {math.floor(position), math.ceil(position)}:
                 targets.setdefault((c, rank), _Target(c, rank, inside=n[c]))
 
     def is_open(t: _Target) -> bool:
-        return t.inside > small and t.low < t.high
+        return t.inside > few and t.low < t.high
 
     while open_targets := [t for t in targets.values() if is_open(t)]:
         before = [(t.low, t.high) for t in open_targets]
@@ -106,7 +95,7 @@ def exact_quantiles(
         if [(t.low, t.high) for t in open_targets] == before:
             break  # every value left is one of a few heavy ones; percentile counts them compactly
     values = _finish(df, list(targets.values()))
-    for c in large:
+    for c in filled:
         for i, p in enumerate(probabilities):
             position = p * (n[c] - 1)
             lower, upper = math.floor(position), math.ceil(position)

@@ -190,7 +190,7 @@ class KnnClassifier(Estimator, _KnnParams, DefaultParamsReadable, DefaultParamsW
             _vector(self.getColumns()),
             F.col(self.getOrDefault(self.label)).cast("int").alias("y"),
         )
-        model = KnnClassifierModel(cut_lineage(kept))
+        model = KnnClassifierModel(cut_lineage(kept, keep=True))
         return self._copyValues(model)
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from panelsmith.operators.stages import ColumnsEstimator, ColumnsTransformer, FittedColumns
 from panelsmith.sources.tables import TableError, require_columns
 
-_MAX_CATEGORIES = 10_000
 
 
 def drop_columns_strict(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -179,19 +178,13 @@ class OneHot(ColumnsEstimator):
     """
 
     def _fit(self, df: DataFrame) -> OneHotModel:
-        values = {}
-        for c in self.getColumns():
-            rows = (
-                df.where(F.col(c).isNotNull())
-                .select(F.col(c).cast("string").alias("v"))
-                .distinct()
-                .limit(_MAX_CATEGORIES + 1)
-                .collect()
-            )
-            if len(rows) > _MAX_CATEGORIES:
-                raise TableError(f"column {c} has too many values to give each its own column")
-            values[c] = sorted(r["v"] for r in rows)
-        return OneHotModel(self.getColumns(), values)
+        columns = self.getColumns()
+        if not columns:
+            return OneHotModel(columns, {})
+        sets = df.agg(
+            *[F.collect_set(F.col(f"`{c}`").cast("string")).alias(f"v{i}") for i, c in enumerate(columns)]
+        ).first()
+        return OneHotModel(columns, {c: sorted(sets[f"v{i}"]) for i, c in enumerate(columns)})
 
 
 class OneHotModel(FittedColumns):

@@ -8,7 +8,7 @@ and column, with the filled table written in between. Here the table is read fou
   rows that lack the same columns. So the moments that any regression in any round needs follow from
   the moments of the observed values per missingness pattern: one pass, and the rounds run on small
   matrices.
-* The stopping rule needs the greatest change of a single cell per round; one more pass replays all
+* The stopping rule needs the greatest sum of changes in one row per round; one more pass replays all
   rounds on the rows and takes the maxima. Rounds after the first one below the tolerance are cut.
 
 Tables with too many patterns to keep on the driver (a small matrix each) are read once per round and
@@ -24,7 +24,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,17 +108,22 @@ def _fit_step(
 
 
 def _replay(values: np.ndarray, gaps: np.ndarray, steps: list[Step], scale: _Scale) -> np.ndarray:
-    """Apply steps to ``values`` in place; greatest change of a cell per round, in raw units."""
+    """Apply steps to ``values`` in place; per round the greatest sum of changes in a row, in raw units."""
     n_rounds = max((s[0] for s in steps), default=-1) + 1
     change = np.zeros(n_rounds)
+    moved, current = np.zeros(len(values)), 0
     affected = {j: np.flatnonzero(gaps[:, j]) for j in {s[1] for s in steps}}
     for number, j, intercept, coefficients in steps:
+        if number != current:
+            change[current] = moved.max(initial=0.0)
+            moved, current = np.zeros(len(values)), number
         rows = affected[j]
         if len(rows):
             filled = values[rows] @ np.asarray(coefficients) + intercept
-            moved = np.abs(filled - values[rows, j]).max() * scale.sd[j]
-            change[number] = max(change[number], moved)
+            moved[rows] += np.abs(filled - values[rows, j]) * scale.sd[j]
             values[rows, j] = filled
+    if n_rounds:
+        change[current] = moved.max(initial=0.0)
     return change
 
 
@@ -155,19 +162,18 @@ def _summed_moments(
     df: DataFrame, scale: _Scale, steps: list[Step], target: int | None
 ) -> dict[str, np.ndarray]:
     size = len(scale.mean) + 1
-    n_entries = size * (size + 1) // 2
     partial = df.mapInPandas(
         _moment_udf(scale, steps, target), "pattern string, m array<double>"
     )
     rows = (
         partial.groupBy("pattern")
-        .agg(*[F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(n_entries)])
+        .agg(Summarizer.sum(array_to_vector("m")).alias("m"))
         .collect()
     )
     result = {}
     for row in rows:
         full = np.zeros((size, size))
-        full[np.triu_indices(size)] = row[1:]
+        full[np.triu_indices(size)] = row["m"].toArray()
         result[row["pattern"]] = full + np.triu(full, 1).T
     return result
 
@@ -221,7 +227,8 @@ class IterativeImputer(ColumnsEstimator):
     """Chained-equation imputation of numeric columns, starting from their means.
 
     Columns are filled in ascending order of gaps; complete ones are predictors only. Rounds stop at
-    ``max_iter`` or when no cell moves by ``tol`` times the greatest observed absolute value.
+    ``max_iter`` or when no row moves, all its cells together, by ``tol`` times the greatest
+    observed absolute value.
     Deterministic: no sampling from the predictive distribution.
     """
 

@@ -18,9 +18,22 @@ from panelsmith.operators.classify import GaussianNaiveBayes, KnnClassifier
 from panelsmith.operators.scale import StandardScaler
 
 FEATURES = "features"
+#: Rows per partition of a training table, and its least number of partitions.
+ORDERED_ROWS, ORDERED_PARTITIONS = 50_000, 16
 _MAX_DEPTH = 30  # the deepest tree Spark grows
 
 
+def fixed_order(df: DataFrame) -> DataFrame:
+    """``df`` dealt out and sorted by its content.
+
+    Tree sampling goes by partition and row number. The partitions here follow from the rows alone
+    (their number from the row count), so that training repeats on any cluster and for any file layout.
+    """
+    n = max(ORDERED_PARTITIONS, -(-df.count() // ORDERED_ROWS))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return df.repartition(n, *columns).sortWithinPartitions(*columns)
+
+
 def random_forest(
     label: str,
     n_trees: int = 300,

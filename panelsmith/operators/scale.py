@@ -63,6 +63,7 @@ class LogClip(ColumnsTransformer):
 
 
 _GRID = 41
+_MOVES = 10
 
 
 def fit_yeo_johnson(
@@ -71,8 +72,9 @@ def fit_yeo_johnson(
     """Maximum-likelihood lambda: a grid of candidates per job, refined around the best one.
 
     The log-likelihood is -n/2 ln var(y) + (lambda - 1) sum sign(x) ln(1 + |x|), so a pass needs one
-    variance per candidate. Each task repeats its rows per candidate and shuffles sums only. None where
-    there are no values or they are constant.
+    variance per candidate. Each task repeats its rows per candidate and shuffles sums only. While the
+    best candidate lies on an edge, the grid doubles its width beyond that edge, ``_MOVES`` times at most;
+    then the edge itself is the answer. None where there are no values or they are constant.
     """
     x = F.col(f"`{column}`").cast("double")
     values = df.where(x.isNotNull()).select(
@@ -81,6 +83,7 @@ def fit_yeo_johnson(
     # (1 + |x|)^k = exp(k log(1 + |x|)): one logarithm per row, one exponential per candidate
     k = F.when(F.col("sign") >= 0, F.col("lam")).otherwise(2.0 - F.col("lam"))
     power = F.when(k == 0, F.col("log")).otherwise(F.expm1(k * F.col("log")) / k)
+    moves = 0
     while True:
         step = (high - low) / (_GRID - 1)
         grid = [low + i * step for i in range(_GRID)]
@@ -105,7 +108,10 @@ def fit_yeo_johnson(
         if step <= tolerance:
             return best
         if best in (grid[0], grid[-1]) and step > 0.01:
-            low, high = best - (high - low) / 2, best + (high - low) / 2
+            if moves == _MOVES:
+                return best
+            moves += 1
+            low, high = best - (high - low), best + (high - low)
         else:
             low, high = best - step, best + step
 

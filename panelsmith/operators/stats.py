@@ -152,12 +152,13 @@ def _named(model: PipelineModel, n_features: int) -> list[str]:
     return feature_names(model) or [f"Feature {i}" for i in range(n_features)]
 
 
-def _top(df: DataFrame, n: int) -> DataFrame:
-    return df.orderBy(F.desc("importance"), "feature").limit(n)
+def _top(df: DataFrame, n: int | None) -> DataFrame:
+    ordered = df.orderBy(F.desc("importance"), "feature")
+    return ordered if n is None else ordered.limit(n)
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, top: int = 20) -> DataFrame:
-    """(feature, importance) of the last pipeline stage, the ``top`` greatest first."""
+def feature_importance(spark: SparkSession, model: PipelineModel, top: int | None = None) -> DataFrame:
+    """(feature, importance) of the last pipeline stage, greatest first; all, or the ``top`` ones."""
     last = model.stages[-1]
     if not hasattr(last, "featureImportances"):
         raise AttributeError(f"{type(last).__name__} has no feature importances")
@@ -166,7 +167,7 @@ def feature_importance(spark: SparkSession, model: PipelineModel, top: int = 20)
     return _top(spark.createDataFrame(rows, "feature string, importance double"), top)
 
 
-def split_count_importance(spark: SparkSession, model: PipelineModel, top: int = 20) -> DataFrame:
+def split_count_importance(spark: SparkSession, model: PipelineModel, top: int | None = None) -> DataFrame:
     """(feature, importance): number of tree nodes that split on each feature used.
 
     The nodes are read from the saved form of the tree model, which is an ordinary table.

@@ -18,7 +18,7 @@ from panelsmith import presets
 from panelsmith.functions.ordering import hash_rank
 from panelsmith.functions.spread import spread_join
 from panelsmith.operators.evaluate import NoUsefulModel, confusion_counts, metrics_from_counts
-from panelsmith.operators.models import score
+from panelsmith.operators.models import fixed_order, score
 from panelsmith.session import cut_lineage
 
 
@@ -161,7 +161,7 @@ def random_search(
         return cut_lineage(resample(rows)) if resample else rows
 
     for number in range(n_folds):
-        train = prepared(df.where(F.col(fold) != number)).cache()
+        train = fixed_order(prepared(df.where(F.col(fold) != number))).cache()
         held_out = df.where(F.col(fold) == number).cache()
 
         def evaluate(i: int, train: DataFrame = train, held_out: DataFrame = held_out) -> None:
@@ -171,7 +171,7 @@ def random_search(
                 model = build(candidates[i], train).fit(train)
                 scores[i].append(f1_of(score(model, held_out), label))
             except Exception as e:  # noqa: BLE001 - recorded, does not stop the search
-                errors[i] = f"{type(e).__name__}: {e}"[:500]
+                errors[i] = f"{type(e).__name__}: {e}"
 
         with ThreadPoolExecutor(parallelism) as pool:
             list(pool.map(inheritable_thread_target(spark)(evaluate), range(len(candidates))))
@@ -187,6 +187,6 @@ def random_search(
     if not means:
         raise NoUsefulModel(f"every candidate failed: {errors}")
     best = max(means, key=lambda i: (means[i], -i))
-    everything = prepared(df) if refit is None else refit
+    everything = fixed_order(prepared(df) if refit is None else refit)
     model = build(candidates[best], everything).fit(everything)
     return SearchResult(table, candidates[best], means[best], model)

@@ -94,14 +94,12 @@ def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _emb_columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """The vectors as one column per dimension, in an order that does not depend on the files."""
+    """The vectors as one column per dimension, in an order that does not depend on files or cluster."""
     names = [f"d{i:02d}" for i in range(64)]
     df = emb(spark, sf_dir).select(
         "vec_id", *[F.col("vec")[i].alias(n) for i, n in enumerate(names)], "y"
     )
-    n = spark.sparkContext.defaultParallelism
-    ordered = df.repartition(n, "vec_id").sortWithinPartitions("vec_id")
-    return cut_lineage(ordered), names
+    return models.fixed_order(cut_lineage(df)), names
 
 
 def _forest(df: DataFrame, names: list[str]) -> PipelineModel:

@@ -17,9 +17,9 @@ from panelsmith.operators.resample import ClassWeights, smote_enn
 from panelsmith.operators.split import split_frames, split_grouped
 from panelsmith.operators.stats import corr_matrix, kept_correlations
 from panelsmith.operators.tune import entity_folds, random_search, sample_params
-from panelsmith.operators.validate import class_distribution, union_all
-from panelsmith.session import cut_lineage
-from panelsmith.sources.tables import save_model, write_metrics, write_params
+from panelsmith.operators.validate import class_distribution, union_all, validate_panel
+from panelsmith.session import cut_lineage, scratch_scope
+from panelsmith.sources.tables import save_model, write_metrics, write_params, write_splits
 
 ROW_ID = "row_id"
 GROUP = "entity_key"
@@ -105,7 +105,7 @@ def train_and_evaluate(
     name: str, pipeline: Pipeline, train: DataFrame, held_out: DataFrame, label: str
 ) -> tuple[DataFrame, PipelineModel]:
     """Fit, score the held-out rows once, and return the metrics row and the whole fitted pipeline."""
-    model = pipeline.fit(train)
+    model = pipeline.fit(models.fixed_order(train))
     metrics = evaluate_model(name, model, held_out, label)
     return metrics, model
 
@@ -138,7 +138,7 @@ class TrainingRun:
 
 
 def train_and_select(
-    panel: DataFrame,
+    panel: DataFrame | dict[str, DataFrame],
     entity: str,
     time: str,
     label: str,
@@ -153,13 +153,35 @@ def train_and_select(
 ) -> TrainingRun:
     """The whole flow. ``preprocess`` is fitted on the training split only and applied to all three.
 
+    ``panel`` is the whole panel, which is validated and split by entity, or the three given splits
+    (``train``, ``val``, ``test``, as from ``load_splits``), each of which is validated. (entity, time) must
+    be unique, since it names the rows.
+
     Families in ``search`` (space, number of draws) are tuned by cross-validation first, those in
     ``params`` are trained with fixed values. A family that fails is skipped and listed in ``errors``.
     The best by validation F1 is scored on the test split and, given a ``folder``, saved there with the
-    metrics and the tuned parameters.
+    splits, the metrics and the tuned parameters.
+    Tables written on the way are removed at the end, but for the rows a nearest-neighbour model keeps.
     """
+    first = next(iter(panel.values())) if isinstance(panel, dict) else panel
+    with scratch_scope(first.sparkSession):
+        return _train_and_select(
+            panel, entity, time, label, preprocess, params, search, ratio, k_smote, n_folds, seed, folder
+        )
+
+
+def _train_and_select(
+    panel, entity, time, label, preprocess, params, search, ratio, k_smote, n_folds, seed, folder
+) -> TrainingRun:
     params = DEFAULT_PARAMS if params is None else params
-    split = cut_lineage(split_grouped(panel, entity, label, seed=seed))
+    if isinstance(panel, dict):
+        parts = [validate_panel(df, entity, time, label).withColumn("split", F.lit(n)) for n, df in panel.items()]
+        split = cut_lineage(union_all(parts))
+    else:
+        split = cut_lineage(split_grouped(validate_panel(panel, entity, time, label), entity, label, seed=seed))
+    spark = split.sparkSession
+    if folder:
+        write_splits(split, f"{folder}/splits")
     row_id = F.concat_ws(":", F.col(entity), F.col(time).cast("string"))
     frames = {
         name: df.withColumn(ROW_ID, row_id).withColumnRenamed(entity, GROUP)
@@ -169,15 +191,17 @@ def train_and_select(
     ready = {name: cut_lineage(preprocessing.transform(df)) for name, df in frames.items()}
     features = [c for c in ready["train"].columns if c not in (ROW_ID, GROUP, label)]
     resampled = cut_lineage(resample_rows(ready["train"], features, label, ratio, k_smote, seed))
-    distributions = union_all(
-        [
-            class_distribution(df, label).withColumn("stage", F.lit(stage))
-            for stage, df in (("before", ready["train"]), ("after", resampled))
-        ]
+    distributions = _held(
+        union_all(
+            [
+                class_distribution(df, label).withColumn("stage", F.lit(stage))
+                for stage, df in (("before", ready["train"]), ("after", resampled))
+            ]
+        )
     )
     build = builders(features, label, seed)
     trained: dict[str, PipelineModel] = {}
-    rows, errors = [], {}
+    rows, errors, tuned = [], {}, {}
     for name, values in {**params, **{k: None for k in (search or {})}}.items():
         try:
             if values is None:
@@ -193,25 +217,26 @@ def train_and_select(
                 )
                 model = found.model
                 metrics = evaluate_model(name, model, ready["val"], label)
-                if folder:
-                    path = f"{folder}/{_file(name)}_tuned_params"
-                    write_params(panel.sparkSession, found.params, path)
+                tuned[name] = found.params
             else:
                 train = resampled
                 if name == BOOSTED:
                     train = _with_stopping_rows(resampled, ready["val"])
                 pipeline = build[name](values, train)
                 metrics, model = train_and_evaluate(name, pipeline, train, ready["val"], label)
-            rows.append(metrics.withColumn("seq", F.lit(len(rows))))
+            rows.append(_held(metrics.withColumn("seq", F.lit(len(rows)))))
             trained[name] = model
         except Exception as e:  # noqa: BLE001 - one failing family must not stop the others
-            errors[name] = f"{type(e).__name__}: {e}"[:500]
+            errors[name] = f"{type(e).__name__}: {e}"
+    if folder:
+        for name, values in tuned.items():
+            write_params(spark, values, f"{folder}/{_file(name)}_tuned_params")
     if not rows:
         raise RuntimeError(f"no model could be trained: {errors}")
     metrics = union_all(rows)
     best = select_best(metrics, F1, "seq").first()["model"]
-    test_metrics = evaluate_model(f"final {best}", trained[best], ready["test"], label)
-    correlations = kept_correlations(corr_matrix(ready["train"], features))
+    test_metrics = _held(evaluate_model(f"final {best}", trained[best], ready["test"], label))
+    correlations = _held(kept_correlations(corr_matrix(ready["train"], features)))
     run = TrainingRun(
         metrics, best, trained[best], test_metrics, distributions, correlations, errors
     )
@@ -228,5 +253,10 @@ def _with_stopping_rows(train: DataFrame, held_out: DataFrame) -> DataFrame:
     return train.withColumn(HELD_OUT, F.lit(False)).unionByName(marked)
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """A table of a few rows that no longer depends on written ones."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def _file(name: str) -> str:
     return name.lower().replace(" ", "_")

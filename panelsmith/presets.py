@@ -54,7 +54,6 @@ SCALED_COLUMNS = [
     "WBC",
     "Platelets",
 ]
-FORWARD_FILLED_VITALS = ["HR", "O2Sat", "Temp", "SBP", "MAP", "DBP", "Resp"]
 METRIC_NAMES = [
     "Accuracy",
     "Precision",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,11 @@ def get_session(app_name: str = "panelsmith", cores: str | int | None = None) ->
     return builder.getOrCreate()
 
 
+#: Temporary folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+_SCOPE = "panelsmith.scratch.scope"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
@@ -44,23 +51,42 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="panelsmith-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        folder = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="panelsmith-")
+        _LOCAL[context.applicationId] = folder
     return folder
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/panelsmith-tables/{name}-{uuid.uuid4().hex}"
+def _tables(spark: SparkSession, scope: str | None) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/panelsmith-tables" + (f"/{scope}" if scope else "")
+
+
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path for a written table below the shared folder; ``keep``: outside any scope."""
+    scope = None if keep else spark.sparkContext.getLocalProperty(_SCOPE)
+    return f"{_tables(spark, scope)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside (also by threads that inherit Spark's local properties) go at the end."""
+    context = spark.sparkContext
+    outer, scope = context.getLocalProperty(_SCOPE), uuid.uuid4().hex
+    context.setLocalProperty(_SCOPE, scope)
+    try:
+        yield
+    finally:
+        context.setLocalProperty(_SCOPE, outer)
+        path = context._jvm.org.apache.hadoop.fs.Path(_tables(spark, scope))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it from there.
 
     Later jobs depend on the files only, so the loss of an executor repeats no earlier work; and they
-    read just the columns they need, which a checkpointed RDD of whole rows would not allow.
+    read just the columns they need, which a checkpointed RDD of whole rows would not allow. A table
+    written inside a ``scratch_scope`` goes with it, unless it is to ``keep``.
     """
-    path = scratch_path(df.sparkSession, "cut")
+    path = scratch_path(df.sparkSession, "cut", keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

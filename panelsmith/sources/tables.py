@@ -127,10 +127,24 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 def write_params(spark: SparkSession, params: dict, path: str) -> None:
     """Best hyperparameters as one JSON object; lists and maps keep their structure."""
-    row = spark.createDataFrame([params], schema=_params_schema(params))
+    row = spark.createDataFrame([_as_doubles(params)], schema=_params_schema(params))
     row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def _as_doubles(params: dict) -> dict:
+    """Entries of lists and maps as floats (None stays), keys of maps as strings."""
+
+    def number(value: object) -> float | None:
+        return None if value is None else float(value)
+
+    def plain(value: object) -> object:
+        if isinstance(value, dict):
+            return {str(k): number(v) for k, v in value.items()}
+        return [number(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+    return {k: plain(v) for k, v in params.items()}
+
+
 def _params_schema(params: dict) -> T.StructType:
     def data_type(value: object) -> T.DataType:
         if isinstance(value, bool):

@@ -58,7 +58,7 @@ def test_exact_quantiles_narrowing(spark):
     ]
     df = spark.createDataFrame(rows, "a double, b double").repartition(8).cache()
     q = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = exact_quantiles(df, ["a", "b"], q, small=40)
+    got = exact_quantiles(df, ["a", "b"], q, few=40)
     kept = np.array([r[1] for r in rows if r[1] is not None])
     np.testing.assert_allclose(got["a"], np.quantile(smooth, q), rtol=1e-12, atol=1e-12)
     np.testing.assert_allclose(got["b"], np.quantile(kept, q), rtol=1e-12)
@@ -66,7 +66,7 @@ def test_exact_quantiles_narrowing(spark):
 
 def test_exact_quantiles_of_empty_and_constant_columns(spark):
     df = spark.createDataFrame([(None, 4.0)] * 9, "a double, b double")
-    assert exact_quantiles(df, ["a", "b"], [0.5], small=2) == {"a": [None], "b": [4.0]}
+    assert exact_quantiles(df, ["a", "b"], [0.5], few=2) == {"a": [None], "b": [4.0]}
 
 
 @pytest.mark.parametrize("descending", [False, True])
@@ -77,7 +77,7 @@ def test_running_totals_over_buckets(spark, descending):
     df = spark.createDataFrame(
         [(float(k), int(c)) for k, c in zip(keys, counts, strict=True)], "key double, n long"
     ).cache()
-    table = ordering.running_totals(df, "key", ["n"], descending, n_buckets=37, small=10)
+    table = ordering.running_totals(df, "key", ["n"], descending, n_buckets=37)
     assert table.select("key_bucket").distinct().count() > 20
     followed = ordering.next_in_order(table, "key", F.col("n"), "next_n", descending)
     got = followed.toPandas().sort_values("key", ascending=not descending)

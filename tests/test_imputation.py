@@ -45,7 +45,7 @@ def chained(x, max_iter=30, tol=1e-3):
             others = [i for i in range(x.shape[1]) if i != j]
             w, intercept = ridge(filled[~gaps[:, j]][:, others], x[~gaps[:, j], j])
             filled[gaps[:, j], j] = filled[gaps[:, j]][:, others] @ w + intercept
-        if abs(filled - before).max() < limit:
+        if abs(filled - before).sum(1).max() < limit:
             break
     return filled, number
 

@@ -1,3 +1,4 @@
+import json
 import math
 import os
 
@@ -205,12 +206,65 @@ def test_training_flow(spark, panel, tmp_path):
     }
     assert after["after", 1] > after["before", 1] and after["after", 0] <= after["before", 0]
     assert os.path.exists(tmp_path / "boosted_trees_tuned_params")
+    assert sorted(os.listdir(tmp_path / "splits"))[-3:] == ["split=test", "split=train", "split=val"]
     assert first.correlations.count() > 0
     loaded = load_model(first.path)
     new = panel.withColumn("row_id", F.concat_ws(":", "e", "t")).withColumnRenamed("e", "entity_key")
     assert models.score(loaded, new).count() == 720
 
 
+def test_flow_from_given_splits_and_tuned_weights(spark, panel, tmp_path):
+    """Given splits give the same model; a class weight by number is stored; nothing written is left."""
+    from panelsmith.operators.split import split_frames, split_grouped
+    from panelsmith.session import shared_folder
+
+    def run(rows, folder=None):
+        return train_and_select(
+            rows,
+            "e",
+            "t",
+            "y",
+            lambda train: fit_preprocessing(train, impute=["t", "u", "v"], scale=["u", "v"], max_iter=3),
+            params={},
+            search={"Logistic Regression": ({"class_weight": [{0: 1, 1: 2}], "max_iter": [50]}, 1)},
+            ratio=0.6,
+            k_smote=3,
+            n_folds=2,
+            folder=folder,
+        )
+
+    tables = f"{shared_folder(spark)}/panelsmith-tables"
+    before = set(os.listdir(tables)) if os.path.exists(tables) else set()
+    frames = split_frames(split_grouped(panel, "e", "y"))
+    kept = set(os.listdir(tables))
+    whole, given = run(panel), run(frames, str(tmp_path))
+    assert set(os.listdir(tables)) == kept >= before
+    assert whole.errors == given.errors == {}
+    assert whole.metrics.collect() == given.metrics.collect()
+    name = next(f for f in os.listdir(tmp_path / "logistic_regression_tuned_params") if f.startswith("part"))
+    stored = json.loads((tmp_path / "logistic_regression_tuned_params" / name).read_text())
+    assert stored == {"class_weight": {"0": 1.0, "1": 2.0}, "max_iter": 50}
+
+
+def test_flow_refuses_repeated_rows(panel):
+    with pytest.raises(TableError, match="unique"):
+        train_and_select(panel.union(panel.limit(3)), "e", "t", "y", lambda train: None)
+
+
+@pytest.mark.parametrize("make", ["forest", "boosted"])
+def test_trees_repeat_for_any_layout(spark, panel, make):
+    """The same rows in another order and another number of files give the same trees."""
+    rows = panel.where("u is not null and v is not null").select("e", "t", "u", "v", "y")
+
+    def p1(df):
+        trees = models.random_forest("y", 8, 4) if make == "forest" else models.boosted_trees("y", 3, n_rounds=4)
+        model = models.scaled_pipeline(trees, ["u", "v"], scale=False).fit(models.fixed_order(df))
+        return models.score(model, rows).orderBy("e", "t").select("p1").collect()
+
+    first = p1(rows.coalesce(1))
+    assert first == p1(rows.repartition(13, "t")) == p1(rows.orderBy(F.rand(3)))
+
+
 def test_default_preprocessing(spark):
     rng = np.random.default_rng(18)
     names = [

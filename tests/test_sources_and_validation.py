@@ -157,7 +157,7 @@ def test_forward_fill_over_buckets(spark, levels):
 def test_metrics_and_params_files(spark, tmp_path):
     metrics = spark.createDataFrame([("m", 0.5, None)], "model string, F1 double, AUC double")
     tables.write_metrics(metrics, str(tmp_path / "m"))
-    params = {"k": 4, "weights": "distance", "priors": [0.5, 0.5], "cw": {"0": 1.0}, "none": None}
+    params = {"k": 4, "weights": "distance", "priors": [1, 0.5], "cw": {0: 1, 1: 2}, "none": None}
     tables.write_params(spark, params, str(tmp_path / "p"))
 
     def read(folder):
@@ -165,4 +165,4 @@ def test_metrics_and_params_files(spark, tmp_path):
         return json.loads((tmp_path / folder / name).read_text())
 
     assert read("m") == {"model": "m", "F1": 0.5, "AUC": None}
-    assert read("p") == params
+    assert read("p") == {**params, "priors": [1.0, 0.5], "cw": {"0": 1.0, "1": 2.0}}
