@@ -11,8 +11,9 @@ To spread this over tasks, strings that may be equal must meet in one:
   content, and neighbouring strings mostly share it, so texts fall into segments of one value each;
 * a value seen in one document only cannot repeat; its segments stay at home. The others are dealt out by
   value, equal segments of a shard once, with their least document id;
-* a value seen in many shards may stand before or after very many different texts. Its segments are cut
-  at fixed distances from the anchor, and dealt out by the bytes that all strings of such a part share.
+* a value that stands in very many different segments (the end of a common line, say) would burden one
+  task. Its segments are cut at fixed distances from the anchor, and dealt out by the bytes that all
+  strings of such a part share.
 
 A symbol of the sort is a pair of bytes, and every segment is sorted in both ways of pairing, so that a
 string of ``LENGTH`` bytes is half as many symbols.
@@ -41,13 +42,14 @@ LENGTH = 50
 ANCHOR = 24
 #: Strings per segment at most.
 SPAN = 32
-#: A value in more shards than this has its segments cut further, into parts of so many strings.
-COMMON, PART = 32, 9
+#: A value with ``DIVERSE`` different segments in each of ``COMMON`` shards or more has its segments cut
+#: further, into parts of at most ``PART`` strings.
+DIVERSE, COMMON, PART = 16, 8, 9
 #: Bytes of text per shard; a longer document is a shard of its own.
 SHARD_BYTES = 8 << 20
 #: Expected anchors per task of the first exchange, symbols per task of the second.
 ANCHORS_PER_TASK = 2 << 20
-SYMBOLS_PER_TASK = 4 << 20
+SYMBOLS_PER_TASK = 2 << 20
 
 _ROW = "shard long, kind int, part long, body binary"
 _BODY, _SHARED, _REPLY = 0, 1, 2
@@ -68,19 +70,20 @@ def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def _pack_sorted(values: np.ndarray, flags: np.ndarray) -> bytes:
-    """Ascending 48-bit values as byte planes of their gaps (the high planes compress to nothing)."""
+def _pack_sorted(values: np.ndarray, *flags: np.ndarray) -> bytes:
+    """Ascending 48-bit values, as byte planes of their gaps (the high planes compress to nothing), and flags."""
     gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
     planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :6].T)
-    return _pack(planes.ravel(), np.packbits(flags))
+    return _pack(planes.ravel(), *map(np.packbits, flags))
 
 
-def _unpack_sorted(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes, flags = _unpack(blob, "u1", "u1")
+def _unpack_sorted(blob: bytes, n_flags: int = 1) -> tuple[np.ndarray, ...]:
+    planes, *flags = _unpack(blob, "u1", *["u1"] * n_flags)
     n = len(planes) // 6
     gaps = np.zeros((n, 8), np.uint8)
     gaps[:, :6] = planes.reshape(6, n).T
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64), np.unpackbits(flags)[:n].astype(bool)
+    values = np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+    return values, *(np.unpackbits(f)[:n].astype(bool) for f in flags)
 
 
 # --- texts as shards ---------------------------------------------------------------------------
@@ -186,7 +189,7 @@ def _least_anchor(text: np.ndarray) -> np.ndarray:
     return np.minimum(h[: len(h) - last], h[last:])
 
 
-def _runs(shard: _Shard, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs(shard: _Shard, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of starts that share the least anchor: first start, number, value, document."""
     usable = np.maximum(shard.lengths - LENGTH + 1, 0)
     total = len(shard.buffer)
@@ -260,36 +263,48 @@ class _Segments:
         pick = values[at] == value if len(values) else np.zeros(len(value), bool)
         start, count, value, document = start[pick], count[pick], value[pick], document[pick]
         often = common[at[pick]] if len(values) else np.zeros(0, bool)
-        places, seen = [], {}
-        targets, lengths = [], []
-        text, home = shard.bytes, _task_of(value, tasks)
-        for a, n, v, d, t, hot in zip(*(x.tolist() for x in (start, count, value, document, home, often))):
-            if hot:
-                parts = _parts(shard, a, n, v, tasks)
-            elif n > SPAN:
-                parts = _spans(a, n, t)
-            else:
-                parts = ((a, n, t),)
-            for b, k, to in parts:
-                piece = text[b : b + k + LENGTH - 1]
-                known_as = seen.get(piece)
-                if known_as is None:
-                    known_as = seen[piece] = len(seen)
-                    targets.append(to)
-                    lengths.append(k)
-                places.append((b, k, d, known_as))
-        self.start, self.count, self.document, which = np.array(places, np.int64).reshape(-1, 4).T
-        targets = np.array(targets, np.int64)
-        order = np.argsort(targets, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.which = place[which]
-        pieces = list(seen)
-        self.pieces = [pieces[i] for i in order.tolist()]
-        self.targets, self.counts = targets[order], np.array(lengths, np.int64)[order]
-        self.least = np.full(len(order), NO_ID, np.int64)
+        home = _task_of(value, tasks)
+        whole = ~often & (count <= SPAN)
+        parts = [np.stack([start, count, document, home, value.astype(np.int64)], axis=1)[whole]]
+        for a, n, v, d, t, hot in zip(*(x[~whole].tolist() for x in (start, count, value, document, home, often))):
+            cut = _parts(shard, a, n, v, tasks) if hot else _spans(a, n, t)
+            parts.append(np.array([(b, k, d, to, v) for b, k, to in cut], np.int64))
+        self.start, self.count, self.document, target, value = np.concatenate(parts).T
+        look = self._digests(shard)
+        order = np.lexsort((value, look, self.count, target))
+        opens = np.ones(len(order), bool)
+        for column in (value, look, self.count, target):
+            opens[1:] &= column[order[1:]] == column[order[:-1]]
+        opens[1:] = ~opens[1:]
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(opens) - 1
+        self.first = order[opens]
+        self.targets, self.counts = target[self.first], self.count[self.first]
+        self.least = np.full(len(self.first), NO_ID, np.int64)
         np.minimum.at(self.least, self.which, shard.ids[self.document])
 
+    def _digests(self, shard: _Shard) -> np.ndarray:
+        """64-bit multilinear hash of each segment; with its length and value it tells segments apart."""
+        out = np.empty(len(self.start), np.uint64)
+        factors = np.random.default_rng(50).integers(0, 1 << 63, SPAN + LENGTH, np.uint64) * np.uint64(2) + np.uint64(1)
+        for n in np.unique(self.count).tolist():
+            size = n + LENGTH - 1
+            at = np.flatnonzero(self.count == n)
+            windows = np.lib.stride_tricks.sliding_window_view(shard.buffer, size)
+            for a in range(0, len(at), 4096):
+                rows = windows[self.start[at[a : a + 4096]]].astype(np.uint64)
+                rows += np.uint64(1)
+                rows *= factors[:size]
+                sums = rows.sum(axis=1, dtype=np.uint64)
+                out[at[a : a + 4096]] = sums ^ sums >> np.uint64(31)
+        return out
+
+    def texts(self, shard: _Shard, a: int, b: int) -> bytes:
+        """The distinct segments ``a`` to ``b``, back to back."""
+        first = self.first[a:b]
+        pairs = zip(self.start[first].tolist(), (self.start[first] + self.count[first] + LENGTH - 1).tolist())
+        return b"".join([shard.bytes[x:y] for x, y in pairs])
+
     def by_task(self) -> Iterator[tuple[int, int, int]]:
         edges = np.flatnonzero(np.r_[True, self.targets[1:] != self.targets[:-1]]) if len(self.targets) else []
         for a, b in zip(edges, [*edges[1:], len(self.targets)]):
@@ -301,27 +316,22 @@ def _row_frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _anchor_rows(tasks: int):
-    """Per shard and task: the values seen, and whether in documents of different ids."""
+    """Per shard and task: the values seen, whether in documents of different ids, whether in many segments."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for number, body in zip(frame["shard"], frame["body"]):
                 shard = _Shard(body)
-                _, _, value, document = _runs(shard)
-                ids = shard.ids[document]
-                order = np.argsort(value)
-                value, ids = value[order], ids[order]
-                first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.empty(0, np.int64)
-                if len(first):
-                    several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
-                    value = value[first]
+                start, count, value, document = _runs(shard)
+                if len(value):
+                    value, several, diverse = _summary(shard, start, count, value, document)
                     target = _task_of(value, tasks)
                     by = np.argsort(target, kind="stable")
-                    value, several, target = value[by], several[by], target[by]
+                    value, several, diverse, target = value[by], several[by], diverse[by], target[by]
                     edges = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
                     yield _row_frame(
                         [
-                            (number, _SHARED, int(target[a]), _pack_sorted(value[a:b], several[a:b]))
+                            (number, _SHARED, int(target[a]), _pack_sorted(value[a:b], several[a:b], diverse[a:b]))
                             for a, b in zip(edges, [*edges[1:], len(target)])
                         ]
                     )
@@ -329,19 +339,32 @@ def _anchor_rows(tasks: int):
     return run
 
 
+def _summary(shard: _Shard, start: np.ndarray, count: np.ndarray, value: np.ndarray, document: np.ndarray):
+    """Distinct values, and for each whether its ids and (by their first and last bytes) its segments are several."""
+    eight = np.lib.stride_tricks.sliding_window_view(shard.buffer, 8)
+    head, tail = (eight[at].copy().view("<u8").ravel() for at in (start, start + count + LENGTH - 9))
+    look = (head * _ODD[0] ^ tail) * _ODD[1]
+    order = np.lexsort((look, value))
+    value, look, ids = value[order], look[order], shard.ids[document[order]]
+    opens = np.r_[True, value[1:] != value[:-1]]
+    first = np.flatnonzero(opens)
+    several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+    different = np.add.reduceat((opens | np.r_[True, look[1:] != look[:-1]]).astype(np.int64), first)
+    return value[first], several, different >= DIVERSE
+
+
 def _share(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one task's values: to each shard those that also stand in another document."""
-    lists = [_unpack_sorted(b) for b in frame["body"]]
-    sizes = [len(v) for v, _ in lists]
-    value = np.concatenate([v for v, _ in lists])
-    several = np.concatenate([s for _, s in lists])
+    lists = [_unpack_sorted(b, 2) for b in frame["body"]]
+    sizes = [len(v) for v, _, _ in lists]
+    value, several, diverse = (np.concatenate(column) for column in zip(*lists))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(value, kind="stable")
-    value, several, owner = value[order], several[order], owner[order]
+    value, several, diverse, owner = value[order], several[order], diverse[order], owner[order]
     first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
     shards = np.diff(np.r_[first, len(value)])
     shared = np.repeat((shards > 1) | np.maximum.reduceat(several, first), shards)
-    common = np.repeat(shards > COMMON, shards)
+    common = np.repeat(np.add.reduceat(diverse.astype(np.int64), first) >= COMMON, shards)
     value, owner, common = value[shared], owner[shared], common[shared]
     order = np.argsort(owner, kind="stable")  # values stay ascending for each owner
     value, owner, common = value[order], owner[order], common[order]
@@ -363,9 +386,10 @@ def _segment_rows(tasks: int):
         shared = list(frame.loc[frame["kind"] == _SHARED, "body"])
         out = []
         if shared:
-            found = _Segments(_Shard(body), shared, tasks)
+            shard = _Shard(body)
+            found = _Segments(shard, shared, tasks)
             for task, a, b in found.by_task():
-                joined = np.frombuffer(b"".join(found.pieces[a:b]), np.uint8)
+                joined = np.frombuffer(found.texts(shard, a, b), np.uint8)
                 blob = _pack(found.counts[a:b].astype("u1"), found.least[a:b], joined)
                 out.append((frame["shard"].iloc[0], _BODY, task, blob))
         return _row_frame(out)

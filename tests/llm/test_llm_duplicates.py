@@ -155,6 +155,7 @@ def test_passages_odd(odd, odd_rows, shard_bytes):
 
 def test_passages_documents(spark, small, monkeypatch):
     """Small shards and tasks, and a low bound for common values, so that every path runs."""
+    monkeypatch.setattr(suffix_dedup, "DIVERSE", 1)
     monkeypatch.setattr(suffix_dedup, "COMMON", 3)
     monkeypatch.setattr(suffix_dedup, "ANCHORS_PER_TASK", 5_000)
     monkeypatch.setattr(suffix_dedup, "SYMBOLS_PER_TASK", 50_000)
