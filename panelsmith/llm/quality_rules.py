@@ -154,12 +154,13 @@ def _fences(sketch: DataFrame, groups: DataFrame, min_group: int, reach: int) ->
 
     out = groups.join(flat(narrow, ["lang", "source"], "a_"), ["lang", "source"], "left")
     out = out.join(flat(wide, ["lang"], "b_"), "lang", "left")
-    out = out.join(F.broadcast(flat(whole, [], "c_")))  # one row
+    corpus = {r["measure"]: r for r in whole.collect()}  # one row per measure
     for m in names:
+        every = [F.lit(corpus[m][c] if m in corpus else None).cast("long").alias(c) for c in ("n", "q1", "q3")]
         use = (
             F.when(F.col(f"a_{m}.n") >= min_group, F.col(f"a_{m}"))
             .when(F.col(f"b_{m}.n") >= min_group, F.col(f"b_{m}"))
-            .otherwise(F.col(f"c_{m}"))
+            .otherwise(F.struct(*every))
         )
         wide_by = reach * (use["q3"] - use["q1"]) + F.lit(SLACK[m])
         out = out.withColumn(f"low_{m}", use["q1"] - wide_by).withColumn(f"high_{m}", use["q3"] + wide_by)
