@@ -320,16 +320,18 @@ SELECT arg_max(lam, llf) AS best, max(step) AS step FROM (
 @query(
     "yeo_johnson_fit",
     with_views(
-        f"SELECT {rounded_sql('best', 4)} AS lambda FROM c",
+        f"SELECT {rounded_sql('best', 4)} AS lambda FROM e",
         xs="SELECT o_totalprice / 1000 AS x FROM orders",
         a=_grid_sql("xs", "CAST(-4 AS DOUBLE)", "CAST(6 AS DOUBLE)"),
         b=_grid_sql("xs", "(SELECT best - step FROM a)", "(SELECT best + step FROM a)"),
         c=_grid_sql("xs", "(SELECT best - step FROM b)", "(SELECT best + step FROM b)"),
+        d=_grid_sql("xs", "(SELECT best - step FROM c)", "(SELECT best + step FROM c)"),
+        e=_grid_sql("xs", "(SELECT best - step FROM d)", "(SELECT best + step FROM d)"),
     ),
 )
 def yeo_johnson_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "orders").select((F.col("o_totalprice") / 1000).alias("x"))
-    lam = scale.fit_yeo_johnson(x, "x", tolerance=1e-3)
+    lam = scale.fit_yeo_johnson(x, "x")
     return spark.createDataFrame([(lam,)], "lambda double").select(
         rounded("lambda", 4).alias("lambda")
     )

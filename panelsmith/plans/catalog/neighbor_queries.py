@@ -77,14 +77,14 @@ def _smote_views(ratio: float, k: int) -> dict[str, str]:
 
 
 def _outline(df: DataFrame, *keep: str) -> DataFrame:
-    """A vector as its sum, sum of squares and a few of its entries."""
+    """A vector as its sum, sum of squares and all its entries."""
     total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)
     squares = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     return df.select(
         *keep,
         rounded(total).alias("v_sum"),
         rounded(squares).alias("v_squares"),
-        *[rounded(F.element_at("vec", i)).alias(f"v_{i}") for i in (1, 32, 64)],
+        *[rounded(F.element_at("vec", i)).alias(f"v_{i}") for i in range(1, 65)],
     )
 
 
@@ -92,7 +92,7 @@ _OUTLINE_SQL = ", ".join(
     [
         f"{rounded_sql('list_sum(vec)')} AS v_sum",
         f"{rounded_sql('list_sum(list_transform(vec, lambda x: x * x))')} AS v_squares",
-        *[f"{rounded_sql(f'vec[{i}]')} AS v_{i}" for i in (1, 32, 64)],
+        *[f"{rounded_sql(f'vec[{i}]')} AS v_{i}" for i in range(1, 65)],
     ]
 )
 
