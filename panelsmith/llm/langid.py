@@ -22,7 +22,7 @@ from panelsmith.session import cut_lineage
 #: Hashed trigrams per language. Languages are two-letter codes, so a model has at most 676 rows of these.
 BUCKETS = 8192
 #: A declared code becomes a language of the model if so many rows declare it.
-MIN_ROWS = 20
+MIN_ROWS = 5
 #: Trigrams overlap and repeat; a text counts as at most so many independent ones.
 INDEPENDENT = 60
 #: Weight, in rows, of the wider level when the prior of a narrower one is smoothed.

@@ -31,9 +31,9 @@ def test_declared_codes(spark):
     }
 
 
-def test_language_by_text_alone(spark, small):
+def test_language_by_text_alone(spark):
     """Declarations that are missing or wrong are recovered from the text and the host."""
-    docs = table(spark, small, "documents").select("doc_id", "text", "lang", "source")
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source")
     spoilt = docs.withColumn(
         "lang",
         F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 17 == 0, F.lit("fr")).otherwise(F.col("lang")),
@@ -55,7 +55,9 @@ def test_host_prior_decides_short_texts(spark):
 
 def test_language_odd(spark, odd, empty_documents):
     found = langid.identify(langid.document_evidence(odd, "doc_id")).collect()
-    assert len(found) == odd.count() and not any(r["kept"] for r in found)  # too few declare any language
+    assert len(found) == odd.count() and not any(r["kept"] for r in found if r["language"] is None)
+    none = langid.identify(langid.document_evidence(odd.withColumn("lang", F.lit("?")))).collect()
+    assert len(none) == odd.count() and not any(r["kept"] for r in none)  # no declaration, no model
     known = odd.unionByName(table_like(spark, odd))
     found = langid.identify(langid.document_evidence(known, "doc_id"))
     silent = found.where("language is null").select("doc_id").collect()
@@ -73,8 +75,8 @@ def table_like(spark, odd):
     return made.select(*[F.col(c) if c in made.columns else F.lit(None).cast("string").alias(c) for c in odd.columns])
 
 
-def test_pages(spark, small):
-    pages = table(spark, small, "pages")
+def test_pages(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
     found = langid.identify(langid.page_evidence(pages)).join(pages, "page_id")
     rows = found.select("language", F.regexp_extract("html", 'lang="(..)"', 1).alias("lang")).collect()
     assert np.mean([r["language"] == r["lang"] for r in rows]) > 0.95
