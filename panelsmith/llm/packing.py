@@ -47,30 +47,38 @@ class ByteBpe:
 
     _ADJOINING = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 
-    def __init__(self, vocabulary: str = VOCABULARY, remember: int = 400_000):
+    def __init__(self, vocabulary: str = VOCABULARY, remember: int = 200_000):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(tokenizer_path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._encode = tiktoken.Encoding(
             vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
-        self._whole = Tokenizer.from_file(tokenizer_path(f"{vocabulary}.json"))
-        special = self._whole.get_added_tokens_decoder().values()
-        self._special = [t.content for t in special]
+        self._file, self._whole = tokenizer_path(f"{vocabulary}.json"), None
+        with open(self._file, encoding="utf-8") as file:
+            self._special = [t["content"] for t in json.load(file)["added_tokens"]]
         self._remember = remember
         self._parts: dict[str, bytes] = {}
 
     def _bytes(self, text: str) -> bytes:
         return np.array(self._encode(text), "<u4").tobytes()
 
+    def _encode_whole(self, text: str) -> bytes:
+        """By the tokenizer itself, loaded when first needed."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self._file)
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self._special):
-            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._encode_whole(text)
         if self._ADJOINING.search(text):
             return self._bytes(text)
         head, *rest = text.split(" ")

@@ -46,7 +46,7 @@ SPAN = 32
 #: further, into parts of at most ``PART`` strings.
 DIVERSE, COMMON, PART = 16, 8, 9
 #: Bytes of text per shard; a longer document is a shard of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Expected anchors per task of the first exchange, symbols per task of the second.
 ANCHORS_PER_TASK = 2 << 20
 SYMBOLS_PER_TASK = 2 << 20
@@ -215,7 +215,7 @@ def _runs(shard: _Shard, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray,
         empty = np.empty(0, np.int64)
         return empty, empty, empty.astype(np.uint64), empty
     start, value = np.concatenate(starts), np.concatenate(values)
-    inside = np.cumsum(valid)[start] > 0
+    inside = np.cumsum(valid, dtype=np.int8)[start] > 0
     document = np.searchsorted(shard.ends, start, "right")
     stop = np.minimum(np.r_[start[1:], total], (shard.begins + usable)[np.minimum(document, len(usable) - 1)])
     keep = inside
@@ -486,7 +486,7 @@ def _removed(shard: _Shard, found: _Segments, replies: dict[int, bytes]) -> np.n
         start = start[least < np.repeat(shard.ids[found.document], n)]
         change[start] += 1
         change[start + LENGTH] -= 1
-    return np.cumsum(change)[:-1] > 0
+    return np.cumsum(change, out=change)[:-1] > 0
 
 
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -503,13 +503,13 @@ def _finish(tasks: int, cleaned: bool, names: list[str]):
             removed = _removed(shard, _Segments(shard, shared, tasks), replies)
         else:
             removed = np.zeros(len(shard.buffer), bool)
-        sums = np.r_[0, np.cumsum(removed)]
+        sums = np.r_[np.int32(0), np.cumsum(removed, dtype=np.int32)]
         n_removed = sums[shard.ends] - sums[shard.begins]
         opens = removed.copy()
         opens[1:] &= ~removed[:-1]
         inner = shard.begins[shard.lengths > 0]
         opens[inner] = removed[inner]
-        spans = np.r_[0, np.cumsum(opens)]
+        spans = np.r_[np.int32(0), np.cumsum(opens, dtype=np.int32)]
         kept = [
             shard.bytes[a:b] if not n else shard.buffer[a:b][~removed[a:b]].tobytes()
             for a, b, n in zip(shard.begins.tolist(), shard.ends.tolist(), n_removed.tolist())
