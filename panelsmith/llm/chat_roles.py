@@ -35,6 +35,8 @@ NAMES = {
 }
 #: Rows per chunk, and chunks per chunk of chunks.
 CHUNK = 256
+#: Neighbouring chunks that one call handles.
+BUNDLE = 64
 #: Log-probability weights of what a line shows, given its state.
 MARKER_FITS, MARKER_OTHER, MARKER_UNKNOWN, MARKER_NONE = 0.90, 0.01, 0.03, 0.05
 INSIDE_MARKED = 0.0075
@@ -220,33 +222,45 @@ _LINKS = "conv long, part long, pos long, entry int, exit int"
 def _borders(rows: DataFrame) -> DataFrame:
     """States before and after each row (conv, part, chunk, pos, product) on its conversation's best path."""
 
-    def summed(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
-        product = _product(np.asarray(p).reshape(_K, _K) for p in frame["product"])
-        first = frame.iloc[0]
-        return pd.DataFrame(
-            {"conv": [first["conv"]], "part0": [first["part"]], "chunk0": [first["chunk"]], "product": [product.ravel()]}
-        )
+    def chunks(frame: pd.DataFrame) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+        """The chunks of a bundle: first and last place in the order of ``pos``, and their matrices."""
+        frame = frame.sort_values("pos", ignore_index=True)
+        matrices = [np.asarray(p).reshape(_K, _K) for p in frame["product"]]
+        number = frame["chunk"].to_numpy()
+        edges = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]).tolist()
+        for a, b in zip(edges, [*edges[1:], len(frame)]):
+            yield a, b, matrices[a:b]
 
-    def decoded(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
-        entry = int(frame["entry"].iloc[0])
-        states = _path([np.asarray(p).reshape(_K, _K) for p in frame["product"]], entry, int(frame["exit"].iloc[0]))
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        found = [(a, _product(m).ravel()) for a, _, m in chunks(frame)]
+        first = frame.sort_values("pos", ignore_index=True).iloc[[a for a, _ in found]]
         return pd.DataFrame(
             {
-                "conv": frame["conv"].to_numpy(),
-                "part": frame["part"].to_numpy(),
-                "pos": frame["pos"].to_numpy(),
-                "entry": np.array([entry, *states[:-1]], np.int32),
-                "exit": np.array(states, np.int32),
+                "conv": first["conv"].to_numpy(),
+                "part0": first["part"].to_numpy(),
+                "chunk0": first["chunk"].to_numpy(),
+                "product": [p for _, p in found],
             }
         )
 
+    def decoded(frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = frame.sort_values("pos", ignore_index=True)
+        entries, exits = ordered["entry"].tolist(), ordered["exit"].tolist()
+        before, after = [], []
+        for a, _, matrices in chunks(frame):
+            states = _path(matrices, entries[a], exits[a])
+            before += [entries[a], *states[:-1]]
+            after += states
+        out = ordered[["conv", "part", "pos"]].copy()
+        out["entry"], out["exit"] = np.array(before, np.int32), np.array(after, np.int32)
+        return out
+
+    bundle = F.floor(F.col("chunk") / BUNDLE).alias("bundle")
     several = rows.groupBy("conv").agg(F.count_distinct("part", "chunk").alias("n")).where("n > 1")
     if several.isEmpty():
         bounded = rows.withColumns({"entry": F.lit(_START), "exit": F.lit(-1)})
     else:
-        sums = rows.groupBy("conv", "part", "chunk").applyInPandas(
+        sums = rows.groupBy("part", bundle).applyInPandas(
             summed, "conv long, part0 long, chunk0 long, product array<double>"
         )
         upper = _chunked(sums, ["part0", "chunk0"])
@@ -255,7 +269,7 @@ def _borders(rows: DataFrame) -> DataFrame:
             "conv", F.col("part0").alias("part"), F.col("chunk0").alias("chunk"), "entry", "exit"
         )
         bounded = rows.join(ends, ["conv", "part", "chunk"])
-    return cut_lineage(bounded.groupBy("conv", "part", "chunk").applyInPandas(decoded, _LINKS))
+    return cut_lineage(bounded.groupBy("part", bundle).applyInPandas(decoded, _LINKS))
 
 
 def _states(rows: DataFrame, model: Model) -> DataFrame:
