@@ -37,8 +37,8 @@ STEMS = range(4, 8)
 FUZZY_FROM = 5
 #: Words on either side that a hit is read with.
 CONTEXT = 6
-#: Words whose hits one worker remembers at a time.
-REMEMBER = 500_000
+#: Letters of a word whose automaton states are remembered, and how many such beginnings at a time.
+HEAD, REMEMBER = 6, 500_000
 
 _WORD = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 _QUOTES = frozenset("\"“”„«»")
@@ -85,15 +85,14 @@ class TermTrie:
                 self._steps[states, c] = known
         return known
 
-    def hits(self, word: str) -> tuple[float, float]:
-        """Greatest weight of a term that fits exactly, and of one that fits with one edit (0: none)."""
+    def run(self, states: frozenset, text: str, ended: bool) -> tuple[frozenset, float, float]:
+        """Read on from ``states``: the states after ``text``, and the greatest weights met (0: none)."""
         exact = near = 0.0
-        states = self._start
-        for i, c in enumerate(word):
+        for i, c in enumerate(text):
             states = self._step(states, c)
             if not states:
                 break
-            last = i == len(word) - 1
+            last = ended and i == len(text) - 1
             for node, edits in states:
                 for stem, weight, length in self._ends[node]:
                     if stem or last:
@@ -101,7 +100,15 @@ class TermTrie:
                             exact = max(exact, weight)
                         elif length >= FUZZY_FROM:
                             near = max(near, weight)
-        return exact, near
+        return states, exact, near
+
+    def hits(self, word: str) -> tuple[float, float]:
+        """Greatest weight of a term that fits exactly, and of one that fits with one edit (0: none)."""
+        return self.run(self._start, word, True)[1:]
+
+    def begin(self, head: str) -> tuple[frozenset, float, float]:
+        """The states after the beginning of a longer word, and what was met so far."""
+        return self.run(self._start, head, False)
 
 
 def _terms(text: str) -> set[tuple[str, bool]]:
@@ -150,20 +157,38 @@ class Reader:
 
     def __init__(self, lexicon: Lexicon):
         self._trie = TermTrie(lexicon)
-        self._known: dict[str, tuple[float, float] | None] = {}
+        self._short: dict[str, tuple[float, float] | None] = {}
+        self._heads: dict[str, tuple[frozenset, float, float] | None] = {}
+
+    def _look(self, word: str) -> tuple[float, float] | None:
+        """Weights of a word's hits; None without any. Words of one beginning share their first steps."""
+        if len(word) <= HEAD:
+            if word not in self._short:
+                hit = self._trie.hits(word) if word not in _QUOTES else (0.0, 0.0)
+                self._short[word] = hit if any(hit) else None
+            return self._short[word]
+        states, exact, near = self._heads[word[:HEAD]]
+        _, more_exact, more_near = self._trie.run(states, word[HEAD:], True)
+        hit = max(exact, more_exact), max(near, more_near)
+        return hit if any(hit) else None
 
     def features(self, text: bytes) -> list[float]:
         words = _WORD.findall(text.decode("utf-8", "replace").lower())
-        known, trie = self._known, self._trie
-        if len(known) > REMEMBER:
-            known.clear()
-        hits = []
+        heads, begin, hits = self._heads, self._trie.begin, []
+        if len(heads) + len(self._short) > REMEMBER:
+            heads.clear()
+            self._short.clear()
         for i, w in enumerate(words):
-            try:
-                hit = known[w]
-            except KeyError:
-                exact, near = trie.hits(w) if w not in _QUOTES else (0.0, 0.0)
-                hit = known[w] = (exact, near) if exact or near else None
+            if len(w) > HEAD:
+                head = w[:HEAD]
+                try:
+                    met = heads[head]
+                except KeyError:
+                    met = begin(head)
+                    met = heads[head] = met if any(met) else None
+                if met is None:  # no term can fit any more
+                    continue
+            hit = self._look(w)
             if hit:
                 hits.append((i, *hit))
         direct = quoted = near_direct = near_quoted = top = beside = 0.0

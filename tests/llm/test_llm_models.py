@@ -144,6 +144,9 @@ def test_automaton_finds_terms_within_one_edit(lexicon, word):
             near = max(near, weight)
     got = toxicity.TermTrie(lexicon).hits(word)
     assert got[0] == exact and (got[1] == near or got[1] >= near and exact)
+    met = toxicity.Reader(lexicon)
+    met.features(word.encode())
+    assert (met._look(word) if len(word) <= toxicity.HEAD or met._heads[word[: toxicity.HEAD]] else None) == (got if any(got) else None)
 
 
 def test_quotation_counts_apart():
