@@ -235,14 +235,15 @@ def _spans(start: int, count: int, task: int) -> Iterator[tuple[int, int, int]]:
 def _parts(shard: _Shard, start: int, count: int, value: int, tasks: int) -> Iterator[tuple[int, int, int]]:
     """A common segment cut by the distance of each string from the anchor in it: first start, number, task.
 
-    Equal strings hold the anchor at the same distance, and lie in parts with the same shared bytes.
+    Equal strings hold the anchor at the same distance, and lie in parts with the same shared bytes. Inside a
+    run of one byte every place is an anchor, so that each string there is a part of its own.
     """
     hashes = _anchor_hash(shard.buffer[start : start + count + LENGTH - 1])
     anchors = np.flatnonzero(hashes == np.uint64(value))
     offsets = np.arange(count)
     distance = anchors[np.searchsorted(anchors, offsets)] - offsets
     part = distance // PART
-    edges = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (distance[1:] > distance[:-1])]).tolist()
+    edges = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (distance[1:] != distance[:-1] - 1)]).tolist()
     for a, b in zip(edges, [*edges[1:], count]):
         core = start + a + int(distance[a]) - PART * int(part[a])
         shared = shard.bytes[core : core + LENGTH - PART + 1]
