@@ -13,7 +13,9 @@ To spread this over tasks, strings that may be equal must meet in one:
   value, equal segments of a shard once, with their least document id;
 * a value that stands in very many different segments (the end of a common line, say) would burden one
   task. Its segments are cut at fixed distances from the anchor, and dealt out by the bytes that all
-  strings of such a part share.
+  strings of such a part share, their core;
+* a core of very many different parts (all of a common line, before or after other text) is counted over
+  the shards. Its parts are cut into single strings, each dealt out by the hash of all its bytes.
 
 A symbol of the sort is a pair of bytes, and every segment is sorted in both ways of pairing, so that a
 string of ``LENGTH`` bytes is half as many symbols.
@@ -45,6 +47,9 @@ SPAN = 32
 #: A value with ``DIVERSE`` different segments in each of ``COMMON`` shards or more has its segments cut
 #: further, into parts of at most ``PART`` strings.
 DIVERSE, COMMON, PART = 16, 8, 9
+#: A value with more different segments than this is cut too, and the parts of its cores are counted; a core
+#: with more different parts is cut into single strings.
+MANY = 1 << 13
 #: Bytes of text per shard; a longer document is a shard of its own.
 SHARD_BYTES = 4 << 20
 #: Expected anchors per task of the first exchange, symbols per task of the second.
@@ -52,7 +57,7 @@ ANCHORS_PER_TASK = 2 << 20
 SYMBOLS_PER_TASK = 2 << 20
 
 _ROW = "shard long, kind int, part long, body binary"
-_BODY, _SHARED, _REPLY = 0, 1, 2
+_BODY, _SHARED, _REPLY, _MANY, _DENSE = range(5)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -70,20 +75,47 @@ def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """The six low bytes of each number, byte by byte: the high planes compress to nothing."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).ravel()
+
+
+def _of_planes(planes: np.ndarray) -> np.ndarray:
+    n = len(planes) // 6
+    numbers = np.zeros((n, 8), np.uint8)
+    numbers[:, :6] = planes.reshape(6, n).T
+    return numbers.view("<u8").ravel()
+
+
 def _pack_sorted(values: np.ndarray, *flags: np.ndarray) -> bytes:
-    """Ascending 48-bit values, as byte planes of their gaps (the high planes compress to nothing), and flags."""
-    gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :6].T)
-    return _pack(planes.ravel(), *map(np.packbits, flags))
+    """Ascending 48-bit values, as byte planes of their gaps, and flags."""
+    return _pack(_planes(np.diff(values, prepend=np.uint64(0))), *map(np.packbits, flags))
 
 
 def _unpack_sorted(blob: bytes, n_flags: int = 1) -> tuple[np.ndarray, ...]:
     planes, *flags = _unpack(blob, "u1", *["u1"] * n_flags)
-    n = len(planes) // 6
-    gaps = np.zeros((n, 8), np.uint8)
-    gaps[:, :6] = planes.reshape(6, n).T
-    values = np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
-    return values, *(np.unpackbits(f)[:n].astype(bool) for f in flags)
+    values = np.cumsum(_of_planes(planes), dtype=np.uint64)
+    return values, *(np.unpackbits(f)[: len(values)].astype(bool) for f in flags)
+
+
+def _pack_counted(values: np.ndarray, several: np.ndarray, different: np.ndarray) -> bytes:
+    """Ascending 48-bit values with a flag and a count each."""
+    return _pack(_planes(np.diff(values, prepend=np.uint64(0))), np.packbits(several), _planes(different))
+
+
+def _unpack_counted(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes, several, different = _unpack(blob, "u1", "u1", "u1")
+    values = np.cumsum(_of_planes(planes), dtype=np.uint64)
+    return values, np.unpackbits(several)[: len(values)].astype(bool), _of_planes(different).astype(np.int64)
+
+
+def _among(values: np.ndarray, ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``values`` are in ``ascending``, and the place of those."""
+    if not len(ascending):
+        return np.zeros(len(values), bool), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)
+    found = ascending[at] == values
+    return found, at[found]
 
 
 # --- texts as shards ---------------------------------------------------------------------------
@@ -232,8 +264,8 @@ def _spans(start: int, count: int, task: int) -> Iterator[tuple[int, int, int]]:
         yield a, min(SPAN, start + count - a), task
 
 
-def _parts(shard: _Shard, start: int, count: int, value: int, tasks: int) -> Iterator[tuple[int, int, int]]:
-    """A common segment cut by the distance of each string from the anchor in it: first start, number, task.
+def _parts(shard: _Shard, start: int, count: int, value: int) -> Iterator[tuple[int, int, int]]:
+    """A common segment cut by the distance of each string from the anchor in it: first start, number, core.
 
     Equal strings hold the anchor at the same distance, and lie in parts with the same shared bytes. Inside a
     run of one byte every place is an anchor, so that each string there is a part of its own.
@@ -247,31 +279,68 @@ def _parts(shard: _Shard, start: int, count: int, value: int, tasks: int) -> Ite
     for a, b in zip(edges, [*edges[1:], count]):
         core = start + a + int(distance[a]) - PART * int(part[a])
         shared = shard.bytes[core : core + LENGTH - PART + 1]
-        yield start + a, b - a, xxhash.xxh64_intdigest(shared, int(part[a])) % tasks
+        yield start + a, b - a, xxhash.xxh64_intdigest(shared, int(part[a])) >> 16
+
+
+def _digests(shard: _Shard, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """64-bit multilinear hash of each segment; with its length and value it tells segments apart."""
+    out = np.empty(len(start), np.uint64)
+    factors = np.random.default_rng(50).integers(0, 1 << 63, SPAN + LENGTH, np.uint64) * np.uint64(2) + np.uint64(1)
+    for n in np.unique(count).tolist():
+        size = n + LENGTH - 1
+        at = np.flatnonzero(count == n)
+        windows = np.lib.stride_tricks.sliding_window_view(shard.buffer, size)
+        for a in range(0, len(at), 4096):
+            rows = windows[start[at[a : a + 4096]]].astype(np.uint64)
+            rows += np.uint64(1)
+            rows *= factors[:size]
+            sums = rows.sum(axis=1, dtype=np.uint64)
+            out[at[a : a + 4096]] = sums ^ sums >> np.uint64(31)
+    return out
+
+
+def _cut(shard: _Shard, *segments: np.ndarray) -> np.ndarray:
+    """Common segments (start, number, value, document) as rows of their parts: start, number, document, core, value."""
+    rows = [(b, k, d, core, v) for a, n, v, d in zip(*(x.tolist() for x in segments)) for b, k, core in _parts(shard, a, n, v)]
+    return np.array(rows, np.int64).reshape(-1, 5)
+
+
+def _singles(shard: _Shard, parts: np.ndarray, tasks: int) -> np.ndarray:
+    """Rows of ``_cut`` as rows of one string each, with the task by the hash of the string instead of the core."""
+    n = parts[:, 1]
+    rows = np.repeat(parts, n, axis=0)
+    rows[:, 0] += np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+    rows[:, 1] = 1
+    rows[:, 3] = _task_of(_digests(shard, rows[:, 0], rows[:, 1]), tasks)
+    return rows
 
 
 class _Segments:
     """The segments of a shard whose value is shared, each distinct text once, in order of their tasks."""
 
-    def __init__(self, shard: _Shard, shared: list[bytes], tasks: int):
+    def __init__(self, shard: _Shard, shared: list[bytes], dense: list[bytes], tasks: int):
         start, count, value, document = _runs(shard)
         known = [_unpack_sorted(b) for b in shared]
         values = np.concatenate([k[0] for k in known]) if known else np.empty(0, np.uint64)
         common = np.concatenate([k[1] for k in known]) if known else np.empty(0, bool)
         order = np.argsort(values)
         values, common = values[order], common[order]
-        at = np.minimum(np.searchsorted(values, value), max(0, len(values) - 1))
-        pick = values[at] == value if len(values) else np.zeros(len(value), bool)
+        pick, at = _among(value, values)
         start, count, value, document = start[pick], count[pick], value[pick], document[pick]
-        often = common[at[pick]] if len(values) else np.zeros(0, bool)
+        often = common[at]
         home = _task_of(value, tasks)
         whole = ~often & (count <= SPAN)
         parts = [np.stack([start, count, document, home, value.astype(np.int64)], axis=1)[whole]]
-        for a, n, v, d, t, hot in zip(*(x[~whole].tolist() for x in (start, count, value, document, home, often))):
-            cut = _parts(shard, a, n, v, tasks) if hot else _spans(a, n, t)
-            parts.append(np.array([(b, k, d, to, v) for b, k, to in cut], np.int64))
+        for a, n, v, d, t in zip(*(x[~often & ~whole].tolist() for x in (start, count, value, document, home))):
+            parts.append(np.array([(b, k, d, to, v) for b, k, to in _spans(a, n, t)], np.int64))
+        cut = _cut(shard, start[often], count[often], value[often], document[often])
+        single, _ = _among(cut[:, 3], np.sort(np.concatenate([_unpack_sorted(b, 0)[0] for b in dense])).astype(np.int64) if dense else cut[:0, 3])
+        parts.append(_singles(shard, cut[single], tasks))
+        cut = cut[~single]
+        cut[:, 3] %= tasks
+        parts.append(cut)
         self.start, self.count, self.document, target, value = np.concatenate(parts).T
-        look = self._digests(shard)
+        look = _digests(shard, self.start, self.count)
         order = np.lexsort((value, look, self.count, target))
         opens = np.ones(len(order), bool)
         for column in (value, look, self.count, target):
@@ -284,22 +353,6 @@ class _Segments:
         self.least = np.full(len(self.first), NO_ID, np.int64)
         np.minimum.at(self.least, self.which, shard.ids[self.document])
 
-    def _digests(self, shard: _Shard) -> np.ndarray:
-        """64-bit multilinear hash of each segment; with its length and value it tells segments apart."""
-        out = np.empty(len(self.start), np.uint64)
-        factors = np.random.default_rng(50).integers(0, 1 << 63, SPAN + LENGTH, np.uint64) * np.uint64(2) + np.uint64(1)
-        for n in np.unique(self.count).tolist():
-            size = n + LENGTH - 1
-            at = np.flatnonzero(self.count == n)
-            windows = np.lib.stride_tricks.sliding_window_view(shard.buffer, size)
-            for a in range(0, len(at), 4096):
-                rows = windows[self.start[at[a : a + 4096]]].astype(np.uint64)
-                rows += np.uint64(1)
-                rows *= factors[:size]
-                sums = rows.sum(axis=1, dtype=np.uint64)
-                out[at[a : a + 4096]] = sums ^ sums >> np.uint64(31)
-        return out
-
     def texts(self, shard: _Shard, a: int, b: int) -> bytes:
         """The distinct segments ``a`` to ``b``, back to back."""
         first = self.first[a:b]
@@ -317,7 +370,7 @@ def _row_frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _anchor_rows(tasks: int):
-    """Per shard and task: the values seen, whether in documents of different ids, whether in many segments."""
+    """Per shard and task: the values seen, whether in documents of different ids, in how many different segments."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -325,14 +378,14 @@ def _anchor_rows(tasks: int):
                 shard = _Shard(body)
                 start, count, value, document = _runs(shard)
                 if len(value):
-                    value, several, diverse = _summary(shard, start, count, value, document)
+                    value, several, different = _summary(shard, start, count, value, document)
                     target = _task_of(value, tasks)
                     by = np.argsort(target, kind="stable")
-                    value, several, diverse, target = value[by], several[by], diverse[by], target[by]
+                    value, several, different, target = value[by], several[by], different[by], target[by]
                     edges = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
                     yield _row_frame(
                         [
-                            (number, _SHARED, int(target[a]), _pack_sorted(value[a:b], several[a:b], diverse[a:b]))
+                            (number, _SHARED, int(target[a]), _pack_counted(value[a:b], several[a:b], different[a:b]))
                             for a, b in zip(edges, [*edges[1:], len(target)])
                         ]
                     )
@@ -341,42 +394,88 @@ def _anchor_rows(tasks: int):
 
 
 def _summary(shard: _Shard, start: np.ndarray, count: np.ndarray, value: np.ndarray, document: np.ndarray):
-    """Distinct values, and for each whether its ids and (by their first and last bytes) its segments are several."""
+    """Distinct values, and for each whether its ids are several and the number of its different segments.
+
+    Segments are told apart by their first 48 and last 32 bytes: all of one without repeated anchors.
+    """
     eight = np.lib.stride_tricks.sliding_window_view(shard.buffer, 8)
-    head, tail = (eight[at].copy().view("<u8").ravel() for at in (start, start + count + LENGTH - 9))
-    look = (head * _ODD[0] ^ tail) * _ODD[1]
+    ends, look = start + count + LENGTH - 1, count.astype(np.uint64)
+    for at in [*(start + k for k in range(0, 48, 8)), *(ends - k for k in range(8, 40, 8))]:
+        look ^= eight[at].copy().view("<u8").ravel()
+        look *= _ODD[0]
+        look ^= look >> np.uint64(32)
     order = np.lexsort((look, value))
     value, look, ids = value[order], look[order], shard.ids[document[order]]
     opens = np.r_[True, value[1:] != value[:-1]]
     first = np.flatnonzero(opens)
     several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
     different = np.add.reduceat((opens | np.r_[True, look[1:] != look[:-1]]).astype(np.int64), first)
-    return value[first], several, different >= DIVERSE
+    return value[first], several, different
 
 
 def _share(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one task's values: to each shard those that also stand in another document."""
-    lists = [_unpack_sorted(b, 2) for b in frame["body"]]
+    lists = [_unpack_counted(b) for b in frame["body"]]
     sizes = [len(v) for v, _, _ in lists]
-    value, several, diverse = (np.concatenate(column) for column in zip(*lists))
+    value, several, different = (np.concatenate(column) for column in zip(*lists))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(value, kind="stable")
-    value, several, diverse, owner = value[order], several[order], diverse[order], owner[order]
+    value, several, different, owner = value[order], several[order], different[order], owner[order]
     first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
     shards = np.diff(np.r_[first, len(value)])
     shared = np.repeat((shards > 1) | np.maximum.reduceat(several, first), shards)
-    common = np.repeat(np.add.reduceat(diverse.astype(np.int64), first) >= COMMON, shards)
-    value, owner, common = value[shared], owner[shared], common[shared]
+    many = np.add.reduceat(different, first) > MANY
+    common = np.repeat(many | (np.add.reduceat((different >= DIVERSE).astype(np.int64), first) >= COMMON), shards)
+    many = np.repeat(many, shards)
+    value, owner, common, many, different = (x[shared] for x in (value, owner, common, many, different))
     order = np.argsort(owner, kind="stable")  # values stay ascending for each owner
-    value, owner, common = value[order], owner[order], common[order]
+    value, owner, common, many, different = (x[order] for x in (value, owner, common, many, different))
+    symbols = np.where(common, different * -(-SPAN // PART) * (LENGTH + PART), different * (LENGTH + ANCHOR // 2))
     edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
-    return _row_frame(
-        [
-            (shard, _SHARED, int(b - a), _pack_sorted(value[a:b], common[a:b]))
-            for shard, a, b in zip(frame["shard"], edges, edges[1:])
-            if b > a
-        ]
-    )
+    out = []
+    for shard, a, b in zip(frame["shard"], edges, edges[1:]):
+        if b > a:
+            out.append((shard, _SHARED, int(symbols[a:b].sum()), _pack_sorted(value[a:b], common[a:b])))
+        if many[a:b].any():
+            out.append((shard, _MANY, 0, _pack_sorted(value[a:b][many[a:b]])))
+    return _row_frame(out)
+
+
+def _core_rows(tasks: int):
+    """Of one shard: the cores of its values in very many segments, with the number of different parts, by task."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        shard = _Shard(frame.loc[frame["kind"] == _BODY, "body"].iloc[0])
+        many = np.sort(np.concatenate([_unpack_sorted(b, 0)[0] for b in frame.loc[frame["kind"] == _MANY, "body"]]))
+        segments = _runs(shard)
+        pick, _ = _among(segments[2], many)
+        cut = _cut(shard, *(x[pick] for x in segments))
+        look = _digests(shard, cut[:, 0], cut[:, 1])
+        _, once = np.unique(np.stack([cut[:, 3], cut[:, 1], look.view(np.int64)]), axis=1, return_index=True)
+        cores, counts = np.unique(cut[once, 3].astype(np.uint64), return_counts=True)
+        target = _task_of(cores, tasks)
+        return _row_frame(
+            [
+                (frame["shard"].iloc[0], _DENSE, t, _pack_counted(cores[target == t], counts[target == t] > 0, counts[target == t]))
+                for t in np.unique(target).tolist()
+            ]
+        )
+
+    return run
+
+
+def _dense(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one task's cores: to each shard those with very many parts; ``part`` is the symbols of their strings."""
+    lists = [_unpack_counted(b) for b in frame["body"]]
+    cores, which = np.unique(np.concatenate([v for v, _, _ in lists]), return_inverse=True)
+    total = np.zeros(len(cores), np.int64)
+    np.add.at(total, which, np.concatenate([n for _, _, n in lists]))
+    out = []
+    for shard, (own, _, n) in zip(frame["shard"], lists):
+        dense = total[np.searchsorted(cores, own)] > MANY
+        if dense.any():
+            out.append((shard, _DENSE, int(n[dense].sum()) * PART * LENGTH, _pack_sorted(own[dense])))
+    return _row_frame(out)
 
 
 def _segment_rows(tasks: int):
@@ -384,11 +483,11 @@ def _segment_rows(tasks: int):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         body = frame.loc[frame["kind"] == _BODY, "body"].iloc[0]
-        shared = list(frame.loc[frame["kind"] == _SHARED, "body"])
+        shared, dense = (list(frame.loc[frame["kind"] == k, "body"]) for k in (_SHARED, _DENSE))
         out = []
         if shared:
             shard = _Shard(body)
-            found = _Segments(shard, shared, tasks)
+            found = _Segments(shard, shared, dense, tasks)
             for task, a, b in found.by_task():
                 joined = np.frombuffer(found.texts(shard, a, b), np.uint8)
                 blob = _pack(found.counts[a:b].astype("u1"), found.least[a:b], joined)
@@ -498,10 +597,10 @@ def _finish(tasks: int, cleaned: bool, names: list[str]):
         kinds, bodies = table.column("kind").to_pylist(), table.column("body").to_pylist()
         parts = table.column("part").to_pylist()
         shard = _Shard(next(b for k, b in zip(kinds, bodies) if k == _BODY))
-        shared = [b for k, b in zip(kinds, bodies) if k == _SHARED]
+        shared, dense = ([b for k, b in zip(kinds, bodies) if k == wanted] for wanted in (_SHARED, _DENSE))
         if shared:
             replies = {p: b for k, p, b in zip(kinds, parts, bodies) if k == _REPLY}
-            removed = _removed(shard, _Segments(shard, shared, tasks), replies)
+            removed = _removed(shard, _Segments(shard, shared, dense, tasks), replies)
         else:
             removed = np.zeros(len(shard.buffer), bool)
         sums = np.r_[np.int32(0), np.cumsum(removed, dtype=np.int32)]
@@ -544,9 +643,17 @@ def _run(docs: DataFrame, cleaned: bool, shard_bytes: int) -> DataFrame:
     shared = cut_lineage(
         shards.mapInPandas(_anchor_rows(tasks), _ROW).groupBy("part").applyInPandas(_share, _ROW)
     )
-    segments = shared.agg(F.sum("part")).first()[0] or 0
-    second = max(1, -(-segments * (LENGTH + ANCHOR // 2) // SYMBOLS_PER_TASK))
+    many = shared.where(F.col("kind") == _MANY)
+    shared = shared.where(F.col("kind") == _SHARED)
+    symbols = shared.agg(F.sum("part")).first()[0] or 0
     at_home = shards.unionByName(shared)
+    if not many.isEmpty():
+        asked = shards.join(many.select("shard").distinct(), "shard", "left_semi").unionByName(many)
+        counted = asked.groupBy("shard").applyInPandas(_core_rows(tasks), _ROW)
+        dense = cut_lineage(counted.groupBy("part").applyInPandas(_dense, _ROW))
+        symbols += dense.agg(F.sum("part")).first()[0] or 0
+        at_home = at_home.unionByName(dense)
+    second = max(1, -(-symbols // SYMBOLS_PER_TASK))
     replies = (
         at_home.groupBy("shard")
         .applyInPandas(_segment_rows(second), _ROW)

@@ -32,3 +32,26 @@ def test_passages_one_byte_runs(spark):
     rows = ruled_documents(low_bytes(2), [24, 25, 30, 33, 40, 48, 49, 50, 57, 58, 75, 82, 83, 120, 300], 30)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert check_passages(suffix_dedup.repeated_passages(docs, 9_000).collect(), rows) > 0
+
+
+def test_passages_common_line(spark, tmp_path, monkeypatch):
+    """A line in very many documents, each time between other texts: no task gets all strings around it."""
+    rng = np.random.default_rng(8)
+    line = "".join(rng.choice(list("ABCDEFGH"), 44))
+    noise = rng.choice(list("ghijklmnopqr"), (9_000, 40))
+    rows = [(k, f"{''.join(n[:20])}{line}{''.join(n[20:])}") for k, n in enumerate(noise)]
+    rows += [(9_000 + k, rows[k][1][:60]) for k in range(0, 9_000, 3)]
+    classify, folder = suffix_dedup._classify, str(tmp_path)
+
+    def watched(frame):
+        import os
+
+        strings = sum(len(suffix_dedup._unpack(b, "u1", "i8", "u1")[2]) for b in frame["body"])
+        open(f"{folder}/{strings}_{os.urandom(8).hex()}", "w").close()
+        return classify(frame)
+
+    monkeypatch.setattr(suffix_dedup, "_classify", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert check_passages(suffix_dedup.repeated_passages(docs, 60_000).collect(), rows) > 0
+    sizes = [int(f.name.split("_")[0]) for f in tmp_path.iterdir()]
+    assert len(sizes) > 1 and max(sizes) < 2 * sum(sizes) / len(sizes)
