@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelsmith.functions.spread import spread_join
-from panelsmith.llm.common import NO_ID, arrow_schema, id_of, key_of, raw_text, table_of
+from panelsmith.llm.common import NO_ID, arrow_schema, id_of, key_of, raw_text
 from panelsmith.llm.graph import components
 from panelsmith.session import cut_lineage
 
@@ -52,17 +52,26 @@ def _fingerprint(text: bytes, size: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``key`` (the id, ``NO_ID`` for NULL) and ``fp`` (signed 64 bits) per row of ``docs``."""
-    schema = arrow_schema(docs.sparkSession, "key long, fp long")
+def _mark(docs: DataFrame) -> Column:
+    """A hash of all columns, in which a NULL counts in its place."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, marked: bool = False) -> DataFrame:
+    """``key`` (the id, ``NO_ID`` for NULL), ``fp`` (signed 64 bits), if asked ``mark``, per row of ``docs``."""
+    shape = "key long, fp long, mark long" if marked else "key long, fp long"
+    schema = arrow_schema(docs.sparkSession, shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [_fingerprint(t.as_py(), shingle) for t in batch.column(1)]
             fps = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), fps], schema=schema)
+            rest = [c.cast(pa.int64()) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), fps, *rest], schema=schema)
 
-    return docs.select(key_of().alias("key"), raw_text().alias("text")).mapInArrow(run, "key long, fp long")
+    columns = [key_of().alias("key"), raw_text().alias("text"), *([_mark(docs).alias("mark")] if marked else [])]
+    return docs.select(*columns).mapInArrow(run, shape)
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -249,6 +258,12 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     )
 
 
+def _rooted(classes: DataFrame, radius: int) -> DataFrame:
+    """``classes`` (one row per ``fp``) with the ``root`` print of the component."""
+    roots = components(near_links(classes, radius)).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -260,10 +275,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     prints = cut_lineage(fingerprints(docs, shingle))
     classes = cut_lineage(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
-    roots = components(near_links(classes, radius))
-    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
+    classes = _rooted(classes, radius)
     least = classes.groupBy("root").agg(F.min("least").alias("component"))
     members = cut_lineage(classes.join(least, "root").select("fp", "component", "n"))
     return spread_join(prints, members, "fp", "n").select(
@@ -273,10 +285,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     )
 
 
+def one_row_per_component(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each component stays: that of the least id, and of rows with that id the least hash of all columns.
+
+    A NULL id counts as greater than all others, so a component without any id keeps one row too. Texts
+    under one id that are no near copies are components of their own; each keeps its row. Of rows equal in
+    all columns one stays.
+    """
+    prints = fingerprints(docs, shingle, True)
+    classes = cut_lineage(prints.groupBy("fp").agg(F.min(F.struct("key", "mark")).alias("first")))
+    kept = _rooted(classes, radius).groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.key").alias("_key"), F.col("first.mark").alias("_mark"))
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    out = docs.select(key_of().alias("_key"), _mark(docs).alias("_mark"), *columns).join(kept, ["_key", "_mark"], "left_semi")
+    out = out.dropDuplicates(["_key", "_mark"])
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def one_per_component(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are the least of their component: one document of each group stays.
 
-    Repeated rows of the kept id: one stays.
+    One row per id stays, whatever its text, and one of all rows without an id: for tables whose ids are unique
+    and present. ``one_row_per_component`` loses no text of others; the pipeline uses that.
     """
     found = near_duplicates(docs, **options)
     kept = (

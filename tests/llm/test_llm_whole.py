@@ -6,7 +6,7 @@ Workers import the modules anew, so patched bounds would not reach them: the inp
 import numpy as np
 from test_llm_duplicates import check_passages
 
-from panelsmith.llm import suffix_dedup
+from panelsmith.llm import simhash, suffix_dedup
 
 
 def low_bytes(n):
@@ -55,3 +55,15 @@ def test_passages_common_line(spark, tmp_path, monkeypatch):
     assert check_passages(suffix_dedup.repeated_passages(docs, 60_000).collect(), rows) > 0
     sizes = [int(f.name.split("_")[0]) for f in tmp_path.iterdir()]
     assert len(sizes) > 1 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_one_row_per_component(spark):
+    """Rows without ids, ids with two texts, rows equal but for the place of a NULL."""
+    a, b, c, d, e = (" ".join(f"{w}{k}" for k in range(30)) for w in "abcde")
+    rows = [(1, a, "x"), (None, a, "x"), (None, a, "y"), (None, b, "x"), (None, b, "y"), (None, c, None), (None, None, c)]
+    rows += [(7, d, "x"), (7, e, "x"), (7, e, "x"), (8, e, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = simhash.one_row_per_component(docs)
+    assert kept.schema == docs.schema
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert found == sorted([(1, a), (None, b), (None, c), (None, None), (7, d), (7, e)], key=str)
