@@ -4,13 +4,14 @@ Terms are words, and stems that words start with, which stand in toxic documents
 others. They form a trie; a word is run through the trie and through the automaton that accepts all strings
 within one edit of a term, both at once, so that misspelled terms are found too. Each hit is weighed by
 its term and looked at in its context window: inside quotation marks it counts apart. A logistic
-regression on these sums gives the score.
+regression on these sums gives the score. Words that one digit or sign parts (id1ot) are also read as one.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,6 +42,8 @@ CONTEXT = 6
 HEAD, REMEMBER = 6, 500_000
 
 _WORD = re.compile(r"[^\W\d_]+|[\"“”„«»]")
+#: The first of two words with one digit or sign between them, and the rest up to the end of the second.
+_TORN = re.compile(r"(?<![^\W\d_])([^\W\d_]++)(?=((?:[\d_]|[^\w\s\"“”„«»])[^\W\d_]++))")
 _QUOTES = frozenset("\"“”„«»")
 
 Lexicon = dict[tuple[str, bool], float]
@@ -172,8 +175,21 @@ class Reader:
         hit = max(exact, more_exact), max(near, more_near)
         return hit if any(hit) else None
 
+    def _with_torn(self, text: str, hits: list[tuple[int, float, float]]) -> list[tuple[int, float, float]]:
+        """``hits`` and, in order, those of words torn by one digit or sign of which neither half is a hit."""
+        known, more, word, at = {i for i, _, _ in hits}, [], 0, 0
+        for torn in _TORN.finditer(text):
+            exact, near = self._trie.hits(torn[1] + torn[2])
+            if exact or near:
+                word += sum(1 for _ in _WORD.finditer(text, at, torn.start()))
+                at = torn.start()
+                if word not in known and word + 1 not in known:
+                    more.append((word, exact, near))
+        return sorted(hits + more) if more else hits
+
     def features(self, text: bytes) -> list[float]:
-        words = _WORD.findall(text.decode("utf-8", "replace").lower())
+        text = text.decode("utf-8", "replace").lower()
+        words = _WORD.findall(text)
         heads, begin, hits = self._heads, self._trie.begin, []
         if len(heads) + len(self._short) > REMEMBER:
             heads.clear()
@@ -191,6 +207,8 @@ class Reader:
             hit = self._look(w)
             if hit:
                 hits.append((i, *hit))
+        hits = self._with_torn(text, hits)
+        places = [i for i, _, _ in hits]
         direct = quoted = near_direct = near_quoted = top = beside = 0.0
         for i, exact, near in hits:
             before = sum(w in _QUOTES for w in words[max(0, i - CONTEXT) : i])
@@ -206,7 +224,7 @@ class Reader:
                 near_quoted += near
             else:
                 near_direct += near
-            beside += sum(j != i and abs(j - i) <= CONTEXT for j, _, _ in hits[:50])
+            beside += bisect_right(places, i + CONTEXT) - bisect_left(places, i - CONTEXT) - 1
         n = max(1, len(words))
         return [
             math.log1p(direct),

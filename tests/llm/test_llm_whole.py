@@ -4,9 +4,10 @@ Workers import the modules anew, so patched bounds would not reach them: the inp
 """
 
 import numpy as np
+import pytest
 from test_llm_duplicates import check_passages
 
-from panelsmith.llm import simhash, suffix_dedup
+from panelsmith.llm import simhash, suffix_dedup, toxicity
 
 
 def low_bytes(n):
@@ -67,3 +68,27 @@ def test_one_row_per_component(spark):
     assert kept.schema == docs.schema
     found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
     assert found == sorted([(1, a), (None, b), (None, c), (None, None), (7, d), (7, e)], key=str)
+
+
+LEXICON = {("idiot", False): 3.0, ("moron", False): 2.5, ("trash", True): 2.0}
+
+
+def test_context_of_all_hits():
+    """Words between hits part them; each pair within the context counts, also after the 50th hit."""
+    reader = toxicity.Reader(LEXICON)
+    words = ["idiot"] * 70 + ["fine"] * 40 + ["idiot", "fine", "moron"] * 40
+    places = [i for i, w in enumerate(words) if w != "fine"]
+    beside = sum(i != j and abs(i - j) <= toxicity.CONTEXT for i in places for j in places)
+    assert reader.features(" ".join(words).encode())[7] == pytest.approx(np.log1p(beside))
+
+
+def test_terms_with_inner_signs():
+    def found(text):
+        direct, quoted, near, near_quoted, *_ = toxicity.Reader(LEXICON).features(text.encode())
+        return [round(float(np.expm1(v)), 6) for v in (direct, quoted, near, near_quoted)]
+
+    for word, weight in [("id1ot", 3), ("m0ron", 2.5), ("tr*sh", 2), ("tr_shy", 2), ("idi.ot", 3), ("an-id1ot-like", 3)]:
+        assert found(f"you {word} there") == [0, 0, weight, 0], word
+    assert found('they said "you id1ot there" to me') == [0, 0, 0, 3]
+    assert found("well-known idiot-like id2l2ot") == [3, 0, 0, 0]
+    assert found("fine " * 20 + "id1ot m0ron idiot") == [3, 0, 5.5, 0]
