@@ -33,6 +33,8 @@ from panelsmith.llm.common import (
 from panelsmith.session import cut_lineage
 
 WINDOW = 10
+#: Words of a document that hold all words of a window in a proximity match.
+SLOP = 20
 #: Bytes of benchmark text broadcast at once.
 SLICE_BYTES = 16 << 20
 #: Tokens per index shard; a longer document is a shard of its own.
@@ -136,8 +138,8 @@ def _windows(items: list[tuple[str, bytes]], size: int) -> tuple[dict[bytes, int
 def search(index: DataFrame, windows: dict[tuple, list[str]], slop: int = 0) -> DataFrame:
     """One row per document and slice: words in exact phrase matches, items matched.
 
-    ``slop`` > 0 adds ``near``: items of which some window has its three rarest distinct terms within
-    ``slop`` consecutive words of the document (a proximity match, order free).
+    ``slop`` > 0 adds ``near``: items of which some window has all its distinct terms within ``slop``
+    consecutive words of the document (a proximity match, order free).
     """
     spark = index.sparkSession
     frequency = dict(index.where("term >= 0").groupBy("term").agg(F.sum("df")).toLocalIterator())
@@ -145,7 +147,7 @@ def search(index: DataFrame, windows: dict[tuple, list[str]], slop: int = 0) ->
     for terms, items in windows.items():
         if all(t in frequency for t in terms):
             order = sorted(range(len(terms)), key=lambda i: (frequency[terms[i]], i))
-            rare = list(dict.fromkeys(terms[i] for i in order))[:3]
+            rare = list(dict.fromkeys(terms[i] for i in order)) if slop else []
             asked.append((terms, order, rare, items))
     shared = spark.sparkContext.broadcast(asked)
 
@@ -161,6 +163,27 @@ def search(index: DataFrame, windows: dict[tuple, list[str]], slop: int = 0) ->
         at[at == len(among)] = 0
         return among[at] == values
 
+    def close(lists: dict[int, np.ndarray], rare: list[int], begins: np.ndarray) -> np.ndarray:
+        """Documents with all terms within ``slop`` words: from places of the rarest, stretches are tried at every start."""
+        at = lists[rare[0]]
+        for t in rare[1:]:
+            other = lists.get(t, at[:0])
+            first = np.searchsorted(other, at - slop, "right")
+            at = at[first < np.searchsorted(other, at + slop)]
+            if not len(at):
+                return at
+        start = np.unique(at[:, None] - np.arange(slop))
+        low, high = np.full(len(start), np.iinfo(np.int64).max), np.full(len(start), -1)
+        for t in rare:
+            other = lists[t]
+            i = np.searchsorted(other, start)
+            place = other[np.minimum(i, len(other) - 1)]
+            fits = (i < len(other)) & (place < start + slop)
+            start, place = start[fits], place[fits]
+            low, high = np.minimum(low[fits], place), np.maximum(high[fits], place)
+        document = np.searchsorted(begins, low, "right") - 1
+        return np.unique(document[document == np.searchsorted(begins, high, "right") - 1])
+
     def look(frame: pd.DataFrame) -> pd.DataFrame:
         lists = positions(frame)
         meta = frame[frame["term"] < 0].iloc[0]
@@ -185,20 +208,8 @@ def search(index: DataFrame, windows: dict[tuple, list[str]], slop: int = 0) ->
                 np.add.at(change, found + len(terms), -1)
                 for d in np.unique(np.searchsorted(begins, found, "right") - 1).tolist():
                     items.setdefault(d, set()).update(held)
-            if slop and all(t in lists for t in rare):
-                at = lists[rare[0]]
-                low, high = at.copy(), at.copy()
-                for t in rare[1:]:
-                    other = lists[t]
-                    i = np.searchsorted(other, at)
-                    left = other[np.maximum(i - 1, 0)]
-                    right = other[np.minimum(i, len(other) - 1)]
-                    pick = np.where(np.abs(at - left) <= np.abs(right - at), left, right)
-                    low, high = np.minimum(low, pick), np.maximum(high, pick)
-                hit = (high - low < slop) & (
-                    np.searchsorted(begins, low, "right") == np.searchsorted(begins, high, "right")
-                )
-                for d in np.unique(np.searchsorted(begins, at[hit], "right") - 1).tolist():
+            if slop:
+                for d in close(lists, rare, begins).tolist():
                     near.setdefault(d, set()).update(held)
         covered = np.cumsum(change)[:-1] > 0
         edges = np.flatnonzero(np.diff(np.r_[False, covered, False]))
@@ -249,7 +260,8 @@ def benchmark_matches(
     """Per row of ``docs``: its words inside benchmark windows, and the items these come from.
 
     Returns ``row`` (the row's number), ``doc_id``, ``n_words``, ``spans`` (word positions: start, end,
-    start, end ..., maximal and disjoint), ``items`` and ``near`` (item ids as strings, sorted). A
+    start, end ..., maximal and disjoint), ``items`` and ``near`` (item ids as strings, sorted; ``near``
+    only with ``slop``, and then ``items`` of windows of at most ``slop`` words are in it too). A
     window is ``window`` consecutive words of an item (at most 10), or the whole of a shorter one.
     NULL and empty texts have no words; empty items match nothing; a repeated document row is
     reported as often as it occurs; items with the same id are one item. Columns other than ``doc_id``
@@ -276,9 +288,10 @@ def _one_slice(rows: DataFrame, items: list, window: int, slop: int, shard_token
     return search(cut_lineage(build_index(rows, vocabulary, shard_tokens)), windows, slop)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The digest of ``benchmark_matches`` per row of ``docs``."""
-    found = benchmark_matches(docs, benchmark, **options)
+def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0, **options) -> DataFrame:
+    """The digest of ``benchmark_matches`` per row of ``docs``; with ``slop`` also of the proximity matches."""
+    found = benchmark_matches(docs, benchmark, slop=slop, **options)
+    near = [F.size("near").cast("long").alias("n_near"), F.sha2(F.concat_ws(",", "near"), 256).alias("near_sha256")]
     return found.select(
         "doc_id",
         "n_words",
@@ -290,6 +303,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.size("items") > 0).alias("contaminated"),
+        *(near if slop else []),
     )
 
 

@@ -75,4 +75,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    tables = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(*tables, slop=decontaminate.SLOP)

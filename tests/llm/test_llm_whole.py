@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_llm_duplicates import check_passages
 
-from panelsmith.llm import simhash, suffix_dedup, toxicity
+from panelsmith.llm import decontaminate, queries, simhash, suffix_dedup, toxicity
 
 
 def low_bytes(n):
@@ -92,3 +92,30 @@ def test_terms_with_inner_signs():
     assert found('they said "you id1ot there" to me') == [0, 0, 0, 3]
     assert found("well-known idiot-like id2l2ot") == [3, 0, 0, 0]
     assert found("fine " * 20 + "id1ot m0ron idiot") == [3, 0, 5.5, 0]
+
+
+@pytest.mark.parametrize(("slop", "options"), [(6, {}), (12, {"slice_bytes": 60, "shard_tokens": 100}), (20, {})])
+def test_proximity_matches(spark, slop, options):
+    rng = np.random.default_rng(slop)
+    texts = [(k, " ".join(rng.choice(list("abcdefghijklmnop"), rng.integers(0, 60)))) for k in range(150)]
+    texts.append((150, "x " * 10 + "q " * 4 + "r " + "s " + "x " * 4))
+    items = [(str(k), " ".join(rng.choice(list("abcdefghijklmnopxqrs"), rng.integers(1, 16)))) for k in range(25)]
+    docs, table = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    expected = {}
+    for doc, text in texts:
+        words = text.split()
+        stretches = [set(words[i : i + slop]) for i in range(max(1, len(words) - slop + 1))]
+        expected[doc] = sorted(
+            item
+            for item, t in items
+            if any(set(t.split()[i : i + 10]) <= s for i in range(max(1, len(t.split()) - 9)) for s in stretches)
+        )
+    found = decontaminate.benchmark_matches(docs, table, slop=slop, **options).collect()
+    assert {r["doc_id"]: r["near"] for r in found} == expected
+    assert any(expected.values())
+
+
+def test_proximity_query(spark, small):
+    found = queries.op10(spark, small)
+    assert found.columns[-2:] == ["n_near", "near_sha256"]
+    assert found.where("n_near < n_items").count() == 0
