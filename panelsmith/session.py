@@ -76,8 +76,14 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         context.setLocalProperty(_SCOPE, outer)
-        path = context._jvm.org.apache.hadoop.fs.Path(_tables(spark, scope))
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        drop_table(spark, _tables(spark, scope))
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a written table (or a folder of them) that no later job reads."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
