@@ -8,12 +8,15 @@ from panelsmith.llm import (
     chat_roles,
     decontaminate,
     langid,
+    merkle,
+    mixing,
     packing,
     quality,
     quality_rules,
     simhash,
     suffix_dedup,
     toxicity,
+    vector_codes,
     wordpiece,
 )
 from panelsmith.llm.common import read
@@ -77,3 +80,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return decontaminate.contamination(*tables, slop=decontaminate.SLOP)
+
+
+@query("op11_vector_codes", vector_codes.sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_merkle_manifest", merkle.sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(read(spark, sf_dir, "documents"))
+
+
+@query("op13_mixing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read(spark, sf_dir, "documents"))
