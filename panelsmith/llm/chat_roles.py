@@ -5,25 +5,25 @@ the role its row is filed under), whether it starts a row, and its form. Line fo
 order of roles are counted from the rows whose marker is known; the most likely state sequence of each
 conversation is found by Viterbi's method.
 
-A conversation may be any part of the table, so it is not brought together. Rows are sorted over all tasks
-and cut into chunks of one conversation; a chunk is summed up by its max-plus product, chunks of chunks
-likewise, until one chunk is a whole conversation. Its best path fixes the states at the chunk borders, and
-from there each chunk is decoded on its own.
+A conversation may be any part of the table, so it is not brought together. Its rows are numbered over all
+tasks and cut into chunks of ``CHUNK``. A conversation of one chunk is decoded as it is. Of a longer one, each
+chunk is summed up by its max-plus product, chunks of chunks likewise, until one is the whole conversation.
+Its best path fixes the states at the chunk borders, and from there each chunk is decoded on its own.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsmith.llm.common import arrow_schema, id_of, key_of
+from panelsmith.llm.places import with_places
 from panelsmith.session import cut_lineage
 
 ROLES = ("system", "user", "assistant")
@@ -35,8 +35,6 @@ NAMES = {
 }
 #: Rows per chunk, and chunks per chunk of chunks.
 CHUNK = 256
-#: Neighbouring chunks that one call handles.
-BUNDLE = 64
 #: Log-probability weights of what a line shows, given its state.
 MARKER_FITS, MARKER_OTHER, MARKER_UNKNOWN, MARKER_NONE = 0.90, 0.01, 0.03, 0.05
 INSIDE_MARKED = 0.0075
@@ -96,32 +94,32 @@ def _observations(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, shape).dropDuplicates(["conv", "turn", "mark"])
 
 
-def _chunked(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows sorted by conversation and ``order`` over all tasks, with ``part``, ``chunk`` and ``pos``."""
-    shape = rows.schema.add("part", "long").add("chunk", "long").add("pos", "long")
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _by_chunk(rows: DataFrame, shape: str, run) -> DataFrame:
+    """``run(conv, chunk, rows of it by place)`` for every chunk (at most ``CHUNK`` rows); it yields result rows."""
+    schema = arrow_schema(rows.sparkSession, shape)
 
-    schema = to_arrow_schema(shape)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["conv"], row["chunk"]) != key:
+                    if held:
+                        out += run(*key, held)
+                    key, held = (row["conv"], row["chunk"]), []
+                held.append(row)
+            if len(out) >= 1024:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if held:
+            out += run(*key, held)
+        yield pa.RecordBatch.from_pylist(out, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    dealt = rows.repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", "place")
+    return dealt.mapInArrow(stream, shape)
 
-        part, chunk, inside, before, pos = TaskContext.get().partitionId(), -1, 0, None, 0
-        for batch in batches:
-            chunks = np.empty(batch.num_rows, np.int64)
-            for i, conv in enumerate(batch.column("conv").to_pylist()):
-                if conv != before or inside == CHUNK:
-                    chunk, inside, before = chunk + 1, 0, conv
-                inside += 1
-                chunks[i] = chunk
-            places = np.arange(pos, pos + batch.num_rows)
-            pos += batch.num_rows
-            more = [np.full(batch.num_rows, part), chunks, places]
-            columns = [*batch.columns, *(pa.array(c, pa.int64()) for c in more)]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    dealt = rows.repartitionByRange("conv", *order).sortWithinPartitions("conv", *order)
-    return cut_lineage(dealt.mapInArrow(run, shape))
+def _chunks(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("chunk", F.expr(f"place div {CHUNK}"))
 
 
 class Model:
@@ -148,18 +146,22 @@ class Model:
         self.starts = np.full((2, _K), -np.inf)
         self.starts[1, :3], self.starts[1, _OPEN : _OPEN + 3] = math.log(START_INSIDE), math.log(START_OPENS)
         self.starts[0, :3], self.starts[0, _OPEN : _OPEN + 3] = math.log(1 - START_INSIDE), math.log(1 - START_OPENS)
+        shows = self.starts[:, None, None] + self.shown.T[None, :, None] + self.forms.T[None, None]
+        #: Matrices (state before, state of the line) by row start, marker and form.
+        self.matrices = self.move + shows[:, :, :, None, :]
 
-    def steps(self, markers: list[int], forms: list[int]) -> Iterator[np.ndarray]:
-        """For each line the matrix (state before, state of the line) of a row."""
-        for i, (m, f) in enumerate(zip(markers, forms)):
-            yield self.move + (self.forms[:, f] + self.shown[:, m] + self.starts[int(i == 0)])
+    def steps(self, rows: list[dict]) -> Iterator[np.ndarray]:
+        """For each line of ``rows`` its matrix."""
+        for row in rows:
+            for i, (m, f) in enumerate(zip(row["markers"], row["forms"])):
+                yield self.matrices[int(i == 0), m, f]
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def _product(steps: Iterator[np.ndarray]) -> np.ndarray:
+def _product(steps: Iterable[np.ndarray]) -> np.ndarray:
     out = None
     for step in steps:
         out = step if out is None else _times(out, step)
@@ -188,119 +190,73 @@ def _learn(rows: DataFrame) -> Model:
     for r, f, n in known.select("role", F.explode("forms").alias("f")).groupBy("role", "f").count().collect():
         forms[r, f] = n
     total = rows.agg(F.count("*"), F.sum(F.size("forms"))).first()
-    # pairs of neighbours inside a chunk are rows of one table; those across chunk edges come as one row per chunk edge
+    # neighbours inside a chunk by a window of its rows; across chunks by one row on either side
     order, first = np.zeros((3, 3)), np.zeros(3)
-    neighbours = rows.select("part", "pos", "conv", "role").alias("a").join(
-        rows.select("part", (F.col("pos") - 1).alias("pos"), F.col("conv").alias("conv2"), F.col("role").alias("role2")).alias("b"),
-        ["part", "pos"],
-    )
-    pairs = neighbours.where("conv = conv2 and role < 3 and role2 < 3").groupBy("role", "role2").count()
-    for a, b, n in pairs.collect():
+    after = F.lead("role").over(Window.partitionBy("conv", "chunk").orderBy("place"))
+    inside = rows.select("role", after.alias("then"))
+    begins = rows.where(F.col("place") % CHUNK == 0)
+    ends = rows.where(F.col("place") % CHUNK == CHUNK - 1).select("conv", (F.col("chunk") + 1).alias("chunk"), "role")
+    across = ends.join(begins.select("conv", "chunk", F.col("role").alias("then")), ["conv", "chunk"]).select("role", "then")
+    for a, b, n in inside.unionByName(across).where("role < 3 and then < 3").groupBy("role", "then").count().collect():
         order[a, b] += n
-    begins = neighbours.where("conv <> conv2 and role2 < 3").groupBy("role2").count()
-    for b, n in begins.collect():
-        first[b] += n
-    edges = rows.groupBy("part").agg(
-        F.min_by(F.struct("conv", "role"), "pos").alias("low"), F.max_by(F.struct("conv", "role"), "pos").alias("high")
-    )
-    before = None
-    for e in sorted(edges.collect(), key=lambda r: r["part"]):  # one row per task of the sort
-        conv, role = e["low"]
-        if role < 3:
-            if before is not None and before[0] == conv:
-                if before[1] < 3:
-                    order[before[1], role] += 1
-            else:
-                first[role] += 1
-        before = e["high"]
+    for r, n in begins.where("place = 0 and role < 3").groupBy("role").count().collect():
+        first[r] += n
     return Model(first, order, forms, float(total[0] or 0), float(total[1] or 0))
 
 
-_LINKS = "conv long, part long, pos long, entry int, exit int"
-
-
-def _borders(rows: DataFrame) -> DataFrame:
-    """States before and after each row (conv, part, chunk, pos, product) on its conversation's best path."""
-
-    def chunks(frame: pd.DataFrame) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-        """The chunks of a bundle: first and last place in the order of ``pos``, and their matrices."""
-        frame = frame.sort_values("pos", ignore_index=True)
-        matrices = [np.asarray(p).reshape(_K, _K) for p in frame["product"]]
-        number = frame["chunk"].to_numpy()
-        edges = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]).tolist()
-        for a, b in zip(edges, [*edges[1:], len(frame)]):
-            yield a, b, matrices[a:b]
-
-    def summed(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [(a, _product(m).ravel()) for a, _, m in chunks(frame)]
-        first = frame.sort_values("pos", ignore_index=True).iloc[[a for a, _ in found]]
-        return pd.DataFrame(
-            {
-                "conv": first["conv"].to_numpy(),
-                "part0": first["part"].to_numpy(),
-                "chunk0": first["chunk"].to_numpy(),
-                "product": [p for _, p in found],
-            }
-        )
-
-    def decoded(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("pos", ignore_index=True)
-        entries, exits = ordered["entry"].tolist(), ordered["exit"].tolist()
-        before, after = [], []
-        for a, _, matrices in chunks(frame):
-            states = _path(matrices, entries[a], exits[a])
-            before += [entries[a], *states[:-1]]
-            after += states
-        out = ordered[["conv", "part", "pos"]].copy()
-        out["entry"], out["exit"] = np.array(before, np.int32), np.array(after, np.int32)
-        return out
-
-    bundle = F.floor(F.col("chunk") / BUNDLE).alias("bundle")
-    several = rows.groupBy("conv").agg(F.count_distinct("part", "chunk").alias("n")).where("n > 1")
-    if several.isEmpty():
-        bounded = rows.withColumns({"entry": F.lit(_START), "exit": F.lit(-1)})
-    else:
-        sums = rows.groupBy("part", bundle).applyInPandas(
-            summed, "conv long, part0 long, chunk0 long, product array<double>"
-        )
-        upper = _chunked(sums, ["part0", "chunk0"])
-        ends = _borders(upper.select("conv", "part", "chunk", "pos", "product"))
-        ends = upper.join(ends, ["conv", "part", "pos"]).select(
-            "conv", F.col("part0").alias("part"), F.col("chunk0").alias("chunk"), "entry", "exit"
-        )
-        bounded = rows.join(ends, ["conv", "part", "chunk"])
-    return cut_lineage(bounded.groupBy("part", bundle).applyInPandas(decoded, _LINKS))
+_SUMS = "conv long, place long, total long, product array<double>"
+_BOUNDS = "conv long, chunk long, entry int, exit int"
 
 
-def _states(rows: DataFrame, model: Model) -> DataFrame:
-    """Per row of ``rows`` (chunked observations) the state of each line."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    shape = "conv long, part long, chunk long, pos long, product array<double>"
-    schema = arrow_schema(rows.sparkSession, shape)
+def _matrices(rows: list[dict]) -> list[np.ndarray]:
+    return [np.asarray(r["product"]).reshape(_K, _K) for r in rows]
 
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [
-                _product(shared.value.steps(m, f)).ravel()
-                for m, f in zip(batch.column("markers").to_pylist(), batch.column("forms").to_pylist())
-            ]
-            columns = [*(batch.column(c) for c in ("conv", "part", "chunk", "pos")), pa.array(found, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    borders = _borders(rows.mapInArrow(products, shape))
-    out_shape = "conv long, turn long, mark long, states array<int>"
-    out_schema = arrow_schema(rows.sparkSession, out_shape)
+def _summed(conv: int, chunk: int, rows: list[dict], product: np.ndarray) -> dict:
+    return {"conv": conv, "place": chunk, "total": rows[0]["total"], "product": product.ravel().tolist()}
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [
-                _path(list(shared.value.steps(m, f)), a, b)
-                for m, f, a, b in zip(*(batch.column(c).to_pylist() for c in ("markers", "forms", "entry", "exit")))
-            ]
-            columns = [*(batch.column(c) for c in ("conv", "turn", "mark")), pa.array(found, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
 
-    return rows.join(borders, ["conv", "part", "pos"]).mapInArrow(lines, out_shape)
+def _within(conv: int, chunk: int, rows: list[dict]) -> Iterator[dict]:
+    """States before and after each of a chunk's rows, which are chunks of the table below."""
+    states = _path(_matrices(rows), rows[0]["entry"], rows[0]["exit"])
+    for row, before, after in zip(rows, [rows[0]["entry"], *states[:-1]], states):
+        yield {"conv": conv, "chunk": row["place"], "entry": before, "exit": after}
+
+
+def _bounds(rows: DataFrame, model) -> DataFrame:
+    """States before and after each chunk on the best path of its conversation, for those of several chunks.
+
+    The tables above are a ``CHUNK``-th each, so there are as many as the longest conversation needs, for any
+    partitioning; one row is left of every conversation in the last.
+    """
+
+    def above(table: DataFrame, steps) -> DataFrame:
+        sums = _by_chunk(table, _SUMS, lambda conv, chunk, held: [_summed(conv, chunk, held, _product(steps(held)))])
+        return cut_lineage(sums.withColumn("total", F.expr(f"(total + {CHUNK - 1}) div {CHUNK}")))
+
+    first = rows.where(F.col("total") > CHUNK).select("conv", "place", "total", "chunk", "markers", "forms")
+    tables = [above(first, lambda held: model.value.steps(held))]
+    while (tables[-1].agg(F.max("total")).first()[0] or 0) > 1:
+        tables.append(above(_chunks(tables[-1]), _matrices))
+    bounds = tables[-1].select("conv", F.col("place").alias("chunk"), F.lit(_START).alias("entry"), F.lit(-1).alias("exit"))
+    for table in reversed(tables[:-1]):
+        bounds = cut_lineage(_by_chunk(_chunks(table).join(bounds, ["conv", "chunk"]), _BOUNDS, _within))
+    return bounds
+
+
+def _states(rows: DataFrame, model: Model) -> DataFrame:
+    """Per row of ``rows`` (observations with their chunks) the state of each line."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def decoded(conv: int, chunk: int, held: list[dict]) -> Iterator[dict]:
+        path = iter(_path(list(shared.value.steps(held)), held[0]["entry"], held[0]["exit"]))
+        for row in held:
+            yield {"conv": conv, "turn": row["turn"], "mark": row["mark"], "states": [next(path) for _ in row["forms"]]}
+
+    wanted = rows.select("conv", "turn", "mark", "place", "total", "chunk", "markers", "forms")
+    bounds = _bounds(wanted, shared)
+    ends = {"entry": F.coalesce("entry", F.lit(_START)), "exit": F.coalesce("exit", F.lit(-1))}
+    return _by_chunk(wanted.join(bounds, ["conv", "chunk"], "left").withColumns(ends), "conv long, turn long, mark long, states array<int>", decoded)
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
@@ -321,7 +277,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
         F.col("role").cast("string").alias("role"),
         F.col("text").cast("string").alias("text"),
     )
-    observed = _chunked(_observations(named), ["turn", "mark"])
+    observed = cut_lineage(_chunks(with_places(cut_lineage(_observations(named)), ["conv"], ["turn", "mark"])))
     states = _states(observed, _learn(observed))
     shape = "conv long, turn long, piece int, role string, n_lines int, content string"
     schema = arrow_schema(rows.sparkSession, shape)

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelsmith.llm import chat_roles, langid, quality, toxicity
+from panelsmith.llm.places import with_places
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -181,12 +182,12 @@ def test_chat_path_is_the_best(spark, monkeypatch):
         text = "\n".join(rng.choice(["What is it?", "It is a long line of words, as answers are.", "User: hm", "- point"], rng.integers(1, 4)))
         rows.append((1, turn, rng.choice([None, "user", "assistant", "who"]), text))
     df = spark.createDataFrame(rows, "conv long, turn long, role string, text string").withColumn("mark", F.lit(0).cast("long"))
-    observed = chat_roles._chunked(chat_roles._observations(df), ["turn", "mark"])
+    observed = chat_roles._chunks(with_places(chat_roles._observations(df), ["conv"], ["turn", "mark"]))
     model = chat_roles._learn(observed)
     states = {r["turn"]: r["states"] for r in chat_roles._states(observed, model).collect()}
     steps, got = [], []
     for r in sorted(observed.collect(), key=lambda r: r["turn"]):
-        steps += model.steps(r["markers"], r["forms"])
+        steps += model.steps([r])
         got += states[r["turn"]]
 
     def total(path):
@@ -195,6 +196,32 @@ def test_chat_path_is_the_best(spark, monkeypatch):
     assert total(got) == pytest.approx(total(chat_roles._path(steps, chat_roles._START, -1)))
 
 
+def test_chat_more_partitions_than_chunks(spark):
+    """One conversation of most rows over many partitions that stay apart: a bounded number of jobs."""
+    rows = spark.range(0, 3005, 1, 16).select(
+        F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") % 5 > 0, F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")).alias("role"),
+        F.when(F.col("id") % 2 == 0, "What is it?").otherwise("It is a long line of words, as answers are.").alias("text"),
+    )
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("chat", "one long conversation")
+        found = chat_roles.format_chats(rows).collect()
+        jobs = len(context.statusTracker().getJobIdsForGroup("chat"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert jobs < 60
+    assert len(found) == 3005
+    assert np.mean([r["role"] == ("user" if r["turn"] % 2 == 0 else "assistant") for r in found if r["conv_id"] == 7]) > 0.99
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(1)
     steps = [np.log(rng.random((7, 7))) for _ in range(4)]
