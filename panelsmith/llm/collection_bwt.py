@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Entries of the files that are in memory at once, at most.
-BLOCK = 1 << 17
+BLOCK = 1 << 18
 #: A sequential file up to this size stays in memory; a larger one is private scratch of the task.
 _SPOOL = 64 << 20
 
@@ -28,13 +28,12 @@ _SPOOL = 64 << 20
 class _File:
     """Two parallel columns (symbols, common prefixes), appended in blocks and read in blocks."""
 
-    _TYPES = (np.dtype(np.uint16), np.dtype(np.uint8))
-
-    def __init__(self) -> None:
-        self._columns = [tempfile.SpooledTemporaryFile(max_size=_SPOOL) for _ in self._TYPES]
+    def __init__(self, symbols: type) -> None:
+        self._types = (np.dtype(symbols), np.dtype(np.uint8))
+        self._columns = [tempfile.SpooledTemporaryFile(max_size=_SPOOL) for _ in self._types]
 
     def append(self, *columns: np.ndarray) -> None:
-        for file, column, kind in zip(self._columns, columns, self._TYPES):
+        for file, column, kind in zip(self._columns, columns, self._types):
             file.write(column.astype(kind, copy=False).tobytes())
 
     def rewind(self) -> None:
@@ -42,7 +41,7 @@ class _File:
             file.seek(0)
 
     def take(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.frombuffer(f.read(n * k.itemsize), k) for f, k in zip(self._columns, self._TYPES))
+        return tuple(np.frombuffer(f.read(n * k.itemsize), k) for f, k in zip(self._columns, self._types))
 
     def close(self) -> None:
         for file in self._columns:
@@ -70,18 +69,22 @@ class _Least:
 
 
 class Collection:
-    """The transform of strings over the symbols 1 .. 65535 (back to back; ``ends``: where each stops)."""
+    """The transform of strings over the symbols 1 .. 2**32 - 1 (back to back; ``ends``: where each stops)."""
 
     def __init__(self, text: np.ndarray, ends: np.ndarray, limit: int, block: int = BLOCK):
-        self.text, self.ends, self.limit = text.astype(np.uint16), ends.astype(np.int64), limit
+        self.ends, self.limit = ends.astype(np.int64), limit
         self.lengths = np.diff(np.r_[0, self.ends])
         self.m = len(ends)
         self.size = self.m
-        self.n_symbols = int(self.text.max(initial=0)) + 1
-        # a symbol, a place in the block and a flag share 32 bits
-        self.place_bits = 31 - self.n_symbols.bit_length()
+        self.n_symbols = int(text.max(initial=0)) + 1
+        self.kind = np.uint16 if self.n_symbols <= 1 << 16 else np.uint32
+        self.text = text.astype(self.kind)
+        # a symbol, a place in the block and a flag share a word
+        bits = self.n_symbols.bit_length()
+        self.word = np.uint32 if 1 << (31 - bits) >= block else np.uint64
+        self.place_bits = (31 if self.word is np.uint32 else 63) - bits
         self.block = min(block, 1 << self.place_bits)
-        self.file = _File()
+        self.file = _File(self.kind)
         self.at = np.arange(self.m)  # place of each string's newest suffix, ascending
         self.string = np.arange(self.m)
         symbols = self._before(self.string, 0)
@@ -93,21 +96,21 @@ class Collection:
     def _count(self, symbols: np.ndarray) -> np.ndarray:
         return np.bincount(symbols, minlength=self.n_symbols)
 
-    def _by_symbol(self, block: np.ndarray, flags: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    def _by_symbol(self, block: np.ndarray, flags: np.ndarray | np.unsignedinteger) -> tuple[np.ndarray, np.ndarray]:
         """The block's places (times two, plus the flag) ordered by symbol then place; and the symbols' counts."""
-        packed = block.astype(np.uint32)
-        packed <<= np.uint32(self.place_bits + 1)
-        packed |= np.arange(0, 2 * len(block), 2, dtype=np.uint32)
+        packed = block.astype(self.word)
+        packed <<= self.word(self.place_bits + 1)
+        packed |= np.arange(0, 2 * len(block), 2, dtype=self.word)
         packed |= flags
         packed.sort()
-        packed &= np.uint32((2 << self.place_bits) - 1)
+        packed &= self.word((2 << self.place_bits) - 1)
         return packed, self._count(block)
 
     def _before(self, strings: np.ndarray, length: int) -> np.ndarray:
         """The symbol before each string's suffix of ``length`` symbols; 0 before the whole string."""
         open_ = self.lengths[strings] > length
         at = np.where(open_, self.ends[strings] - length - 1, 0)
-        return np.where(open_, self.text[at], np.uint16(0))
+        return np.where(open_, self.text[at], self.kind(0))
 
     def build(self) -> Collection:
         for length in range(1, int(self.lengths.max(initial=0)) + 1):
@@ -134,7 +137,7 @@ class Collection:
         found = []
         for a, bwt, lcp in self._blocks():
             low, high = np.searchsorted(self.at, [a, a + len(bwt)])
-            new = np.zeros(len(bwt), np.uint32)
+            new = np.zeros(len(bwt), self.word)
             new[self.at[low:high] - a] = 1
             number = np.empty(len(bwt), np.int64)
             number[self.at[low:high] - a] = np.arange(low, high)
@@ -176,7 +179,7 @@ class Collection:
 
     def _merge(self, at: np.ndarray, symbols: np.ndarray, prefixes: np.ndarray, changed: np.ndarray, to: np.ndarray) -> None:
         """Write the next file: old entries in order, the new ones at ``at``, common prefixes changed."""
-        old, self.file = self.file, _File()
+        old, self.file = self.file, _File(self.kind)
         old.rewind()
         self.size += len(at)
         self.counts += self._count(symbols)
@@ -186,7 +189,7 @@ class Collection:
             places = at[low:high] - a
             kept = np.ones(b - a, bool)
             kept[places] = False
-            bwt, lcp = np.empty(b - a, np.uint16), np.empty(b - a, np.uint8)
+            bwt, lcp = np.empty(b - a, self.kind), np.empty(b - a, np.uint8)
             bwt[kept], lcp[kept] = old.take(b - a - len(places))
             bwt[places], lcp[places] = symbols[low:high], prefixes[low:high]
             low, high = np.searchsorted(changed, [a, b])
@@ -208,7 +211,7 @@ class Collection:
         base, step = self._starts(), np.empty(self.size, np.int32)
         seen = np.zeros(self.n_symbols, np.int64)
         for a, bwt, _ in self._blocks():
-            order, count = self._by_symbol(bwt, 0)
+            order, count = self._by_symbol(bwt, self.word(0))
             place = (order >> 1).astype(np.int64)
             symbol = bwt[place]
             step[a + place] = (base + seen - np.cumsum(count) + count)[symbol] + np.arange(len(bwt))

@@ -17,8 +17,8 @@ To spread this over tasks, strings that may be equal must meet in one:
 * a core of very many different parts (all of a common line, before or after other text) is counted over
   the shards. Its parts are cut into single strings, each dealt out by the hash of all its bytes.
 
-A symbol of the sort is a pair of bytes, and every segment is sorted in both ways of pairing, so that a
-string of ``LENGTH`` bytes is half as many symbols.
+A symbol of the sort is a group of ``GROUP`` bytes, and every segment is sorted in all ways of grouping, so that a
+string of ``LENGTH`` bytes is ``LENGTH / GROUP`` symbols, and a segment takes as many fewer rounds.
 
 Texts travel as shards: compressed rows of some megabytes of whole documents.
 """
@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 
 from panelsmith.llm.collection_bwt import Collection
 from panelsmith.llm.common import NO_ID, key_of, raw_text
-from panelsmith.session import cut_lineage
+from panelsmith.session import cut_lineage, scratch_path
 
 LENGTH = 50
-ANCHOR = 24
+ANCHOR = 16
+#: Bytes per symbol of the sort; it divides ``LENGTH``.
+GROUP = 5
 #: Strings per segment at most.
-SPAN = 32
+SPAN = 36
 #: A value with ``DIVERSE`` different segments in each of ``COMMON`` shards or more has its segments cut
 #: further, into parts of at most ``PART`` strings.
 DIVERSE, COMMON, PART = 16, 8, 9
@@ -57,6 +59,7 @@ ANCHORS_PER_TASK = 2 << 20
 SYMBOLS_PER_TASK = 2 << 20
 
 _ROW = "shard long, kind int, part long, body binary"
+_SCHEMA = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("body", pa.binary())])
 _BODY, _SHARED, _REPLY, _MANY, _DENSE = range(5)
 
 
@@ -127,7 +130,6 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
     rows = docs.select(
         key_of().alias("_key"), raw_text().alias("_text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]
     )
-    schema = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("body", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -143,7 +145,7 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
                     stream.write_batch(b)
             body = zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
             columns = [[(task << 32) + serial], [_BODY], [size], [body]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
         for batch in batches:
             lengths = np.array([len(t.as_buffer()) for t in batch.column(1)], np.int64)
@@ -192,7 +194,7 @@ _ODD = [
 
 
 def _anchor_hash(text: np.ndarray) -> np.ndarray:
-    """48-bit hash of the ``ANCHOR`` (24) bytes from each place on."""
+    """48-bit hash of the ``ANCHOR`` bytes (a sum of two powers of two, 32 at most) from each place on."""
     h = text.astype(np.uint64)
     h += np.uint64(1)
     width, parts = 1, {}
@@ -200,8 +202,10 @@ def _anchor_hash(text: np.ndarray) -> np.ndarray:
         h = h[:-width] * odd + h[width:]
         width *= 2
         parts[width] = h
-    n = len(text) - ANCHOR + 1
-    h = parts[16][:n] * _ODD[4] + parts[8][16 : 16 + n]
+    n, rest = len(text) - ANCHOR + 1, ANCHOR - 16
+    h = parts[16][:n] * _ODD[4]
+    if rest:
+        h += parts[rest][16 : 16 + n]
     h ^= h >> np.uint64(32)
     h *= _ODD[5]
     h ^= h >> np.uint64(29)
@@ -283,7 +287,7 @@ def _parts(shard: _Shard, start: int, count: int, value: int) -> Iterator[tuple[
 
 
 def _digests(shard: _Shard, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """64-bit multilinear hash of each segment; with its length and value it tells segments apart."""
+    """64-bit multilinear hash of each segment; those of equal hash, length and value are compared (``_same``)."""
     out = np.empty(len(start), np.uint64)
     factors = np.random.default_rng(50).integers(0, 1 << 63, SPAN + LENGTH, np.uint64) * np.uint64(2) + np.uint64(1)
     for n in np.unique(count).tolist():
@@ -299,6 +303,18 @@ def _digests(shard: _Shard, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
+def _same(shard: _Shard, one: np.ndarray, other: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Whether the bytes of two segments, of ``count`` strings both, are equal."""
+    out = np.empty(len(one), bool)
+    for n in np.unique(count).tolist():
+        at = np.flatnonzero(count == n)
+        windows = np.lib.stride_tricks.sliding_window_view(shard.buffer, n + LENGTH - 1)
+        for a in range(0, len(at), 4096):
+            some = at[a : a + 4096]
+            out[some] = (windows[one[some]] == windows[other[some]]).all(axis=1)
+    return out
+
+
 def _cut(shard: _Shard, *segments: np.ndarray) -> np.ndarray:
     """Common segments (start, number, value, document) as rows of their parts: start, number, document, core, value."""
     rows = [(b, k, d, core, v) for a, n, v, d in zip(*(x.tolist() for x in segments)) for b, k, core in _parts(shard, a, n, v)]
@@ -346,6 +362,8 @@ class _Segments:
         for column in (value, look, self.count, target):
             opens[1:] &= column[order[1:]] == column[order[:-1]]
         opens[1:] = ~opens[1:]
+        again = np.flatnonzero(~opens)
+        opens[again] = ~_same(shard, self.start[order[again - 1]], self.start[order[again]], self.count[order[again]])
         self.which = np.empty(len(order), np.int64)
         self.which[order] = np.cumsum(opens) - 1
         self.first = order[opens]
@@ -396,11 +414,11 @@ def _anchor_rows(tasks: int):
 def _summary(shard: _Shard, start: np.ndarray, count: np.ndarray, value: np.ndarray, document: np.ndarray):
     """Distinct values, and for each whether its ids are several and the number of its different segments.
 
-    Segments are told apart by their first 48 and last 32 bytes: all of one without repeated anchors.
+    Segments are told apart by their first 48 and last 40 bytes: all of one without repeated anchors.
     """
     eight = np.lib.stride_tricks.sliding_window_view(shard.buffer, 8)
     ends, look = start + count + LENGTH - 1, count.astype(np.uint64)
-    for at in [*(start + k for k in range(0, 48, 8)), *(ends - k for k in range(8, 40, 8))]:
+    for at in [*(start + k for k in range(0, 48, 8)), *(ends - k for k in range(8, 48, 8))]:
         look ^= eight[at].copy().view("<u8").ravel()
         look *= _ODD[0]
         look ^= look >> np.uint64(32)
@@ -441,22 +459,34 @@ def _share(frame: pd.DataFrame) -> pd.DataFrame:
     return _row_frame(out)
 
 
+def _of_kinds(table: pa.Table, *kinds: int) -> list[list[bytes]]:
+    rows = list(zip(table.column("kind").to_pylist(), table.column("body").to_pylist()))
+    return [[b for k, b in rows if k == kind] for kind in kinds]
+
+
+def _row_table(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows) if rows else [()] * len(_SCHEMA)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+
+
 def _core_rows(tasks: int):
     """Of one shard: the cores of its values in very many segments, with the number of different parts, by task."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        shard = _Shard(frame.loc[frame["kind"] == _BODY, "body"].iloc[0])
-        many = np.sort(np.concatenate([_unpack_sorted(b, 0)[0] for b in frame.loc[frame["kind"] == _MANY, "body"]]))
+    def run(body: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(told):
+            return _row_table([])
+        shard = _Shard(body.column("body")[0].as_py())
+        many = np.sort(np.concatenate([_unpack_sorted(b, 0)[0] for b in _of_kinds(told, _MANY)[0]]))
         segments = _runs(shard)
         pick, _ = _among(segments[2], many)
         cut = _cut(shard, *(x[pick] for x in segments))
         look = _digests(shard, cut[:, 0], cut[:, 1])
         _, once = np.unique(np.stack([cut[:, 3], cut[:, 1], look.view(np.int64)]), axis=1, return_index=True)
         cores, counts = np.unique(cut[once, 3].astype(np.uint64), return_counts=True)
-        target = _task_of(cores, tasks)
-        return _row_frame(
+        target, number = _task_of(cores, tasks), body.column("shard")[0].as_py()
+        return _row_table(
             [
-                (frame["shard"].iloc[0], _DENSE, t, _pack_counted(cores[target == t], counts[target == t] > 0, counts[target == t]))
+                (number, _DENSE, t, _pack_counted(cores[target == t], counts[target == t] > 0, counts[target == t]))
                 for t in np.unique(target).tolist()
             ]
         )
@@ -481,46 +511,57 @@ def _dense(frame: pd.DataFrame) -> pd.DataFrame:
 def _segment_rows(tasks: int):
     """Of one shard: its distinct segments by task, with the least id each occurs in."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        body = frame.loc[frame["kind"] == _BODY, "body"].iloc[0]
-        shared, dense = (list(frame.loc[frame["kind"] == k, "body"]) for k in (_SHARED, _DENSE))
+    def run(body: pa.Table, told: pa.Table) -> pa.Table:
+        shared, dense = _of_kinds(told, _SHARED, _DENSE)
         out = []
         if shared:
-            shard = _Shard(body)
+            shard, number = _Shard(body.column("body")[0].as_py()), body.column("shard")[0].as_py()
             found = _Segments(shard, shared, dense, tasks)
             for task, a, b in found.by_task():
                 joined = np.frombuffer(found.texts(shard, a, b), np.uint8)
                 blob = _pack(found.counts[a:b].astype("u1"), found.least[a:b], joined)
-                out.append((frame["shard"].iloc[0], _BODY, task, blob))
-        return _row_frame(out)
+                out.append((number, _BODY, task, blob))
+        return _row_table(out)
 
     return run
 
 
-def _paired(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All strings in pairs of bytes from the right end, then all from one byte before it.
+def _grouped(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All strings in groups of ``GROUP`` bytes from the right end, then all from one byte before it, and so on.
 
-    Returns the symbols (numbered from 1), the ends of the strings, and the bytes dropped at each end.
+    Returns the symbols (groups numbered from 1 in their order), the ends of the strings, and the bytes dropped
+    at each end.
     """
     ends = np.cumsum(lengths)
-    pairs = text[:-1].astype(np.uint16) << np.uint16(8) | text[1:]
+    groups = np.zeros(max(len(text) - GROUP + 1, 0), np.uint64)
+    for k in range(GROUP):
+        groups <<= np.uint64(8)
+        groups |= text[k : k + len(groups)]
     taken, sizes = [], []
-    for drop in (0, 1):
-        size = (lengths - drop) // 2
-        first = ends - drop - 2 * size
+    for drop in range(GROUP):
+        size = (lengths - drop) // GROUP
+        first = ends - drop - GROUP * size
         inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        taken.append(pairs[np.repeat(first, size) + 2 * inner])
+        taken.append(groups[np.repeat(first, size) + GROUP * inner])
         sizes.append(size)
     symbols = np.concatenate(taken)
-    number = np.zeros(1 << 16, np.uint16)
-    used = np.flatnonzero(np.bincount(symbols, minlength=1 << 16))
-    number[used] = np.arange(1, len(used) + 1)
-    dropped = np.repeat([0, 1], len(lengths))
-    return number[symbols], np.cumsum(np.concatenate(sizes)), dropped
+    places = 64 - 8 * GROUP
+    if len(symbols) < 1 << places:  # a group and its place share a word
+        order = symbols << np.uint64(places)
+        order |= np.arange(len(symbols), dtype=np.uint64)
+        order.sort()
+        at = (order & np.uint64((1 << places) - 1)).astype(np.int64)
+        order >>= np.uint64(places)
+        number = np.empty(len(symbols), np.int64)
+        number[at] = np.cumsum(np.r_[True, order[1:] != order[:-1]]) if len(order) else at
+    else:
+        number = np.unique(symbols, return_inverse=True)[1].ravel() + 1
+    dropped = np.repeat(np.arange(GROUP), len(lengths))
+    return number, np.cumsum(np.concatenate(sizes)), dropped
 
 
 def _classify(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one task's segments: for each string in them the least id of its class, back to each shard."""
+    """Of one task's segments: to each shard the least ids of their strings' classes, where they are not its own."""
     seen: dict[bytes, int] = {}
     least: list[int] = []
     asked = []
@@ -537,7 +578,7 @@ def _classify(frame: pd.DataFrame) -> pd.DataFrame:
             elif i < least[k]:
                 least[k] = i
             which.append(k)
-        asked.append(np.array(which, np.int64))
+        asked.append((np.array(which, np.int64), ids))
     pieces = list(seen)
     lengths = np.array([len(p) for p in pieces], np.int64)
     text = np.frombuffer(b"".join(pieces), np.uint8)
@@ -545,36 +586,43 @@ def _classify(frame: pd.DataFrame) -> pd.DataFrame:
     windows = lengths - LENGTH + 1
     offsets = np.cumsum(windows) - windows
     run_of = np.empty(int(windows.sum()), np.int64)
-    symbols, ends, dropped = _paired(text, lengths)
-    collection = Collection(symbols, ends, LENGTH // 2)
+    symbols, ends, dropped = _grouped(text, lengths)
+    collection = Collection(symbols, ends, LENGTH // GROUP)
     try:
         collection.build()
         run, n_runs = collection.classes()
         best = np.full(n_runs, NO_ID, np.int64)
         for length, strings, at in collection.suffix_places():
-            if length >= LENGTH // 2:
+            if length >= LENGTH // GROUP:
                 runs, piece = run[at], strings % len(pieces)
                 np.minimum.at(best, runs, ids[piece])
-                run_of[offsets[piece] + lengths[piece] - dropped[strings] - 2 * length] = runs
+                run_of[offsets[piece] + lengths[piece] - dropped[strings] - GROUP * length] = runs
     finally:
         collection.close()
     answer = best[run_of]
     out = []
-    for shard, part, which in zip(frame["shard"], frame["part"], asked):
+    for shard, part, (which, own) in zip(frame["shard"], frame["part"], asked):
         n = windows[which]
-        flat = answer[np.repeat(offsets[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        blob = _pack(np.diff(np.r_[first, len(flat)]).astype("<u4"), flat[first])
-        out.append((shard, _REPLY, part, blob))
+        begins = np.cumsum(n) - n
+        flat = answer[np.repeat(offsets[which] - begins, n) + np.arange(int(n.sum()))]
+        other = np.logical_or.reduceat(flat != np.repeat(own, n), begins)
+        if other.any():
+            flat = flat[np.repeat(other, n)]
+            first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+            blob = _pack(np.packbits(other), np.diff(np.r_[first, len(flat)]).astype("<u4"), flat[first])
+            out.append((shard, _REPLY, part, blob))
     return _row_frame(out)
 
 
 def _removed(shard: _Shard, found: _Segments, replies: dict[int, bytes]) -> np.ndarray:
     """Per byte of the shard, whether a string that starts in a smaller document covers it."""
     answers = []
-    for task, _, _ in found.by_task():
-        lengths, values = _unpack(replies[task], "<u4", "i8")
-        answers.append(np.repeat(values, lengths))
+    for task, a, b in found.by_task():
+        n = found.counts[a:b]
+        answers.append(np.repeat(found.least[a:b], n))
+        if task in replies:
+            other, lengths, values = _unpack(replies[task], "u1", "<u4", "i8")
+            answers[-1][np.repeat(np.unpackbits(other)[: b - a].astype(bool), n)] = np.repeat(values, lengths)
     change = np.zeros(len(shard.buffer) + 1, np.int32)
     if answers:
         answer = np.concatenate(answers)
@@ -593,13 +641,12 @@ _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def _finish(tasks: int, cleaned: bool, names: list[str]):
-    def run(table: pa.Table) -> pa.Table:
-        kinds, bodies = table.column("kind").to_pylist(), table.column("body").to_pylist()
-        parts = table.column("part").to_pylist()
-        shard = _Shard(next(b for k, b in zip(kinds, bodies) if k == _BODY))
-        shared, dense = ([b for k, b in zip(kinds, bodies) if k == wanted] for wanted in (_SHARED, _DENSE))
+    def run(body: pa.Table, told: pa.Table) -> pa.Table:
+        shard = _Shard(body.column("body")[0].as_py())
+        shared, dense = _of_kinds(told, _SHARED, _DENSE)
         if shared:
-            replies = {p: b for k, p, b in zip(kinds, parts, bodies) if k == _REPLY}
+            rows = zip(*(told.column(c).to_pylist() for c in ("kind", "part", "body")))
+            replies = {p: b for k, p, b in rows if k == _REPLY}
             removed = _removed(shard, _Segments(shard, shared, dense, tasks), replies)
         else:
             removed = np.zeros(len(shard.buffer), bool)
@@ -635,8 +682,24 @@ def _finish(tasks: int, cleaned: bool, names: list[str]):
     return run
 
 
+def _bucketed(shards: DataFrame) -> DataFrame:
+    """``shards`` as a written table in buckets by shard: cogrouping it with what a shard is told moves no text.
+
+    The table's entry in the catalog is dropped at once; the files stay in the shared folder, as of other tables.
+    """
+    spark = shards.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    path = scratch_path(spark, "shards")
+    name = "panelsmith_" + path.rsplit("-", 1)[1]
+    shards.write.bucketBy(buckets, "shard").option("path", path).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def _run(docs: DataFrame, cleaned: bool, shard_bytes: int) -> DataFrame:
-    shards = cut_lineage(_shards(docs, shard_bytes))
+    shards = _bucketed(_shards(docs, shard_bytes))
+    bodies = shards.groupBy("shard")
     total = shards.agg(F.sum("part")).first()[0] or 0
     anchors = total * 2 // (LENGTH - ANCHOR + 2)
     tasks = max(1, -(-anchors // ANCHORS_PER_TASK))
@@ -644,25 +707,20 @@ def _run(docs: DataFrame, cleaned: bool, shard_bytes: int) -> DataFrame:
         shards.mapInPandas(_anchor_rows(tasks), _ROW).groupBy("part").applyInPandas(_share, _ROW)
     )
     many = shared.where(F.col("kind") == _MANY)
-    shared = shared.where(F.col("kind") == _SHARED)
-    symbols = shared.agg(F.sum("part")).first()[0] or 0
-    at_home = shards.unionByName(shared)
+    told = shared.where(F.col("kind") == _SHARED)
+    symbols = told.agg(F.sum("part")).first()[0] or 0
     if not many.isEmpty():
-        asked = shards.join(many.select("shard").distinct(), "shard", "left_semi").unionByName(many)
-        counted = asked.groupBy("shard").applyInPandas(_core_rows(tasks), _ROW)
+        counted = bodies.cogroup(many.groupBy("shard")).applyInArrow(_core_rows(tasks), _ROW)
         dense = cut_lineage(counted.groupBy("part").applyInPandas(_dense, _ROW))
         symbols += dense.agg(F.sum("part")).first()[0] or 0
-        at_home = at_home.unionByName(dense)
+        told = told.unionByName(dense)
     second = max(1, -(-symbols // SYMBOLS_PER_TASK))
-    replies = (
-        at_home.groupBy("shard")
-        .applyInPandas(_segment_rows(second), _ROW)
-        .groupBy("part")
-        .applyInPandas(_classify, _ROW)
-    )
+    asked = bodies.cogroup(told.groupBy("shard")).applyInArrow(_segment_rows(second), _ROW)
+    replies = asked.groupBy("part").applyInPandas(_classify, _ROW)
     names = docs.columns
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema if cleaned else _DIGEST
-    return at_home.unionByName(replies).groupBy("shard").applyInArrow(_finish(second, cleaned, names), schema)
+    answered = told.unionByName(replies).groupBy("shard")
+    return bodies.cogroup(answered).applyInArrow(_finish(second, cleaned, names), schema)
 
 
 def repeated_passages(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
