@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -48,6 +49,12 @@ class _File:
             file.close()
 
 
+@lru_cache(maxsize=2)
+def _logarithms(bits: int) -> np.ndarray:
+    """Floor of the binary logarithm of 1 .. 2**bits (0 for 0)."""
+    return np.log2(np.maximum(np.arange((1 << bits) + 1), 1)).astype(np.uint8)
+
+
 class _Least:
     """Least value in closed ranges of a block: row k holds the least of the 2**k values from each place on."""
 
@@ -58,14 +65,21 @@ class _Least:
         for k in range(1, n.bit_length()):
             half, some = 1 << (k - 1), n - (1 << k) + 1
             np.minimum(self._rows[k - 1, :some], self._rows[k - 1, half : half + some], out=self._rows[k, :some])
+        self._log = _logarithms(n.bit_length())
 
     def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """255 for an empty range."""
-        length = last - first + 1
-        level = np.frexp(np.maximum(length, 1).astype(np.float32))[1] - 1
-        inside = np.minimum(first, self._rows.shape[1] - 1)
-        least = np.minimum(self._rows[level, inside], self._rows[level, np.maximum(last - (1 << level) + 1, 0)])
-        return np.where(length > 0, least, np.uint8(255))
+        n = self._rows.shape[1]
+        length = last - first
+        length += 1
+        level = self._log.take(np.maximum(length, 0)).astype(np.int64)
+        row = level * n
+        rows = self._rows.ravel()
+        least = rows.take(row + np.minimum(first, n - 1))
+        row += np.maximum(last - (1 << level) + 1, 0)
+        np.minimum(least, rows.take(row), out=least)
+        least[length <= 0] = 255
+        return least
 
 
 class Collection:
@@ -79,11 +93,12 @@ class Collection:
         self.n_symbols = int(text.max(initial=0)) + 1
         self.kind = np.uint16 if self.n_symbols <= 1 << 16 else np.uint32
         self.text = text.astype(self.kind)
-        # a symbol, a place in the block and a flag share a word
-        bits = self.n_symbols.bit_length()
-        self.word = np.uint32 if 1 << (31 - bits) >= block else np.uint64
-        self.place_bits = (31 if self.word is np.uint32 else 63) - bits
+        # a place in the block, a flag and a symbol share a word; what does not fit of the symbol is sorted by afterwards
+        self.place_bits = max(min(block, 1 << 20) - 1, 1).bit_length()
         self.block = min(block, 1 << self.place_bits)
+        self.low_bits = 31 - self.place_bits
+        if self.n_symbols.bit_length() > self.low_bits + 32 - self.place_bits:
+            raise ValueError(f"{self.n_symbols} symbols in blocks of {self.block}")
         self.file = _File(self.kind)
         self.at = np.arange(self.m)  # place of each string's newest suffix, ascending
         self.string = np.arange(self.m)
@@ -98,12 +113,20 @@ class Collection:
 
     def _by_symbol(self, block: np.ndarray, flags: np.ndarray | np.unsignedinteger) -> tuple[np.ndarray, np.ndarray]:
         """The block's places (times two, plus the flag) ordered by symbol then place; and the symbols' counts."""
-        packed = block.astype(self.word)
-        packed <<= self.word(self.place_bits + 1)
-        packed |= np.arange(0, 2 * len(block), 2, dtype=self.word)
+        places = np.uint32((1 << self.place_bits) - 1)
+        packed = block.astype(np.uint32)
+        packed &= np.uint32((1 << self.low_bits) - 1)
+        packed <<= np.uint32(self.place_bits + 1)
+        packed |= np.arange(0, 2 * len(block), 2, dtype=np.uint32)
         packed |= flags
         packed.sort()
-        packed &= self.word((2 << self.place_bits) - 1)
+        if self.n_symbols > 1 << self.low_bits:
+            high = (block >> self.kind(self.low_bits)).take(packed >> np.uint32(1) & places).astype(np.uint32)
+            high <<= np.uint32(self.place_bits)
+            high |= np.arange(len(block), dtype=np.uint32)
+            high.sort()
+            packed = packed.take(high & places)
+        packed &= np.uint32((2 << self.place_bits) - 1)
         return packed, self._count(block)
 
     def _before(self, strings: np.ndarray, length: int) -> np.ndarray:
@@ -137,32 +160,35 @@ class Collection:
         found = []
         for a, bwt, lcp in self._blocks():
             low, high = np.searchsorted(self.at, [a, a + len(bwt)])
-            new = np.zeros(len(bwt), self.word)
+            new = np.zeros(len(bwt), np.uint32)
             new[self.at[low:high] - a] = 1
-            number = np.empty(len(bwt), np.int64)
+            number = np.zeros(len(bwt), np.int32)
             number[self.at[low:high] - a] = np.arange(low, high)
             order, count = self._by_symbol(bwt, new)
             stop = np.cumsum(count)
             start = stop - count
             present = np.flatnonzero(count)
-            is_new = (order & 1).astype(bool)
-            after_new = np.empty(len(bwt), bool)
-            after_new[0] = False
-            after_new[1:] = is_new[:-1]
-            after_new[start[present]] = last_new[present]
-            hit = np.flatnonzero(is_new | after_new)
-            hit = hit[np.searchsorted(hit, count[0]) :]  # strings that are wholly in have nothing to insert
-            here = (order[hit] >> 1).astype(np.int64)
-            s = bwt[here]
-            opens = hit == start[s]
-            before = np.where(opens, -1, (order[hit - 1] >> 1).astype(np.int64))
             least = _Least(lcp)
+            is_new = (order & np.uint32(1)).astype(bool)
+            order >>= np.uint32(1)
+            marked = is_new.copy()
+            marked[1:] |= is_new[:-1]
+            marked[start[present]] = is_new[start[present]] | last_new[present]
+            hit = np.flatnonzero(marked[count[0] :])  # strings that are wholly in have nothing to insert
+            hit += count[0]
+            here = order.take(hit).astype(np.int64)
+            s = bwt.take(here)
+            before = order.take(np.maximum(hit - 1, 0)).astype(np.int64)
+            first = np.flatnonzero(hit == start.take(s))  # of their symbol in this block
+            before[first] = -1
             value = least(before + 1, here)
-            value = np.where(opens, np.minimum(value, since[s]), value)
-            known = ~opens | (seen[s] > 0)
-            prefix = np.where(known, np.minimum(value.astype(np.int64) + 1, self.limit), 0)
-            found.append((base[s] + seen[s] + hit - start[s], prefix, is_new[hit], number[here]))
-            tail = (order[stop[present] - 1] >> 1).astype(np.int64)
+            value[first] = np.minimum(value[first], since[s[first]])
+            prefix = np.minimum(value, np.uint8(self.limit - 1))
+            prefix += np.uint8(1)
+            prefix[first[seen[s[first]] == 0]] = 0
+            new_hit = is_new.take(hit)
+            found.append((hit + (base + seen - start).take(s), prefix, new_hit, number.take(here)))
+            tail = order[stop[present] - 1].astype(np.int64)
             since = np.minimum(since, lcp.min(initial=255))
             since[present] = least(tail + 1, np.full(len(tail), len(bwt) - 1))
             last_new[present] = is_new[stop[present] - 1]
@@ -171,7 +197,6 @@ class Collection:
         if len(found) > 1:
             order = np.argsort(place, kind="stable")  # one ascending run per block
             place, prefix, is_new, origin = place[order], prefix[order], is_new[order], origin[order]
-        prefix = prefix.astype(np.uint8)
         strings = self.string[origin[is_new]]
         at = place[is_new]
         self._merge(at, self._before(strings, length), prefix[is_new], place[~is_new], prefix[~is_new])
@@ -211,7 +236,7 @@ class Collection:
         base, step = self._starts(), np.empty(self.size, np.int32)
         seen = np.zeros(self.n_symbols, np.int64)
         for a, bwt, _ in self._blocks():
-            order, count = self._by_symbol(bwt, self.word(0))
+            order, count = self._by_symbol(bwt, np.uint32(0))
             place = (order >> 1).astype(np.int64)
             symbol = bwt[place]
             step[a + place] = (base + seen - np.cumsum(count) + count)[symbol] + np.arange(len(bwt))

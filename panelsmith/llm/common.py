@@ -40,8 +40,12 @@ def table_of(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def row_mark(df: DataFrame) -> Column:
-    """A hash of all columns. What follows from a row's content alone holds for all rows of a mark."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    """A 64-bit hash of all columns, in which a NULL counts in its place.
+
+    What follows from a row's content alone holds for all rows of a mark.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
 def without_marks(df: DataFrame, marks: DataFrame) -> DataFrame:

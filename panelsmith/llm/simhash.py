@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsmith.functions.spread import spread_join
-from panelsmith.llm.common import NO_ID, arrow_schema, id_of, key_of, raw_text
+from panelsmith.llm.common import NO_ID, arrow_schema, id_of, key_of, raw_text, row_mark
 from panelsmith.llm.graph import components
 from panelsmith.session import cut_lineage
 
@@ -52,12 +52,6 @@ def _fingerprint(text: bytes, size: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def _mark(docs: DataFrame) -> Column:
-    """A hash of all columns, in which a NULL counts in its place."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return F.xxhash64(*columns, *[c.isNull() for c in columns])
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, marked: bool = False) -> DataFrame:
     """``key`` (the id, ``NO_ID`` for NULL), ``fp`` (signed 64 bits), if asked ``mark``, per row of ``docs``."""
     shape = "key long, fp long, mark long" if marked else "key long, fp long"
@@ -70,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, marked: bool = False)
             rest = [c.cast(pa.int64()) for c in batch.columns[2:]]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), fps, *rest], schema=schema)
 
-    columns = [key_of().alias("key"), raw_text().alias("text"), *([_mark(docs).alias("mark")] if marked else [])]
+    columns = [key_of().alias("key"), raw_text().alias("text"), *([row_mark(docs).alias("mark")] if marked else [])]
     return docs.select(*columns).mapInArrow(run, shape)
 
 
@@ -297,7 +291,7 @@ def one_row_per_component(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     kept = _rooted(classes, radius).groupBy("root").agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.key").alias("_key"), F.col("first.mark").alias("_mark"))
     columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    out = docs.select(key_of().alias("_key"), _mark(docs).alias("_mark"), *columns).join(kept, ["_key", "_mark"], "left_semi")
+    out = docs.select(key_of().alias("_key"), row_mark(docs).alias("_mark"), *columns).join(kept, ["_key", "_mark"], "left_semi")
     out = out.dropDuplicates(["_key", "_mark"])
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 

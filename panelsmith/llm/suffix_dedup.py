@@ -199,13 +199,13 @@ def _anchor_hash(text: np.ndarray) -> np.ndarray:
     h += np.uint64(1)
     width, parts = 1, {}
     for odd in _ODD[:4]:
-        h = h[:-width] * odd + h[width:]
+        h = h[..., :-width] * odd + h[..., width:]
         width *= 2
         parts[width] = h
-    n, rest = len(text) - ANCHOR + 1, ANCHOR - 16
-    h = parts[16][:n] * _ODD[4]
+    n, rest = text.shape[-1] - ANCHOR + 1, ANCHOR - 16
+    h = parts[16][..., :n] * _ODD[4]
     if rest:
-        h += parts[rest][16 : 16 + n]
+        h += parts[rest][..., 16 : 16 + n]
     h ^= h >> np.uint64(32)
     h *= _ODD[5]
     h ^= h >> np.uint64(29)
@@ -268,22 +268,34 @@ def _spans(start: int, count: int, task: int) -> Iterator[tuple[int, int, int]]:
         yield a, min(SPAN, start + count - a), task
 
 
-def _parts(shard: _Shard, start: int, count: int, value: int) -> Iterator[tuple[int, int, int]]:
-    """A common segment cut by the distance of each string from the anchor in it: first start, number, core.
+#: Strings of a common segment that are looked at in one go.
+_WIDE = 64
+
+
+def _parts(shard: _Shard, start: np.ndarray, count: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Common segments cut by the distance of each string from the anchor in it: segment, first start, number, core.
 
     Equal strings hold the anchor at the same distance, and lie in parts with the same shared bytes. Inside a
     run of one byte every place is an anchor, so that each string there is a part of its own.
     """
-    hashes = _anchor_hash(shard.buffer[start : start + count + LENGTH - 1])
-    anchors = np.flatnonzero(hashes == np.uint64(value))
-    offsets = np.arange(count)
-    distance = anchors[np.searchsorted(anchors, offsets)] - offsets
+    places = np.arange(_WIDE + LENGTH - 1)
+    text = shard.buffer[np.minimum(start[:, None] + places, len(shard.buffer) - 1)]
+    hashes = _anchor_hash(text)
+    places = places[: hashes.shape[1]]
+    anchors = np.where((hashes == value[:, None]) & (places < count[:, None] + LENGTH - ANCHOR), places, 1 << 20)
+    following = np.minimum.accumulate(anchors[:, ::-1], axis=1)[:, ::-1][:, :_WIDE]
+    distance = following - places[:_WIDE]
     part = distance // PART
-    edges = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (distance[1:] != distance[:-1] - 1)]).tolist()
-    for a, b in zip(edges, [*edges[1:], count]):
-        core = start + a + int(distance[a]) - PART * int(part[a])
-        shared = shard.bytes[core : core + LENGTH - PART + 1]
-        yield start + a, b - a, xxhash.xxh64_intdigest(shared, int(part[a])) >> 16
+    opens = np.ones(distance.shape, bool)
+    opens[:, 1:] = (part[:, 1:] != part[:, :-1]) | (distance[:, 1:] != distance[:, :-1] - 1)
+    segment, first = np.nonzero(opens & (places[:_WIDE] < count[:, None]))
+    last = np.r_[segment[1:] != segment[:-1], True]
+    stop = np.where(last, count[segment], np.r_[first[1:], 0])
+    part = part[segment, first]
+    cores = (start[segment] + first + distance[segment, first] - PART * part).tolist()
+    size = LENGTH - PART + 1
+    core = [xxhash.xxh64_intdigest(shard.bytes[c : c + size], k) >> 16 for c, k in zip(cores, part.tolist())]
+    return segment, start[segment] + first, stop - first, np.array(core, np.int64)
 
 
 def _digests(shard: _Shard, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -315,10 +327,21 @@ def _same(shard: _Shard, one: np.ndarray, other: np.ndarray, count: np.ndarray)
     return out
 
 
-def _cut(shard: _Shard, *segments: np.ndarray) -> np.ndarray:
-    """Common segments (start, number, value, document) as rows of their parts: start, number, document, core, value."""
-    rows = [(b, k, d, core, v) for a, n, v, d in zip(*(x.tolist() for x in segments)) for b, k, core in _parts(shard, a, n, v)]
-    return np.array(rows, np.int64).reshape(-1, 5)
+def _cut(shard: _Shard, start: np.ndarray, count: np.ndarray, value: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """Common segments as rows of their parts: start, number, document, core, value."""
+    found = [np.empty((0, 5), np.int64)]
+    which, inner = np.arange(len(start)), np.zeros(len(start), np.int64)
+    if len(count) and count.max() > _WIDE:  # long stretches, of repeated anchors, in several goes
+        goes = -(-count // _WIDE)
+        which = np.repeat(which, goes)
+        inner = (np.arange(len(which)) - np.repeat(np.cumsum(goes) - goes, goes)) * _WIDE
+    for a in range(0, len(which), 2048):
+        own, skip = which[a : a + 2048], inner[a : a + 2048]
+        number = np.minimum(count[own] - skip, _WIDE)
+        segment, first, n, core = _parts(shard, start[own] + skip, number, value[own])
+        own = own[segment]
+        found.append(np.stack([first, n, document[own], core, value[own].astype(np.int64)], axis=1))
+    return np.concatenate(found)
 
 
 def _singles(shard: _Shard, parts: np.ndarray, tasks: int) -> np.ndarray:

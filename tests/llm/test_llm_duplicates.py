@@ -128,6 +128,22 @@ def test_collection_transform(strings, block, limit):
             assert lcp[i] == min(common, limit)
 
 
+@pytest.mark.parametrize("block", [1 << 17, 1 << 19, 1 << 20])
+def test_collection_of_many_symbols(block):
+    """More symbols than fit a word beside a place of the block; in blocks of any size the transform is the same."""
+    rng = np.random.default_rng(2)
+    text = rng.integers(1, 90_000, 40_000)
+    text[20_000:30_000] = text[:10_000]
+    ends = np.sort(np.r_[rng.choice(np.arange(1, 40_000), 4_000, replace=False), 40_000])
+
+    def columns(size):
+        blocks = [b[1:] for b in Collection(text, ends, 5, size).build()._blocks()]
+        return [np.concatenate(c) for c in zip(*blocks)]
+
+    one, other = columns(1 << 12), columns(block)
+    assert len(one[0]) == 44_000 and all((x == y).all() for x, y in zip(one, other))
+
+
 def check_passages(rows, texts):
     first = {}
     order = [(2**63 if d is None else d, d, (t or "").encode()) for d, t in texts]

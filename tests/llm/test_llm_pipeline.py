@@ -1,10 +1,10 @@
 """The pipeline: order, columns, and stages against what their operators say."""
 
 import corpus_pipeline
-from corpora import odd_documents
+from corpora import PASSAGE, odd_documents
 from pyspark.sql import functions as F
 
-from panelsmith.llm import decontaminate, simhash
+from panelsmith.llm import decontaminate, langid, simhash
 from panelsmith.llm.packing import pack
 from panelsmith.session import cut_lineage
 
@@ -39,3 +39,16 @@ def test_stages_odd(spark, small):
         for docs in (odd, odd.limit(0)):
             out = stage(spark, docs, small)
             assert out.columns == odd.columns and out.count() <= odd.count()
+
+
+def test_rows_that_differ_in_the_place_of_a_null(spark):
+    """What becomes of a row does not hold for one with the same values in other columns."""
+    rows = [(1, PASSAGE, None), (1, None, PASSAGE), (2, "some clean text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    items = spark.createDataFrame([("a", PASSAGE)], "item_id string, text string")
+    kept = decontaminate.clean_documents(docs, items).collect()
+    assert sorted((r["doc_id"], r["text"] is None) for r in kept) == [(1, True), (2, False)]
+    rows = [(k, f"{PASSAGE} number {k}", "s") for k in range(60)] + [(-1, "s", None), (-1, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    found = langid.identify(langid.document_evidence(docs.withColumn("k", F.monotonically_increasing_id()), "k")).where("kept").count()
+    assert langid.identified_documents(docs).count() == found
