@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelsmith.llm import decontaminate, langid, packing, simhash, suffix_dedup
 from panelsmith.llm.common import read
-from panelsmith.session import cut_lineage
+from panelsmith.session import drop_table, scratch_path, scratch_scope
 
 ORACLE_SQL = None  # likelihoods, suffix classes and tokens have no SQL form; the stages are tested apart
 
@@ -53,10 +53,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what each returns is written once and read by the next."""
-    docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut_lineage(docs)
-    return docs
+    """Apply the stages to ``documents``; what each returns is written once and read by the next.
+
+    Of a stage only its output stays, until the next one has read it.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = scratch_path(spark, "stage", keep=True)
+        with scratch_scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            drop_table(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
