@@ -1,11 +1,14 @@
+import math
 import statistics
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelsmith.functions import ordering, scalar
-from panelsmith.functions.quantiles import exact_quantiles
+from panelsmith.functions import ordering, quantiles, scalar
+from panelsmith.functions.quantiles import exact_quantiles, order_statistics, sort_keys
 from panelsmith.functions.spread import spread_join
 
 
@@ -47,26 +50,48 @@ def test_threshold_tie(spark, inclusive):
     assert one(spark, scalar.above("x", 0.5, inclusive), 0.5) == int(inclusive)
 
 
-def test_exact_quantiles_narrowing(spark):
-    """Brackets must end at the same numbers as a full sort, also with a value held by a third."""
+def test_exact_quantiles(spark):
+    """The same numbers as a full sort, also with a value held by a third."""
     rng = np.random.default_rng(1)
     smooth = rng.normal(size=30_000) ** 3
     heavy = np.where(np.arange(30_000) % 3 == 0, 7.25, rng.exponential(5, 30_000))
     rows = [
-        (float(a), None if i % 5 == 0 else float(b))
+        (float(a), None if i % 5 == 0 else float(b), i % 7)
         for i, (a, b) in enumerate(zip(smooth, heavy, strict=True))
     ]
-    df = spark.createDataFrame(rows, "a double, b double").repartition(8).cache()
+    df = spark.createDataFrame(rows, "a double, b double, c int").repartition(8).cache()
     q = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = exact_quantiles(df, ["a", "b"], q, few=40)
+    got = exact_quantiles(df, ["a", "b", "c"], q)
     kept = np.array([r[1] for r in rows if r[1] is not None])
     np.testing.assert_allclose(got["a"], np.quantile(smooth, q), rtol=1e-12, atol=1e-12)
     np.testing.assert_allclose(got["b"], np.quantile(kept, q), rtol=1e-12)
+    np.testing.assert_allclose(got["c"], np.quantile([r[2] for r in rows], q), rtol=1e-12)
 
 
 def test_exact_quantiles_of_empty_and_constant_columns(spark):
     df = spark.createDataFrame([(None, 4.0)] * 9, "a double, b double")
-    assert exact_quantiles(df, ["a", "b"], [0.5], few=2) == {"a": [None], "b": [4.0]}
+    assert exact_quantiles(df, ["a", "b"], [0.5]) == {"a": [None], "b": [4.0]}
+    assert exact_quantiles(df, ["a"], [0.5]) == {"a": [None]}
+
+
+def test_order_statistics_of_odd_numbers(spark):
+    """All ranks of numbers of both signs, many orders of magnitude, infinities, zeros, neighbours and NaN."""
+    rng = np.random.default_rng(4)
+    numbers = np.r_[
+        rng.normal(size=40) * 10.0 ** rng.integers(-300, 300, 40), rng.integers(-3, 3, 20), 5e-324, -5e-324, 0.0, -0.0,
+        np.inf, -np.inf, 1.0, np.nextafter(1.0, 2), np.nextafter(1.0, 0), 1.7976931348623157e308, -1.7976931348623157e308,
+    ]
+    df = spark.createDataFrame([(float(x),) for x in numbers] + [(None,), (float("nan"),)], "x double").repartition(4)
+    got = order_statistics(df, {"x": list(range(len(numbers) + 1))})["x"]
+    assert got[:-1] == np.sort(numbers).tolist() and math.isnan(got[-1])
+
+
+@given(st.lists(st.floats(allow_nan=False), min_size=2, max_size=30))
+def test_sort_keys_keep_the_order(numbers):
+    values = np.array(numbers)
+    keys = sort_keys(values)
+    assert ((values[:, None] < values) == (keys[:, None] < keys)).all()
+    assert all(quantiles._value(int(k)) == v for k, v in zip(keys, values))
 
 
 @pytest.mark.parametrize("descending", [False, True])
