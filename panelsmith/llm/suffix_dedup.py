@@ -439,14 +439,22 @@ def _summary(shard: _Shard, start: np.ndarray, count: np.ndarray, value: np.ndar
 
     Segments are told apart by their first 48 and last 40 bytes: all of one without repeated anchors.
     """
+    order = np.argsort(value, kind="stable")
+    value = value[order]
+    again = value[1:] == value[:-1]
+    alike = np.flatnonzero(np.r_[False, again] | np.r_[again, False])  # only these can differ from others of their value
     eight = np.lib.stride_tricks.sliding_window_view(shard.buffer, 8)
-    ends, look = start + count + LENGTH - 1, count.astype(np.uint64)
-    for at in [*(start + k for k in range(0, 48, 8)), *(ends - k for k in range(8, 48, 8))]:
-        look ^= eight[at].copy().view("<u8").ravel()
-        look *= _ODD[0]
-        look ^= look >> np.uint64(32)
-    order = np.lexsort((look, value))
-    value, look, ids = value[order], look[order], shard.ids[document[order]]
+    starts = start[order[alike]]
+    ends, hashes = starts + count[order[alike]] + LENGTH - 1, count[order[alike]].astype(np.uint64)
+    for at in [*(starts + k for k in range(0, 48, 8)), *(ends - k for k in range(8, 48, 8))]:
+        hashes ^= eight[at].copy().view("<u8").ravel()
+        hashes *= _ODD[0]
+        hashes ^= hashes >> np.uint64(32)
+    inner = np.lexsort((hashes, value[alike]))
+    look = np.zeros(len(order), np.uint64)
+    look[alike] = hashes[inner]
+    order[alike] = order[alike[inner]]
+    ids = shard.ids[document[order]]
     opens = np.r_[True, value[1:] != value[:-1]]
     first = np.flatnonzero(opens)
     several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
