@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsmith.operators import classify, neighbors, resample
+from panelsmith.operators import classify, knn_graph, neighbors, resample
 from panelsmith.plans.catalog.registry import query, round_columns, rounded, rounded_sql
 from panelsmith.plans.fixtures import LI_KEYS, emb, li, with_views
 
@@ -53,6 +53,11 @@ def knn_join_manhattan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_columns(near, ["distance"])
 
 
+@query("knn_graph")
+def approximate_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_columns(knn_graph.knn_graph(emb(spark, sf_dir), "vec_id", "vec", 5), ["distance"])
+
+
 def _smote_views(ratio: float, k: int) -> dict[str, str]:
     return {
         "base": """SELECT vec_id, vec, row_number() OVER (ORDER BY md5(concat(vec_id, ':42')), vec_id)

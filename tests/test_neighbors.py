@@ -3,6 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelsmith.operators.classify import knn_classify, knn_votes
+from panelsmith.operators import knn_graph as graph
+from panelsmith.operators.knn_graph import knn_graph
 from panelsmith.operators.neighbors import knn_join
 from panelsmith.operators.resample import (
     class_weights,
@@ -10,6 +12,7 @@ from panelsmith.operators.resample import (
     smote,
     smote_enn,
 )
+from panelsmith.session import cut_lineage
 from panelsmith.sources.tables import TableError
 
 
@@ -172,3 +175,51 @@ def test_class_weights(spark):
     explicit = {tuple(r) for r in class_weights(df, "y", {0: 1, 1: 3}).collect()}
     assert explicit == {(0, 1.0), (1, 3.0)}
     assert class_weights(df, "y", None).select(F.sum("weight")).first()[0] == 8.0
+
+
+def recall(got, want, k):
+    found = {(r["id"], r["neighbor_id"]) for r in got}
+    return np.mean([(i, j) in found for i, j, _, _ in want]) if want else 1.0
+
+
+@pytest.mark.parametrize(("n", "dims", "p"), [(2000, 64, 2), (2000, 13, 2), (800, 8, 1)])
+def test_graph_recall(spark, n, dims, p):
+    """Normal data, where the exact join's cells do not help; distances and ranks of what is found are exact."""
+    x = np.random.default_rng(dims).normal(size=(n, dims))
+    got = knn_graph(vectors(spark, x), "id", "vec", 5, p).collect()
+    assert recall(got, brute(x, x, 5, p, True), 5) >= 0.95
+    lists = {}
+    for r in got:
+        d = x[r["id"]] - x[r["neighbor_id"]]
+        assert r["id"] != r["neighbor_id"]
+        assert r["distance"] == pytest.approx(np.abs(d).sum() if p == 1 else np.sqrt((d * d).sum()))
+        lists.setdefault(r["id"], []).append((r["rank"], r["distance"]))
+    assert len(lists) == n
+    for own in lists.values():
+        own.sort()
+        assert [rank for rank, _ in own] == [1, 2, 3, 4, 5] and own == sorted(own, key=lambda t: t[1])
+
+
+def test_graph_of_two_tables_and_copies(spark):
+    """Text ids; a third of the searched rows are copies of one vector; fewer rows than neighbours wanted."""
+    a, b = clustered(60, 6, 3), clustered(600, 6, 4)
+    b[::3] = b[0]
+    queries, searched = vectors(spark, a, text_ids=True), vectors(spark, b, text_ids=True)
+    got = knn_graph(queries, "id", "vec", 4, searched=searched).collect()
+    want = {(i, rank): d for i, _, d, rank in brute(a, b, 4, 2, False)}
+    near = [r["distance"] <= want[int(r["id"]), r["rank"]] * (1 + 1e-9) for r in got]
+    assert len(got) == 240 and np.mean(near) >= 0.95
+    few = vectors(spark, b[:3])
+    assert knn_graph(few, "id", "vec", 5).groupBy("id").count().where("count = 2").count() == 3
+    assert knn_graph(few.limit(0), "id", "vec", 5).count() == 0
+
+
+def test_graph_work_does_not_grow_with_the_cells(spark):
+    """The rows that meet at a row are bounded by the list length, whatever the number of rows."""
+    width = 8
+    for n in (500, 2000):
+        nodes = cut_lineage(vectors(spark, clustered(n, 5, n)).select(F.col("id").alias("node"), "vec", F.lit(True).alias("target")))
+        lists = cut_lineage(graph._leaf_lists(nodes, 2, 64, width, 2, 1))
+        assert lists.groupBy("node").count().agg(F.max("count")).first()[0] <= width
+        found = graph._descent(nodes, lists, width, 2)
+        assert found.count() <= n * (2 * width + 1) * 2 * width
