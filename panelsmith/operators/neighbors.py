@@ -3,12 +3,14 @@
 No pair of rows is materialised and no side is sent everywhere:
 
 1. Pivots (one per ``cell_rows`` rows, chosen by hash) cut the space into cells; every row of the
-   searched side belongs to the cell of its nearest pivot.
-2. Per cell the number of rows and the range of their distances to the pivot are known. A query row's
-   k-th neighbour is at most as far as its k-th nearest pivot, or as the k-th row of a cell around its
-   pivot; by the triangle inequality it visits only cells that can hold something as near as that.
-3. Cells and their visitors are cut into blocks of bounded size. One task computes one block with
-   NumPy and returns the k best per query row; a window merges the blocks of a query row.
+   searched side belongs to the cell of its nearest pivot. Neighbouring cells are put together to blocks of
+   at most ``block_rows`` rows; a larger cell is cut into several.
+2. In the first round a query row meets the rows of its own cell. The k-th of them is a bound on the
+   distance of its k-th neighbour, and mostly close to it.
+3. In the second round it goes to the other cells that can hold something as near: by the triangle
+   inequality from the number of rows of a cell and the range of their distances to the pivot. It is sent
+   once to a block, however many of its cells it visits, so there are at most as many copies of it as blocks;
+   inside, it is compared with the cells it visits only. A window merges the rounds and blocks.
 
 Copies of one vector beyond the k + 1 with the smallest ids can never be among anybody's k neighbours
 (ties go to the smaller id), so they are left out of the searched side before it is cut into cells.
@@ -17,7 +19,7 @@ Copies of one vector beyond the k + 1 with the smallest ids can never be among a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +34,7 @@ from panelsmith.session import cut_lineage
 
 MAX_PIVOTS = 16_384
 CELL_ROWS = 512
-BLOCK_ROWS = 8_192
-PAIRS_PER_TASK = 200_000_000
+BLOCK_ROWS = 32_768
 MAX_TASKS = 100_000
 _TILE = 128
 
@@ -127,8 +128,39 @@ class _Cells:
     farthest: np.ndarray
     kth: np.ndarray
 
-    def blocks(self, rows_per_block: int) -> np.ndarray:
-        return np.maximum(1, np.ceil(self.n / rows_per_block)).astype(np.int64)
+    def blocks(self, rows_per_block: int) -> tuple[np.ndarray, np.ndarray]:
+        """First block and number of blocks per cell; small cells that are near each other share one."""
+        centred = self.pivots - self.pivots.mean(axis=0)
+        along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0] if len(centred) > 1 else np.zeros(1)
+        first, several = np.zeros(len(self.n), np.int64), np.maximum(1, -(-self.n // rows_per_block))
+        block, held = -1, rows_per_block + 1
+        for cell in np.argsort(along, kind="stable").tolist():
+            if held + self.n[cell] > rows_per_block:
+                block, held = block + 1, 0
+            first[cell] = block
+            if several[cell] > 1:
+                block, held = block + int(several[cell]) - 1, rows_per_block + 1
+            held += int(self.n[cell])
+        return first, several
+
+    def visited(self, tile: np.ndarray, own: np.ndarray, bound: np.ndarray, some: np.ndarray, k: int, p: int) -> np.ndarray:
+        """Which of the cells ``some``, but not their ``own``, may hold one of the k nearest rows of ``tile``."""
+        margin = _size(tile, p) + _size(self.pivots, p)
+        margin = 1e-11 * margin if p == 1 else 1e-5 * math.sqrt(margin)
+        to_pivot = distances(tile, self.pivots, p)
+        reach = np.minimum(bound, (to_pivot + self.kth[None, :]).min(1))
+        if len(self.pivots) > k:
+            # k + 1 pivots are rows, at most one of them the query row itself
+            reach = np.minimum(reach, np.partition(to_pivot, k, axis=1)[:, k])
+        reach = reach[:, None] + margin
+        nearest, to_pivot = to_pivot.min(1, keepdims=True), to_pivot[:, some]
+        return (
+            (to_pivot - self.farthest[None, some] <= reach)
+            & (self.nearest[None, some] - to_pivot <= reach)
+            & ((to_pivot - nearest) / 2 <= reach)
+            & (self.n[some] > 0)[None, :]
+            & (some[None, :] != own[:, None])
+        )
 
 
 def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -161,72 +193,86 @@ def _nearest_cell(pivots: np.ndarray, p: int) -> Callable:
     return assign
 
 
-def _visited_cells(cells: _Cells, k: int, p: int) -> Callable:
-    """Vector to the cells that may hold one of its k nearest rows."""
-
-    def visited(tile: np.ndarray, margin: float) -> np.ndarray:
-        to_pivot = distances(tile, cells.pivots, p)
-        reach = (to_pivot + cells.kth[None, :]).min(1)
-        if len(cells.pivots) > k:
-            # k + 1 pivots are rows, at most one of them the query row itself
-            reach = np.minimum(reach, np.partition(to_pivot, k, axis=1)[:, k])
-        reach = reach[:, None] + margin
-        own = to_pivot.min(1, keepdims=True)
-        return (
-            (to_pivot - cells.farthest[None, :] <= reach)
-            & (cells.nearest[None, :] - to_pivot <= reach)
-            & ((to_pivot - own) / 2 <= reach)
-            & (cells.n > 0)[None, :]
-        )
+def _visited_blocks(cells: _Cells, first: np.ndarray, several: np.ndarray, k: int, p: int) -> Callable:
+    """Vector, own cell and bound to the blocks with cells that may hold one of the k nearest rows."""
+    n_blocks = int((first + several).max())
+    every = np.arange(len(cells.n))
 
     @F.arrow_udf("array<long>")
-    def visit(vectors: pa.Array) -> pa.Array:
+    def visit(vectors: pa.Array, own: pa.Array, bound: pa.Array) -> pa.Array:
         if not len(vectors):
             return pa.array([], pa.list_(pa.int64()))
-        matrix = _matrix(vectors)
-        length = _size(matrix, p) + _size(cells.pivots, p)
-        margin = 1e-11 * length if p == 1 else 1e-5 * math.sqrt(length)
+        matrix, own, bound = _matrix(vectors), own.to_numpy(), bound.to_numpy()
         counts, columns = [], []
         for start in range(0, len(matrix), _TILE):
-            possible = visited(matrix[start : start + _TILE], margin)
-            counts.append(possible.sum(1))
-            columns.append(np.nonzero(possible)[1])
+            rows = slice(start, start + _TILE)
+            possible = cells.visited(matrix[rows], own[rows], bound[rows], every, k, p)
+            blocks = np.zeros((len(possible), n_blocks), bool)
+            row, cell = np.nonzero(possible)
+            for part in range(int(several.max())):
+                more = several[cell] > part
+                blocks[row[more], first[cell[more]] + part] = True
+            counts.append(blocks.sum(1))
+            columns.append(np.nonzero(blocks)[1])
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        return pa.ListArray.from_arrays(
-            pa.array(offsets, pa.int32()), pa.array(np.concatenate(columns))
-        )
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(columns)))
 
     return visit
 
 
 def _block_udf(
-    k: int, p: int, exclude_self: bool, output: dict[str, tuple[str, str]], schema: pa.Schema
+    cells: _Cells, k: int, p: int, exclude_self: bool, own_only: bool, output: dict[str, tuple[str, str]], schema: pa.Schema
 ) -> Callable:
-    """``output`` names each result column's side (query, searched or distance) and column there."""
+    """``output`` names each result column's side (query, searched or distance) and column there.
+
+    Query rows meet the rows of their own cell in the first round (``own_only``), those of others afterwards.
+    """
+
+    def best(left: pa.Table, right: pa.Table, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        ids_a, ids_b = (side.column("id").combine_chunks() for side in (left, right))
+        home = left.column("cell").to_numpy()
+        cell_of = right.column("cell").to_numpy()
+        order = np.argsort(cell_of, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(cell_of[order]) != 0, True])
+        some = cell_of[order[edges[:-1]]]
+        if own_only:
+            visits = home[:, None] == some[None, :]
+        else:
+            bound = left.column("bound").to_numpy()
+            tiles = [slice(i, i + _TILE) for i in range(0, len(a), _TILE)]
+            visits = np.concatenate([cells.visited(a[t], home[t], bound[t], some, k, p) for t in tiles])
+        for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            asking, held = np.flatnonzero(visits[:, i]), order[low:high]
+            if len(asking):
+                rows, columns, distance = block_neighbors(
+                    ids_a.take(pa.array(asking)), a[asking], ids_b.take(pa.array(held)), b[held], k, p, exclude_self
+                )
+                yield asking[rows], held[columns], distance
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
-        a, b, distance = block_neighbors(
-            left.column("id").combine_chunks(),
-            _matrix(left.column("vec")),
-            right.column("id").combine_chunks(),
-            _matrix(right.column("vec")),
-            k,
-            p,
-            exclude_self,
-        )
-        sides = {"query": (left, a), "searched": (right, b)}
-        columns = []
-        for name, (side, column) in output.items():
+        a, b = _matrix(left.column("vec")), _matrix(right.column("vec"))
+        found = list(best(left, right, a, b))
+        if not found:
+            return schema.empty_table()
+        rows, columns, distance = (np.concatenate(part) for part in zip(*found, strict=True))
+        if len(found) > 1:
+            rank_b = np.empty(len(b), dtype=np.int64)
+            rank_b[pc.array_sort_indices(right.column("id").combine_chunks()).to_numpy()] = np.arange(len(b))
+            order = np.lexsort((rank_b[columns], distance, rows))
+            rows, columns, distance = rows[order], columns[order], distance[order]
+            keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+            rows, columns, distance = rows[keep], columns[keep], distance[keep]
+        sides = {"query": (left, rows), "searched": (right, columns)}
+        made = []
+        for side, column in output.values():
             if side == "distance":
-                columns.append(pa.array(distance))
+                made.append(pa.array(distance))
             else:
-                frame, rows = sides[side]
-                columns.append(frame.column(column).combine_chunks().take(pa.array(rows)))
-        return pa.Table.from_arrays(
-            [c.cast(schema.field(i).type) for i, c in enumerate(columns)], schema=schema
-        )
+                frame, at = sides[side]
+                made.append(frame.column(column).combine_chunks().take(pa.array(at)))
+        return pa.Table.from_arrays([c.cast(schema.field(i).type) for i, c in enumerate(made)], schema=schema)
 
     return block
 
@@ -310,63 +356,6 @@ def knn_join(
     vec = F.col(vec_col).cast("array<double>").alias("vec")
     a = queries.select(F.col(id_col).alias("id"), vec, *_numbered(carry_query))
     b = searched.select(F.col(id_col).alias("id"), vec, *_numbered(carry_neighbor))
-    n_a, n_b = a.count(), b.count()
-    parallelism = spark.sparkContext.defaultParallelism
-    n_pivots = min(max_pivots, math.ceil(n_b / cell_rows))
-    query_rows = min(32_768, max(256, math.ceil(n_a / (2 * parallelism))))
-
-    if n_pivots <= 1:
-        searched_blocks = np.array([max(1, math.ceil(n_b / block_rows))], dtype=np.int64)
-        query_blocks = np.array([max(1, math.ceil(n_a / query_rows))], dtype=np.int64)
-        pairs = n_a * n_b
-        visits = a.withColumn("cell", F.lit(0).cast("long"))
-        members = b.withColumn("cell", F.lit(0).cast("long"))
-    else:
-        pivots = _choose_pivots(b, n_pivots, n_b)
-        placed = _first_copies(b, k + 1).withColumn("_place", _nearest_cell(pivots, p)("vec"))
-        assigned = cut_lineage(placed.select(*b.columns, "_place.cell", "_place.radius"))
-        cells = _describe_cells(assigned, pivots, k)
-        searched_blocks = cells.blocks(block_rows)
-        visits = a.withColumn("cell", F.explode(_visited_cells(cells, k, p)("vec")))
-        query_blocks = np.ones(len(pivots), dtype=np.int64)
-        pairs = 0
-        for row in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
-            query_blocks[row["cell"]] = math.ceil(row["n"] / query_rows)
-            pairs += row["n"] * int(cells.n[row["cell"]])
-        members = assigned.drop("radius")
-
-    layout = spark.createDataFrame(
-        [
-            (i, int(nq), int(ns))
-            for i, (nq, ns) in enumerate(zip(query_blocks, searched_blocks, strict=True))
-        ],
-        "cell long, n_query_blocks long, n_searched_blocks long",
-    )
-    layout = F.broadcast(layout)  # one row per pivot: at most max_pivots rows
-
-    def chunk(n: str) -> Column:
-        return F.pmod(F.xxhash64("id"), F.col(n))
-
-    def each(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-
-    key = ["cell", "query_block", "searched_block"]
-    n_blocks = int((searched_blocks * query_blocks).sum())
-    tasks = max(2 * parallelism, min(n_blocks, math.ceil(pairs / PAIRS_PER_TASK), MAX_TASKS))
-    left = (
-        visits.join(layout, "cell")
-        .withColumn("query_block", chunk("n_query_blocks"))
-        .withColumn("searched_block", each("n_searched_blocks"))
-        .select(*key, *a.columns)
-        .repartition(tasks, *key)
-    )
-    right = (
-        members.join(layout, "cell")
-        .withColumn("searched_block", chunk("n_searched_blocks"))
-        .withColumn("query_block", each("n_query_blocks"))
-        .select(*key, *b.columns)
-        .repartition(tasks, *key)
-    )
     output = {
         id_col: ("query", "id"),
         "neighbor_id": ("searched", "id"),
@@ -381,13 +370,55 @@ def knn_join(
             for name, (side, c) in output.items()
         ]
     )
-    candidates = (
-        left.groupBy(*key)
-        .cogroup(right.groupBy(*key))
-        .applyInArrow(_block_udf(k, p, exclude_self, output, to_arrow_schema(schema)), schema)
-    )
     best = Window.partitionBy(id_col).orderBy("distance", "neighbor_id")
-    return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    n_a, n_b = a.count(), b.count()
+    if not n_b:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+
+    pivots = _choose_pivots(b, min(max_pivots, math.ceil(n_b / cell_rows)), n_b)
+    placed = _first_copies(b, k + 1).withColumn("_place", _nearest_cell(pivots, p)("vec"))
+    assigned = cut_lineage(placed.select(*b.columns, "_place.cell", "_place.radius"))
+    cells = _describe_cells(assigned, pivots, k)
+    first, several = cells.blocks(block_rows)
+    parallelism = spark.sparkContext.defaultParallelism
+    query_rows = min(32_768, max(256, math.ceil(n_a / (2 * parallelism))))
+    layout = spark.createDataFrame(
+        [(i, int(f), int(n)) for i, (f, n) in enumerate(zip(first, several, strict=True))],
+        "cell long, first_block long, n_blocks long",
+    )  # one row per pivot
+    block_of = F.col("first_block") + F.pmod(F.xxhash64("id"), F.col("n_blocks"))
+    members = assigned.drop("radius").join(F.broadcast(layout), "cell").withColumn("block", block_of)
+
+    def met(visits: DataFrame, own_only: bool) -> DataFrame:
+        """Candidates of query rows (``visits``: with their ``block``) among the rows of these blocks."""
+        counts = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / query_rows).alias("n_parts"))
+        parts = cut_lineage(counts)  # one row per block
+        n_parts = parts.agg(F.sum("n_parts")).first()[0] or 1
+        tasks = max(2 * parallelism, min(n_parts, MAX_TASKS))
+        left = visits.join(F.broadcast(parts), "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n_parts")))
+        right = members.join(F.broadcast(parts), "block").withColumn(
+            "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))
+        )
+        more = ["cell"] if own_only else ["cell", "bound"]
+        return (
+            left.select("block", "part", *more, *a.columns)
+            .repartition(tasks, "block", "part")
+            .groupBy("block", "part")
+            .cogroup(right.select("block", "part", "cell", *b.columns).repartition(tasks, "block", "part").groupBy("block", "part"))
+            .applyInArrow(_block_udf(cells, k, p, exclude_self, own_only, output, to_arrow_schema(schema)), schema)
+        )
+
+    homes = cut_lineage(a.withColumn("_place", _nearest_cell(pivots, p)("vec")).select(*a.columns, "_place.cell"))
+    every_part = F.explode(F.sequence(F.col("first_block"), F.col("first_block") + F.col("n_blocks") - 1))
+    own = met(homes.join(F.broadcast(layout), "cell").withColumn("block", every_part), True)
+    own = cut_lineage(own.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r"))
+    bounds = own.groupBy(F.col(id_col).alias("id")).agg(
+        F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound")
+    )
+    bounded = homes.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(math.inf)))
+    blocks = _visited_blocks(cells, first, several, k, p)("vec", "cell", "bound")
+    others = met(cut_lineage(bounded.withColumn("blocks", blocks)).withColumn("block", F.explode("blocks")), False)
+    return own.unionByName(others).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _numbered(columns: list[str]) -> list[Column]:

@@ -1,9 +1,12 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from panelsmith.operators.classify import knn_classify, knn_votes
 from panelsmith.operators import knn_graph as graph
+from panelsmith.operators import neighbors
 from panelsmith.operators.knn_graph import knn_graph
 from panelsmith.operators.neighbors import knn_join
 from panelsmith.operators.resample import (
@@ -223,3 +226,28 @@ def test_graph_work_does_not_grow_with_the_cells(spark):
         assert lists.groupBy("node").count().agg(F.max("count")).first()[0] <= width
         found = graph._descent(nodes, lists, width, 2)
         assert found.count() <= n * (2 * width + 1) * 2 * width
+
+
+@pytest.mark.parametrize("dims", [13, 64])
+def test_copies_are_bounded_by_blocks(spark, dims):
+    """Normal data in many dimensions, where every cell may hold a neighbour: one copy per block, not per cell."""
+    x = np.random.default_rng(dims).normal(size=(1500, dims))
+    df = vectors(spark, x).select("id", "vec")
+    pivots = neighbors._choose_pivots(df, 60, 1500)
+    assigned = cut_lineage(df.withColumn("_p", neighbors._nearest_cell(pivots, 2)("vec")).select("id", "vec", "_p.cell", "_p.radius"))
+    cells = neighbors._describe_cells(assigned, pivots, 5)
+    first, several = cells.blocks(300)
+    held = np.bincount(first[several == 1], cells.n[several == 1])
+    assert len(pivots) >= 40 and held.max() <= 300 and (first + several).max() <= 2 * 1500 / 300 + 1
+    visit = neighbors._visited_blocks(cells, first, several, 5, 2)
+    sent = assigned.withColumn("b", visit("vec", "cell", F.lit(math.inf).cast("double"))).select("b").collect()
+    assert all(len(r["b"]) == len(set(r["b"])) <= (first + several).max() for r in sent)
+    got = knn_join(df, df, "id", "vec", 5, 2, True, cell_rows=25, block_rows=300).collect()
+    want = brute(x, x, 5, 2, True)
+    assert {(r["id"], r["neighbor_id"], r["rank"]) for r in got} == {(i, j, rank) for i, j, _, rank in want}
+
+
+def test_nothing_to_search(spark):
+    df = vectors(spark, clustered(5, 3, 1))
+    assert knn_join(df, df.limit(0), "id", "vec", 2).count() == 0
+    assert knn_join(df.limit(0), df, "id", "vec", 2).count() == 0
