@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelsmith.functions import scalar
 from panelsmith.functions.quantiles import exact_quantiles
 from panelsmith.operators.stages import ColumnsEstimator, ColumnsTransformer, FittedColumns
+from panelsmith.session import cut_lineage
 
 
 def _shift_and_scale(c: str, centre: float | None, width: float | None) -> Column:
@@ -66,54 +71,92 @@ _GRID = 41
 _MOVES = 10
 
 
+_SUMS = "column int, lam int, n long, jacobian double, mean double, m2 double"
+
+
+def _likelihoods(table: DataFrame, grids: dict[int, list[float]]) -> dict[int, dict[float, float]]:
+    """Log-likelihood per column (by number) and candidate: -n/2 ln var(y) + (lambda - 1) sum sign(x) ln(1 + |x|).
+
+    A task adds up the moments of all candidates and columns as it reads, and sends one row of each.
+    """
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = {i: np.array(grid) for i, grid in grids.items()}
+        n, jacobian = dict.fromkeys(grids, 0), dict.fromkeys(grids, 0.0)
+        mean, m2 = ({i: np.zeros(len(g)) for i, g in grids.items()} for _ in range(2))
+        for batch in batches:
+            for i, lam in size.items():
+                x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                if not len(x):
+                    continue
+                sign, log = np.sign(x)[:, None], np.log1p(np.abs(x))[:, None]
+                # (1 + |x|)^k = exp(k log(1 + |x|)): one logarithm per value, one exponential per candidate
+                k = np.where(sign >= 0, lam, 2.0 - lam)
+                with np.errstate(all="ignore"):
+                    y = sign * np.where(k == 0, log, np.expm1(k * log) / k)
+                    own = y.mean(axis=0)
+                    gap, total = own - mean[i], n[i] + len(x)
+                    m2[i] += ((y - own) ** 2).sum(axis=0) + gap * gap * (n[i] * len(x) / total)
+                    mean[i] += gap * (len(x) / total)
+                n[i], jacobian[i] = total, jacobian[i] + float((sign * log).sum())
+        rows = [(i, j, n[i], jacobian[i], mean[i][j], m2[i][j]) for i in grids if n[i] for j in range(len(grids[i]))]
+        columns = zip(*rows, strict=True) if rows else [()] * 6
+        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 3]
+        arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["column", "lam", "n", "jacobian", "mean", "m2"])
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        """Of one column and candidate: the moments of all tasks, about their common mean."""
+        n = frame["n"].sum()
+        mean = (frame["n"] * frame["mean"]).sum() / n
+        spread = frame["m2"].sum() + (frame["n"] * (frame["mean"] - mean) ** 2).sum()
+        return frame.head(1)[["column", "lam"]].assign(n=n, jacobian=frame["jacobian"].sum(), mean=mean, m2=spread)
+
+    sums = table.mapInArrow(moments, _SUMS).groupBy("column", "lam").applyInPandas(merged, _SUMS)
+    out: dict[int, dict[float, float]] = {i: {} for i in grids}
+    for row in sums.collect():
+        variance, lam = row["m2"] / row["n"], grids[row["column"]][row["lam"]]
+        # equal values may differ from their mean by its rounding
+        if (1e-14 * row["mean"]) ** 2 < variance < math.inf:
+            out[row["column"]][lam] = -row["n"] / 2 * math.log(variance) + (lam - 1) * row["jacobian"]
+    return out
+
+
+def fit_yeo_johnson_columns(
+    df: DataFrame, columns: list[str], low: float = -4.0, high: float = 6.0, tolerance: float = 1e-5
+) -> dict[str, float | None]:
+    """Maximum-likelihood lambda of each column: a grid of candidates per pass, refined around the best one.
+
+    The columns are written once; a pass reads them for all columns that are still searched. While the best
+    candidate lies on an edge, the grid doubles its width beyond that edge, ``_MOVES`` times at most; then
+    the edge itself is the answer. None where there are no values or they are constant.
+    """
+    table = cut_lineage(df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
+    found: dict[str, float | None] = dict.fromkeys(columns)
+    search = {i: (low, high, 0) for i in range(len(columns))}
+    while search:
+        steps = {i: (high - low) / (_GRID - 1) for i, (low, high, _) in search.items()}
+        grids = {i: [search[i][0] + j * steps[i] for j in range(_GRID)] for i in search}
+        for i, likelihood in _likelihoods(table, grids).items():
+            low, high, moves = search.pop(i)
+            if not likelihood:
+                continue
+            best = max(sorted(likelihood), key=likelihood.get)
+            edge = best in (grids[i][0], grids[i][-1]) and steps[i] > 0.01
+            if steps[i] <= tolerance or (edge and moves == _MOVES):
+                found[columns[i]] = best
+            elif edge:
+                search[i] = best - (high - low), best + (high - low), moves + 1
+            else:
+                search[i] = best - steps[i], best + steps[i], moves
+    return found
+
+
 def fit_yeo_johnson(
     df: DataFrame, column: str, low: float = -4.0, high: float = 6.0, tolerance: float = 1e-5
 ) -> float | None:
-    """Maximum-likelihood lambda: a grid of candidates per job, refined around the best one.
-
-    The log-likelihood is -n/2 ln var(y) + (lambda - 1) sum sign(x) ln(1 + |x|), so a pass needs one
-    variance per candidate. Each task repeats its rows per candidate and shuffles sums only. While the
-    best candidate lies on an edge, the grid doubles its width beyond that edge, ``_MOVES`` times at most;
-    then the edge itself is the answer. None where there are no values or they are constant.
-    """
-    x = F.col(f"`{column}`").cast("double")
-    values = df.where(x.isNotNull()).select(
-        F.sign(x).alias("sign"), F.log1p(F.abs(x)).alias("log")
-    )
-    # (1 + |x|)^k = exp(k log(1 + |x|)): one logarithm per row, one exponential per candidate
-    k = F.when(F.col("sign") >= 0, F.col("lam")).otherwise(2.0 - F.col("lam"))
-    power = F.when(k == 0, F.col("log")).otherwise(F.expm1(k * F.col("log")) / k)
-    moves = 0
-    while True:
-        step = (high - low) / (_GRID - 1)
-        grid = [low + i * step for i in range(_GRID)]
-        spread = (
-            values.select("sign", "log", F.explode(F.lit(grid)).alias("lam"))
-            .groupBy("lam")
-            .agg(
-                F.count("log").alias("n"),
-                F.sum(F.col("sign") * F.col("log")).alias("jacobian"),
-                F.var_pop(F.col("sign") * power).alias("v"),
-            )
-            .collect()
-        )
-        likelihood = {
-            row["lam"]: -row["n"] / 2 * math.log(row["v"]) + (row["lam"] - 1) * row["jacobian"]
-            for row in spread
-            if row["v"] is not None and 0 < row["v"] < math.inf
-        }
-        if not likelihood:
-            return None
-        best = max(sorted(likelihood), key=likelihood.get)
-        if step <= tolerance:
-            return best
-        if best in (grid[0], grid[-1]) and step > 0.01:
-            if moves == _MOVES:
-                return best
-            moves += 1
-            low, high = best - (high - low), best + (high - low)
-        else:
-            low, high = best - step, best + step
+    """``fit_yeo_johnson_columns`` of one column."""
+    return fit_yeo_johnson_columns(df, [column], low, high, tolerance)[column]
 
 
 def gaussian_transforms(column: str, lam: float | None) -> dict[str, Column]:

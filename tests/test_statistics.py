@@ -84,3 +84,26 @@ def test_qq_points_with_a_value_held_by_a_third(spark):
     np.testing.assert_array_equal(got["sample"], np.sort(x))
     assert got["theoretical"].is_monotonic_increasing
     assert got["theoretical"].iloc[0] == pytest.approx(-got["theoretical"].iloc[-1])
+
+
+def test_yeo_johnson_of_many_columns(spark):
+    """All columns in the same passes give what each gives alone; also with gaps, one constant and one empty column."""
+    rng = np.random.default_rng(6)
+    rows = [
+        (float(a), None if i % 3 == 0 else float(b), 2.0, None)
+        for i, (a, b) in enumerate(zip(rng.lognormal(size=600), rng.normal(3, 2, 600) ** 3))
+    ]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5).cache()
+    found = scale.fit_yeo_johnson_columns(df, ["a", "b", "c", "d"])
+    assert found["c"] is None and found["d"] is None
+
+    def likelihood(x, lam):
+        k = np.where(x >= 0, lam, 2 - lam)
+        y = np.sign(x) * (((1 + np.abs(x)) ** k - 1) / k)
+        return -len(x) / 2 * np.log(y.var()) + (lam - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+
+    for name, place in (("a", 0), ("b", 1)):
+        x = np.array([r[place] for r in rows if r[place] is not None])
+        assert scale.fit_yeo_johnson(df, name) == found[name]
+        near = [likelihood(x, found[name] + step) for step in (-1e-3, 0.0, 1e-3)]
+        assert near[1] >= max(near)
