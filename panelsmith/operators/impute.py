@@ -2,18 +2,19 @@
 
 Each round regresses every column with gaps on all other columns over the rows where it is observed
 and overwrites its gaps with the prediction. Done literally that is one pass over the table per round
-and column, with the filled table written in between. Here the table is read four times in all:
-
-* The filled values of a row are a linear function of its observed values, the same function for all
-  rows that lack the same columns. So the moments that any regression in any round needs follow from
-  the moments of the observed values per missingness pattern: one pass, and the rounds run on small
-  matrices.
+and column, with the filled table written in between. Here the table is read three times in all, and
+the fitted steps are replayed on whatever rows are to be filled:
+
+* Every regression needs sums of products only, and all rows that lack the same columns are filled by
+  the same linear function. So the rows of such a pattern may be replaced by any others with the same
+  sums of products: the triangular factor of their QR decomposition, at most one row per observed
+  column and one more. This compressed table never has more rows than the table it stands for, a
+  pattern's rows need not meet in one task for the sums to be right, and any number of patterns will do.
+* The rounds run on the compressed table: a small matrix of sums per step, then the step is applied to
+  the compressed rows. One of bounded size is kept on the driver; a greater one stays distributed and
+  is written once a round.
 * The stopping rule needs the greatest sum of changes in one row per round; one more pass replays all
   rounds on the rows and takes the maxima. Rounds after the first one below the tolerance are cut.
-
-Tables with too many patterns to keep on the driver (a small matrix each) are read once per round and
-column instead; each pass replays the steps so far, so that nothing is written in between. The result is
-the same.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params
 from pyspark.ml.stat import Summarizer
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelsmith.operators.stages import ColumnsEstimator, FittedColumns
+from panelsmith.session import cut_lineage, drop_cut
 from panelsmith.sources.tables import TableError
 
 # A step is (round, column, intercept, coefficients), in standard units; the column's own
@@ -127,55 +130,163 @@ def _replay(values: np.ndarray, gaps: np.ndarray, steps: list[Step], scale: _Sca
     return change
 
 
-def _moment_udf(scale: _Scale, steps: list[Step], target: int | None) -> Callable:
-    """Upper-triangle moments of (1, values), per pattern or over the rows where target is observed."""
+#: Rows a task gathers before it passes on what it has compressed.
+_HELD_ROWS = 65_536
+
+
+def _factor(rows: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Fewer rows of (1, values) with the same sums of products, where they exceed the columns in use."""
+    used = np.flatnonzero(np.r_[True, ~gaps])
+    if len(rows) <= len(used):
+        return rows
+    short = np.zeros((len(used), rows.shape[1]))
+    short[:, used] = np.linalg.qr(rows[:, used], mode="r")
+    return short
 
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
+
+def _compressed(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of (1, values), gaps) with the rows of every pattern replaced by their factor.
+
+    Memory is bounded: beyond ``_HELD_ROWS`` rows everything held is passed on. Gaps must be at 0.
+    """
+    held: dict[bytes, list[np.ndarray]] = {}
+    n_held = 0
+
+    def release() -> tuple[np.ndarray, np.ndarray]:
+        masks = [np.frombuffer(key, dtype=bool) for key in held]
+        factors = [_factor(np.concatenate(parts), m) for parts, m in zip(held.values(), masks, strict=True)]
+        return np.concatenate(factors), np.repeat(masks, [len(f) for f in factors], axis=0)
+
+    for rows, gaps in batches:
+        if not len(rows):
+            continue
+        keys = np.ascontiguousarray(gaps).view(f"V{gaps.shape[1]}").ravel()
+        _, first, inverse = np.unique(np.packbits(gaps, axis=1), axis=0, return_index=True, return_inverse=True)
+        order = np.argsort(inverse.ravel(), kind="stable")
+        ends = np.cumsum(np.bincount(inverse.ravel()))[:-1]
+        for at, part in zip(first, np.split(order, ends), strict=True):
+            factor = _factor(rows[part], gaps[at])
+            held.setdefault(keys[at].tobytes(), []).append(factor)
+            n_held += len(factor)
+        if n_held > _HELD_ROWS:
+            squeezed = release()
+            held, n_held = {}, 0
+            if len(squeezed[0]) > _HELD_ROWS // 2:
+                yield squeezed
+            else:  # a few patterns: go on gathering
+                rows, gaps = squeezed
+                keys = np.ascontiguousarray(gaps).view(f"V{gaps.shape[1]}").ravel()
+                edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                held = {keys[e].tobytes(): [r] for e, r in zip(edges, np.split(rows, edges[1:]), strict=True)}
+                n_held = len(rows)
+    if held:
+        yield release()
+
+
+_COMPRESSED = "u array<double>, gaps array<boolean>"
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    n = batch.num_rows
+    u, gaps = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+    return u.reshape(n, -1).copy(), gaps.reshape(n, -1)
+
+
+def _packed(u: np.ndarray, gaps: np.ndarray) -> pa.RecordBatch:
+    columns = [
+        pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.array(m.ravel()))
+        for m in (u, gaps)
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["u", "gaps"])
+
+
+def _compressed_table(df: DataFrame, scale: _Scale) -> DataFrame:
+    """The compressed rows, first task by task where they are read, then by pattern."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
-            if not len(batch):
-                continue
             values, gaps = scale.standard(batch)
-            if target is not None:
-                _replay(values, gaps, steps, scale)
-                values = values[~gaps[:, target]]
-                groups = {"": np.arange(len(values))}
-            else:
-                patterns, inverse = np.unique(gaps, axis=0, return_inverse=True)
-                inverse = inverse.ravel()
-                groups = {
-                    "".join("1" if g else "0" for g in pattern): np.flatnonzero(inverse == i)
-                    for i, pattern in enumerate(patterns)
-                }
-            for key, rows in groups.items():
-                u = np.column_stack([np.ones(len(rows)), values[rows]])
-                product = u.T @ u
-                sums[key] = sums[key] + product if key in sums else product
-        for key, total in sums.items():
-            triangle = total[np.triu_indices(len(total))]
-            yield pd.DataFrame({"pattern": [key], "m": [triangle]})
-
-    return moments
-
-
-def _summed_moments(
-    df: DataFrame, scale: _Scale, steps: list[Step], target: int | None
-) -> dict[str, np.ndarray]:
-    size = len(scale.mean) + 1
-    partial = df.mapInPandas(
-        _moment_udf(scale, steps, target), "pattern string, m array<double>"
-    )
-    rows = (
-        partial.groupBy("pattern")
-        .agg(Summarizer.sum(array_to_vector("m")).alias("m"))
-        .collect()
-    )
-    result = {}
-    for row in rows:
-        full = np.zeros((size, size))
-        full[np.triu_indices(size)] = row["m"].toArray()
-        result[row["pattern"]] = full + np.triu(full, 1).T
-    return result
+            yield np.column_stack([np.ones(len(values)), values]), gaps
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, gaps in _compressed(read(b.to_pandas() for b in batches)):
+            yield _packed(u, gaps)
+
+    def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, gaps in _compressed(_unpacked(b) for b in batches if b.num_rows):
+            yield _packed(u, gaps)
+
+    return df.mapInArrow(early, _COMPRESSED).repartition("gaps").mapInArrow(late, _COMPRESSED)
+
+
+def _apply(u: np.ndarray, gaps: np.ndarray, steps: list[Step]) -> None:
+    """Steps on compressed rows, in place; the first column stands for the constant."""
+    for _, j, intercept, coefficients in steps:
+        rows = gaps[:, j]
+        u[rows, j + 1] = u[rows] @ np.r_[intercept, coefficients]
+
+
+def _products(u: np.ndarray, gaps: np.ndarray, target: int) -> np.ndarray:
+    seen = u[~gaps[:, target]]
+    return seen.T @ seen
+
+
+class _OnDriver:
+    """Compressed rows of a proven size."""
+
+    def __init__(self, table: DataFrame, size: int) -> None:
+        rows = table.collect()
+        self.u = np.array([r["u"] for r in rows]).reshape(len(rows), size + 1)
+        self.gaps = np.array([r["gaps"] for r in rows], dtype=bool).reshape(len(rows), size)
+
+    def moments(self, target: int) -> np.ndarray:
+        return _products(self.u, self.gaps, target)
+
+    def step(self, step: Step) -> None:
+        _apply(self.u, self.gaps, [step])
+
+    def end_round(self) -> None:
+        pass
+
+
+class _OnCluster:
+    """Compressed rows as a table: a pass per step replays the round so far, a round ends with a write."""
+
+    def __init__(self, table: DataFrame, size: int) -> None:
+        self.table, self.size, self.steps = table, size, []
+
+    def moments(self, target: int) -> np.ndarray:
+        steps, size = self.steps, self.size + 1
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((size, size))
+            for batch in batches:
+                if batch.num_rows:
+                    u, gaps = _unpacked(batch)
+                    _apply(u, gaps, steps)
+                    total += _products(u, gaps, target)
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()])], names=["m"])
+
+        partial = self.table.mapInArrow(sums, "m array<double>")
+        row = partial.agg(Summarizer.sum(array_to_vector("m")).alias("m")).first()
+        return row["m"].toArray().reshape(size, size)
+
+    def step(self, step: Step) -> None:
+        self.steps = [*self.steps, step]
+
+    def end_round(self) -> None:
+        steps = self.steps
+
+        def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    u, gaps = _unpacked(batch)
+                    _apply(u, gaps, steps)
+                    yield _packed(u, gaps)
+
+        before = self.table
+        self.table, self.steps = cut_lineage(before.mapInArrow(filled, _COMPRESSED)), []
+        drop_cut(before)
 
 
 def _change_udf(scale: _Scale, steps: list[Step]) -> Callable:
@@ -197,32 +308,6 @@ def _changes(df: DataFrame, scale: _Scale, steps: list[Step]) -> dict[int, float
     return {row["round"]: row["change"] for row in rows}
 
 
-def _rounds_from_patterns(
-    moments: dict[str, np.ndarray],
-    order: list[int],
-    max_iter: int,
-    scale: _Scale,
-    regressor: Callable,
-) -> list[Step]:
-    """All rounds on pattern moments; ``maps[p]`` turns observed values into filled ones."""
-    patterns = np.array([[bit == "1" for bit in p] for p in moments])
-    observed = np.stack(list(moments.values()))
-    size = observed.shape[1]
-    maps = np.tile(np.eye(size), (len(patterns), 1, 1))
-    for j in range(size - 1):
-        maps[patterns[:, j], j + 1, :] = 0.0
-    steps: list[Step] = []
-    for number in range(max_iter):
-        for j in order:
-            seen = maps[~patterns[:, j]]
-            total = (seen @ observed[~patterns[:, j]] @ seen.transpose(0, 2, 1)).sum(0)
-            intercept, coefficients = _fit_step(total, j, scale, regressor)
-            steps.append((number, j, intercept, coefficients))
-            row = np.concatenate([[intercept], coefficients])
-            maps[patterns[:, j], j + 1, :] = np.einsum("i,pij->pj", row, maps[patterns[:, j]])
-    return steps
-
-
 class IterativeImputer(ColumnsEstimator):
     """Chained-equation imputation of numeric columns, starting from their means.
 
@@ -235,7 +320,7 @@ class IterativeImputer(ColumnsEstimator):
     maxIter = Param(Params._dummy(), "maxIter", "greatest number of rounds")
     tol = Param(Params._dummy(), "tol", "relative tolerance of the greatest change in a round")
     regressor = Param(Params._dummy(), "regressor", "bayesian_ridge or least_squares")
-    maxPatterns = Param(Params._dummy(), "maxPatterns", "missingness patterns kept on the driver")
+    driverValues = Param(Params._dummy(), "driverValues", "greatest compressed table the driver keeps")
 
     def __init__(
         self,
@@ -243,10 +328,10 @@ class IterativeImputer(ColumnsEstimator):
         max_iter: int = 30,
         tol: float = 1e-3,
         regressor: str = "bayesian_ridge",
-        max_patterns: int = 20_000,
+        driver_values: int = 2_000_000,
     ) -> None:
         super().__init__(columns)
-        self._set(maxIter=max_iter, tol=tol, regressor=regressor, maxPatterns=max_patterns)
+        self._set(maxIter=max_iter, tol=tol, regressor=regressor, driverValues=driver_values)
 
     def _fit(self, df: DataFrame) -> IterativeImputerModel:
         columns = self.getColumns()
@@ -277,23 +362,21 @@ class IterativeImputer(ColumnsEstimator):
     ) -> list[Step]:
         max_iter = self.getOrDefault(self.maxIter)
         regressor = REGRESSORS[self.getOrDefault(self.regressor)]
-        max_patterns = self.getOrDefault(self.maxPatterns)
-        pattern = F.concat(*[F.isnull(c).cast("int").cast("string") for c in df.columns])
-        if df.select(pattern).distinct().limit(max_patterns + 1).count() <= max_patterns:
-            moments = _summed_moments(df, scale, [], None)
-            steps = _rounds_from_patterns(moments, order, max_iter, scale, regressor)
-            changes = _changes(df, scale, steps)
-            done = [r for r in range(max_iter) if changes.get(r, math.inf) < limit]
-            last = done[0] if done else max_iter
-            return [s for s in steps if s[0] <= last]
-        steps = []
+        size = len(df.columns)
+        table = cut_lineage(_compressed_table(df, scale))
+        small = table.count() * (size + 1) <= self.getOrDefault(self.driverValues)
+        rows = (_OnDriver if small else _OnCluster)(table, size)
+        steps: list[Step] = []
         for number in range(max_iter):
             for j in order:
-                moments = _summed_moments(df, scale, steps, j)[""]
-                steps.append((number, j, *_fit_step(moments, j, scale, regressor)))
-            if _changes(df, scale, steps)[number] < limit:
-                break
-        return steps
+                steps.append((number, j, *_fit_step(rows.moments(j), j, scale, regressor)))
+                rows.step(steps[-1])
+            rows.end_round()
+        drop_cut(table if small else rows.table)
+        changes = _changes(df, scale, steps)
+        done = [r for r in range(max_iter) if changes.get(r, math.inf) < limit]
+        last = done[0] if done else max_iter
+        return [s for s in steps if s[0] <= last]
 
 
 class IterativeImputerModel(FittedColumns):

@@ -96,3 +96,9 @@ def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut", keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame that :func:`cut_lineage` returned."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        drop_table(df.sparkSession, folder)

@@ -1,10 +1,13 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
+from panelsmith.operators import impute
 from panelsmith.operators.clean import MeanImputer
 from panelsmith.operators.impute import IterativeImputer
+from panelsmith.session import scratch_path
 from panelsmith.sources.tables import TableError
 
 COLUMNS = ["a", "b", "c", "d"]
@@ -68,15 +71,69 @@ def matrix(df):
     return df.orderBy("i").toPandas()[COLUMNS].to_numpy()
 
 
-@pytest.mark.parametrize("max_patterns", [1024, 1])
-def test_equals_the_literal_procedure(frame, data, max_patterns):
+@pytest.mark.parametrize("driver_values", [1_000_000, 0])
+def test_equals_the_literal_procedure(frame, data, driver_values):
     want, rounds = chained(data)
-    model = IterativeImputer(COLUMNS, max_patterns=max_patterns).fit(frame)
+    model = IterativeImputer(COLUMNS, driver_values=driver_values).fit(frame)
     steps = model.getValues()["steps"]
     assert steps[-1][0] + 1 == rounds > 1
     np.testing.assert_allclose(matrix(model.transform(frame)), want, rtol=1e-8)
 
 
+@pytest.mark.parametrize("driver_values", [10_000_000, 0])
+def test_fifty_thousand_patterns_and_three_reads(spark, driver_values):
+    rng = np.random.default_rng(3)
+    width, n = 18, 60_000
+    x = rng.normal(size=(n, 5)) @ rng.normal(size=(5, width)) + 0.3 * rng.normal(size=(n, width)) + 4
+    x[rng.random(x.shape) < 0.5] = np.nan
+    x[:, 0] = np.where(np.isnan(x[:, 0]), 1.0, x[:, 0])
+    assert len(np.unique(np.isnan(x), axis=0)) > 40_000
+    want, _ = chained(x, 2, 0.0)
+    names = [f"v{i}" for i in range(width)]
+    frame = pd.DataFrame(x, columns=names).assign(i=np.arange(n))
+    path = scratch_path(spark, "patterns")
+    spark.createDataFrame(frame).replace(float("nan"), None).repartition(6).write.parquet(path)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    stored = spark.read.parquet(path)
+    table = stored.mapInArrow(counted, stored.schema)
+    model = IterativeImputer(names, max_iter=2, tol=0.0, driver_values=driver_values).fit(table)
+    assert reads.value == 3 * n
+    got = model.transform(stored).orderBy("i").toPandas()[names].to_numpy()
+    np.testing.assert_allclose(got, want, rtol=1e-7, atol=1e-7)
+
+
+def test_compression_keeps_all_products():
+    rng = np.random.default_rng(5)
+    gaps = rng.random((9_000, 7)) < [0, 0.5, 0.2, 0.9, 0.5, 0.1, 1]
+    u = np.column_stack([np.ones(len(gaps)), np.where(gaps, 0.0, rng.normal(size=gaps.shape))])
+    parts = list(impute._compressed(iter([(u[:4_000], gaps[:4_000]), (u[4_000:], gaps[4_000:])])))
+    short, masks = (np.concatenate(p) for p in zip(*parts, strict=True))
+    patterns = np.unique(gaps, axis=0)
+    assert len(short) <= sum(8 - p.sum() for p in patterns)
+    for pattern in patterns:
+        a, b = u[(gaps == pattern).all(1)], short[(masks == pattern).all(1)]
+        np.testing.assert_allclose(a.T @ a, b.T @ b, atol=1e-9)
+
+
+@pytest.mark.parametrize("held", [1, 40, 300])
+def test_compression_in_bounded_memory(monkeypatch, held):
+    monkeypatch.setattr(impute, "_HELD_ROWS", held)
+    rng = np.random.default_rng(6)
+    gaps = rng.random((3_000, 5)) < 0.5
+    u = np.column_stack([np.ones(len(gaps)), np.where(gaps, 0.0, rng.normal(size=gaps.shape))])
+    parts = list(impute._compressed((u[i : i + 100], gaps[i : i + 100]) for i in range(0, 3_000, 100)))
+    short, masks = (np.concatenate(p) for p in zip(*parts, strict=True))
+    for pattern in np.unique(gaps, axis=0):
+        a, b = u[(gaps == pattern).all(1)], short[(masks == pattern).all(1)]
+        np.testing.assert_allclose(a.T @ a, b.T @ b, atol=1e-9)
+
+
 def test_observed_cells_and_other_columns_stay(frame, data):
     out = IterativeImputer(COLUMNS, max_iter=2).fit(frame).transform(frame)
     assert out.columns == frame.columns
