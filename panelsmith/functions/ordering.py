@@ -8,6 +8,7 @@ table of bucket totals into offsets and rank only inside the buckets.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -76,52 +77,57 @@ def running_totals(
     values: list[str],
     descending: bool = False,
     n_buckets: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Inclusive running sum ``cum_<v>`` of each value in the order of ``key``, and ``total_<v>``.
 
-    ``key`` is a double, unique per row: group by it first. ``df`` is read several times, so pass a
+    With ``by`` every group has its own order and totals; all groups share the buckets, whose cuts come
+    from the rows of all of them, so no (group, bucket) holds more than a bucket does.
+
+    ``key`` is a double, unique per row of a group: group by it first; ``by`` is without NULL. ``df`` is read several times, so pass a
     materialised table. The result also has the column ``key_bucket`` (see :func:`next_in_order`). By
     default both the number of buckets and the rows in one grow with the square root of the rows.
     """
     direction = F.desc if descending else F.asc
-    every = Window.partitionBy(F.lit(0))
+    every = Window.partitionBy(F.lit(0), *by)
     if n_buckets is None:
         n_buckets = max(1, math.isqrt(df.count()) // 8)
     bucketed = bucket_by_value(df, key, n_buckets, "key_bucket")
-    sums = bucketed.groupBy("key_bucket").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    sums = bucketed.groupBy(*by, "key_bucket").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     before = every.orderBy(direction("key_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
+        *by,
         "key_bucket",
         *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
         *[F.sum(f"_s_{v}").over(every).alias(f"total_{v}") for v in values],
     )
-    inside = Window.partitionBy("key_bucket").orderBy(direction(key))
+    inside = Window.partitionBy(*by, "key_bucket").orderBy(direction(key))
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        bucketed.join(offsets, "key_bucket")
+        bucketed.join(offsets, [*by, "key_bucket"])
         .withColumns({f"cum_{v}": F.col(f"_o_{v}") + F.sum(v).over(upto) for v in values})
         .drop(*[f"_o_{v}" for v in values])
     )
 
 
 def next_in_order(
-    df: DataFrame, key: str, value: Column, name: str, descending: bool = False
+    df: DataFrame, key: str, value: Column, name: str, descending: bool = False, by: Sequence[str] = ()
 ) -> DataFrame:
-    """``value`` of the following row in the order of ``key``, NULL for the last row.
+    """``value`` of the following row in the order of ``key``, NULL for the last row (of its group).
 
-    ``df`` comes from :func:`running_totals`. Inside a bucket this is a window; across buckets it is the
+    ``df`` comes from :func:`running_totals` with the same ``by``. Inside a bucket this is a window; across buckets it is the
     first row of the next bucket, from a table with one row per bucket.
     """
     direction = F.desc if descending else F.asc
-    every = Window.partitionBy(F.lit(0))
+    every = Window.partitionBy(F.lit(0), *by)
     valued = df.withColumn("_value", value)
     first = F.max_by if descending else F.min_by
-    heads = valued.groupBy("key_bucket").agg(first("_value", key).alias("_head"))
+    heads = valued.groupBy(*by, "key_bucket").agg(first("_value", key).alias("_head"))
     following = every.orderBy(direction("key_bucket"))
-    next_heads = heads.select("key_bucket", F.lead("_head").over(following).alias("_next_head"))
-    inside = Window.partitionBy("key_bucket").orderBy(direction(key))
+    next_heads = heads.select(*by, "key_bucket", F.lead("_head").over(following).alias("_next_head"))
+    inside = Window.partitionBy(*by, "key_bucket").orderBy(direction(key))
     return (
-        valued.join(next_heads, "key_bucket")
+        valued.join(next_heads, [*by, "key_bucket"])
         .withColumn(name, F.coalesce(F.lead("_value").over(inside), "_next_head"))
         .drop("_value", "_next_head")
     )

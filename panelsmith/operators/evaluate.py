@@ -1,7 +1,13 @@
-"""Classifier evaluation as relational aggregates over (label, prediction, score) rows."""
+"""Classifier evaluation as relational aggregates over (label, prediction, score) rows.
+
+``by`` names columns (without NULL) whose groups, such as models, are evaluated apart in the same jobs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,18 +21,24 @@ class NoUsefulModel(ValueError):
     """No candidate reached an F1 score above zero."""
 
 
-def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """One row (tp, fp, fn, tn) of a single aggregate."""
+def _cell_counts(label: str, prediction: str) -> list[Column]:
     y, z = F.col(label), F.col(prediction)
-    return df.agg(
+    return [
         F.count_if((y == 1) & (z == 1)).alias("tp"),
         F.count_if((y == 0) & (z == 1)).alias("fp"),
         F.count_if((y == 1) & (z == 0)).alias("fn"),
         F.count_if((y == 0) & (z == 0)).alias("tn"),
-    )
+    ]
 
 
-def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
+def confusion_counts(
+    df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """One row (tp, fp, fn, tn) of a single aggregate, or one per group."""
+    return df.groupBy(*by).agg(*_cell_counts(label, prediction))
+
+
+def matrix_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All four cells, empty ones included: (actual, predicted, n)."""
 
     def cell(actual: int, predicted: int, n: str) -> Column:
@@ -35,16 +47,26 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
         )
 
     cells = F.array(cell(0, 0, "tn"), cell(0, 1, "fp"), cell(1, 0, "fn"), cell(1, 1, "tp"))
-    return confusion_counts(df, label, prediction).select(F.inline(cells))
+    return counts.select(*by, F.inline(cells))
+
+
+def confusion_matrix(
+    df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()
+) -> DataFrame:
+    return matrix_from_counts(confusion_counts(df, label, prediction, by), by)
 
 
-def confusion_matrix_normalized(df: DataFrame, label: str, prediction: str) -> DataFrame:
+def _share(by: Sequence[str] = ()) -> Column:
     """Cells as share of their actual class; 0 where the class does not occur."""
-    row_total = F.sum("n").over(Window.partitionBy("actual"))
-    share = F.coalesce(F.try_divide(F.col("n").cast("double"), row_total), F.lit(0.0))
-    return confusion_matrix(df, label, prediction).select(
-        "actual", "predicted", share.alias("share")
-    )
+    row_total = F.sum("n").over(Window.partitionBy(*by, "actual"))
+    return F.coalesce(F.try_divide(F.col("n").cast("double"), row_total), F.lit(0.0)).alias("share")
+
+
+def confusion_matrix_normalized(
+    df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()
+) -> DataFrame:
+    matrix = confusion_matrix(df, label, prediction, by)
+    return matrix.select(*by, "actual", "predicted", _share(by))
 
 
 def metrics_from_counts(counts: DataFrame) -> DataFrame:
@@ -84,17 +106,17 @@ def threshold_table(df: DataFrame, label: str, score: str) -> DataFrame:
     return running_totals(cut_lineage(per_score), "score", ["pos", "neg"], descending=True)
 
 
-def auc_from_thresholds(table: DataFrame) -> DataFrame:
+def auc_from_thresholds(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve, ties at half weight; NULL if a class is absent.
 
     A score's positives outrank every negative below it and share those at the same score.
     """
     below = F.col("total_neg") - F.col("cum_neg")
     won = F.col("pos").cast("double") * (below.cast("double") + F.col("neg").cast("double") / 2)
-    return table.agg(
+    return table.groupBy(*by).agg(
         F.sum(won).alias("won"),
         F.max(F.col("total_pos").cast("double") * F.col("total_neg")).alias("pairs"),
-    ).select(F.try_divide("won", "pairs").alias("auc"))
+    ).select(*by, F.try_divide("won", "pairs").alias("auc"))
 
 
 def auc_roc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -112,26 +134,36 @@ def classification_metrics(
     return metrics.withColumn(presets.METRIC_NAMES[6], F.lit(auc).cast("double"))
 
 
-def roc_from_thresholds(table: DataFrame, drop_collinear: bool = True) -> DataFrame:
+def _with_point(
+    points: DataFrame, table: DataFrame, by: Sequence[str], point: dict[str, float | None]
+) -> DataFrame:
+    """``points`` and one more, for every group of ``table``."""
+    groups = table.select(*by).distinct() if by else table.sparkSession.range(1)
+    values = [F.lit(v).cast("double").alias(c) for c, v in point.items()]
+    return groups.select(*by, *values).unionByName(points)
+
+
+def roc_from_thresholds(
+    table: DataFrame, drop_collinear: bool = True, by: Sequence[str] = ()
+) -> DataFrame:
     """(threshold, fpr, tpr) from (0, 0) on; the start has no threshold (it lies above all scores).
 
     ``drop_collinear`` leaves out points on a straight piece: where the next score adds the same
     numbers of positives and negatives. The first and the last score always stay.
     """
+    kept = table
     if drop_collinear:
         step = F.struct("pos", "neg")
-        table = next_in_order(table, "score", step, "next_step", descending=True)
+        kept = next_in_order(table, "score", step, "next_step", descending=True, by=by)
         is_first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
-        table = table.where(is_first | F.col("next_step").isNull() | (F.col("next_step") != step))
-    points = table.select(
+        kept = kept.where(is_first | F.col("next_step").isNull() | (F.col("next_step") != step))
+    points = kept.select(
+        *by,
         F.col("score").alias("threshold"),
         F.try_divide(F.col("cum_neg").cast("double"), "total_neg").alias("fpr"),
         F.try_divide(F.col("cum_pos").cast("double"), "total_pos").alias("tpr"),
     )
-    start = table.sparkSession.createDataFrame(
-        [(None, 0.0, 0.0)], "threshold double, fpr double, tpr double"
-    )
-    return start.unionByName(points)
+    return _with_point(points, table, by, {"threshold": None, "fpr": 0.0, "tpr": 0.0})
 
 
 def roc_curve(
@@ -140,9 +172,10 @@ def roc_curve(
     return roc_from_thresholds(threshold_table(df, label, score), drop_collinear)
 
 
-def pr_from_thresholds(table: DataFrame) -> DataFrame:
+def pr_from_thresholds(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(threshold, precision, recall) per distinct score, and the end point (NULL, 1, 0)."""
     points = table.select(
+        *by,
         F.col("score").alias("threshold"),
         F.try_divide(
             F.col("cum_pos").cast("double"), F.col("cum_pos") + F.col("cum_neg")
@@ -152,22 +185,84 @@ def pr_from_thresholds(table: DataFrame) -> DataFrame:
             "recall"
         ),
     )
-    end = table.sparkSession.createDataFrame(
-        [(None, 1.0, 0.0)], "threshold double, precision double, recall double"
-    )
-    return points.unionByName(end)
+    return _with_point(points, table, by, {"threshold": None, "precision": 1.0, "recall": 0.0})
 
 
 def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     return pr_from_thresholds(threshold_table(df, label, score))
 
 
-def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
+def average_precision_from_thresholds(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum of (R_k - R_k-1) P_k. The recall step at a score is its own share of the positives."""
     step = F.try_divide(F.col("pos").cast("double"), "total_pos")
     precision = F.try_divide(F.col("cum_pos").cast("double"), F.col("cum_pos") + F.col("cum_neg"))
-    table = threshold_table(df, label, score)
-    return table.agg(F.coalesce(F.sum(step * precision), F.lit(0.0)).alias("average_precision"))
+    area = F.coalesce(F.sum(step * precision), F.lit(0.0))
+    return table.groupBy(*by).agg(area.alias("average_precision"))
+
+
+def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
+    return average_precision_from_thresholds(threshold_table(df, label, score))
+
+
+@dataclass
+class Comparison:
+    """Evaluation tables of many models, each with the model's column first.
+
+    ``metrics``: threshold metrics and AUC; ``confusion``: (actual, predicted, n, share); ``areas``: (auc,
+    average_precision); ``roc`` and ``pr``: the curves. A model without a labelled score has no curve and
+    no area.
+    """
+
+    metrics: DataFrame
+    confusion: DataFrame
+    areas: DataFrame
+    roc: DataFrame
+    pr: DataFrame
+
+
+def compare_models(
+    df: DataFrame,
+    model: str,
+    label: str,
+    prediction: str,
+    score: str,
+    drop_collinear: bool = True,
+) -> Comparison:
+    """All evaluation tables of all models from one scan of the rows (model, label, prediction, score).
+
+    Rows are counted by model and score, and every table follows from these counts, which are written
+    once. Running totals share value buckets between the models, so neither a model with most of the rows
+    nor a score with a third of them is a hot spot. Rows without a model are left out.
+    """
+    by = [model]
+    y, s = F.col(label), F.col(score).cast("double")
+    per_score = cut_lineage(
+        df.where(F.col(model).isNotNull())
+        .groupBy(model, (s + 0.0).alias("score"))
+        .agg(
+            F.count(y).alias("labelled"),
+            F.count_if(y == 1).alias("pos"),
+            F.count_if(y == 0).alias("neg"),
+            *_cell_counts(label, prediction),
+        )
+    )
+    cells = ("tp", "fp", "fn", "tn")
+    counts = per_score.groupBy(model).agg(*[F.sum(c).alias(c) for c in cells])
+    labelled = per_score.where(F.col("score").isNotNull() & (F.col("labelled") > 0))
+    table = cut_lineage(
+        running_totals(
+            labelled.select(model, "score", "pos", "neg"), "score", ["pos", "neg"], descending=True, by=by
+        )
+    )
+    areas = auc_from_thresholds(table, by).join(average_precision_from_thresholds(table, by), model)
+    auc = areas.select(model, F.col("auc").alias(presets.METRIC_NAMES[6]))
+    return Comparison(
+        metrics_from_counts(counts).join(auc, model, "left"),
+        matrix_from_counts(counts, by).select(model, "actual", "predicted", "n", _share(by)),
+        areas,
+        roc_from_thresholds(table, drop_collinear, by),
+        pr_from_thresholds(table, by),
+    )
 
 
 def select_best(metrics: DataFrame, f1: str, order: str) -> DataFrame:

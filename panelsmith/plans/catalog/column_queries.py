@@ -473,6 +473,42 @@ def mice_two_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_columns(imputer.fit(df).transform(df), _PAIR, 4)
 
 
+_CHAINED_SQL = """
+SELECT *, CAST(l_linestatus = 'F' AS INTEGER) AS l_linestatus_F,
+  CAST(l_linestatus = 'O' AS INTEGER) AS l_linestatus_O,
+  ln(greatest(b, CAST(1e-5 AS DOUBLE)) + 1) AS price, a AS qty
+FROM r3"""
+
+
+@query(
+    "preprocess_chained",
+    with_views(
+        f"""SELECT {KEYS_SQL}, {rounded_sql(robust_sql("qty", "prepared"), 4)} AS f_qty,
+        {rounded_sql(robust_sql("price", "prepared"), 4)} AS f_price, "l_linestatus_F",
+        "l_linestatus_O" FROM prepared""",
+        li=li_sql("l_linestatus"),
+        **_fit_steps(3),
+        prepared=_CHAINED_SQL,
+    ),
+)
+def preprocess_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan with chained imputation, three rounds of least squares."""
+    df = li(spark, sf_dir, "l_linestatus")
+    model = fit_preprocessing(
+        df,
+        impute=_PAIR,
+        drop_first=["f_disc"],
+        drop_after_imputing=["f_tax", "label", "not_there"],
+        one_hot=["l_linestatus"],
+        log=["f_price"],
+        scale=_PAIR,
+        max_iter=3,
+        tol=0.0,
+        regressor="least_squares",
+    )
+    return round_columns(model.transform(df), _PAIR, 4)
+
+
 _RIDGE_VIEWS = {
     "src": li_sql("l_quantity"),
     "sums": """SELECT CAST(count(*) AS DOUBLE) AS n, regr_sxx(f_price, l_quantity) AS g,

@@ -247,3 +247,128 @@ def params_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "params")
     write_params(spark, {"model": best, "threshold": _RULES[best], "inclusive": False}, path)
     return spark.read.schema("model string, threshold double, inclusive boolean").json(path)
+
+
+# Three models: a coarse score, a fine one, and the coarse one upside down; each with its threshold.
+_MODELS = {"coarse": ("p", 0.5), "fine": ("fine", 0.25), "reversed": ("1 - p", 0.75)}
+
+
+def _models(spark: SparkSession, sf_dir: str) -> evaluate.Comparison:
+    rows = scored(spark, sf_dir)
+    parts = [
+        rows.select(F.lit(name).alias("model"), "y", F.expr(s).alias("s"))
+        .withColumn("z", above("s", t))
+        for name, (s, t) in _MODELS.items()
+    ]
+    return evaluate.compare_models(union_all(parts), "model", "y", "z", "s", drop_collinear=False)
+
+
+def _model_views() -> dict[str, str]:
+    return {
+        f"m_{name}": f"""SELECT y, {s} AS s, CASE WHEN {s} > CAST({t} AS DOUBLE) THEN 1 ELSE 0 END AS z
+            FROM scored"""
+        for name, (s, t) in _MODELS.items()
+    }
+
+
+def _per_model(sql: str) -> str:
+    """``sql`` with {view} and {steps} filled in for every model, one below the other."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS model, * FROM ({sql.format(view=f'm_{name}', steps=f't_{name}')})"
+        for name in _MODELS
+    )
+
+
+def _model_steps() -> dict[str, str]:
+    return _model_views() | {
+        f"t_{name}": f"""SELECT s, pos, sum(pos) OVER (ORDER BY s DESC) AS cum_pos,
+            sum(neg) OVER (ORDER BY s DESC) AS cum_neg, sum(pos) OVER () AS total_pos,
+            sum(neg) OVER () AS total_neg
+            FROM (SELECT s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg
+                  FROM m_{name} GROUP BY s)"""
+        for name in _MODELS
+    }
+
+
+@query(
+    "compare_metrics",
+    with_views(
+        _per_model(
+            f"""SELECT *, (SELECT {rounded_sql("auc")} FROM ({auc_sql("s", "{view}")})) AS "AUC-ROC"
+            FROM ({metrics_sql(counts_sql("z", "{view}"))})"""
+        ),
+        "scored",
+        **_model_views(),
+    ),
+)
+def compare_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_columns(_models(spark, sf_dir).metrics, presets.METRIC_NAMES)
+
+
+@query(
+    "compare_confusion",
+    with_views(
+        _per_model(
+            f"""SELECT actual, predicted, n,
+            {rounded_sql("n / sum(n) OVER (PARTITION BY actual)")} AS share
+            FROM (SELECT y AS actual, z AS predicted, count(*) AS n FROM {{view}}
+                  WHERE y IS NOT NULL AND z IS NOT NULL GROUP BY ALL
+                  UNION ALL SELECT a, b, 0
+                  FROM (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)
+                  WHERE NOT EXISTS (SELECT 1 FROM {{view}} WHERE y = a AND z = b))"""
+        ),
+        "scored",
+        **_model_views(),
+    ),
+)
+def compare_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_columns(_models(spark, sf_dir).confusion, ["share"])
+
+
+@query(
+    "compare_areas",
+    with_views(
+        _per_model(
+            f"""SELECT (SELECT {rounded_sql("auc")} FROM ({auc_sql("s", "{view}")})) AS auc,
+            {rounded_sql("sum(pos / CAST(total_pos AS DOUBLE) * cum_pos / (cum_pos + cum_neg))")}
+            AS average_precision FROM {{steps}}"""
+        ),
+        "scored",
+        **_model_steps(),
+    ),
+)
+def compare_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_columns(_models(spark, sf_dir).areas, ["auc", "average_precision"])
+
+
+@query(
+    "compare_roc",
+    with_views(
+        _per_model(
+            f"""{_ROC_START} UNION ALL SELECT {rounded_sql("s", 8)}, {rounded_sql(
+                "CAST(cum_neg AS DOUBLE) / total_neg", 8)}, {rounded_sql(
+                "CAST(cum_pos AS DOUBLE) / total_pos", 8)} FROM {{steps}}"""
+        ),
+        "scored",
+        **_model_steps(),
+    ),
+)
+def compare_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_columns(_models(spark, sf_dir).roc, ["threshold", "fpr", "tpr"], 8)
+
+
+@query(
+    "compare_pr",
+    with_views(
+        _per_model(
+            f"""SELECT {rounded_sql("s", 8)} AS threshold, {rounded_sql(
+                "CAST(cum_pos AS DOUBLE) / (cum_pos + cum_neg)", 8)} AS precision, {rounded_sql(
+                "CAST(cum_pos AS DOUBLE) / total_pos", 8)} AS recall FROM {{steps}}
+            UNION ALL SELECT NULL, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)"""
+        ),
+        "scored",
+        **_model_steps(),
+    ),
+)
+def compare_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_columns(_models(spark, sf_dir).pr, ["threshold", "precision", "recall"], 8)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelsmith import presets
 from panelsmith.functions.scalar import above
 from panelsmith.operators import models, stats, tune
+from panelsmith.operators.boosting import PatientBoosting
 from panelsmith.operators.classify import GaussianNaiveBayes
 from panelsmith.operators.resample import ClassWeights
 from panelsmith.operators.validate import union_all
@@ -135,6 +136,15 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(_boosted(df, names), df)
 
 
+@query("boosted_trees_patience")
+def boosted_trees_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the rows is held out; boosting stops after 4 rounds without a smaller error on it."""
+    df, names = _emb_columns(spark, sf_dir)
+    marked = df.withColumn("held", F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0)
+    patient = PatientBoosting(models.boosted_trees("y", 4, 0.1, 12), "held", patience=4)
+    return _scores(models.scaled_pipeline(patient, names, scale=False).fit(marked), df)
+
+
 @query("split_count_importance")
 def split_count_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, names = _emb_columns(spark, sf_dir)
@@ -150,6 +160,24 @@ def logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(models.scaled_pipeline(regression, names, weights=weights).fit(df), df)
 
 
+@query("logistic_elastic_net")
+def logistic_elastic_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, names = _emb_columns(spark, sf_dir)
+    weights = ClassWeights("y", "balanced")
+    total = models.total_weight(weights.fit(df).transform(df), "weight")
+    regression = models.logistic_regression("y", total, weight="weight", c=0.5, penalty="elasticnet", l1_ratio=0.4)
+    return _scores(models.scaled_pipeline(regression, names, weights=weights).fit(df), df)
+
+
+@query("logistic_lasso")
+def logistic_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, names = _emb_columns(spark, sf_dir)
+    weights = ClassWeights("y", "balanced")
+    total = models.total_weight(weights.fit(df).transform(df), "weight")
+    regression = models.logistic_regression("y", total, weight="weight", c=0.5, penalty="l1")
+    return _scores(models.scaled_pipeline(regression, names, weights=weights).fit(df), df)
+
+
 def logistic_sql(steps: int = 12) -> str:
     """Newton steps of balanced logistic regression of document quality on its scaled length."""
     views = {

@@ -30,14 +30,22 @@ def fit_preprocessing(
     scale: list[str] | None = None,
     imputer: str = "iterative",
     max_iter: int = 30,
+    tol: float = 1e-3,
+    regressor: str = "bayesian_ridge",
 ) -> PipelineModel:
     """Fit all steps on ``df``; the model transforms any rows of the same columns.
 
+    ``imputer`` is "iterative" (``max_iter``, ``tol`` and ``regressor`` are its settings) or "mean".
+
     Columns of ``drop_after_imputing`` still serve as predictors for the imputation. The imputed table
     is materialised once, since several later steps are fitted on it.
     """
+    if imputer not in ("iterative", "mean"):
+        raise ValueError("imputer must be iterative or mean")
     imputing = (
-        IterativeImputer(impute, max_iter=max_iter) if imputer == "iterative" else MeanImputer(impute)
+        IterativeImputer(impute, max_iter=max_iter, tol=tol, regressor=regressor)
+        if imputer == "iterative"
+        else MeanImputer(impute)
     )
     head = Pipeline(stages=[DropStrict(drop_first), imputing]).fit(df)
     filled = cut_lineage(head.transform(df))

@@ -6,16 +6,17 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelsmith import presets
 from panelsmith.operators import models
+from panelsmith.operators.boosting import PatientBoosting
 from panelsmith.operators.classify import GaussianNaiveBayes, KnnClassifier
-from panelsmith.operators.evaluate import classification_metrics, select_best
+from panelsmith.operators.evaluate import classification_metrics, compare_models, select_best
 from panelsmith.operators.resample import ClassWeights, smote_enn
 from panelsmith.operators.split import split_frames, split_grouped
-from panelsmith.operators.stats import corr_matrix, kept_correlations
+from panelsmith.operators.stats import corr_matrix, feature_importance, kept_correlations
 from panelsmith.operators.tune import entity_folds, random_search, sample_params
 from panelsmith.operators.validate import class_distribution, union_all, validate_panel
 from panelsmith.session import cut_lineage, scratch_scope
@@ -25,6 +26,8 @@ ROW_ID = "row_id"
 GROUP = "entity_key"
 HELD_OUT = "held_out"
 BOOSTED = "Boosted Trees"
+#: Rounds without a smaller validation error after which boosting stops.
+PATIENCE = 20
 F1 = presets.METRIC_NAMES[3]
 
 Build = Callable[[dict, DataFrame], Pipeline]
@@ -66,8 +69,10 @@ def builders(features: list[str], label: str, seed: int = 42) -> dict[str, Build
         return models.scaled_pipeline(regression, features, weights=weights)
 
     def boosted(params: dict, train: DataFrame) -> Pipeline:
-        stop = HELD_OUT if HELD_OUT in train.columns else None
-        trees = models.boosted_trees(label, validation=stop, seed=seed, **params)
+        rest = {k: v for k, v in params.items() if k != "patience"}
+        trees = models.boosted_trees(label, seed=seed, **rest)
+        if HELD_OUT in train.columns:
+            trees = PatientBoosting(trees, HELD_OUT, params.get("patience", PATIENCE))
         return models.scaled_pipeline(trees, features, scale=False)
 
     return {
@@ -110,14 +115,28 @@ def train_and_evaluate(
     return metrics, model
 
 
+def _scored(model: PipelineModel, held_out: DataFrame, label: str) -> DataFrame:
+    return cut_lineage(models.score(model, held_out).select(label, "p1", "pred"))
+
+
 def evaluate_model(
     name: str, model: PipelineModel, held_out: DataFrame, label: str
 ) -> DataFrame:
-    scored = cut_lineage(models.score(model, held_out).select(label, "p1", "pred"))
-    metrics = classification_metrics(scored, label, "pred", "p1")
+    metrics = classification_metrics(_scored(model, held_out, label), label, "pred", "p1")
     return metrics.withColumn("model", F.lit(name))
 
 
+def importances(spark: SparkSession, trained: dict[str, PipelineModel]) -> DataFrame:
+    """(model, feature, importance) of the models that have importances."""
+    tables = [
+        feature_importance(spark, model).withColumn("model", F.lit(name))
+        for name, model in trained.items()
+        if hasattr(model.stages[-1], "featureImportances")
+    ]
+    empty = spark.createDataFrame([], "model string, feature string, importance double")
+    return union_all([empty, *tables])
+
+
 @dataclass
 class TrainingRun:
     """``metrics``: one row per trained model; ``test_metrics``: the best one on the test rows.
@@ -125,6 +144,9 @@ class TrainingRun:
     ``distributions``: class counts of the training rows before and after resampling.
     ``correlations``: the absolute feature correlations left when columns that depend on earlier ones
     are taken out.
+    ``confusion`` and ``importances``: cells of every model on the validation rows, and the importances of
+    those that have them. ``roc`` and ``pr``: the curves of every model on the validation rows; they have a
+    row per distinct score, so they are tables in the run's folder and None without one.
     """
 
     metrics: DataFrame
@@ -133,6 +155,10 @@ class TrainingRun:
     test_metrics: DataFrame
     distributions: DataFrame
     correlations: DataFrame
+    confusion: DataFrame
+    importances: DataFrame
+    roc: DataFrame | None = None
+    pr: DataFrame | None = None
     errors: dict[str, str] = field(default_factory=dict)
     path: str | None = None
 
@@ -201,7 +227,7 @@ def _train_and_select(
     )
     build = builders(features, label, seed)
     trained: dict[str, PipelineModel] = {}
-    rows, errors, tuned = [], {}, {}
+    scores, errors, tuned = [], {}, {}
     for name, values in {**params, **{k: None for k in (search or {})}}.items():
         try:
             if values is None:
@@ -215,32 +241,44 @@ def _train_and_select(
                     resample=lambda df: resample_rows(df, features, label, ratio, k_smote, seed),
                     refit=resampled,
                 )
-                model = found.model
-                metrics = evaluate_model(name, model, ready["val"], label)
-                tuned[name] = found.params
+                model, seen = found.model, {name: found.params}
             else:
                 train = resampled
                 if name == BOOSTED:
                     train = _with_stopping_rows(resampled, ready["val"])
-                pipeline = build[name](values, train)
-                metrics, model = train_and_evaluate(name, pipeline, train, ready["val"], label)
-            rows.append(_held(metrics.withColumn("seq", F.lit(len(rows)))))
+                model, seen = build[name](values, train).fit(models.fixed_order(train)), {}
+            scores.append(_scored(model, ready["val"], label).withColumn("model", F.lit(name)))
             trained[name] = model
+            tuned |= seen
         except Exception as e:  # noqa: BLE001 - one failing family must not stop the others
             errors[name] = f"{type(e).__name__}: {e}"
     if folder:
         for name, values in tuned.items():
             write_params(spark, values, f"{folder}/{_file(name)}_tuned_params")
-    if not rows:
+    if not scores:
         raise RuntimeError(f"no model could be trained: {errors}")
-    metrics = union_all(rows)
+    compared = compare_models(union_all(scores), "model", label, "pred", "p1")
+    places = spark.createDataFrame([(n, i) for i, n in enumerate(trained)], "model string, seq int")
+    metrics = _held(
+        compared.metrics.join(places, "model").select(*presets.METRIC_NAMES, "model", "seq").orderBy("seq")
+    )
     best = select_best(metrics, F1, "seq").first()["model"]
     test_metrics = _held(evaluate_model(f"final {best}", trained[best], ready["test"], label))
     correlations = _held(kept_correlations(corr_matrix(ready["train"], features)))
     run = TrainingRun(
-        metrics, best, trained[best], test_metrics, distributions, correlations, errors
+        metrics,
+        best,
+        trained[best],
+        test_metrics,
+        distributions,
+        correlations,
+        _held(compared.confusion),
+        _held(importances(spark, trained)),
+        errors=errors,
     )
     if folder:
+        run.roc = _stored(compared.roc, f"{folder}/roc")
+        run.pr = _stored(compared.pr, f"{folder}/pr")
         write_metrics(metrics.drop("seq").unionByName(test_metrics), f"{folder}/metrics")
         whole = PipelineModel(preprocessing.stages + trained[best].stages)
         run.path = save_model(whole, folder, best)
@@ -258,5 +296,10 @@ def _held(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _file(name: str) -> str:
     return name.lower().replace(" ", "_")

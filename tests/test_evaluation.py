@@ -117,3 +117,38 @@ def test_select_best(spark):
     assert evaluate.select_best(df, "f1", "seq").first()["model"] == "b"
     with pytest.raises(evaluate.NoUsefulModel):
         evaluate.select_best(df.withColumn("f1", F.lit(0.0)), "f1", "seq")
+
+
+def test_many_models_at_once_equal_single_ones(spark):
+    """Three models of unlike size, ties and NULLs; one without any label, rows without a model."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for name, n, levels in (("a", 900, 9), ("b", 60, 5_000), ("c", 400, 3)):
+        for _ in range(n):
+            y = None if rng.random() < 0.1 else int(rng.random() < 0.4)
+            p = None if rng.random() < 0.1 else float(rng.integers(0, levels) / levels)
+            rows.append((name, y, p))
+    rows += [("unlabelled", None, 0.5), (None, 1, 0.5), ("same", 0, 0.25), ("same", 0, 0.75)]
+    df = spark.createDataFrame(rows, "model string, y int, p double")
+    df = df.withColumn("z", (F.col("p") > 0.5).cast("int"))
+    got = evaluate.compare_models(df, "model", "y", "z", "p")
+
+    def listed(table):
+        return sorted(map(str, table.collect()))
+
+    for name in ("a", "b", "c", "same"):
+        own = df.where(F.col("model") == name)
+        mine = {k: t.where(F.col("model") == name).drop("model") for k, t in vars(got).items()}
+        assert mine["metrics"].collect() == evaluate.classification_metrics(own, "y", "z", "p").collect()
+        assert listed(mine["confusion"].drop("share")) == listed(evaluate.confusion_matrix(own, "y", "z"))
+        assert listed(mine["confusion"].drop("n")) == listed(
+            evaluate.confusion_matrix_normalized(own, "y", "z")
+        )
+        area = evaluate.average_precision(own, "y", "p").first()["average_precision"]
+        assert mine["areas"].first()["average_precision"] == pytest.approx(area)
+        assert listed(mine["roc"]) == listed(evaluate.roc_curve(own, "y", "p"))
+        assert listed(mine["pr"]) == listed(evaluate.pr_curve(own, "y", "p"))
+    assert got.roc.where("model = 'unlabelled'").count() == 0
+    assert got.metrics.where("model = 'unlabelled'").first()["AUC-ROC"] is None
+    assert got.metrics.count() == 5
+    assert got.roc.where("model IS NULL").count() == 0

@@ -5,10 +5,11 @@ import os
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from panelsmith import presets
-from panelsmith.operators import models, stats, tune
+from panelsmith.operators import boosting, models, stats, tune
 from panelsmith.operators.classify import GaussianNaiveBayes, KnnClassifier
 from panelsmith.operators.resample import ClassWeights
 from panelsmith.plans.preprocess import default_preprocessing, fit_preprocessing
@@ -95,6 +96,75 @@ def test_boosted_trees_stop_on_validation_rows(frame):
     assert 1 <= model.stages[-1].getNumTrees < 25
 
 
+@pytest.mark.parametrize(("penalty", "ratio"), [("l1", 1.0), ("elasticnet", 0.4)])
+def test_penalised_logistic_optimality(frame, data, penalty, ratio):
+    """The gradient of the loss meets the subgradient of the penalty in every coefficient."""
+    x, y = data
+    regression = models.logistic_regression("y", len(y), 0.05, penalty, ratio, tol=1e-12)
+    last = models.scaled_pipeline(regression, X, scale=False).fit(frame).stages[-1]
+    beta, p = last.coefficients.toArray(), 1 / (1 + np.exp(-(x @ last.coefficients.toArray() + last.intercept)))
+    gradient = 0.05 * x.T @ (p - y) + (1 - ratio) * beta
+    np.testing.assert_allclose(gradient[beta != 0], -ratio * np.sign(beta[beta != 0]), atol=1e-3)
+    assert (abs(gradient[beta == 0]) <= ratio + 1e-3).all()
+
+
+@pytest.fixture(scope="module")
+def boosted(frame):
+    trees = models.boosted_trees("y", 3, 0.3, 12)
+    marked = frame.withColumn("held", F.col("id") % 3 == 0)
+    train = VectorAssembler(inputCols=X, outputCol="features").transform(marked)
+    return trees, train, trees.fit(train.where("NOT held"))
+
+
+@pytest.mark.parametrize("metric", ["error", "logloss", "auc"])
+def test_staged_metrics_equal_scoring_every_prefix(boosted, metric):
+    _, train, model = boosted
+    held = train.where("held")
+    got = [r["value"] for r in boosting.staged_metrics(model, held, metric).collect()]
+    assert len(got) == model.getNumTrees == 12
+    for n in (1, 2, 7, 12):
+        prefix = boosting.first_rounds(model, n)
+        assert prefix.getNumTrees == n and prefix.getLabelCol() == "y"
+        scored = models.score(PipelineModel([prefix]), held).select("y", "p1", "pred").toPandas()
+        y, p = scored["y"].to_numpy(), scored["p1"].to_numpy()
+        want = {
+            "error": (scored["pred"] != y).mean(),
+            "logloss": -np.log(np.where(y == 1, p, 1 - p)).mean(),
+            "auc": np.mean([(a > b) + (a == b) / 2 for a in p[y == 1] for b in p[y == 0]]),
+        }[metric]
+        assert got[n - 1] == pytest.approx(want, rel=1e-9)
+
+
+def test_prefix_is_the_shorter_training(boosted):
+    trees, train, model = boosted
+    short = trees.copy({trees.maxIter: 5}).fit(train.where("NOT held"))
+    assert short.toDebugString.split("\n")[1:] == boosting.first_rounds(model, 5).toDebugString.split("\n")[1:]
+    with pytest.raises(ValueError):
+        boosting.first_rounds(model, 13)
+
+
+def test_best_round():
+    assert boosting.best_round([5, 4, 4, 4, 3], 3) == 5
+    assert boosting.best_round([5, 4, 4, 4, 3], 2) == 2  # two rounds without a better one: stopped
+    assert boosting.best_round([1, 1, 1], 9) == 1  # ties keep the earlier round
+    assert boosting.best_round([0.5, 0.7, 0.6], 9, greater_is_better=True) == 2
+
+
+def test_patience_cuts_the_model_and_survives_saving(spark, frame, tmp_path):
+    marked = frame.withColumn("held", F.col("id") % 3 == 0)
+    patient = boosting.PatientBoosting(models.boosted_trees("y", 3, 0.3, 12), "held", 2)
+    model = models.scaled_pipeline(patient, X, scale=False).fit(marked)
+    kept = boosting.best_round(patient.staged, 2)
+    assert model.stages[-1].getNumTrees == kept < 12 == len(patient.staged)
+    assert stats.feature_importance(spark, model).count() == 3
+    model.write().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    a, b = (models.score(m, frame).orderBy("id").toPandas()["p1"] for m in (model, again))
+    np.testing.assert_array_equal(a, b)
+    with pytest.raises(TableError):
+        models.scaled_pipeline(patient, X, scale=False).fit(marked.withColumn("held", F.lit(False)))
+
+
 def test_draws_are_in_range_and_repeat():
     draws = tune.sample_params(tune.LOGISTIC_SPACE, 200)
     assert draws == tune.sample_params(tune.LOGISTIC_SPACE, 200)
@@ -208,6 +278,13 @@ def test_training_flow(spark, panel, tmp_path):
     assert os.path.exists(tmp_path / "boosted_trees_tuned_params")
     assert sorted(os.listdir(tmp_path / "splits"))[-3:] == ["split=test", "split=train", "split=val"]
     assert first.correlations.count() > 0
+    cells = first.confusion.toPandas()
+    assert cells.groupby("model").size().to_dict() == {"Naive Bayes": 4, "Boosted Trees": 4}
+    assert cells.groupby("model")["n"].sum().nunique() == 1
+    assert {r["model"] for r in first.importances.collect()} == {"Boosted Trees"}
+    for curve in (first.roc, first.pr):
+        assert {r["model"] for r in curve.select("model").distinct().collect()} == set(names)
+    assert second.roc is None
     loaded = load_model(first.path)
     new = panel.withColumn("row_id", F.concat_ws(":", "e", "t")).withColumnRenamed("e", "entity_key")
     assert models.score(loaded, new).count() == 720
