@@ -362,3 +362,19 @@ def test_default_preprocessing(spark):
     assert out.count() == 120
     median = out.agg(F.percentile("HR", 0.5)).first()[0]
     assert math.isclose(median, 0, abs_tol=1e-12)
+
+
+def test_flow_builder_stops_boosting_by_validation_rows(frame):
+    from panelsmith.plans import training
+
+    train, val = frame.where("id % 3 > 0"), frame.where("id % 3 = 0")
+    marked = training._with_stopping_rows(train, val)
+    build = training.builders(X, "y")[training.BOOSTED]
+    values = {"max_depth": 3, "learning_rate": 0.3, "n_rounds": 10, "patience": 2}
+    pipeline = build(values, marked)
+    model = pipeline.fit(models.fixed_order(marked))
+    staged = pipeline.getStages()[-1].staged
+    assert model.stages[-1].getNumTrees == boosting.best_round(staged, 2) <= len(staged) == 10
+    assert models.score(model, val).where("p1 IS NULL").count() == 0
+    plain = build({"max_depth": 2, "n_rounds": 2, "patience": 2}, train).fit(train)
+    assert plain.stages[-1].getNumTrees == 2
