@@ -19,7 +19,7 @@ Copies of one vector beyond the k + 1 with the smallest ids can never be among a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +37,10 @@ CELL_ROWS = 512
 BLOCK_ROWS = 32_768
 MAX_TASKS = 100_000
 _TILE = 128
+_PAIRS = 1 << 18
+_PIECE = 1_024
+#: Numbers of the query rows whose waves a task holds at a time.
+WAVES_HELD = 1 << 21
 
 
 def distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
@@ -50,23 +54,69 @@ def _ranking(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     distance less the row's own squared length."""
     if p == 2:
         return np.column_stack([a, np.ones(len(a))]) @ np.vstack([-2.0 * b.T, (b * b).sum(1)])
-    near = np.zeros((len(a), len(b)))
+    near, one, columns = np.zeros((len(a), len(b))), np.empty((len(a), len(b))), np.ascontiguousarray(b.T)
     for dim in range(a.shape[1]):
-        near += np.abs(a[:, dim, None] - b[None, :, dim])
+        np.subtract(columns[dim], a[:, dim, None], out=one)
+        near += np.abs(one, out=one)
     return near
 
 
+class Waves:
+    """Lower bounds of Manhattan distances by one matrix product.
+
+    |x| >= C - sum of w cos(f x) for the constants below (a test holds them against |x|), in any unit of x; and
+    cos(f (x - y)) is the product of (cos f x, sin f x) and (cos f y, sin f y). So the sum over the columns,
+    each in its own unit, is a constant less the product of two rows of waves. Units are the spread of
+    differences between rows of ``b``; they decide how close the bounds are, not whether they hold. On normal
+    data they are 0.93 of the distance.
+    """
+
+    CONSTANT = 1.2105
+    FREQUENCIES = (1.25, 3.75, 6.25)
+    WEIGHTS = (1.0182, 0.1304, 0.0638)
+
+    def __init__(self, b: np.ndarray) -> None:
+        self.middle, unit = b.mean(0), b.std(0) * math.sqrt(2)
+        self.usable = bool(np.isfinite(unit).all() and np.isfinite(self.middle).all())
+        self.per_unit = np.divide(1.0, unit, out=np.zeros_like(unit), where=unit > 1e-150)
+        self.root = np.sqrt(np.where(self.per_unit > 0, unit, 0.0))
+        self.total = self.CONSTANT * float((self.root * self.root).sum())
+        products = 2 * len(self.FREQUENCIES) * len(unit)
+        #: Rounding of the product in single precision.
+        self.slack = 2.0**-23 * (products + 16) * self.total
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        at, parts = (x - self.middle) * self.per_unit, []
+        for frequency, weight in zip(self.FREQUENCIES, self.WEIGHTS, strict=True):
+            high = math.sqrt(weight) * self.root
+            parts += [(np.cos(frequency * at) * high).astype(np.float32), (np.sin(frequency * at) * high).astype(np.float32)]
+        return np.concatenate(parts, axis=1)
+
+
 def _exact(difference: np.ndarray, p: int) -> np.ndarray:
     if p == 2:
         return np.sqrt((difference * difference).sum(1))
     return np.abs(difference).sum(1)
 
 
+def _exact_pairs(a: np.ndarray, rows: np.ndarray, b: np.ndarray, columns: np.ndarray, p: int) -> np.ndarray:
+    """Distances of single pairs, in pieces that stay in the processor's cache."""
+    out = np.empty(len(rows))
+    for i in range(0, len(rows), _PIECE):
+        piece = slice(i, i + _PIECE)
+        out[piece] = _exact(a[rows[piece]] - b[columns[piece]], p)
+    return out
+
+
 def _size(a: np.ndarray, p: int) -> float:
     """Greatest length of a row, squared for p = 2; rounding errors are proportional to it."""
     return float((a * a if p == 2 else np.abs(a)).sum(1).max())
 
 
+def _margin(a: np.ndarray, b: np.ndarray, p: int) -> float:
+    return 1e-11 * (_size(a, p) + _size(b, p))
+
+
 def _limits(near: np.ndarray, k: int) -> np.ndarray:
     """Per row a bound that at least k entries do not exceed: the k-th smallest minimum of groups of
     columns, which is close to the k-th smallest entry and much cheaper."""
@@ -79,45 +129,98 @@ def _limits(near: np.ndarray, k: int) -> np.ndarray:
     return np.partition(minima, k - 1, axis=1)[:, k - 1]
 
 
-def block_neighbors(
-    ids_a: pa.Array,
+def _best(
     a: np.ndarray,
-    ids_b: pa.Array,
+    asking: np.ndarray,
     b: np.ndarray,
+    rank_b: np.ndarray,
+    own: np.ndarray,
+    reach: np.ndarray,
     k: int,
     p: int,
-    exclude_self: bool,
+    margin: float,
+    waves: Waves | None = None,
+    waves_a: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest rows of ``b`` per row of ``a``: (row of a, row of b, distance), ties by id.
+    """The k nearest rows of ``b`` per row ``asking`` of ``a`` within its ``reach``: (place in ``asking``, row of
+    b, distance), by place, distance and ``rank_b``. ``own``: the row of ``b`` that is left out, or -1.
 
-    Fast distances preselect with a margin above their rounding error, exact ones decide.
+    Fast distances, or lower bounds, preselect with a margin above their rounding error, exact ones decide.
     """
-    rank_b = np.empty(len(ids_b), dtype=np.int64)
-    rank_b[pc.array_sort_indices(ids_b).to_numpy()] = np.arange(len(ids_b))
-    own = np.full(len(a), -1)
-    if exclude_self:
-        own = pc.fill_null(pc.index_in(ids_a, value_set=ids_b), -1).to_numpy()
-    margin = 1e-11 * (_size(a, p) + _size(b, p))
+    waves_b = waves.of(b).T if waves is not None else None
     found = []
-    for start in range(0, len(a), _TILE):
-        tile = a[start : start + _TILE]
-        near = _ranking(tile, b, p)
-        own_column = own[start : start + _TILE]
+    size = max(_TILE, min(4 * _TILE, _PAIRS // len(b)))
+    for start in range(0, len(asking), size):
+        part = slice(start, start + size)
+        tile, own_column, limit = a[asking[part]], own[part], reach[part]
+        if waves is None:
+            near = _ranking(tile, b, p)
+            if p == 2:
+                within = limit * limit * (1 + 1e-12) - (tile * tile).sum(1)
+            else:
+                within = limit
+        else:
+            near, within = waves_a[asking[part]] @ waves_b, limit
         present = np.flatnonzero(own_column >= 0)
-        near[present, own_column[present]] = np.inf
-        limit = _limits(near, k) + margin
-        rows, columns = np.divmod(np.flatnonzero(near <= limit[:, None]), len(b))
+        near[present, own_column[present]] = np.inf if waves is None else -np.inf
+        if waves is None:
+            if np.isinf(limit).any():
+                within = np.minimum(within, _limits(near, k))
+            rows, columns = np.divmod(np.flatnonzero(near <= (within + margin)[:, None]), len(b))
+        else:
+            if np.isinf(limit).any() and len(b) > k:
+                # the distances of the k rows with the lowest bounds, which are other rows than the own one
+                nearest = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                tried = _exact_pairs(tile, np.repeat(np.arange(len(tile)), k), b, nearest.ravel(), p)
+                within = limit = np.minimum(limit, tried.reshape(-1, k).max(1))
+            least = waves.total - within - margin - waves.slack - 1e-6 * np.abs(within)
+            rows, columns = np.divmod(np.flatnonzero(near >= least.astype(np.float32)[:, None]), len(b))
         keep = columns != own_column[rows]
         rows, columns = rows[keep], columns[keep]
-        exact = _exact(tile[rows] - b[columns], p)
+        exact = _exact_pairs(tile, rows, b, columns, p)
+        keep = exact <= limit[rows]
+        rows, columns, exact = rows[keep], columns[keep], exact[keep]
         order = np.lexsort((rank_b[columns], exact, rows))
         rows, columns, exact = rows[order], columns[order], exact[order]
-        position = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        best = position < k
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
         found.append((rows[best] + start, columns[best], exact[best]))
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
+def _ranks(ids: pa.Array) -> np.ndarray:
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    return rank
+
+
+def _own(ids_a: pa.Array, ids_b: pa.Array, exclude_self: bool) -> np.ndarray:
+    if not exclude_self:
+        return np.full(len(ids_a), -1)
+    return pc.fill_null(pc.index_in(ids_a, value_set=ids_b), -1).to_numpy()
+
+
+def _waves(a: np.ndarray, b: np.ndarray, p: int) -> Waves | None:
+    """What gives lower bounds between these rows, where they exist and pay."""
+    waves = Waves(b) if p == 1 and len(b) > 1 else None
+    return waves if waves is not None and waves.usable and np.isfinite(a).all() else None
+
+
+def block_neighbors(
+    ids_a: pa.Array,
+    a: np.ndarray,
+    ids_b: pa.Array,
+    b: np.ndarray,
+    k: int,
+    p: int,
+    exclude_self: bool,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of ``b`` per row of ``a``: (row of a, row of b, distance), ties by id."""
+    waves = _waves(a, b, p)
+    waves_a = waves.of(a) if waves is not None else None
+    own, everywhere = _own(ids_a, ids_b, exclude_self), np.full(len(a), np.inf)
+    return _best(a, np.arange(len(a)), b, _ranks(ids_b), own, everywhere, k, p, _margin(a, b, p), waves, waves_a)
+
+
 @dataclass
 class _Cells:
     """What every task needs to know about the cells; at most MAX_PIVOTS rows."""
@@ -143,17 +246,24 @@ class _Cells:
             held += int(self.n[cell])
         return first, several
 
-    def visited(self, tile: np.ndarray, own: np.ndarray, bound: np.ndarray, some: np.ndarray, k: int, p: int) -> np.ndarray:
-        """Which of the cells ``some``, but not their ``own``, may hold one of the k nearest rows of ``tile``."""
-        margin = _size(tile, p) + _size(self.pivots, p)
-        margin = 1e-11 * margin if p == 1 else 1e-5 * math.sqrt(margin)
-        to_pivot = distances(tile, self.pivots, p)
+    def reach(self, to_pivot: np.ndarray, bound: np.ndarray, k: int) -> np.ndarray:
+        """A distance within which the k nearest rows lie, from a known one and the distances to all pivots."""
         reach = np.minimum(bound, (to_pivot + self.kth[None, :]).min(1))
         if len(self.pivots) > k:
             # k + 1 pivots are rows, at most one of them the query row itself
             reach = np.minimum(reach, np.partition(to_pivot, k, axis=1)[:, k])
-        reach = reach[:, None] + margin
-        nearest, to_pivot = to_pivot.min(1, keepdims=True), to_pivot[:, some]
+        return reach
+
+    def margin(self, rows: np.ndarray, p: int) -> float:
+        margin = _size(rows, p) + _size(self.pivots, p)
+        return 1e-11 * margin if p == 1 else 1e-5 * math.sqrt(margin)
+
+    def visited(
+        self, to_pivot: np.ndarray, nearest: np.ndarray, own: np.ndarray, reach: np.ndarray, some: np.ndarray
+    ) -> np.ndarray:
+        """Which of the cells ``some``, but not a row's ``own``, may hold a row within its ``reach`` (margin
+        included). ``to_pivot``: distances to the pivots of these cells, ``nearest``: to that of the own cell."""
+        reach, nearest = reach[:, None], nearest[:, None]
         return (
             (to_pivot - self.farthest[None, some] <= reach)
             & (self.nearest[None, some] - to_pivot <= reach)
@@ -179,16 +289,13 @@ def _nearest_cell(pivots: np.ndarray, p: int) -> Callable:
     def assign(vectors: pa.Array) -> pa.Array:
         if not len(vectors):
             return pa.array([], pa.struct([("cell", pa.int64()), ("radius", pa.float64())]))
-        cells, radii = [], []
         matrix = _matrix(vectors)
-        for start in range(0, len(matrix), _TILE):
-            to_pivot = distances(matrix[start : start + _TILE], pivots, p)
-            cell = to_pivot.argmin(1)
-            cells.append(cell)
-            radii.append(to_pivot[np.arange(len(cell)), cell])
-        return pa.StructArray.from_arrays(
-            [pa.array(np.concatenate(cells)), pa.array(np.concatenate(radii))], ["cell", "radius"]
-        )
+        every, none, everywhere = np.arange(len(matrix)), np.full(len(matrix), -1), np.full(len(matrix), np.inf)
+        waves = _waves(matrix, pivots, p)
+        waves_a = waves.of(matrix) if waves is not None else None
+        rank, margin = np.arange(len(pivots)), _margin(matrix, pivots, p)
+        _, cells, radii = _best(matrix, every, pivots, rank, none, everywhere, 1, p, margin, waves, waves_a)
+        return pa.StructArray.from_arrays([pa.array(cells), pa.array(radii)], ["cell", "radius"])
 
     return assign
 
@@ -206,7 +313,9 @@ def _visited_blocks(cells: _Cells, first: np.ndarray, several: np.ndarray, k: in
         counts, columns = [], []
         for start in range(0, len(matrix), _TILE):
             rows = slice(start, start + _TILE)
-            possible = cells.visited(matrix[rows], own[rows], bound[rows], every, k, p)
+            to_pivot = distances(matrix[rows], cells.pivots, p)
+            reach = cells.reach(to_pivot, bound[rows], k) + cells.margin(matrix[rows], p)
+            possible = cells.visited(to_pivot, to_pivot.min(1), own[rows], reach, every)
             blocks = np.zeros((len(possible), n_blocks), bool)
             row, cell = np.nonzero(possible)
             for part in range(int(several.max())):
@@ -228,42 +337,80 @@ def _block_udf(
     Query rows meet the rows of their own cell in the first round (``own_only``), those of others afterwards.
     """
 
-    def best(left: pa.Table, right: pa.Table, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def best(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:
+        """A row's k nearest so far are kept, and a cell is only asked for nearer ones."""
+        a, b = _matrix(left.column("vec")), _matrix(right.column("vec"))
         ids_a, ids_b = (side.column("id").combine_chunks() for side in (left, right))
-        home = left.column("cell").to_numpy()
-        cell_of = right.column("cell").to_numpy()
+        home, cell_of = left.column("cell").to_numpy(), right.column("cell").to_numpy()
         order = np.argsort(cell_of, kind="stable")
         edges = np.flatnonzero(np.r_[True, np.diff(cell_of[order]) != 0, True])
         some = cell_of[order[edges[:-1]]]
-        if own_only:
-            visits = home[:, None] == some[None, :]
-        else:
-            bound = left.column("bound").to_numpy()
-            tiles = [slice(i, i + _TILE) for i in range(0, len(a), _TILE)]
-            visits = np.concatenate([cells.visited(a[t], home[t], bound[t], some, k, p) for t in tiles])
-        for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            asking, held = np.flatnonzero(visits[:, i]), order[low:high]
-            if len(asking):
-                rows, columns, distance = block_neighbors(
-                    ids_a.take(pa.array(asking)), a[asking], ids_b.take(pa.array(held)), b[held], k, p, exclude_self
+        rank, own = _ranks(ids_b), _own(ids_a, ids_b, exclude_self)
+        rank_or_none = np.append(rank, len(rank))
+        place_of = np.empty(len(order) + 1, np.int64)
+        place_of[order], place_of[-1] = np.arange(len(order)), -1
+        waves, margin = _waves(a, b, p), _margin(a, b, p)
+        found = []
+        size = max(_TILE, WAVES_HELD // a.shape[1])
+        for slab in (slice(i, i + size) for i in range(0, len(a), size)):
+            x = a[slab]
+            own_place = place_of[own[slab]]
+            near, at = np.full((len(x), k), math.inf), np.full((len(x), k), -1)
+            if own_only:
+                reach = np.full(len(x), math.inf)
+                visits = home[slab, None] == some[None, :]
+            else:
+                reach, radius = left.column("bound").to_numpy()[slab].copy(), left.column("radius").to_numpy()[slab]
+                wide = np.flatnonzero(np.isinf(reach))  # fewer than k rows in the own cell
+                for t in (wide[i : i + _TILE] for i in range(0, len(wide), _TILE)):
+                    reach[t] = cells.reach(distances(x[t], cells.pivots, p), reach[t], k) + cells.margin(x[t], p)
+                far = reach + cells.margin(x, p)
+                visits = np.concatenate(
+                    [
+                        cells.visited(distances(x[t], cells.pivots[some], p), radius[t], home[slab][t], far[t], some)
+                        for t in (slice(i, i + _TILE) for i in range(0, len(x), _TILE))
+                    ]
+                )
+            waves_x = waves.of(x) if waves is not None else None
+            for i, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                asking, held = np.flatnonzero(visits[:, i]), order[low:high]
+                if not len(asking):
+                    continue
+                mine = own_place[asking]
+                rows, columns, distance = _best(
+                    x,
+                    asking,
+                    b[held],
+                    rank[held],
+                    np.where((mine >= low) & (mine < high), mine - low, -1),
+                    reach[asking],
+                    k,
+                    p,
+                    margin,
+                    waves,
+                    waves_x,
                 )
-                yield asking[rows], held[columns], distance
+                if not len(rows):
+                    continue
+                first = np.flatnonzero(np.r_[True, np.diff(rows) != 0])
+                which = np.cumsum(np.r_[True, np.diff(rows) != 0]) - 1
+                changed = asking[rows[first]]
+                more, more_at = np.full((len(first), k), math.inf), np.full((len(first), k), -1)
+                more[which, np.arange(len(rows)) - first[which]] = distance
+                more_at[which, np.arange(len(rows)) - first[which]] = held[columns]
+                more, more_at = np.hstack([near[changed], more]), np.hstack([at[changed], more_at])
+                nearest = np.lexsort((rank_or_none[more_at], more), axis=-1)[:, :k]
+                near[changed] = np.take_along_axis(more, nearest, 1)
+                at[changed] = np.take_along_axis(more_at, nearest, 1)
+                reach[changed] = np.minimum(reach[changed], near[changed, -1])
+            rows, position = np.nonzero(at >= 0)
+            found.append((rows + slab.start, at[rows, position], near[rows, position]))
+        return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
-        a, b = _matrix(left.column("vec")), _matrix(right.column("vec"))
-        found = list(best(left, right, a, b))
-        if not found:
-            return schema.empty_table()
-        rows, columns, distance = (np.concatenate(part) for part in zip(*found, strict=True))
-        if len(found) > 1:
-            rank_b = np.empty(len(b), dtype=np.int64)
-            rank_b[pc.array_sort_indices(right.column("id").combine_chunks()).to_numpy()] = np.arange(len(b))
-            order = np.lexsort((rank_b[columns], distance, rows))
-            rows, columns, distance = rows[order], columns[order], distance[order]
-            keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-            rows, columns, distance = rows[keep], columns[keep], distance[keep]
+        rows, columns, distance = best(left, right)
         sides = {"query": (left, rows), "searched": (right, columns)}
         made = []
         for side, column in output.values():
@@ -399,7 +546,7 @@ def knn_join(
         right = members.join(F.broadcast(parts), "block").withColumn(
             "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))
         )
-        more = ["cell"] if own_only else ["cell", "bound"]
+        more = ["cell"] if own_only else ["cell", "radius", "bound"]
         return (
             left.select("block", "part", *more, *a.columns)
             .repartition(tasks, "block", "part")
@@ -408,7 +555,7 @@ def knn_join(
             .applyInArrow(_block_udf(cells, k, p, exclude_self, own_only, output, to_arrow_schema(schema)), schema)
         )
 
-    homes = cut_lineage(a.withColumn("_place", _nearest_cell(pivots, p)("vec")).select(*a.columns, "_place.cell"))
+    homes = cut_lineage(a.withColumn("_place", _nearest_cell(pivots, p)("vec")).select(*a.columns, "_place.cell", "_place.radius"))
     every_part = F.explode(F.sequence(F.col("first_block"), F.col("first_block") + F.col("n_blocks") - 1))
     own = met(homes.join(F.broadcast(layout), "cell").withColumn("block", every_part), True)
     own = cut_lineage(own.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r"))

@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +253,83 @@ def test_nothing_to_search(spark):
     df = vectors(spark, clustered(5, 3, 1))
     assert knn_join(df, df.limit(0), "id", "vec", 2).count() == 0
     assert knn_join(df.limit(0), df, "id", "vec", 2).count() == 0
+
+
+def test_waves_stay_below_the_distance():
+    """Lower bounds hold for every number, and for odd columns; on normal data they are close."""
+    x = np.linspace(0, 60, 600_001)
+    waves = zip(neighbors.Waves.FREQUENCIES, neighbors.Waves.WEIGHTS, strict=True)
+    assert (neighbors.Waves.CONSTANT - sum(w * np.cos(f * x) for f, w in waves) <= x).all()
+    rng = np.random.default_rng(3)
+    for a in (rng.normal(size=(200, 64)), rng.standard_cauchy((200, 7)) * 1e6, np.c_[rng.normal(size=(200, 3)), np.ones(200)]):
+        bounds = neighbors.Waves(a)
+        below = bounds.total - bounds.of(a).astype(float) @ bounds.of(a).T.astype(float)
+        exact = np.abs(a[:, None] - a[None]).sum(2)
+        assert (below <= exact + bounds.slack + 1e-11 * exact).all()
+        if a.shape[1] == 64:
+            assert below.mean() > 0.9 * exact.mean()
+
+
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_manhattan_neighbours_of_odd_rows(exclude_self):
+    """Ties, constant columns, very different scales and infinite entries."""
+    rng = np.random.default_rng(4)
+    ties = rng.integers(0, 3, (300, 6)).astype(float)
+    scales = rng.normal(size=(300, 6)) * 10.0 ** np.arange(-6, 6, 2)
+    endless = np.where(np.arange(300)[:, None] == 7, np.inf, scales)
+    for x in (ties, scales, np.c_[ties, np.full(300, 1e9)], np.zeros((300, 2))):
+        ids = pa.array(np.arange(len(x)))
+        got = zip(*neighbors.block_neighbors(ids, x, ids, x, 5, 1, exclude_self), strict=True)
+        assert [(i, j) for i, j, _ in got] == [(i, j) for i, j, _, _ in brute(x, x, 5, 1, exclude_self)]
+    ids = pa.array(np.arange(300))
+    rows, _, _ = neighbors.block_neighbors(ids, endless[:5], ids, endless, 5, 1, False)
+    assert len(rows) == 25
+
+
+def _block_of(n_a, n_b, n_cells, k, p, bound):
+    """Result, exact distances and peak bytes of one task of the second round, on normal data."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(n_a, 64)), rng.normal(size=(n_b, 64))
+    cell = np.arange(n_b) * n_cells // n_b
+    sizes = np.bincount(cell)
+    cells = neighbors._Cells(b[:n_cells], sizes, np.zeros(n_cells), np.full(n_cells, 1e9), np.full(n_cells, np.inf))
+
+    def table(first, x, **more):
+        vec = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 64, pa.int32()), pa.array(x.ravel()))
+        columns = {"id": pa.array(first + np.arange(len(x))), "vec": vec}
+        return pa.table(columns | {c: pa.array(v) for c, v in more.items()})
+
+    left = table(0, a, cell=np.full(n_a, -1), radius=np.full(n_a, 1e9), bound=np.full(n_a, bound))
+    right = table(10**6, b, cell=cell)
+    schema = pa.schema([("id", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.float64())])
+    output = {"id": ("query", "id"), "neighbor_id": ("searched", "id"), "distance": ("distance", "")}
+    run = neighbors._block_udf(cells, k, p, True, False, output, schema)
+    tracemalloc.start()
+    found = run(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return found, np.concatenate([neighbors.distances(a[i : i + 128], b, p) for i in range(0, n_a, 128)]), peak
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_a_task_holds_the_nearest_only(p):
+    """A task keeps k rows per query, whatever the number of cells, and tells of none beyond the known bound."""
+    near = 1e9
+    found, exact, peak = _block_of(2_000, 2_000, 200, 8, p, near)
+    want = np.sort(exact, 1)[:, :8]
+    np.testing.assert_allclose(found["distance"].to_numpy().reshape(-1, 8), want, atol=1e-9)
+    assert peak < 32e6
+    bound = float(np.median(want[:, 3]))
+    found, _, _ = _block_of(2_000, 2_000, 200, 8, p, bound)
+    assert found.num_rows == (want <= bound).sum()
+
+
+def test_few_manhattan_distances_are_worked_out(monkeypatch):
+    """Nearly all pairs are told apart by lower bounds."""
+    counted, whole = [], neighbors._exact
+    monkeypatch.setattr(neighbors, "_exact", lambda difference, p: counted.append(len(difference)) or whole(difference, p))
+    monkeypatch.setattr(neighbors, "_ranking", lambda a, b, p: counted.append(len(a) * len(b)) or np.ones((len(a), len(b))))
+    x = np.random.default_rng(6).normal(size=(4_000, 64))
+    ids = pa.array(np.arange(4_000))
+    neighbors.block_neighbors(ids, x, ids, x, 4, 1, True)
+    assert sum(counted) < 0.1 * 4_000**2
