@@ -74,8 +74,12 @@ def split_frames(df: DataFrame, split: str = "split") -> dict[str, DataFrame]:
 
 
 def semi_filter(df: DataFrame, keys: DataFrame, key: str, keep: bool = True) -> DataFrame:
-    """Rows whose key is (or, with ``keep=False``, is not) among ``keys``."""
-    return df.join(keys.select(key).distinct(), key, "left_semi" if keep else "left_anti")
+    """Rows whose key is (or, with ``keep=False``, is not) among ``keys``.
+
+    The different keys of a partition are hashed and the rows pass by, so a task holds keys, never sorted rows.
+    """
+    among = keys.select(key).distinct().hint("shuffle_hash")
+    return df.join(among, key, "left_semi" if keep else "left_anti")
 
 
 def feature_columns(df: DataFrame, label: str, keys: list[str]) -> list[str]:
