@@ -279,7 +279,7 @@ def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     if len(vectors) == 0 or len(flat) % len(vectors) or np.isnan(flat).any():
         raise ValueError("vectors must have one length and no missing entries")
-    return flat.reshape(len(vectors), -1)
+    return flat.astype(np.float64, copy=False).reshape(len(vectors), -1)
 
 
 def _nearest_cell(pivots: np.ndarray, p: int) -> Callable:

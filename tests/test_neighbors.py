@@ -333,3 +333,14 @@ def test_few_manhattan_distances_are_worked_out(monkeypatch):
     ids = pa.array(np.arange(4_000))
     neighbors.block_neighbors(ids, x, ids, x, 4, 1, True)
     assert sum(counted) < 0.1 * 4_000**2
+
+
+def test_graph_vectors_travel_in_single_precision_where_nothing_is_lost(spark, monkeypatch):
+    kept, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: kept.append(df.schema) or cut(df))
+    x = clustered(300, 5, 8).astype(np.float32).astype(float)
+    for rows, kind in ((x, "array<float>"), (np.r_[x[:-1], x[-1:] + 1e-12], "array<double>")):
+        kept.clear()
+        got = {(r["id"], r["neighbor_id"]): r["distance"] for r in knn_graph(vectors(spark, rows), "id", "vec", 3).collect()}
+        assert kept[0]["vec"].dataType.simpleString() == kind
+        assert all(d == np.sqrt(((rows[i] - rows[j]) ** 2).sum()) for (i, j), d in got.items())
