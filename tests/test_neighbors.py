@@ -344,3 +344,17 @@ def test_graph_vectors_travel_in_single_precision_where_nothing_is_lost(spark, m
         got = {(r["id"], r["neighbor_id"]): r["distance"] for r in knn_graph(vectors(spark, rows), "id", "vec", 3).collect()}
         assert kept[0]["vec"].dataType.simpleString() == kind
         assert all(d == np.sqrt(((rows[i] - rows[j]) ** 2).sum()) for (i, j), d in got.items())
+
+
+def test_uniform_manhattan_votes_in_many_dimensions(spark, monkeypatch):
+    """Votes equal brute force, and fast distances of all pairs are no part of it."""
+    x = np.random.default_rng(9).normal(size=(600, 64))
+    y = np.arange(600) % 2
+    got = knn_classify(vectors(spark, x, y), vectors(spark, x, y), "id", "vec", "y", 7, "uniform", p=1, exclude_self=True).collect()
+    want = np.zeros(600)
+    for i, j, _, _ in brute(x, x, 7, 1, True):
+        want[i] += y[j] / 7
+    assert {r["id"]: round(r["p1"], 9) for r in got} == {i: round(v, 9) for i, v in enumerate(want)}
+    monkeypatch.setattr(neighbors, "_ranking", lambda *_: pytest.fail("all pairs are worked out"))
+    ids = pa.array(np.arange(600))
+    assert len(neighbors.block_neighbors(ids, x, ids, x, 7, 1, True)[0]) == 7 * 600
