@@ -5,12 +5,13 @@ No pair of rows is materialised and no side is sent everywhere:
 1. Pivots (one per ``cell_rows`` rows, chosen by hash) cut the space into cells; every row of the
    searched side belongs to the cell of its nearest pivot. Neighbouring cells are put together to blocks of
    at most ``block_rows`` rows; a larger cell is cut into several.
-2. In the first round a query row meets the rows of its own cell. The k-th of them is a bound on the
-   distance of its k-th neighbour, and mostly close to it.
-3. In the second round it goes to the other cells that can hold something as near: by the triangle
-   inequality from the number of rows of a cell and the range of their distances to the pivot. It is sent
-   once to a block, however many of its cells it visits, so there are at most as many copies of it as blocks;
-   inside, it is compared with the cells it visits only. A window merges the rounds and blocks.
+2. In the first round a query row goes to the block of its own cell. It meets the rows of that cell, then those
+   of the block's other cells that can hold something as near: by the triangle inequality from the number of
+   rows of a cell and the range of their distances to the pivot. The k-th row found is a bound on the distance
+   of its k-th neighbour, and mostly close to it.
+3. In the second round it goes likewise to the other blocks, with that bound. It is sent once to a block,
+   however many of its cells it visits, so there are at most as many copies of it as blocks; inside, it is
+   compared with the cells it visits only. A window merges the rounds and blocks.
 
 Copies of one vector beyond the k + 1 with the smallest ids can never be among anybody's k neighbours
 (ties go to the smaller id), so they are left out of the searched side before it is cut into cells.
@@ -41,6 +42,10 @@ _PAIRS = 1 << 18
 _PIECE = 1_024
 #: Numbers of the query rows whose waves a task holds at a time.
 WAVES_HELD = 1 << 21
+#: More pivots than this are put into groups to find the nearest one.
+GROUPED = 4_096
+#: Parts of the query rows of a cell, so that a frequent cell is not one task's.
+CELL_PARTS = 4
 
 
 def distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
@@ -117,6 +122,12 @@ def _margin(a: np.ndarray, b: np.ndarray, p: int) -> float:
     return 1e-11 * (_size(a, p) + _size(b, p))
 
 
+def _slack(a: np.ndarray, b: np.ndarray, p: int) -> float:
+    """Above the rounding error of fast distances and of their sums."""
+    size = _size(a, p) + _size(b, p)
+    return 1e-11 * size if p == 1 else 1e-5 * math.sqrt(size)
+
+
 def _limits(near: np.ndarray, k: int) -> np.ndarray:
     """Per row a bound that at least k entries do not exceed: the k-th smallest minimum of groups of
     columns, which is close to the k-th smallest entry and much cheaper."""
@@ -255,8 +266,7 @@ class _Cells:
         return reach
 
     def margin(self, rows: np.ndarray, p: int) -> float:
-        margin = _size(rows, p) + _size(self.pivots, p)
-        return 1e-11 * margin if p == 1 else 1e-5 * math.sqrt(margin)
+        return _slack(rows, self.pivots, p)
 
     def visited(
         self, to_pivot: np.ndarray, nearest: np.ndarray, own: np.ndarray, reach: np.ndarray, some: np.ndarray
@@ -282,47 +292,99 @@ def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.astype(np.float64, copy=False).reshape(len(vectors), -1)
 
 
+class _Nearest:
+    """The nearest pivot per row. Many pivots are put into groups by nearest centre, and a row is compared with
+    the groups only that can hold a pivot nearer than one found, by the triangle inequality."""
+
+    def __init__(self, pivots: np.ndarray, p: int) -> None:
+        self.pivots, self.p = pivots, p
+        n = math.isqrt(len(pivots)) if len(pivots) > GROUPED and np.isfinite(pivots).all() else 1
+        self.centres = pivots[np.arange(n) * len(pivots) // n]
+        group, radius = np.zeros(len(pivots), np.int64), np.full(len(pivots), math.inf)
+        if n > 1:
+            for t in (slice(i, i + _TILE) for i in range(0, len(pivots), _TILE)):
+                to_centre = distances(pivots[t], self.centres, p)
+                group[t], radius[t] = to_centre.argmin(1), to_centre.min(1)
+        self.members = [np.flatnonzero(group == g) for g in range(n)]
+        self.radius = np.array([radius[m].max(initial=-math.inf) for m in self.members])
+
+    def __call__(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pivot (of equally near ones the first) and the distance to it."""
+        waves, margin = _waves(rows, self.pivots, self.p), _margin(rows, self.pivots, self.p)
+        waves_rows = waves.of(rows) if waves is not None else None
+        cell, radius, none = np.full(len(rows), len(self.pivots)), np.full(len(rows), math.inf), np.full(len(rows), -1)
+
+        def meet(asking: np.ndarray, members: np.ndarray) -> None:
+            if not (len(asking) and len(members)):
+                return
+            reach, rank = radius[asking], np.arange(len(members))
+            found, column, distance = _best(
+                rows, asking, self.pivots[members], rank, none[asking], reach, 1, self.p, margin, waves, waves_rows
+            )
+            row, pivot = asking[found], members[column]
+            better = (distance < radius[row]) | ((distance == radius[row]) & (pivot < cell[row]))
+            cell[row[better]], radius[row[better]] = pivot[better], distance[better]
+
+        if len(self.members) == 1 or not np.isfinite(rows).all():
+            meet(np.arange(len(rows)), np.arange(len(self.pivots)))
+            return cell, radius
+        to_centre = distances(rows, self.centres, self.p)
+        first, slack = to_centre.argmin(1), _slack(rows, self.pivots, self.p)
+        for g, members in enumerate(self.members):
+            meet(np.flatnonzero(first == g), members)
+        for g, members in enumerate(self.members):
+            meet(np.flatnonzero((first != g) & (to_centre[:, g] - self.radius[g] <= radius + slack)), members)
+        return cell, radius
+
+
 def _nearest_cell(pivots: np.ndarray, p: int) -> Callable:
     """Vector to (cell, distance to its pivot)."""
+    nearest = _Nearest(pivots, p)
 
     @F.arrow_udf("cell long, radius double")
     def assign(vectors: pa.Array) -> pa.Array:
         if not len(vectors):
             return pa.array([], pa.struct([("cell", pa.int64()), ("radius", pa.float64())]))
-        matrix = _matrix(vectors)
-        every, none, everywhere = np.arange(len(matrix)), np.full(len(matrix), -1), np.full(len(matrix), np.inf)
-        waves = _waves(matrix, pivots, p)
-        waves_a = waves.of(matrix) if waves is not None else None
-        rank, margin = np.arange(len(pivots)), _margin(matrix, pivots, p)
-        _, cells, radii = _best(matrix, every, pivots, rank, none, everywhere, 1, p, margin, waves, waves_a)
+        cells, radii = nearest(_matrix(vectors))
         return pa.StructArray.from_arrays([pa.array(cells), pa.array(radii)], ["cell", "radius"])
 
     return assign
 
 
 def _visited_blocks(cells: _Cells, first: np.ndarray, several: np.ndarray, k: int, p: int) -> Callable:
-    """Vector, own cell and bound to the blocks with cells that may hold one of the k nearest rows."""
+    """Vector, own cell and bound to the other blocks with cells that may hold one of the k nearest rows."""
     n_blocks = int((first + several).max())
-    every = np.arange(len(cells.n))
+    parts = int(several.max())
 
     @F.arrow_udf("array<long>")
     def visit(vectors: pa.Array, own: pa.Array, bound: pa.Array) -> pa.Array:
         if not len(vectors):
             return pa.array([], pa.list_(pa.int64()))
         matrix, own, bound = _matrix(vectors), own.to_numpy(), bound.to_numpy()
-        counts, columns = [], []
-        for start in range(0, len(matrix), _TILE):
-            rows = slice(start, start + _TILE)
-            to_pivot = distances(matrix[rows], cells.pivots, p)
-            reach = cells.reach(to_pivot, bound[rows], k) + cells.margin(matrix[rows], p)
-            possible = cells.visited(to_pivot, to_pivot.min(1), own[rows], reach, every)
-            blocks = np.zeros((len(possible), n_blocks), bool)
-            row, cell = np.nonzero(possible)
-            for part in range(int(several.max())):
-                more = several[cell] > part
-                blocks[row[more], first[cell[more]] + part] = True
-            counts.append(blocks.sum(1))
-            columns.append(np.nonzero(blocks)[1])
+        margin = cells.margin(matrix, p)
+        visited = [np.empty(0, np.int64)] * len(matrix)
+        order = np.argsort(own, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            # what rows of one cell can visit is near its pivot; the rest is not compared with each of them
+            pivot = cells.pivots[own[same[:1]]]
+            to_own, from_own = _exact(matrix[same] - pivot, p), distances(pivot, cells.pivots, p)[0]
+            some = np.flatnonzero((cells.n > 0) & (from_own - cells.farthest <= (to_own + bound[same]).max() + 2 * margin))
+            for start in range(0, len(same), _TILE):
+                rows = same[start : start + _TILE]
+                reach, wide = bound[rows] + margin, np.flatnonzero(np.isinf(bound[rows]))
+                if len(wide):  # fewer than k rows in the own block
+                    reach[wide] = cells.reach(distances(matrix[rows[wide]], cells.pivots, p), reach[wide], k) + margin
+                near = distances(matrix[rows], cells.pivots[some], p)
+                possible = cells.visited(near, to_own[start : start + _TILE], own[rows], reach, some)
+                blocks = np.zeros((len(rows), n_blocks), bool)
+                row, cell = np.nonzero(possible)
+                for part in range(parts):
+                    more = several[some[cell]] > part
+                    blocks[row[more], first[some[cell[more]]] + part] = True
+                blocks[:, first[own[rows]]] = False  # met in the first round; a cell of several has them to itself
+                for i in np.flatnonzero(blocks.any(1)).tolist():
+                    visited[rows[i]] = np.flatnonzero(blocks[i])
+        counts, columns = [[len(v) for v in visited]], visited
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(columns)))
 
@@ -330,11 +392,11 @@ def _visited_blocks(cells: _Cells, first: np.ndarray, several: np.ndarray, k: in
 
 
 def _block_udf(
-    cells: _Cells, k: int, p: int, exclude_self: bool, own_only: bool, output: dict[str, tuple[str, str]], schema: pa.Schema
+    cells: _Cells, k: int, p: int, exclude_self: bool, own_round: bool, output: dict[str, tuple[str, str]], schema: pa.Schema
 ) -> Callable:
     """``output`` names each result column's side (query, searched or distance) and column there.
 
-    Query rows meet the rows of their own cell in the first round (``own_only``), those of others afterwards.
+    In the first round (``own_round``) query rows are in the block of their own cell, which they meet first.
     """
 
     def best(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:
@@ -356,53 +418,58 @@ def _block_udf(
             x = a[slab]
             own_place = place_of[own[slab]]
             near, at = np.full((len(x), k), math.inf), np.full((len(x), k), -1)
-            if own_only:
-                reach = np.full(len(x), math.inf)
-                visits = home[slab, None] == some[None, :]
+            reach, radius = np.full(len(x), math.inf), left.column("radius").to_numpy()[slab]
+            waves_x = waves.of(x) if waves is not None else None
+
+            def meet(visits: np.ndarray) -> None:
+                for i, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                    asking, held = np.flatnonzero(visits[:, i]), order[low:high]
+                    if not len(asking):
+                        continue
+                    mine = own_place[asking]
+                    rows, columns, distance = _best(
+                        x,
+                        asking,
+                        b[held],
+                        rank[held],
+                        np.where((mine >= low) & (mine < high), mine - low, -1),
+                        reach[asking],
+                        k,
+                        p,
+                        margin,
+                        waves,
+                        waves_x,
+                    )
+                    if not len(rows):
+                        continue
+                    first = np.flatnonzero(np.r_[True, np.diff(rows) != 0])
+                    which = np.cumsum(np.r_[True, np.diff(rows) != 0]) - 1
+                    changed = asking[rows[first]]
+                    more, more_at = np.full((len(first), k), math.inf), np.full((len(first), k), -1)
+                    more[which, np.arange(len(rows)) - first[which]] = distance
+                    more_at[which, np.arange(len(rows)) - first[which]] = held[columns]
+                    more, more_at = np.hstack([near[changed], more]), np.hstack([at[changed], more_at])
+                    nearest = np.lexsort((rank_or_none[more_at], more), axis=-1)[:, :k]
+                    near[changed] = np.take_along_axis(more, nearest, 1)
+                    at[changed] = np.take_along_axis(more_at, nearest, 1)
+                    reach[changed] = np.minimum(reach[changed], near[changed, -1])
+
+            if own_round:
+                meet(home[slab, None] == some[None, :])
             else:
-                reach, radius = left.column("bound").to_numpy()[slab].copy(), left.column("radius").to_numpy()[slab]
-                wide = np.flatnonzero(np.isinf(reach))  # fewer than k rows in the own cell
-                for t in (wide[i : i + _TILE] for i in range(0, len(wide), _TILE)):
-                    reach[t] = cells.reach(distances(x[t], cells.pivots, p), reach[t], k) + cells.margin(x[t], p)
-                far = reach + cells.margin(x, p)
-                visits = np.concatenate(
+                reach = left.column("bound").to_numpy()[slab].copy()
+            wide = np.flatnonzero(np.isinf(reach))  # fewer than k rows so far
+            for t in (wide[i : i + _TILE] for i in range(0, len(wide), _TILE)):
+                reach[t] = cells.reach(distances(x[t], cells.pivots, p), reach[t], k) + cells.margin(x[t], p)
+            far = reach + cells.margin(x, p)
+            meet(
+                np.concatenate(
                     [
                         cells.visited(distances(x[t], cells.pivots[some], p), radius[t], home[slab][t], far[t], some)
                         for t in (slice(i, i + _TILE) for i in range(0, len(x), _TILE))
                     ]
                 )
-            waves_x = waves.of(x) if waves is not None else None
-            for i, (low, high) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                asking, held = np.flatnonzero(visits[:, i]), order[low:high]
-                if not len(asking):
-                    continue
-                mine = own_place[asking]
-                rows, columns, distance = _best(
-                    x,
-                    asking,
-                    b[held],
-                    rank[held],
-                    np.where((mine >= low) & (mine < high), mine - low, -1),
-                    reach[asking],
-                    k,
-                    p,
-                    margin,
-                    waves,
-                    waves_x,
-                )
-                if not len(rows):
-                    continue
-                first = np.flatnonzero(np.r_[True, np.diff(rows) != 0])
-                which = np.cumsum(np.r_[True, np.diff(rows) != 0]) - 1
-                changed = asking[rows[first]]
-                more, more_at = np.full((len(first), k), math.inf), np.full((len(first), k), -1)
-                more[which, np.arange(len(rows)) - first[which]] = distance
-                more_at[which, np.arange(len(rows)) - first[which]] = held[columns]
-                more, more_at = np.hstack([near[changed], more]), np.hstack([at[changed], more_at])
-                nearest = np.lexsort((rank_or_none[more_at], more), axis=-1)[:, :k]
-                near[changed] = np.take_along_axis(more, nearest, 1)
-                at[changed] = np.take_along_axis(more_at, nearest, 1)
-                reach[changed] = np.minimum(reach[changed], near[changed, -1])
+            )
             rows, position = np.nonzero(at >= 0)
             found.append((rows + slab.start, at[rows, position], near[rows, position]))
         return tuple(np.concatenate(part) for part in zip(*found, strict=True))
@@ -501,6 +568,7 @@ def knn_join(
     carry_query, carry_neighbor = carry_query or [], carry_neighbor or []
     spark = queries.sparkSession
     vec = F.col(vec_col).cast("array<double>").alias("vec")
+    parallelism = spark.sparkContext.defaultParallelism
     a = queries.select(F.col(id_col).alias("id"), vec, *_numbered(carry_query))
     b = searched.select(F.col(id_col).alias("id"), vec, *_numbered(carry_neighbor))
     output = {
@@ -523,11 +591,11 @@ def knn_join(
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
 
     pivots = _choose_pivots(b, min(max_pivots, math.ceil(n_b / cell_rows)), n_b)
-    placed = _first_copies(b, k + 1).withColumn("_place", _nearest_cell(pivots, p)("vec"))
+    # whatever the files of the tables, all cores share the work on their rows
+    placed = _first_copies(b.repartition(parallelism, "id"), k + 1).repartition(parallelism, "id").withColumn("_place", _nearest_cell(pivots, p)("vec"))
     assigned = cut_lineage(placed.select(*b.columns, "_place.cell", "_place.radius"))
     cells = _describe_cells(assigned, pivots, k)
     first, several = cells.blocks(block_rows)
-    parallelism = spark.sparkContext.defaultParallelism
     query_rows = min(32_768, max(256, math.ceil(n_a / (2 * parallelism))))
     layout = spark.createDataFrame(
         [(i, int(f), int(n)) for i, (f, n) in enumerate(zip(first, several, strict=True))],
@@ -536,7 +604,7 @@ def knn_join(
     block_of = F.col("first_block") + F.pmod(F.xxhash64("id"), F.col("n_blocks"))
     members = assigned.drop("radius").join(F.broadcast(layout), "cell").withColumn("block", block_of)
 
-    def met(visits: DataFrame, own_only: bool) -> DataFrame:
+    def met(visits: DataFrame, own_round: bool) -> DataFrame:
         """Candidates of query rows (``visits``: with their ``block``) among the rows of these blocks."""
         counts = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / query_rows).alias("n_parts"))
         parts = cut_lineage(counts)  # one row per block
@@ -546,16 +614,16 @@ def knn_join(
         right = members.join(F.broadcast(parts), "block").withColumn(
             "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))
         )
-        more = ["cell"] if own_only else ["cell", "radius", "bound"]
+        more = ["cell", "radius"] if own_round else ["cell", "radius", "bound"]
         return (
             left.select("block", "part", *more, *a.columns)
             .repartition(tasks, "block", "part")
             .groupBy("block", "part")
             .cogroup(right.select("block", "part", "cell", *b.columns).repartition(tasks, "block", "part").groupBy("block", "part"))
-            .applyInArrow(_block_udf(cells, k, p, exclude_self, own_only, output, to_arrow_schema(schema)), schema)
+            .applyInArrow(_block_udf(cells, k, p, exclude_self, own_round, output, to_arrow_schema(schema)), schema)
         )
 
-    homes = cut_lineage(a.withColumn("_place", _nearest_cell(pivots, p)("vec")).select(*a.columns, "_place.cell", "_place.radius"))
+    homes = cut_lineage(a.repartition(parallelism, "id").withColumn("_place", _nearest_cell(pivots, p)("vec")).select(*a.columns, "_place.cell", "_place.radius"))
     every_part = F.explode(F.sequence(F.col("first_block"), F.col("first_block") + F.col("n_blocks") - 1))
     own = met(homes.join(F.broadcast(layout), "cell").withColumn("block", every_part), True)
     own = cut_lineage(own.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r"))
@@ -563,6 +631,7 @@ def knn_join(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound")
     )
     bounded = homes.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(math.inf)))
+    bounded = bounded.repartition(2 * parallelism, "cell", F.pmod(F.xxhash64("id"), F.lit(CELL_PARTS))).sortWithinPartitions("cell")
     blocks = _visited_blocks(cells, first, several, k, p)("vec", "cell", "bound")
     others = met(cut_lineage(bounded.withColumn("blocks", blocks)).withColumn("block", F.explode("blocks")), False)
     return own.unionByName(others).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

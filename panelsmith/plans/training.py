@@ -214,9 +214,9 @@ def _train_and_select(
         for name, df in split_frames(split).items()
     }
     preprocessing = preprocess(frames["train"])
-    ready = {name: cut_lineage(preprocessing.transform(df)) for name, df in frames.items()}
+    ready = {name: _spread(preprocessing.transform(df)) for name, df in frames.items()}
     features = [c for c in ready["train"].columns if c not in (ROW_ID, GROUP, label)]
-    resampled = cut_lineage(resample_rows(ready["train"], features, label, ratio, k_smote, seed))
+    resampled = _spread(resample_rows(ready["train"], features, label, ratio, k_smote, seed))
     distributions = _held(
         union_all(
             [
@@ -291,6 +291,11 @@ def _with_stopping_rows(train: DataFrame, held_out: DataFrame) -> DataFrame:
     return train.withColumn(HELD_OUT, F.lit(False)).unionByName(marked)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` as a table of a part per core: joins and windows leave few, and every later step reads it."""
+    return cut_lineage(df.repartition(df.sparkSession.sparkContext.defaultParallelism, ROW_ID))
+
+
 def _held(df: DataFrame) -> DataFrame:
     """A table of a few rows that no longer depends on written ones."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)

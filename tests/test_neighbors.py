@@ -358,3 +358,53 @@ def test_uniform_manhattan_votes_in_many_dimensions(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "_ranking", lambda *_: pytest.fail("all pairs are worked out"))
     ids = pa.array(np.arange(600))
     assert len(neighbors.block_neighbors(ids, x, ids, x, 7, 1, True)[0]) == 7 * 600
+
+
+def test_the_first_round_covers_the_own_block(spark):
+    """A query row meets all cells of its block at once, so the second round starts with a close bound."""
+    rng = np.random.default_rng(10)
+    b = rng.normal(size=(600, 12))
+    pivots = b[:6]
+    cell = neighbors.distances(b, pivots, 2).argmin(1)
+    radius = neighbors.distances(b, pivots, 2).min(1)
+    limits = [np.array([f(radius[cell == c]) for c in range(6)]) for f in (np.min, np.max)]
+    cells = neighbors._Cells(pivots, np.bincount(cell), *limits, np.full(6, np.inf))
+    vec = pa.ListArray.from_arrays(pa.array(np.arange(601) * 12, pa.int32()), pa.array(b.ravel()))
+    rows = pa.table({"id": pa.array(np.arange(600)), "vec": vec, "cell": pa.array(cell), "radius": pa.array(radius)})
+    schema = pa.schema([("id", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.float64())])
+    output = {"id": ("query", "id"), "neighbor_id": ("searched", "id"), "distance": ("distance", "")}
+    found = neighbors._block_udf(cells, 5, 2, True, True, output, schema)(rows, rows).to_pylist()
+    want = {(i, j) for i, j, _, _ in brute(b, b, 5, 2, True)}
+    assert {(r["id"], r["neighbor_id"]) for r in found} == want
+    visit = neighbors._visited_blocks(cells, np.zeros(6, np.int64), np.ones(6, np.int64), 5, 2).func
+    assert not any(visit(vec, pa.array(cell), pa.array(np.full(600, np.inf))).to_pylist())
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_few_pivots_are_looked_at(spark, p, monkeypatch):
+    """In few dimensions neither the search of the own cell nor that of the cells to visit compares a row with all."""
+    rng = np.random.default_rng(11)
+    pivots = np.unique(rng.normal(size=(4_000, 2)), axis=0)
+    x = np.r_[np.repeat(pivots[::40], 30, axis=0) + rng.normal(size=(3_000, 2)) * 1e-3, pivots[::40]]
+    far = np.concatenate([neighbors.distances(x[i : i + 100], pivots, p) for i in range(0, len(x), 100)])
+    compared, ranking = [], neighbors._ranking
+    monkeypatch.setattr(neighbors, "_ranking", lambda a, b, p: compared.append(len(a) * len(b)) or ranking(a, b, p))
+    monkeypatch.setattr(neighbors, "_waves", lambda *_: None)
+    monkeypatch.setattr(neighbors, "GROUPED", 256, raising=False)
+    vec = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 2, pa.int32()), pa.array(x.ravel()))
+    assigned = neighbors._nearest_cell(pivots, p).func(vec)
+    cell, radius = assigned.field(0).to_numpy(), assigned.field(1).to_numpy()
+    assert (cell == far.argmin(1)).all()
+    np.testing.assert_allclose(radius, far.min(1), atol=1e-6)
+    high = np.full(4_000, 0.05)
+    cells = neighbors._Cells(pivots, np.ones(4_000, np.int64), np.zeros(4_000), high, np.full(4_000, np.inf))
+    bound = np.full(len(x), 0.02)
+    got = neighbors._visited_blocks(cells, np.arange(4_000), np.ones(4_000, np.int64), 1, p).func(vec, pa.array(cell), pa.array(bound))
+
+    def reached(more):
+        some = (far <= 0.07 + more) & ((far - radius[:, None]) / 2 <= 0.02 + more)
+        some[np.arange(len(x)), cell] = False
+        return [set(np.flatnonzero(row)) for row in some]
+
+    assert all(least <= set(g) <= most for least, g, most in zip(reached(0), got.to_pylist(), reached(1e-3), strict=True))
+    assert sum(compared) < 0.5 * len(x) * 4_000
