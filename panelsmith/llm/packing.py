@@ -8,7 +8,6 @@ that fits in logarithmic time.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,15 +38,11 @@ def tokenizer_path(name: str) -> str:
 class ByteBpe:
     """The byte-level BPE ids of a text, little-endian unsigned 32-bit.
 
-    Pre-tokens never cross a single space between two other characters, so a text is cut there and the
-    parts' ids are remembered (at most ``remember`` parts). Texts with adjoining white space inside, or
-    with a special token's string, are encoded whole. The merges come from the rank file that holds the
-    same vocabulary; the tests hold the ids against the tokenizer file.
+    The merges come from the rank file that holds the same vocabulary, and a text is encoded in one call;
+    the tests hold the ids against the tokenizer file. Texts with a special token's string go through that.
     """
 
-    _ADJOINING = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-
-    def __init__(self, vocabulary: str = VOCABULARY, remember: int = 200_000):
+    def __init__(self, vocabulary: str = VOCABULARY):
         import base64
         import json
 
@@ -62,11 +57,6 @@ class ByteBpe:
         self._file, self._whole = tokenizer_path(f"{vocabulary}.json"), None
         with open(self._file, encoding="utf-8") as file:
             self._special = [t["content"] for t in json.load(file)["added_tokens"]]
-        self._remember = remember
-        self._parts: dict[str, bytes] = {}
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self._encode(text), "<u4").tobytes()
 
     def _encode_whole(self, text: str) -> bytes:
         """By the tokenizer itself, loaded when first needed."""
@@ -79,18 +69,7 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self._special):
             return self._encode_whole(text)
-        if self._ADJOINING.search(text):
-            return self._bytes(text)
-        head, *rest = text.split(" ")
-        if len(self._parts) > self._remember:
-            self._parts.clear()
-        known, out = self._parts, [self._bytes(head)]
-        for part in rest:
-            ids = known.get(part)
-            if ids is None:
-                ids = known[part] = self._bytes(" " + part)
-            out.append(ids)
-        return b"".join(out)
+        return np.array(self._encode(text), "<u4").tobytes()
 
 
 _ENCODERS: dict[str, ByteBpe] = {}

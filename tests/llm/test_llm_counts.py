@@ -26,6 +26,16 @@ def test_ids_equal_the_tokenizer(text):
     assert np.frombuffer(packing._encoder("byte_bpe_50k").encode(text), "<u4").tolist() == true_ids(text)[:-1]
 
 
+def test_a_text_is_encoded_in_one_call():
+    encoder, calls = packing.ByteBpe(), []
+    whole = encoder._encode
+    encoder._encode = lambda text: calls.append(text) or whole(text)
+    text = "one two  three\nfour Z\u00e9 " + "word " * 500 + "end"
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == true_ids(text)[:-1]
+    assert np.frombuffer(encoder.encode("a plain text"), "<u4").tolist() == true_ids("a plain text")[:-1]
+    assert calls == [text, "a plain text"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_first_fit_decreasing(lengths):
