@@ -591,6 +591,28 @@ def _grouped(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return number, np.cumsum(np.concatenate(sizes)), dropped
 
 
+def _repeating(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of the different segments whose strings may stand more than once: number of the first string
+    (of all segments'), number of strings, and the stretches' bytes.
+
+    Left out is a string with an anchor that occurs once in all segments. Anchors are told apart by their hash,
+    so one that occurs once may be taken for repeated, but none that repeats is missed.
+    """
+    windows = lengths - LENGTH + 1
+    hashes = _anchor_hash(text)
+    slot = (hashes & np.uint64((1 << (2 * len(hashes)).bit_length()) - 1)).astype(np.int64)
+    lone = np.cumsum(np.r_[0, np.bincount(slot)[slot] == 1], dtype=np.int32)
+    inside = LENGTH - ANCHOR + 1
+    start = np.arange(int(windows.sum())) + np.repeat(np.arange(len(windows)) * (LENGTH - 1), windows)
+    kept = np.flatnonzero(lone[start + inside] == lone[start])
+    opens = np.r_[True, np.diff(start[kept]) != 1][: len(kept)]
+    at = np.flatnonzero(opens)
+    first, n = kept[at], np.diff(np.r_[at, len(kept)])
+    sizes = n + LENGTH - 1
+    places = np.arange(int(sizes.sum())) + np.repeat(start[first] - np.cumsum(sizes) + sizes, sizes)
+    return first, n, text[places]
+
+
 def _classify(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one task's segments: to each shard the least ids of their strings' classes, where they are not its own."""
     seen: dict[bytes, int] = {}
@@ -616,21 +638,26 @@ def _classify(frame: pd.DataFrame) -> pd.DataFrame:
     ids = np.array(least, np.int64)
     windows = lengths - LENGTH + 1
     offsets = np.cumsum(windows) - windows
-    run_of = np.empty(int(windows.sum()), np.int64)
-    symbols, ends, dropped = _grouped(text, lengths)
-    collection = Collection(symbols, ends, LENGTH // GROUP)
-    try:
-        collection.build()
-        run, n_runs = collection.classes()
-        best = np.full(n_runs, NO_ID, np.int64)
-        for length, strings, at in collection.suffix_places():
-            if length >= LENGTH // GROUP:
-                runs, piece = run[at], strings % len(pieces)
-                np.minimum.at(best, runs, ids[piece])
-                run_of[offsets[piece] + lengths[piece] - dropped[strings] - GROUP * length] = runs
-    finally:
-        collection.close()
-    answer = best[run_of]
+    answer = np.repeat(ids, windows)
+    first, n, cut = _repeating(text, lengths)
+    if len(first):
+        ids = answer[first]
+        sizes, before = n + LENGTH - 1, np.cumsum(n) - n
+        run_of = np.empty(int(n.sum()), np.int64)
+        symbols, ends, dropped = _grouped(cut, sizes)
+        collection = Collection(symbols, ends, LENGTH // GROUP)
+        try:
+            collection.build()
+            run, n_runs = collection.classes()
+            best = np.full(n_runs, NO_ID, np.int64)
+            for length, strings, at in collection.suffix_places():
+                if length >= LENGTH // GROUP:
+                    runs, piece = run[at], strings % len(first)
+                    np.minimum.at(best, runs, ids[piece])
+                    run_of[before[piece] + sizes[piece] - dropped[strings] - GROUP * length] = runs
+        finally:
+            collection.close()
+        answer[np.repeat(first - before, n) + np.arange(len(run_of))] = best[run_of]
     out = []
     for shard, part, (which, own) in zip(frame["shard"], frame["part"], asked):
         n = windows[which]

@@ -180,6 +180,35 @@ def test_passages_documents(spark, small, monkeypatch):
     assert check_passages(rows, [tuple(r) for r in docs.collect()]) > 0
 
 
+def test_strings_with_a_lone_anchor_are_not_sorted(monkeypatch):
+    """Segments of one anchor amid other text: the transform gets the shared strings only, the answers are the same."""
+    rng = np.random.default_rng(5)
+
+    def noise(n):
+        return rng.integers(97, 123, n, np.uint8).tobytes()
+
+    shared, anchor, wave = noise(55), noise(16), b"ab" * 40
+    pieces = [noise(15) + shared + noise(15), noise(9) + shared + noise(21), *(noise(34) + anchor + noise(34) for _ in range(200)), wave, wave[1:]]
+    ids = [7, 4, *range(10, 210), 3, 2]
+    sizes, build = [], Collection.build
+    monkeypatch.setattr(Collection, "build", lambda self: sizes.append(len(self.text)) or build(self))
+    blobs = [suffix_dedup._pack(np.array([len(p) - 49], "u1"), np.array([i]), np.frombuffer(p, np.uint8)) for p, i in zip(pieces, ids)]
+    rows = suffix_dedup._row_frame([(k, 0, k, b) for k, b in enumerate(blobs)])
+    first = {}
+    for piece, i in zip(pieces, ids):
+        for a in range(len(piece) - 49):
+            first[piece[a : a + 50]] = min(i, first.get(piece[a : a + 50], i))
+    replies = {}
+    for k, body in suffix_dedup._classify(rows)[["shard", "body"]].itertuples(index=False):
+        _, lengths, values = suffix_dedup._unpack(body, "u1", "<u4", "i8")
+        replies[k] = np.repeat(values, lengths).tolist()
+    expected = {k: [first[p[a : a + 50]] for a in range(len(p) - 49)] for k, p in enumerate(pieces)}
+    assert replies == {k: e for k, e in expected.items() if set(e) != {ids[k]}} and len(replies) == 2
+    assert sum(sizes) < 0.05 * sum(map(len, pieces))
+    sizes.clear()
+    assert suffix_dedup._classify(rows.iloc[2:9]).empty and not sizes
+
+
 def test_without_repeats(odd, odd_rows, empty_documents):
     cleaned = suffix_dedup.without_repeats(odd)
     assert cleaned.schema == odd.schema and cleaned.count() == odd.count()
